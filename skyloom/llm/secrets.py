@@ -1,0 +1,133 @@
+"""Secret scans (operator 7): fixed patterns, plus values that are costly to guess in a credential context.
+
+The base kinds are three patterns. The added kind ``guess`` looks at values assigned to, or said to be, a
+credential, and estimates how many guesses an attacker needs: the minimum-cost segmentation of the value into
+dictionary words, dates, repeats, keyboard walks and brute-force spans, found by dynamic programming over its
+positions. A value whose cost reaches ``min_log10`` becomes a span unless it overlaps a base span.
+
+Defined cases: null text counts as empty and has no spans; repeated rows are scanned row by row; a span is in
+code points, end exclusive; extra columns are ignored; an empty table gives an empty table.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from functools import lru_cache
+from math import log10
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from .common import arrow_map, texts
+
+KINDS = ("assign", "access", "hex", "guess")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]{24,}+")  # the maximal runs of 24 and more
+CONTEXT = re.compile(
+    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|credentials?|token|auth|bearer|private[ _-]?key|access[ _-]?key|api[ _-]?key)["']?\x20*(?:[:=]|\bis\b|\bbearer\b)\x20*["']?([!-~]{6,})""",
+    re.IGNORECASE | re.ASCII,
+)
+CONTEXT_WORDS = ("pass", "pwd", "pin", "secret", "credential", "auth", "bearer", "private", "access", "api")
+
+# Frequent words of passwords, by falling frequency; the rank is the number of guesses.
+WORDS = """password the qwerty dragon monkey letmein master shadow football baseball admin welcome login hello
+princess sunshine superman michael jordan batman trustno killer hunter ranger soccer hockey george charlie andrew
+thomas jennifer jessica summer winter spring autumn flower secret access test user root guest default changeme love
+god money star blue green black white red orange yellow silver gold happy coffee cookie cheese pepper ginger tiger
+eagle falcon lion wolf bear horse snake spider angel devil heaven music guitar piano game player computer internet
+server windows linux apple google phone mobile friend family mother father sister brother baby girl boy king queen
+prince magic wizard ninja pirate samurai rocket planet earth moon sun ocean river mountain forest garden house home
+office school teacher doctor january february march april may june july august september october november december
+monday tuesday wednesday thursday friday saturday sunday correct battery staple example sample demo temp new old
+company pass word key token data base cloud prod dev stage""".split()
+# Rows of a keyboard.
+ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
+LEET = str.maketrans("0134578@$!", "oieastbasi")
+RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
+DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0[1-9]|1[0-2])(?:\1(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])(?:0[1-9]|1[0-2])(?:19|20)\d\d")
+DATE_GUESSES = 365 * 120
+#: The longest span that counts as one repeat; longer ones are several segments.
+MAX_REPEAT = 64
+
+
+@lru_cache(maxsize=4096)
+def guess_cost(value: str) -> float:
+    """log10 of the guesses for the cheapest segmentation of a value."""
+    n = len(value)
+    low = value.lower()
+    plain = low.translate(LEET)
+    alphabet = 10 * any(c.isdigit() for c in value) + 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 33 * any(not c.isalnum() for c in value)
+    brute = log10(max(alphabet, 2))
+    cost = [0.0] + [float("inf")] * n
+    for i in range(n):
+        base = cost[i]
+        if i:
+            base += 0.3  # another segment doubles the guesses
+        cost[i + 1] = min(cost[i + 1], cost[i] + brute)
+        for j in range(i + 3, min(n, i + 12) + 1):  # words, as they stand or with letters replaced
+            if rank := RANK.get(low[i:j]):
+                upper = 0.3 if value[i:j] != low[i:j] else 0.0
+                cost[j] = min(cost[j], base + log10(rank + 1) + upper)
+            elif rank := RANK.get(plain[i:j]):
+                cost[j] = min(cost[j], base + log10(rank + 1) + 0.6)
+        if m := DATE.match(value, i):
+            cost[m.end()] = min(cost[m.end()], base + log10(DATE_GUESSES))
+        for width in range(1, 5):  # repeats of up to four characters
+            j = i + width
+            while j + width <= min(n, i + MAX_REPEAT) and low[j : j + width] == low[i : i + width]:
+                j += width
+                cost[j] = min(cost[j], base + width * brute + log10((j - i) // width))
+        for row in ROWS:  # keyboard walks and sequences, either way
+            for line in (row, row[::-1]):
+                at, j = line.find(low[i]), i
+                while at >= 0 and j < n and at < len(line) and low[j] == line[at]:
+                    j, at = j + 1, at + 1
+                if j - i >= 3:
+                    cost[j] = min(cost[j], base + log10(len(row) * 2 * (j - i)))
+    return cost[n]
+
+
+def scan(text: str, min_log10: float = 12.0) -> list[tuple[int, str, int]]:
+    """Spans (start, kind, end) of a text, by start and then by kind in the order of KINDS."""
+    spans = []
+    low = text.lower()
+    if any(w in low for w in ASSIGN_WORDS):
+        spans += [(m.start(), "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    if "AKIA" in text:
+        spans += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    spans += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
+    base = sorted(spans, key=lambda s: s[0])
+    if any(w in low for w in CONTEXT_WORDS):
+        for m in CONTEXT.finditer(text):
+            start, value = m.start(1), m[1].rstrip("\"',;.)")
+            end = start + len(value)
+            if len(value) >= 6 and guess_cost(value) >= min_log10 and not any(a < end and start < b for a, _, b in base):
+                spans.append((start, "guess", end))
+    return sorted(spans, key=lambda s: (s[0], KINDS.index(s[1])))
+
+
+def secret_spans(docs: DataFrame, min_log10: float = 12.0, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key and ``found``, an array of (kind, start, end)."""
+
+    def make():
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [[{"kind": k, "start": a, "end": b} for a, k, b in scan(t, min_log10)] for t in texts(batch)]
+            return pa.RecordBatch.from_pydict({key: batch.column(key), "found": pa.array(found, kind)})
+
+        return step
+
+    kind = docs.schema[key].dataType.simpleString()
+    return arrow_map(docs.select(key, docs[text].alias("text")), make, f"{key} {kind}, found array<struct<kind: string, start: bigint, end: bigint>>")
+
+
+def joined(spans: list[tuple[int, str, int]]) -> str:
+    return ",".join(f"{k}:{a}:{b}" for a, k, b in spans)
+
+
+def digest(spans: list[tuple[int, str, int]]) -> str:
+    return hashlib.sha256(joined([s for s in spans if s[1] != "guess"]).encode()).hexdigest()
