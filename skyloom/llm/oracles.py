@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import mixing
 from .licenses import COPYRIGHT_LINE, KNOWN, MARKERS, PARAGRAPHS, SPELLINGS
 
 
@@ -52,3 +53,44 @@ select conv_id, count(*) as n_turns,
   cast(sum(24 + length(regexp_replace(role, '(\\|</?turn|")', '\\\1', 'g')) + length(regexp_replace(text, '(\\|</?turn)', '\\\1', 'g'))) as bigint) as formatted_chars
 from rows group by conv_id
 """
+
+
+TOPK_SQL = """
+with v as (
+  select row_number() over () as uid, vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as w from embeddings
+  where embedding is not null and len(embedding) > 0 and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select q.uid as q, q.vec_id as query_id, c.vec_id, c.uid, cast(list_dot_product(q.w, c.w) as bigint) as score
+  from v q join v c on q.uid <> c.uid where q.vec_id % 100 = 0)
+select query_id, cast(row_number() over (partition by q order by score desc, vec_id, uid) as integer) as rank, vec_id, score
+from pairs qualify rank <= 10
+"""
+
+
+def mix_sql() -> str:
+    """The closed form: the words taken of a source are the first floor(target) words of its repeated line."""
+    weights = "case " + " ".join(f"when i % {len(mixing.WEIGHTS)} = {k} then {w}" for k, w in enumerate(mixing.WEIGHTS)) + " end"
+    return f"""
+with recursive d as (
+  select row_number() over () as r, doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size from documents),
+s as (select source, cast(sum(size) as bigint) as n, row_number() over (order by source nulls last) - 1 as i from d group by source),
+w as (select source, n, {weights} as weight from s),
+-- one row per round: the level of the free sources, until none of them is above its stop
+rounds as (
+  select 0 as k, (select sum(n) from w)::double / (select sum(weight) from w) as unit
+  union all
+  select k + 1, (
+    (select sum(n) from w) - {mixing.MAX_EPOCHS} * coalesce((select sum(n) from w where weight * unit > {mixing.MAX_EPOCHS} * n), 0))::double
+    / (select sum(weight) from w where not weight * unit > {mixing.MAX_EPOCHS} * n)
+  from rounds where k < 40),
+level as (select unit from rounds order by k desc limit 1),
+t as (select source, n, case when weight * unit > {mixing.MAX_EPOCHS} * n then cast({mixing.MAX_EPOCHS} * n as double) else weight * unit end as target from w, level),
+p as (
+  select d.doc_id, d.size, t.n as source_size, t.target, cast(floor(t.target) as bigint) as take,
+    sum(d.size) over (partition by d.source order by md5('mix:' || d.doc_id), r) - d.size as place
+  from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target,
+  cast(case when source_size = 0 then 0 else (take // source_size) * size + greatest(0, least(place + size, take % source_size) - place) end as bigint) as taken
+from p
+"""

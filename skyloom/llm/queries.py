@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, oracles, secrets, tokens
-from .common import arrow_map, documents
+from . import chat, licenses, mixing, oracles, secrets, store, tokens, topk
+from .common import arrow_map, documents, work_path
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,17 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = work_path(spark, "store")
+    store.write_store(documents(spark, sf_dir), root, public_tokenizers.path("byte_bpe_50k.json"))
+    return store.read_documents(spark, root)
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_spans(documents(spark, sf_dir))
 
@@ -41,9 +52,13 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_map(found, make, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries():
-    return {f.__name__: f for f in (op1_licenses, op2_chat, op3_token_counts, op7_secrets)}
+    return {f.__name__: f for f in (op1_licenses, op2_chat, op3_token_counts, op4_topk, op6_token_store, op7_secrets, op10_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": oracles.licenses_sql(), "op2_chat": oracles.CHAT_SQL}
+    return {"op1_licenses": oracles.licenses_sql(), "op2_chat": oracles.CHAT_SQL, "op4_topk": oracles.TOPK_SQL, "op10_mix": oracles.mix_sql()}
