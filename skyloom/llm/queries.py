@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, oracles, secrets, store, tokens, topk
+from . import chat, credentials, leaks, licenses, mixing, oracles, store, tokens, topk, toxicity
 from .common import arrow_map, documents, work_path
 
 
@@ -39,25 +39,36 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.secret_spans(documents(spark, sf_dir))
+    found = credentials.secret_spans(documents(spark, sf_dir))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = [[(s["start"], s["kind"], s["end"]) for s in row] for row in batch.column("found").to_pylist()]
-            count = {f"n_{k}": pa.array([sum(s[1] == k for s in r) for r in rows], pa.int64()) for k in secrets.KINDS[:3]}
-            return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | count | {"base_sha256": [secrets.digest(r) for r in rows], "spans": [secrets.joined(r) for r in rows]})
+            count = {f"n_{k}": pa.array([sum(s[1] == k for s in r) for r in rows], pa.int64()) for k in credentials.KINDS[:3]}
+            return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | count | {"base_sha256": [credentials.digest(r) for r in rows], "spans": [credentials.joined(r) for r in rows]})
 
         return step
 
     return arrow_map(found, make, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
+def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(toxicity.fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries():
-    return {f.__name__: f for f in (op1_licenses, op2_chat, op3_token_counts, op4_topk, op6_token_store, op7_secrets, op10_mix)}
+    return {f.__name__: f for f in (op1_licenses, op2_chat, op3_token_counts, op4_topk, op6_token_store, op7_secrets, op8_leaks, op9_toxicity, op10_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
