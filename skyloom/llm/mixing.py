@@ -111,10 +111,10 @@ def schedule(spark: SparkSession, sources: list[Source]) -> DataFrame:
         slots *= 2
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, blocks: int = BLOCKS, seed: str = "mix", key: str = "doc_id") -> DataFrame:
-    """Per row: key, row, size, source_size, target, taken, and first_slot, the place of its first word in the mix (null if none)."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, blocks: int = BLOCKS, seed: str = "mix", key: str = "doc_id", row: str | None = None) -> DataFrame:
+    """Per row: key, row (the column of that name, else a number given here), size, source_size, target, taken, and first_slot, the place of its first word in the mix (null if none)."""
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), "source", words_of(F.col("text")).alias("size"), F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))).alias("shuffle"), F.xxhash64("text").alias("tie"))
+    rows = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col(key).alias("key"), "source", words_of(F.col("text")).alias("size"), F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))).alias("shuffle"), F.xxhash64("text").alias("tie"))
     rows = written(rows, "sized")
     block, sources = plan(rows, weights, max_epochs, blocks)
     table = spark.createDataFrame([(no, s.source, s.size, s.target, math.floor(s.target)) for no, s in enumerate(sources)], "source_no int, source string, source_size long, target double, take long")
@@ -135,3 +135,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     taken = pieces.join(schedule(spark, sources), ["source_no", "rank"]).groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     out = placed.join(taken, "row", "left")
     return out.select(F.col("key").alias(key), "row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, blocks: int = BLOCKS, seed: str = "mix") -> DataFrame:
+    """The rows of the mix, all columns as they are: each row once for every epoch in which the mix takes the first of its words.
+
+    A source's taken words are the first of its repeated line, so all of a source's epochs are whole but its last; in
+    that one the rows up to the target are in. One row at most is longer than what is taken of it.
+    """
+    columns = docs.columns
+    rows = written(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*columns).alias("_all")), "rows")
+    flat = rows.select("_row", F.col("_all.doc_id").alias("doc_id"), F.col("_all.source").alias("source"), F.col("_all.text").alias("text"))
+    taken = mix(flat, weights, max_epochs, blocks, seed, row="_row")
+    times = taken.where("taken > 0").select(F.col("row").alias("_row"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    return rows.join(times, "_row").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_all.*")

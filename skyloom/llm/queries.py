@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, credentials, leaks, licenses, mixing, oracles, store, tokens, topk, toxicity
+from . import chat, credentials, leaks, licenses, mixing, neardup, oracles, store, tokens, topk, toxicity
 from .common import arrow_map, documents, work_path
 
 
@@ -32,6 +32,10 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0, k=10)
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(documents(spark, sf_dir))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_path(spark, "store")
     store.write_store(documents(spark, sf_dir), root, public_tokenizers.path("byte_bpe_50k.json"))
@@ -67,8 +71,14 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_licenses, op2_chat, op3_token_counts, op4_topk, op6_token_store, op7_secrets, op8_leaks, op9_toxicity, op10_mix)}
+    return {f.__name__: f for f in (op1_licenses, op2_chat, op3_token_counts, op4_topk, op5_near_dup, op6_token_store, op7_secrets, op8_leaks, op9_toxicity, op10_mix, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
