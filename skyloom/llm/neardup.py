@@ -46,7 +46,7 @@ SKETCHES = 40
 TAKEN = 4
 #: Nodes of a key up to which all its pairs are candidates, and nodes of a tile.
 ALL_PAIRS = 12
-TILE = 256
+TILE = 1024
 WORD = re.compile(r"\w+")
 CACHE_ENTRIES = 600_000
 #: Numbers that one step over all hash orders may hold.
@@ -238,19 +238,18 @@ def _tile_links(members: DataFrame, large: DataFrame, sequences: DataFrame, keys
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         key = group["key"].iloc[0]
         ask, have = group[group["query"]], group[~group["query"]]
-        sets = [set(s.tolist()) for s in have["shingles"]]
-        sizes = np.array([len(s) for s in sets])
-        have_sets = [set(k) for k in have["large_keys"]]
-        parts, names = have["component"].tolist(), have["node"].tolist()
-        seqs = have["shingles"].tolist()
+        seqs, parts, names = have["shingles"].tolist(), have["component"].tolist(), have["node"].tolist()
+        sizes = np.array([len(s) for s in seqs])
+        keys = [set(k) for k in have["large_keys"]]
         found = []
         for node, part, s, ks in zip(ask["node"], ask["component"], ask["shingles"], ask["large_keys"], strict=True):
-            mine, first = set(s.tolist()), sorted(ks)
-            for j in np.flatnonzero((np.minimum(sizes, len(mine)) >= least * np.maximum(sizes, len(mine)))).tolist():
-                if parts[j] == part or next(k for k in first if k in have_sets[j]) != key:
+            n, first, mine = len(s), sorted(ks), np.sort(s)
+            for j in np.flatnonzero(np.minimum(sizes, n) >= least * np.maximum(sizes, n)).tolist():
+                if parts[j] == part or next(k for k in first if k in keys[j]) != key:
                     continue
-                c = len(mine & sets[j])
-                if c >= least * (len(mine) + sizes[j] - c):
+                at = np.searchsorted(mine, seqs[j])
+                common = int((mine[np.minimum(at, n - 1)] == seqs[j]).sum())
+                if common >= least * (n + sizes[j] - common):
                     v = similarity(s, seqs[j], least)
                     if v >= least:
                         found.append((min(node, names[j]), max(node, names[j]), v))
