@@ -1,9 +1,310 @@
-"""Registered sky queries and their oracles."""
+"""Registered sky queries over the driver's tables. Each applies the engine's own operators; ``oracle`` has their SQL.
+
+No star table comes with the data, so stars are derived from ``orders`` by whole-number arithmetic: a patch of 10 by 10
+degrees, and a view of the whole sky. Footprints come from ``nation`` and ``region``, build states from ``events``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..contracts import SearchConfig
+from ..functions import cells, geometry
+from ..operators import loader, products, scoring, search
+from . import build, oracle
+
+CFG = SearchConfig()
+GROUPS = SearchConfig(sizes=(2, 3))
+
+
+def _view(spark: SparkSession, sf_dir: str, table: str, sql: str) -> DataFrame:
+    return spark.sql(sql.format(table="{t}"), t=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+
+def patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loader.canonical(_view(spark, sf_dir, "orders", oracle.PATCH))
+
+
+def sky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, "orders", oracle.SKY)
+
+
+def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    return spark.sql(oracle.FOOTPRINTS.format(nation="{n}", region="{r}"), n=nation, r=region)
+
+
+def build_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, "events", oracle.EVENTS)
+
+
+def guides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loader.guide_stars(patch(spark, sf_dir), CFG)
+
+
+def _rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
+
+
+def _members(df: DataFrame) -> DataFrame:
+    """Groups with -1 for the members that they lack."""
+    return df.withColumns({c: F.coalesce(c, F.lit(-1).cast("long")) for c in ("g2", "g3")})
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cfg = SearchConfig(sizes=(2,), radius_arcsec=600.0, max_side_arcsec=600.0)
+    found = search.candidates(loader.guide_stars(patch(spark, sf_dir), cfg), cfg)
+    return search.count_by_pix(found)
+
+
+# loader
+
+
+def star_projection(spark, sf_dir):
+    return patch(spark, sf_dir)
+
+
+def proper_motion(spark, sf_dir):
+    moved = loader.at_epoch(patch(spark, sf_dir), 2030.5).select("gaia_id", "ra", "dec")
+    return _rounded(moved, {"ra": 9, "dec": 9})
+
+
+def working_band(spark, sf_dir):
+    return _rounded(loader.with_band(patch(spark, sf_dir), "R").select("gaia_id", "mag"), {"mag": 6})
+
+
+def quality_filter(spark, sf_dir):
+    return loader.quality(patch(spark, sf_dir)).select("gaia_id")
+
+
+def guide_stars(spark, sf_dir):
+    return _rounded(guides(spark, sf_dir), {"mag": 6})
+
+
+def stitched_load(spark, sf_dir):
+    """Stars around the level-6 cells that hold the stars numbered 0 to 4."""
+    stars = patch(spark, sf_dir)
+    wanted = stars.where("gaia_id < 5").select(cells.ang2pix(F.col("gaia_ra"), F.col("gaia_dec"), 6).alias("pix"))
+    return loader.load_stitched(stars, wanted, 6).select("pix", "gaia_id", "own")
+
+
+# sky cells
+
+
+def ang2pix_l6(spark, sf_dir):
+    return sky(spark, sf_dir).select("gaia_id", cells.ang2pix(F.col("ra"), F.col("dec"), 6).alias("pix"))
+
+
+def ang2pix_l14(spark, sf_dir):
+    return sky(spark, sf_dir).select("gaia_id", cells.ang2pix(F.col("ra"), F.col("dec"), 14).alias("pix"))
+
+
+def parent_pixel(spark, sf_dir):
+    at = sky(spark, sf_dir).select("gaia_id", cells.ang2pix(F.col("ra"), F.col("dec"), 10).alias("pix"))
+    return at.select("gaia_id", cells.parent(F.col("pix"), 10, 6).alias("pix"))
+
+
+def children(spark, sf_dir):
+    return spark.range(cells.npix(3)).select(F.col("id").alias("pix"), F.explode(cells.children(F.col("id"), 3, 5)).alias("child"))
+
+
+def pix2ang(spark, sf_dir):
+    ra, dec = cells.pix2ang(F.col("id"), 6)
+    return spark.range(cells.npix(6)).select(F.col("id").alias("pix"), F.round(ra, 9).alias("ra"), F.round(dec, 9).alias("dec"))
+
+
+def neighbours(spark, sf_dir):
+    return cells.neighbours(spark, 4)
+
+
+def traversal(spark, sf_dir):
+    """Cells with stars in neighbour-first order, with their place."""
+    held = sky(spark, sf_dir).select(cells.ang2pix(F.col("ra"), F.col("dec"), 5).alias("outer_pix")).distinct()
+    return build.balance(held.withColumn("weight", F.lit(1).cast("long")), 8).select("outer_pix", F.col("before").alias("place"))
+
+
+def separation(spark, sf_dir):
+    """Separation and bearing of each star to the next one."""
+    a = sky(spark, sf_dir)
+    b = a.select((F.col("gaia_id") - 1).alias("gaia_id"), F.col("ra").alias("ra2"), F.col("dec").alias("dec2"))
+    both = a.join(b, "gaia_id")
+    args = [F.col(c) for c in ("ra", "dec", "ra2", "dec2")]
+    return both.select("gaia_id", F.round(geometry.separation(*args), 4).alias("sep"), F.round(geometry.bearing(*args), 6).alias("bearing"))
+
+
+# groups
+
+
+def singles(spark, sf_dir):
+    return _rounded(search.singles(guides(spark, sf_dir)).select("g1", "m1"), {"m1": 6})
+
+
+def pairs(spark, sf_dir):
+    return _rounded(search.pairs(guides(spark, sf_dir), CFG.radius_arcsec, CFG.min_separation_arcsec).select("g1", "g2", "sep12"), {"sep12": 4})
+
+
+def triples(spark, sf_dir):
+    found = search.pairs(guides(spark, sf_dir), CFG.radius_arcsec, CFG.min_separation_arcsec)
+    found = search.triples(found, CFG.radius_arcsec, CFG.min_separation_arcsec)
+    return _rounded(found.select("g1", "g2", "g3", "sep12", "sep13", "sep23"), {"sep12": 4, "sep13": 4, "sep23": 4})
+
+
+def candidates(spark, sf_dir):
+    return _members(search.candidates(guides(spark, sf_dir), CFG).select("size", "g1", "g2", "g3"))
+
+
+def star_count(spark, sf_dir):
+    return search.count_by_pix(search.candidates(guides(spark, sf_dir), CFG))
+
+
+def group_geometry(spark, sf_dir):
+    found = search.candidates(guides(spark, sf_dir), GROUPS).select("g1", "g2", "g3", "ra", "dec", "max_side", "area", "circumradius")
+    return _rounded(_members(found), {"ra": 7, "dec": 7, "max_side": 4, "area": 2, "circumradius": 3})
+
+
+def geom_filter(spark, sf_dir):
+    cfg = SearchConfig(sizes=(2, 3), max_side_arcsec=90.0, min_area_arcsec2=500.0)
+    return _members(search.geom_filter(search.candidates(guides(spark, sf_dir), cfg), cfg).select("size", "g1", "g2", "g3"))
+
+
+def scored_groups(spark, sf_dir, cfg=GROUPS) -> DataFrame:
+    return scoring.HeuristicScorer().score(search.candidates(guides(spark, sf_dir), cfg))
+
+
+def heuristic_score(spark, sf_dir):
+    return _rounded(_members(scored_groups(spark, sf_dir, CFG).select("g1", "g2", "g3", "score")), {"score": 6})
+
+
+def _weighted(batch):
+    return (batch["flux"] * (batch["area"] / batch["max_side"] ** 2).where(batch["size"] == 3, 1.0)).round(9)
+
+
+def scorer_plugin(spark, sf_dir):
+    """The heuristic as a batch scorer: the seam for learned models."""
+    plugin = scoring.BatchScorer("heuristic-batch-1", ("size", "flux", "area", "max_side"), _weighted)
+    return _rounded(_members(plugin.score(search.candidates(guides(spark, sf_dir), CFG)).select("g1", "g2", "g3", "score")), {"score": 6})
+
+
+def topk_per_pixel(spark, sf_dir):
+    return _members(search.top_k(scored_groups(spark, sf_dir), 5).select("outer_pix", "rank", "g1", "g2", "g3"))
+
+
+def overlap_pairs(spark, sf_dir):
+    found = search.overlaps(scored_groups(spark, sf_dir), 60.0)
+    return found.select(F.col("a.g1").alias("a1"), F.col("a.g2").alias("a2"), F.col("a.g3").alias("a3"), F.col("b.g1").alias("b1"), F.col("b.g2").alias("b2"), F.col("b.g3").alias("b3"), (F.col("better") == F.col("a")).alias("a_better"))
+
+
+def overlap_suppressed(spark, sf_dir):
+    return _members(search.suppress(scored_groups(spark, sf_dir), 60.0).select("g1", "g2", "g3"))
+
+
+def coverage(spark, sf_dir):
+    """Level-10 cells around triples, and how many groups cover each."""
+    found = search.coverage(search.candidates(guides(spark, sf_dir), SearchConfig(sizes=(3,))), 10, 120.0)
+    return found.groupBy("pix").agg(F.count("*").alias("n_groups"), F.countDistinct("g1").alias("n_first"))
+
+
+# products
+
+
+def _inner(spark, sf_dir):
+    return products.inner_product(guides(spark, sf_dir), 6, 10)
+
+
+def inner_product(spark, sf_dir):
+    return _rounded(_inner(spark, sf_dir), {"density": 6, "brightest": 6, "flux": 4})
+
+
+def density_map(spark, sf_dir):
+    return _rounded(products.aggregate_map(_inner(spark, sf_dir), 10, (6, 3)), {"brightest": 6, "flux": 3})
+
+
+def map_lookup(spark, sf_dir):
+    sky_map = products.aggregate_map(_inner(spark, sf_dir), 10, (6,))
+    points = patch(spark, sf_dir).where("gaia_id % 7 = 0").select("gaia_id", F.col("gaia_ra").alias("ra"), F.col("gaia_dec").alias("dec"))
+    found = products.map_data(sky_map, 6, points)
+    return found.select("gaia_id", "pix", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_stars", "n_cells")])
+
+
+def _overlaid(spark, sf_dir):
+    sky_map = products.aggregate_map(_inner(spark, sf_dir), 10, (7, 6))
+    boxes = footprints(spark, sf_dir)
+    at7, at6 = (products.footprint_cells(boxes, k).withColumn("level", F.lit(k)) for k in (7, 6))
+    survey = at7.unionByName(at6)
+    return sky_map.join(survey, ["level", "pix"], "left").withColumn("inside", F.col("survey").isNotNull())
+
+
+def survey_overlay(spark, sf_dir):
+    return _overlaid(spark, sf_dir).select("level", "pix", "survey", "inside", "n_stars")
+
+
+def survey_summary(spark, sf_dir):
+    return products.summarise(_overlaid(spark, sf_dir)).withColumn("level", F.coalesce("level", F.lit(-1)))
+
+
+# builds
+
+
+def state_latest(spark, sf_dir):
+    return build.latest(build_events(spark, sf_dir)).select("outer_pix", "state", "n_events")
+
+
+def state_summary(spark, sf_dir):
+    return build.progress(build.plan_universe(spark, 2), build.latest(build_events(spark, sf_dir)))
+
+
+def unfinished(spark, sf_dir):
+    return build.unfinished(build.plan_universe(spark, 2), build.latest(build_events(spark, sf_dir)))
+
+
+def balance(spark, sf_dir):
+    held = sky(spark, sf_dir).select(cells.ang2pix(F.col("ra"), F.col("dec"), 5).alias("outer_pix")).groupBy("outer_pix").agg(F.count("*").alias("weight"))
+    return build.balance(held, 16)
+
+
+def pass_compare(spark, sf_dir):
+    """Inner products with and without the quality cut."""
+    stars = patch(spark, sf_dir)
+    a = products.inner_product(loader.guide_stars(stars, CFG), 6, 8).select("outer_pix", "inner_pix", "n_stars")
+    b = products.inner_product(loader.guide_stars(stars, SearchConfig(max_ruwe=1.2)), 6, 8).select("outer_pix", "inner_pix", "n_stars")
+    return build.compare(a, b, ["outer_pix", "inner_pix"], ["n_stars"])
+
+
+def manifest(spark, sf_dir):
+    """The identities of passes over some configurations."""
+    from ..contracts import pass_identity
+
+    rows = [(r, len(pass_identity("a", "1", SearchConfig(radius_arcsec=r), "dr3", 6, "heuristic-1"))) for r in (60.0, 120.0)]
+    return spark.createDataFrame(rows, "radius double, id_length int")
+
+
+def resumed_pass(spark, sf_dir):
+    """A pass that is stopped after one batch and resumed: the cells and groups that it has in the end."""
+    import tempfile
+
+    from ..sources import artifacts, stars
+
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skyloom-")
+    root = f"{folder}/pass-{spark.sparkContext.applicationId}-{abs(hash(sf_dir)) % 10**6}"
+    stars.write_stars(patch(spark, sf_dir), root, "dr3", 6)
+    cfg = SearchConfig(sizes=(2,), outer_level=6)
+    pass_id = build.create_pass(spark, root, cfg)
+    build.run(spark, root, pass_id, cfg, batches=2, stop_after=1)
+    build.resume(spark, root, pass_id, cfg, batches=2)
+    return artifacts.read_asterisms(spark, root, pass_id).select("outer_pix", "rank", "g1", "g2")
+
+
+ALL = (
+    star_projection, proper_motion, working_band, quality_filter, guide_stars, stitched_load, ang2pix_l6, ang2pix_l14, parent_pixel, children, pix2ang,
+    neighbours, traversal, separation, singles, pairs, triples, candidates, star_count, group_geometry, geom_filter, heuristic_score, scorer_plugin, topk_per_pixel,
+    overlap_pairs, overlap_suppressed, coverage, inner_product, density_map, map_lookup, survey_overlay, survey_summary, state_latest, state_summary, unfinished, balance, pass_compare, manifest, resumed_pass,
+)
 
 
 def queries():
-    return {}
+    return {f.__name__: f for f in ALL}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return oracle.sql()
