@@ -35,7 +35,7 @@ from .common import arrow_map, small_batches, texts, written
 SAMPLE_ROWS = 20_000
 LEXICON_TERMS = 3_000
 LEAST_TEXTS = 3
-LEAST_WEIGHT = 1.2
+LEAST_WEIGHT = 1.6
 PREFIXES = (4, 5, 6)
 FUZZY_LENGTH = 5
 FUZZY_DISCOUNT = 0.7
