@@ -213,7 +213,7 @@ def _inner(spark, sf_dir):
 
 
 def inner_product(spark, sf_dir):
-    return _rounded(_inner(spark, sf_dir), {"density": 6, "brightest": 6, "flux": 4})
+    return _rounded(_inner(spark, sf_dir), {"density": 6, "brightest": 6})
 
 
 def density_map(spark, sf_dir):

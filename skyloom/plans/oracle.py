@@ -191,7 +191,7 @@ def sql() -> dict[str, str]:
         "working_band": _with(STARS) + f" select gaia_id, round({_mag()}, 6) as mag from stars",
         "quality_filter": _with(STARS) + " select gaia_id from stars where (gaia_ruwe is null or gaia_ruwe <= cast(1.4 as float)) and gaia_non_single_star = 0",
         "guide_stars": guides + " select gaia_id, ra, dec, round(mag, 6) as mag from guides",
-        "stitched_load": _with(STARS, _pix("loc", "stars", "gaia_ra", "gaia_dec", 6), "wanted as (select distinct pix from loc where gaia_id < 5)", f"cells4 as (select unnest(range(0, {12 * 4**6})) as pix)", ",\n".join(_centre(f"v{i}{j}", "cells4", 6, dx=f"{i}.0e0", dy=f"{j}.0e0") for i in (0, 1) for j in (0, 1)), f"corners as ({corner_rows})", "around as (select distinct a.pix, b.pix as nbr from corners a join corners b on abs(a.dec - b.dec) < 1e-7 and abs(a.ra - b.ra) < 1e-6 join wanted on wanted.pix = a.pix)") + " select around.pix, gaia_id, around.pix = nbr as own from around join loc on loc.pix = nbr",
+        "stitched_load": _with(STARS, _pix("loc", "stars", "gaia_ra", "gaia_dec", 6), "wanted as (select distinct pix from loc where gaia_id < 5)", f"cells4 as (select unnest(range(0, {12 * 4**6})) as pix)", ",\n".join(_centre(f"v{i}{j}", "cells4", 6, dx=f"{i}.0e0", dy=f"{j}.0e0") for i in (0, 1) for j in (0, 1)), f"corners as ({corner_rows})", "own_corners as (select corners.* from corners join wanted using (pix))", "around as (select distinct a.pix, b.pix as nbr from own_corners a join corners b on b.dec between a.dec - 1e-7 and a.dec + 1e-7 and abs(a.ra - b.ra) < 1e-6)") + " select around.pix, gaia_id, around.pix = nbr as own from around join loc on loc.pix = nbr",
         "ang2pix_l6": _with(SKY_CTE, _pix("loc", "sky", "ra", "dec", 6)) + " select gaia_id, pix from loc",
         "ang2pix_l14": _with(SKY_CTE, _pix("loc", "sky", "ra", "dec", 14)) + " select gaia_id, pix from loc",
         "parent_pixel": _with(SKY_CTE, _pix("loc", "sky", "ra", "dec", 6)) + " select gaia_id, pix from loc",
@@ -213,7 +213,7 @@ def sql() -> dict[str, str]:
         "overlap_pairs": _found(2, 3) + f", {_overlaps(60.0)} select * from over",
         "overlap_suppressed": _found(2, 3) + f", {_overlaps(60.0)} select g1, h2 as g2, h3 as g3 from named where not exists (select 1 from over where (a_better and (b1,b2,b3) = (g1,h2,h3)) or (not a_better and (a1,a2,a3) = (g1,h2,h3)))",
         "coverage": _found(3) + f", coarse as (select unnest(range(0, 49152)) as up), {_centre('cc', 'coarse', 6, 'up')}, fine as (select unnest(range(up*256, up*256+256)) as pix from cc where ra between 148 and 162 and dec between -7 and 7), {_centre('c', 'fine', 10)} select pix, count(*) as n_groups, count(distinct g1) as n_first from groups g join c on c.dec between g.dec - 0.0334 and g.dec + 0.0334 where {near} <= 120 group by pix",
-        "inner_product": _with(STARS, _guides(), _inner()) + " select outer_pix, inner_pix, n_stars, round(density,6) as density, round(brightest,6) as brightest, round(round(flux,6),4) as flux from inner_",
+        "inner_product": _with(STARS, _guides(), _inner()) + " select outer_pix, inner_pix, n_stars, round(density,6) as density, round(brightest,6) as brightest, round(flux,6) as flux from inner_",
         "density_map": _with(STARS, _guides(), _inner(), f"map as ({_map(6)} union all {_map(3)})") + " select level, pix, n_stars, n_cells, round(brightest,6) as brightest, round(round(flux,6),3) as flux from map",
         "map_lookup": _with(STARS, _guides(), _inner(), f"map as ({_map(6)})", _pix("loc", "(select * from stars where gaia_id % 7 = 0)", "gaia_ra", "gaia_dec", 6)) + " select gaia_id, loc.pix, coalesce(n_stars,0) as n_stars, coalesce(n_cells,0) as n_cells from loc left join map on map.pix = loc.pix",
         "survey_overlay": _overlaid() + " select level, pix, survey, inside, n_stars from overlaid",
