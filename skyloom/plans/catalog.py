@@ -271,22 +271,39 @@ def pass_compare(spark, sf_dir):
     return build.compare(a, b, ["outer_pix", "inner_pix"], ["n_stars"])
 
 
+def _root(spark: SparkSession, name: str) -> str:
+    """A fresh folder for a pass below the shared one (a temporary one where none is set, as in tests)."""
+    import tempfile
+    import uuid
+
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="skyloom-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def overlap_greedy(spark, sf_dir):
+    """Best-first removal to its end; the one-step rule is ``overlap_suppressed``."""
+    _root(spark, "greedy")
+    return _members(search.suppress_greedy(scored_groups(spark, sf_dir), 60.0).select("g1", "g2", "g3"))
+
+
 def manifest(spark, sf_dir):
-    """The identities of passes over some configurations."""
-    from ..contracts import pass_identity
+    """Passes over two configurations, written and read back."""
+    from ..sources import artifacts
 
-    rows = [(r, len(pass_identity("a", "1", SearchConfig(radius_arcsec=r), "dr3", 6, "heuristic-1"))) for r in (60.0, 120.0)]
-    return spark.createDataFrame(rows, "radius double, id_length int")
+    root = _root(spark, "manifest")
+    for radius in (60.0, 120.0):
+        build.create_pass(spark, root, SearchConfig(radius_arcsec=radius))
+    found = artifacts.read_manifest(spark, root)
+    return found.select("pass_id", "algorithm", "algorithm_version", "release", "outer_level", "scorer", "layout_version", F.col("config")["radius_arcsec"].alias("radius"), F.col("completed_at").isNull().alias("open"))
 
 
 def resumed_pass(spark, sf_dir):
-    """A pass that is stopped after one batch and resumed: the cells and groups that it has in the end."""
-    import tempfile
-
+    """A pass that is stopped after one batch and resumed: the groups that it has in the end."""
     from ..sources import artifacts, stars
 
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skyloom-")
-    root = f"{folder}/pass-{spark.sparkContext.applicationId}-{abs(hash(sf_dir)) % 10**6}"
+    root = _root(spark, "pass")
     stars.write_stars(patch(spark, sf_dir), root, "dr3", 6)
     cfg = SearchConfig(sizes=(2,), outer_level=6)
     pass_id = build.create_pass(spark, root, cfg)
@@ -298,7 +315,7 @@ def resumed_pass(spark, sf_dir):
 ALL = (
     star_projection, proper_motion, working_band, quality_filter, guide_stars, stitched_load, ang2pix_l6, ang2pix_l14, parent_pixel, children, pix2ang,
     neighbours, traversal, separation, singles, pairs, triples, candidates, star_count, group_geometry, geom_filter, heuristic_score, scorer_plugin, topk_per_pixel,
-    overlap_pairs, overlap_suppressed, coverage, inner_product, density_map, map_lookup, survey_overlay, survey_summary, state_latest, state_summary, unfinished, balance, pass_compare, manifest, resumed_pass,
+    overlap_pairs, overlap_suppressed, overlap_greedy, coverage, inner_product, density_map, map_lookup, survey_overlay, survey_summary, state_latest, state_summary, unfinished, balance, pass_compare, manifest, resumed_pass,
 )
 
 
