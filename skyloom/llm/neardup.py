@@ -226,7 +226,7 @@ def _tile_links(members: DataFrame, large: DataFrame, sequences: DataFrame, keys
     """Links between nodes of one large key that are in different components, one of which is not the hub's."""
     kept = members.join(large.select("key", "size", F.col("component").alias("hub_component")), "key")
     kept = kept.withColumn("query", F.col("component") != F.col("hub_component"))
-    mixed = kept.groupBy("key").agg(F.count(F.when(F.col("query"), 1)).alias("queries")).where("queries > 0")
+    mixed = written(kept.groupBy("key").agg(F.count(F.when(F.col("query"), 1)).alias("queries")).where("queries > 0"), "mixed")
     kept = kept.join(mixed, "key").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("query_tiles", F.ceil(F.col("queries") / TILE).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("tiles").cast("long")).cast("int")
     asked = F.pmod(F.xxhash64("node", F.lit(1)), F.col("query_tiles").cast("long")).cast("int")
@@ -263,7 +263,8 @@ def links(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY, key: str
     first = rows.where("n > 0").groupBy("node").agg(F.min(key).alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     first = written(first, "nodes")
     entries = first.select("node", "n", F.explode("keys").alias("key"))
-    sizes = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # written, so that the join has an exchange of its own, which Spark can split at a hot key
+    sizes = written(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     members = written(entries.join(sizes, "key"), "members")
     small = members.where(F.col("size") <= ALL_PAIRS)
     left, right = small.select("key", F.col("node").alias("a"), F.col("n").alias("n_a")), small.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"))
