@@ -6,8 +6,9 @@ lower bound of their log odds ratio as weight. A logistic model over a few featu
 
 Matching. The lexicon is a trie. ``Automaton`` is its product with the Levenshtein automaton of distance one, made
 deterministic state by state as words need it: a word costs one table look-up a character and most words leave the
-automaton after three or four. A misspelled hit counts only for terms of ``FUZZY_LENGTH`` letters and more whose
-neighbours were not seen in clean texts of the sample; digits and signs that stand for letters count as these.
+automaton after three or four. A misspelled hit counts only for words of ``FUZZY_LENGTH`` letters and more (kept in the lexicon
+beside their beginnings) whose neighbours are rare in clean texts of the sample: at most ``CLEAN_NEIGHBOURS`` times the share
+of toxic texts that have the word; digits and signs that stand for letters count as these.
 
 Context. A hit's weight grows with the other hits among the ``SPAN`` words around it, and falls if it stands inside
 quotation marks or near a word of reporting (quotation, not abuse); both are features of their own.
@@ -39,6 +40,7 @@ LEAST_WEIGHT = 1.6
 PREFIXES = (4, 5, 6)
 FUZZY_LENGTH = 5
 FUZZY_DISCOUNT = 0.7
+CLEAN_NEIGHBOURS = 0.02
 SPAN = 5
 #: Entries of a worker's word cache, and states of an automaton, before no more are added or it starts anew.
 CACHE_ENTRIES = 600_000
@@ -215,11 +217,13 @@ def fold(doc_id) -> F.Column:
 
 
 def _pruned(lexicon: dict[str, float]) -> dict[str, float]:
-    """Without terms to which a beginning of theirs already gives nearly their weight."""
+    """Without terms to which a beginning of theirs already gives nearly their weight; words that can be misspelled stay,
+    since beginnings match exactly only."""
     out = {}
     for term in sorted(lexicon, key=lambda t: (len(t.rstrip("*")), t)):
         stem = term.rstrip("*")
-        if not any(out.get(stem[:k] + "*", 0.0) >= lexicon[term] - 0.3 for k in range(1, len(stem) + 1)):
+        fuzzy = not term.endswith("*") and len(term) >= FUZZY_LENGTH
+        if fuzzy or not any(out.get(stem[:k] + "*", 0.0) >= lexicon[term] - 0.3 for k in range(1, len(stem) + 1)):
             out[term] = lexicon[term]
     return out
 
@@ -247,8 +251,10 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     seen = sample.mapInArrow(terms, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     sure = odds - 1.64 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    top = seen.where(F.col("bad") >= LEAST_TEXTS).select("term", sure.alias("weight")).where(F.col("weight") >= LEAST_WEIGHT)
-    lexicon = _pruned({r["term"]: r["weight"] for r in top.orderBy(F.desc("weight"), "term").limit(LEXICON_TERMS).collect()})
+    top = seen.where(F.col("bad") >= LEAST_TEXTS).select("term", "bad", sure.alias("weight")).where(F.col("weight") >= LEAST_WEIGHT)
+    top = top.orderBy(F.desc("weight"), "term").limit(LEXICON_TERMS).collect()
+    lexicon = _pruned({r["term"]: r["weight"] for r in top})
+    share = {r["term"]: r["bad"] / bad for r in top}
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, found = Scanner(lexicon), Counter()
@@ -258,8 +264,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
                     found.update({term for _, _, term in scanner.hits(text)[1] if term})
         yield pa.RecordBatch.from_pydict({"term": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
-    clean = {r["term"] for r in sample.mapInArrow(near, "term string, n long").select("term").distinct().collect()}
-    fuzzy = frozenset(t for t in lexicon if len(t) >= FUZZY_LENGTH and t not in clean and not t.endswith("*"))
+    clean = {r["term"]: r["n"] / good for r in sample.mapInArrow(near, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    fuzzy = frozenset(t for t in lexicon if len(t) >= FUZZY_LENGTH and not t.endswith("*") and clean.get(t, 0.0) <= CLEAN_NEIGHBOURS * share[t])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(lexicon, fuzzy)

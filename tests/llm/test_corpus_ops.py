@@ -192,6 +192,19 @@ def test_toxicity_without_labels_and_quotes(spark):
     assert kept.columns == docs.columns and kept.where("doc_id % 2 = 1 and doc_id < 60").isEmpty()
 
 
+def test_misspelled_learned_words_are_found(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(words(rng, 9) + (["grumbler"] if i % 4 == 0 else []) + words(rng, 9))) for i in range(600)]
+    rows += [(600, "a clean text about a grambler"), (601, "another clean one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0 and i < 600)) for i in range(602)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert "grumbler" in model["fuzzy"]
+    asked = {"grumbler": True, "grimbler": True, "gumbler": True, "grumbbler": True, "g-umb": False, "rumble": False}
+    tried = spark.createDataFrame([(w, " ".join(words(rng, 9) + [w] + words(rng, 9))) for w in asked], "doc_id string, text string")
+    assert {r.doc_id: r.score > 0.5 for r in toxicity.score(tried, model).collect()} == asked
+
+
 def test_mix_targets_and_bounds(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice(["a", "b", "b", "b", "b", "c", None]), " ".join(["w"] * rng.randrange(0, 60)), "x") for i in range(400)] + [(1000, "tiny", "one two", "x"), (1001, "a", None, "x"), (5, "a", "same id again", "x")]
