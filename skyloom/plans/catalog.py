@@ -250,12 +250,19 @@ def state_latest(spark, sf_dir):
     return build.latest(build_events(spark, sf_dir)).select("outer_pix", "state", "n_events")
 
 
+def _universe(spark: SparkSession, states: DataFrame) -> DataFrame:
+    """The cells of level 2, and those of the states that are beyond them."""
+    return build.plan_universe(spark, 2).unionByName(states.where("outer_pix is not null").select("outer_pix")).distinct()
+
+
 def state_summary(spark, sf_dir):
-    return build.progress(build.plan_universe(spark, 2), build.latest(build_events(spark, sf_dir)))
+    states = build.latest(build_events(spark, sf_dir))
+    return build.progress(_universe(spark, states), states)
 
 
 def unfinished(spark, sf_dir):
-    return build.unfinished(build.plan_universe(spark, 2), build.latest(build_events(spark, sf_dir)))
+    states = build.latest(build_events(spark, sf_dir))
+    return build.unfinished(_universe(spark, states), states)
 
 
 def balance(spark, sf_dir):

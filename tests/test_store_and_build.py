@@ -87,6 +87,18 @@ def test_states(spark):
     assert {r.state: r.n_cells for r in build.progress(universe, last).collect()} == {"pending": 2, "done": 1, "failed": 1, "excluded": 1, "running": 1}
 
 
+def test_state_queries_hold_all_cells_of_the_events(spark):
+    sf = "/root/testdata/sf0.1"  # 1,500 cells, more than the 192 of level 2
+    states = build.latest(catalog.build_events(spark, sf)).where("outer_pix is not null")
+    counts = {r.state: r.n_cells for r in catalog.state_summary(spark, sf).collect()}
+    want = {r.state: r["count"] for r in states.groupBy("state").count().collect()}
+    pending = sum(i not in {r.outer_pix for r in states.select("outer_pix").collect()} for i in range(192))
+    assert states.count() > 192 and {k: v for k, v in counts.items() if k != "pending"} == {k: v for k, v in want.items() if k != "pending"}
+    assert counts.get("pending", 0) == want.get("pending", 0) + pending
+    ended = states.where("state in ('done', 'excluded', 'failed')").count()
+    assert catalog.unfinished(spark, sf).count() == sum(counts.values()) - ended
+
+
 def test_archive_source(spark, tmp_path, monkeypatch):
     (tmp_path / "fake_archive.py").write_text(
         "def fetch(release, level, pix):\n"
