@@ -26,11 +26,28 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}+")  # the maximal runs of 24 and more
+# A word that a text must hold for a name, and the names of credentials.
+NAMES = (
+    ("pass", r"pass(?:word|wd|phrase|code)?"),
+    ("pwd", r"pwd"),
+    ("pin", r"pin"),
+    ("secret", r"secret"),
+    ("credential", r"credentials?"),
+    ("token", r"token"),
+    ("auth", r"auth"),
+    ("bearer", r"bearer"),
+    ("private", r"private[ _-]?key"),
+    ("access", r"access[ _-]?key"),
+    ("api", r"api[ _-]?key"),
+)
+# A name starts at the edge of a word, after "_" (DB_PASSWORD) or where the case changes (clientSecret).
 CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|credentials?|token|auth|bearer|private[ _-]?key|access[ _-]?key|api[ _-]?key)["']?\x20*(?:[:=]|\bis\b|\bbearer\b)\x20*["']?([!-~]{6,})""",
+    r"""(?:\b|(?<=_)|(?-i:(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))(?:"""
+    + "|".join(name for _, name in NAMES)
+    + r""")["']?\x20*(?:[:=]|\bis\b|\bbearer\b)\x20*["']?([!-~]{6,})""",
     re.IGNORECASE | re.ASCII,
 )
-CONTEXT_WORDS = ("pass", "pwd", "pin", "secret", "credential", "auth", "bearer", "private", "access", "api")
+CONTEXT_WORDS = tuple(word for word, _ in NAMES)
 
 # Frequent words of passwords, by falling frequency; the rank is the number of guesses.
 WORDS = """password the qwerty dragon monkey letmein master shadow football baseball admin welcome login hello

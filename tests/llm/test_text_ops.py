@@ -109,6 +109,14 @@ def test_base_secrets():
     assert credentials.scan("") == [] and credentials.scan("toKen\u017f = abcdefgh") == []
 
 
+@pytest.mark.parametrize("name", "password passwd passphrase passcode pass pwd pin secret credential credentials token auth bearer private_key access-key apikey DB_PASSWORD client_secret clientSecret DBPassword".split())
+def test_each_credential_name_alone(name):
+    for text in (f"the {name} is gT7#kq9ZpL2v", f"{name}: p@ss-gT7#kq9ZpL2v"):
+        found = [text[a:b] for a, k, b in credentials.scan(text) if k == "guess"]
+        assert found == [text.split()[-1]], text
+    assert credentials.scan("the spin is gT7#kq9ZpL2v and compass: gT7#kq9ZpL2v") == []
+
+
 def test_guess_cost_orders_values():
     cost = credentials.guess_cost
     assert cost("password") < cost("passw0rd!") < cost("gT7#kq9ZpL2v")
