@@ -4,8 +4,9 @@ Index. Test items are the indexed texts; a term's weight in an item is its BM25
 of the item, so every item scores 1 against a passage that has all its words. A posting list has an upper bound
 and one per block of ``BLOCK`` postings.
 
-Query. Each training text is cut into passages that overlap by half and are at least twice as long as the longest item, so
-any copy of an item lies whole in a passage. A passage is a query: block-max WAND gives every item with a score of
+Query. Each training text is cut into passages that overlap by half and are at least twice as long as the item, so
+any copy of an item lies whole in a passage. A passage's length follows from the item's own (``passage_words``): items are
+grouped by it, each group with its own index and passages. A passage is a query: block-max WAND gives every item with a score of
 ``threshold`` or more. Terms whose weights together stay below the threshold in every item are not enough for a hit, so
 a passage is passed
 over unless its other terms can lift an item to it.
@@ -14,8 +15,9 @@ Check. A retrieved item is a leak if the passage has, in order, ``overlap`` of t
 (longest common subsequence, bit-parallel). An item's question ends at its last question mark that has words behind
 it, else at the middle of its words.
 
-Items come to the workers in blocks of at most ``BLOCK_WORDS`` words, each its own index and pass, so no broadcast
-grows with the benchmark. Memory in a worker is bounded by a block and a batch of texts.
+Items come to the workers in blocks of at most ``BLOCK_WORDS`` words, each its own pass, so no broadcast
+grows with the benchmark. The number of items, their mean length and the document frequencies are those of all items, counted once;
+a block gets the frequencies of its own terms. So whether a text and an item match depends on no border of blocks or groups. Memory in a worker is bounded by a block and a batch of texts.
 
 Defined cases: null and empty texts and items have no words and no leaks; an item in many passages of a text gives one row,
 the best by both overlaps, score and then place; repeated items are items of their own; rows with equal ids are
@@ -32,8 +34,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import arrow_map, texts
+from .common import arrow_map, small_batches, texts, written
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.5, 0.8
@@ -90,18 +93,25 @@ class Postings:
         self.top = max(self.weights)
 
 
+def passage_words(length: int) -> int:
+    """Words of a passage for an item: a power of two, twice the item's length or more and under four times it, but SHORTEST_PASSAGE at least."""
+    return max(SHORTEST_PASSAGE, 2 << max(0, length - 1).bit_length())
+
+
+#: Number of items, their mean length and the number of items of each term.
+Counts = tuple[int, float, dict[str, int]]
+
+
 class Index:
-    """BM25 index of items. ``items``: (item_id, text)."""
+    """BM25 index of items. ``items``: (item_id, text). ``counts``: those of all items, if these are a part."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, counts: Counts | None = None):
         self.threshold = threshold
         self.ids = [i for i, _ in items]
         self.parts = [parts(t) for _, t in items]
         bags = [Counter(words(t)) for _, t in items]
         lengths = [sum(b.values()) for b in bags]
-        mean = sum(lengths) / max(1, len(items)) or 1.0
-        spread = Counter(t for b in bags for t in b)
-        n = len(items)
+        n, mean, spread = counts or (len(items), sum(lengths) / max(1, len(items)) or 1.0, Counter(t for b in bags for t in b))
         lists: dict[str, list[tuple[int, float]]] = {}
         bound = {}
         for i, bag in enumerate(bags):
@@ -110,7 +120,7 @@ class Index:
             for t, w in weight.items():
                 lists.setdefault(t, []).append((i, w / total))
         self.lists = {t: Postings(p) for t, p in lists.items()}
-        self.passage = max(SHORTEST_PASSAGE, 2 * max(lengths, default=0))
+        self.passage = passage_words(max(lengths, default=0))
         # Frequent terms are set aside, the most frequent first, as long as they give no item more than this part of the threshold.
         aside: set[str] = set()
         for t in sorted(self.lists, key=lambda t: (-spread[t], t)):
@@ -210,6 +220,55 @@ class Index:
         return out
 
 
+class Indexes:
+    """The indexes of a block, one for each length of passages."""
+
+    def __init__(self, items: list[tuple[int, str]], threshold: float, counts: Counts):
+        groups: dict[int, list[tuple[int, str]]] = {}
+        for item in items:
+            groups.setdefault(passage_words(len(words(item[1]))), []).append(item)
+        self.parts = [Index(group, threshold, counts) for _, group in sorted(groups.items())]
+
+    def leaks(self, text: str, least: float = OVERLAP) -> list[tuple[int, float, float, float, int]]:
+        """item_id, question overlap, answer overlap, score and first word of each leak."""
+        return [(index.ids[i], *v) for index in self.parts for i, v in sorted(index.leaks(text, least).items())]
+
+    def any(self, text: str, least: float) -> bool:
+        return any(index.leaks(text, least) for index in self.parts)
+
+
+def item_counts(items: DataFrame) -> tuple[int, float, DataFrame]:
+    """Number of items with words, their mean length, and term, n (items that hold it) of all items."""
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter[str] = Counter()
+            n = size = 0
+            for text in texts(batch):
+                if own := words(text):
+                    found.update(set(own))
+                    n, size = n + 1, size + len(own)
+            yield pa.RecordBatch.from_pydict({"term": pa.array([None, *found], pa.string()), "n": pa.array([n, *found.values()], pa.int64()), "size": pa.array([size, *[0] * len(found)], pa.int64())})
+
+    made = items.select("text").mapInArrow(terms, "term string, n long, size long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    made = written(made, "terms")
+    whole = made.where("term is null").first()
+    n, size = (whole["n"], whole["size"]) if whole else (0, 0)
+    return n, size / n if n else 1.0, made.where("term is not null").select("term", "n")
+
+
+def counted_blocks(items: DataFrame) -> Iterator[tuple[list[tuple[int, str]], Counts]]:
+    """The blocks of items, with the counts of all items for the terms of each block."""
+    spark = items.sparkSession
+    small_batches(spark)
+    n, mean, spread = item_counts(items)
+    for block in item_blocks(items):
+        own = sorted({w for _, t in block for w in words(t)})
+        asked = spark.createDataFrame(pa.table({"term": pa.array(own, pa.string())}))
+        found = spread.join(asked, "term", "left_semi").toArrow()  # at most BLOCK_WORDS rows, or one item's
+        yield block, (n, mean, dict(zip(found.column("term").to_pylist(), found.column("n").to_pylist(), strict=True)))
+
+
 def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """Items in ascending order, in blocks of at most BLOCK_WORDS words (or one item)."""
     block, size = [], 0
@@ -232,14 +291,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     kind = docs.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, item_id long, question_overlap double, answer_overlap double, score double, first_word long"
     out = spark.createDataFrame([], schema)
-    for block in item_blocks(items):
+    for block in counted_blocks(items):
         shared = spark.sparkContext.broadcast(block)
 
         def make(shared=shared):
-            index = Index(shared.value, threshold)
+            items, counts = shared.value
+            index = Indexes(items, threshold, counts)
 
             def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-                rows = [(k, index.ids[i], *v) for k, t in zip(batch.column(key).to_pylist(), texts(batch), strict=True) for i, v in sorted(index.leaks(t, least).items())]
+                rows = [(k, *v) for k, t in zip(batch.column(key).to_pylist(), texts(batch), strict=True) for v in index.leaks(t, least)]
                 columns = list(zip(*rows, strict=True)) or [()] * 6
                 kinds = (batch.column(key).type, pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
                 names = (key, "item_id", "question_overlap", "answer_overlap", "score", "first_word")
@@ -254,12 +314,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, least: float = OVERLAP, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no leak, all columns as they are."""
-    for block in item_blocks(items):
+    for block in counted_blocks(items):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def make(shared=shared):
-            index = Index(shared.value, threshold)
-            return lambda batch: batch.filter(pa.array([not index.leaks(t, least) for t in texts(batch, text)], pa.bool_()))
+            items, counts = shared.value
+            index = Indexes(items, threshold, counts)
+            return lambda batch: batch.filter(pa.array([not index.any(t, least) for t in texts(batch, text)], pa.bool_()))
 
         docs = arrow_map(docs, make, docs.schema)
     return docs

@@ -133,6 +133,21 @@ def test_leaks_equal_brute_force(spark):
     assert leaks.find_leaks(df.limit(0), table).count() == 0 and leaks.find_leaks(df, table.limit(0)).count() == 0
 
 
+def test_leaks_do_not_depend_on_other_items(spark, monkeypatch):
+    rng = random.Random(16)
+    short = [(i, " ".join(words(rng, 15))) for i in range(40)]
+    pool = sorted({w for _, t in short for w in t.split()})
+    docs = [(i, " ".join(rng.choice(pool) for _ in range(5000))) for i in range(6)]  # all words of the items, in no order
+    docs += [(10, " ".join(words(rng, 50)) + " " + short[7][1] + " " + " ".join(words(rng, 50)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    table = spark.createDataFrame([*short, (99, " ".join(words(rng, 5000)))], "item_id long, text string")
+    rows = sorted(map(tuple, leaks.find_leaks(df, table).collect()))
+    assert [r[:2] for r in rows] == [(10, 7)]
+    assert {r.doc_id for r in leaks.without_leaks(df, table).collect()} == set(range(6))
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", 100)  # scores do not depend on blocks
+    assert sorted(map(tuple, leaks.find_leaks(df, table).collect())) == rows
+
+
 def test_wand_equals_scoring_all():
     rng = random.Random(8)
     index = leaks.Index([(i, " ".join(words(rng, 40))) for i in range(300)], threshold=0.2)
