@@ -147,7 +147,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def nodes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, node (digest of the words, null for a null text), n (shingles), keys."""
+    """doc_id, raw (hash of the text), node (digest of the words, null for a null text), n (shingles), keys."""
     kind = docs.schema[key].dataType.simpleString()
 
     def make():
@@ -165,16 +165,18 @@ def nodes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 else:
                     out["n"].append(0)
                     out["keys"].append([])
-            return pa.RecordBatch.from_pydict({key: batch.column(key), "node": pa.array(out["node"], pa.binary()), "n": pa.array(out["n"], pa.int32()), "keys": pa.array(out["keys"], pa.list_(pa.int64()))})
+            return pa.RecordBatch.from_pydict({key: batch.column(key), "raw": batch.column("raw"), "node": pa.array(out["node"], pa.binary()), "n": pa.array(out["n"], pa.int32()), "keys": pa.array(out["keys"], pa.list_(pa.int64()))})
 
         return step
 
-    return arrow_map(docs.select(key, docs[text].alias("text")), make, f"{key} {kind}, node binary, n int, keys array<bigint>")
+    return arrow_map(docs.select(key, docs[text].alias("text"), F.xxhash64(docs[text]).alias("raw")), make, f"{key} {kind}, raw long, node binary, n int, keys array<bigint>")
 
 
 def _sequences(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """node and its labelled shingles, for the wanted (doc_id, node)."""
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted.select("id").distinct(), "id", "left_semi")
+    """node and its labelled shingles, for the wanted (doc_id, raw, node); ids may be null or have several texts."""
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("raw")).alias("r")
+    asked = wanted.select("id", "raw").distinct().alias("w")
+    rows = rows.join(asked, F.col("r.id").eqNullSafe(F.col("w.id")) & (F.col("r.raw") == F.col("w.raw")), "left_semi").select("id", "text")
 
     def make():
         hasher = Hasher()
@@ -190,7 +192,7 @@ def _sequences(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataF
 
     kind = docs.schema[key].dataType.simpleString()
     made = arrow_map(rows, make, f"id {kind}, node binary, shingles array<bigint>")
-    return made.join(wanted, ["id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "shingles")
+    return made.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "shingles")
 
 
 def _verified(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
@@ -260,8 +262,8 @@ def _tile_links(members: DataFrame, large: DataFrame, sequences: DataFrame, keys
 
 def links(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
     """Verified links (a, b, similarity) between nodes, and the components of the linked nodes (None without links)."""
-    first = rows.where("n > 0").groupBy("node").agg(F.min(key).alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    first = written(first, "nodes")
+    first = rows.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col(key).isNull(), F.col(key).alias("id"), "raw")).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    first = written(first.select("node", "least.id", "least.raw", "n", "keys"), "nodes")
     entries = first.select("node", "n", F.explode("keys").alias("key"))
     # written, so that the join has an exchange of its own, which Spark can split at a hot key
     sizes = written(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
@@ -278,7 +280,7 @@ def links(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY, key: str
     near = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")
     pairs = written(pairs.unionByName(to_hub).where(near).select("a", "b").distinct(), "pairs")
     in_pairs = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(big.select("node")).distinct()
-    wanted = first.join(in_pairs, "node", "left_semi").select("id", "node")
+    wanted = first.join(in_pairs, "node", "left_semi").select("id", "raw", "node")
     sequences = written(_sequences(docs, wanted, key, text), "sequences")
     found = written(_verified(pairs, sequences, least), "links")
     if hubs.isEmpty():
@@ -295,30 +297,39 @@ def links(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY, key: str
     return found, components(found)
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, class_id, n_links (verified links of its text to other texts), n_copies (rows with its text)."""
+def _classes(docs: DataFrame, least: float, key: str, text: str) -> DataFrame:
+    """Per row: key, raw, node, component (null for a null text), class_id, n_links, n_copies."""
     small_batches(docs.sparkSession)
     rows = written(nodes(docs, key, text), "rows")
     found, labels = links(docs, rows, least, key, text)
     known = rows.where("node is not null").groupBy("node").agg(F.min(key).alias("first"), F.count("*").alias("n_copies"))
     if labels is None:
-        named = known.withColumns({"class_id": F.col("first"), "n_links": F.lit(0).cast("long")})
+        named = known.withColumns({"component": F.col("node"), "class_id": F.col("first"), "n_links": F.lit(0).cast("long")})
     else:
         ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
         placed = known.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         heads = placed.groupBy("component").agg(F.min("first").alias("class_id"))
         named = placed.join(heads, "component").join(ends, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
-    out = rows.select(key, "node").join(named.select("node", "class_id", "n_links", "n_copies"), "node", "left")
-    return out.select(key, F.coalesce("class_id", key).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    out = rows.select(key, "raw", "node").join(named.select("node", "component", "class_id", "n_links", "n_copies"), "node", "left")
+    return out.select(key, "raw", "component", F.coalesce("class_id", key).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+
+
+def classes(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key, class_id, n_links (verified links of its text to other texts), n_copies (rows with its text)."""
+    return _classes(docs, least, key, text).select(key, "class_id", "n_links", "n_copies")
 
 
 def keep_first(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class (that with the least id), all columns as they are. Rows with a null id stay; rows with
-    one id stay or go together, but of those with one text only one stays."""
-    found = written(classes(docs, least, key, text), "classes")
-    gone = found.where(F.col(key) != F.col("class_id")).select(key).distinct()
-    kept = docs.join(gone, key, "left_anti").select(docs.columns)
-    again = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1").select(key)
+    """One document of each class (the least id, and of its texts in the class the one of least hash), all columns as they
+    are. Rows with a null id or a null text stay; of rows with one id and one text one stays. Rows with one id and other
+    texts go by the class of each text."""
+    found = written(_classes(docs, least, key, text).where(F.col(key).isNotNull()).select(F.col(key).alias("gone_id"), "raw", "component"), "classes")
+    placed = found.where("component is not null")
+    heads = placed.groupBy("component").agg(F.min(F.struct("gone_id", "raw")).alias("head"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    heads = written(heads, "heads")  # so that the join has an exchange of its own, which Spark can split at a large class
+    gone = placed.join(heads, "component").where((F.col("gone_id") != F.col("head.gone_id")) | (F.col("raw") != F.col("head.raw"))).select("gone_id", "raw").distinct()
+    kept = docs.join(gone, (docs[key] == F.col("gone_id")) & (F.xxhash64(docs[text]) == F.col("raw")), "left_anti").select(docs.columns)
+    again = found.groupBy(F.col("gone_id").alias(key)).agg(F.count("*").alias("rows")).where("rows > 1").select(key)
     if again.isEmpty():
         return kept
     once = kept.join(again, key, "left_semi").select(docs.columns).dropDuplicates([key, text])

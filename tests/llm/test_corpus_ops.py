@@ -94,6 +94,19 @@ def test_near_duplicates_edge_cases(spark):
     assert neardup.classes(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    rng = random.Random(20)
+    own = [words(rng, 90) for _ in range(4)]
+    a, b, c, d = (" ".join(w) for w in own)
+    near = lambda w: " ".join([*w[:-1], "edit"])
+    rows = [(3, a), (5, near(own[0])), (5, b), (7, near(own[1])), (9, c), (9, d), (None, near(own[2]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {(r.doc_id, r.text) for r in neardup.keep_first(docs).collect()}
+    assert kept == {(3, a), (5, b), (9, c), (9, d), (None, near(own[2]))}
+    alone = spark.createDataFrame([(4, c), (None, near(own[2]))], "doc_id long, text string")
+    assert {r.class_id for r in neardup.classes(alone).collect()} == {4}
+
+
 def test_order_counts_for_similarity():
     h = neardup.Hasher()
     a = words(random.Random(1), 200)
