@@ -298,25 +298,24 @@ def links(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY, key: str
 
 
 def _classes(docs: DataFrame, least: float, key: str, text: str) -> DataFrame:
-    """Per row: key, raw, node, component (null for a null text), class_id, n_links, n_copies."""
+    """Per row: key, raw, node, component (null for a null text), class_id, n_texts, n_copies."""
     small_batches(docs.sparkSession)
     rows = written(nodes(docs, key, text), "rows")
     found, labels = links(docs, rows, least, key, text)
     known = rows.where("node is not null").groupBy("node").agg(F.min(key).alias("first"), F.count("*").alias("n_copies"))
     if labels is None:
-        named = known.withColumns({"component": F.col("node"), "class_id": F.col("first"), "n_links": F.lit(0).cast("long")})
+        named = known.withColumns({"component": F.col("node"), "class_id": F.col("first"), "n_texts": F.lit(1).cast("long")})
     else:
-        ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
         placed = known.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        heads = placed.groupBy("component").agg(F.min("first").alias("class_id"))
-        named = placed.join(heads, "component").join(ends, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
-    out = rows.select(key, "raw", "node").join(named.select("node", "component", "class_id", "n_links", "n_copies"), "node", "left")
-    return out.select(key, "raw", "component", F.coalesce("class_id", key).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+        heads = placed.groupBy("component").agg(F.min("first").alias("class_id"), F.count("*").alias("n_texts"))
+        named = placed.join(heads, "component")
+    out = rows.select(key, "raw", "node").join(named.select("node", "component", "class_id", "n_texts", "n_copies"), "node", "left")
+    return out.select(key, "raw", "component", F.coalesce("class_id", key).alias("class_id"), F.coalesce("n_texts", F.lit(1)).cast("long").alias("n_texts"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, class_id, n_links (verified links of its text to other texts), n_copies (rows with its text)."""
-    return _classes(docs, least, key, text).select(key, "class_id", "n_links", "n_copies")
+    """Per row: key, class_id, n_texts (different texts of the class), n_copies (rows with its text)."""
+    return _classes(docs, least, key, text).select(key, "class_id", "n_texts", "n_copies")
 
 
 def keep_first(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:

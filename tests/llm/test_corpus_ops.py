@@ -107,6 +107,14 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     assert {r.class_id for r in neardup.classes(alone).collect()} == {4}
 
 
+def test_sizes_of_classes_are_whole(spark):
+    rng = random.Random(21)
+    big, small = words(rng, 120), words(rng, 120)
+    rows = [(i, " ".join([*big[:-1], f"edit{i}"])) for i in range(30)] + [(40 + i, " ".join([*small[:-1], f"edit{i}"])) for i in range(3)] + [(50, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.n_texts) for r in neardup.classes(docs).collect()} == {(i, 30) for i in range(30)} | {(40 + i, 3) for i in range(3)} | {(50, 1)}
+
+
 def test_order_counts_for_similarity():
     h = neardup.Hasher()
     a = words(random.Random(1), 200)
