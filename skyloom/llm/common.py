@@ -19,9 +19,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one if that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a session whose tasks run
+    in the driver gets a temporary folder; on a cluster no folder of one machine would do, and this raises."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="skyloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -34,14 +38,50 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/skyloom-{uuid.uuid4().hex}/{name}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
-    path = work_path(spark, name)
+    path = path or work_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, whatever that is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Tables that one call writes to the shared folder. ``drop`` frees those that no step still to come reads, so that the
+    disk holds what is in use and not all that was ever made."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write and reread ``df``. A name that is used again keeps its older table until it is dropped."""
+        path = work_path(self.spark, name)
+        self.paths.setdefault(name, []).append(path)
+        return written(df, name, path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            for path in self.paths.pop(name, []):
+                remove(self.spark, path)
+
+    def drop_older(self, name: str) -> None:
+        """Drop all tables of a name but the last."""
+        *older, last = self.paths[name]
+        self.paths[name] = [last]
+        for path in older:
+            remove(self.spark, path)
+
+    def close(self, *kept: str) -> None:
+        """Drop all tables but those named."""
+        self.drop(*[n for n in self.paths if n not in kept])
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema) -> DataFrame:
     """Map each Arrow batch of ``df``. ``make`` runs once in a task and returns the batch function."""
     small_batches(df.sparkSession)

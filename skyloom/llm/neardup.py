@@ -5,17 +5,20 @@ number of times that it has come before in the text, so the labelled shingles of
 
 Sketch. Each of ``SKETCHES`` hash orders takes the ``TAKEN`` least labelled shingles and keeps them *in text order*; the
 hash of that list is a key. Two texts share a key with about similarity ** TAKEN, and only if the common part stands
-in one order: the sketch follows edit similarity. At 0.8 a pair shares no key in 7e-10 of the cases.
+in one order: the sketch follows edit similarity. A pair is plausible if it shares ``NEEDED`` keys (any, if one text has under
+``SHORT`` shingles) and its lengths allow the similarity. At 0.8 a pair is not plausible in 3e-7 of the cases (long texts;
+1e-4 for the shortest, of four and five shingles), more similar pairs in fewer.
 
 Similarity. c / (n_a + n_b - c), where c is the length of the best common ordered chain of labelled shingles (the Jaccard
 index, if the order agrees). A pair of similarity t has a chain whose places differ by at most
 (n_a + n_b) * (1 - t) / (1 + t) at every link, so the alignment is done in this band and loses nothing.
 
-Candidates. Copies are one node (the digest of the words), so groups of copies make no pairs. In a key shared by few
-nodes all pairs are candidates. In a larger one each node meets the hub, the node that shares most keys with others;
-nodes that are not in the hub's component after that meet all nodes of other components, in tiles of bounded size
-that are compared inside a task, each pair under its first shared large key only. So every pair of different texts that
-shares a key is linked, or compared, or in one component already.
+Candidates. Copies are one node (the digest of the words, with a number), so groups of copies make no pairs. In a key shared
+by few nodes all pairs are candidates. In a larger one each node meets the hub, the node that shares most keys with
+others. Nodes that are not in the hub's component after that meet all nodes of other components, in two rounds of tiles of
+bounded size, each pair under its first shared large key only: the first round compares sketches, which are short, and names
+the nodes that have a plausible partner; the second compares the texts of these. So every plausible pair of different texts
+is linked, or compared, or in one component already, and no text is copied for nodes that only share a passage.
 
 Classes are connected components, found by least labels with pointer jumping; the class id is the least doc_id.
 
@@ -33,20 +36,21 @@ from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, small_batches, texts, written
+from .common import Scratch, arrow_map, small_batches, texts
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 40
 TAKEN = 4
-#: Nodes of a key up to which all its pairs are candidates, and nodes of a tile.
+#: Keys that a plausible pair shares, and shingles from which so many are asked.
+NEEDED, SHORT = 3, 16
+#: Nodes of a key up to which all its pairs are candidates, and nodes of a tile of sketches and of texts.
 ALL_PAIRS = 12
-TILE = 1024
+TILE, TEXT_TILE = 1024, 256
 WORD = re.compile(r"\w+")
 CACHE_ENTRIES = 600_000
 #: Numbers that one step over all hash orders may hold.
@@ -172,163 +176,247 @@ def nodes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return arrow_map(docs.select(key, docs[text].alias("text"), F.xxhash64(docs[text]).alias("raw")), make, f"{key} {kind}, raw long, node binary, n int, keys array<bigint>")
 
 
-def _sequences(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """node and its labelled shingles, for the wanted (doc_id, raw, node); ids may be null or have several texts."""
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("raw")).alias("r")
-    asked = wanted.select("id", "raw").distinct().alias("w")
-    rows = rows.join(asked, F.col("r.id").eqNullSafe(F.col("w.id")) & (F.col("r.raw") == F.col("w.raw")), "left_semi").select("id", "text")
+def _plausible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose lengths and sketches allow a similarity of ``least``."""
+    for end in "ab":
+        pairs = pairs.join(nodes.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("keys").alias(f"keys_{end}")), end)
+    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    shared = F.size(F.array_intersect("keys_a", "keys_b"))
+    return pairs.where((small >= least * large) & (shared >= F.when(small < SHORT, 1).otherwise(NEEDED))).select("a", "b")
 
-    def make():
-        hasher = Hasher()
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for t in texts(batch):
-                own = WORD.findall(t.lower())
-                out.append((digest(t, own), hasher.shingles(own).view(np.int64) if own else []))
-            return pa.RecordBatch.from_pydict({"id": batch.column("id"), "node": pa.array([o[0] for o in out], pa.binary()), "shingles": pa.array([o[1] for o in out], pa.list_(pa.int64()))})
+def _bodies(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """id and text of the wanted nodes (id, first, raw); the keys of ``docs`` may be null or have several texts."""
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("raw")).alias("r")
+    # The wanted rows grow with the corpus, so the join is never one that broadcasts them.
+    found = rows.join(wanted.hint("merge").alias("w"), F.col("r.key").eqNullSafe(F.col("w.first")) & (F.col("r.raw") == F.col("w.raw")))
+    return found.groupBy("id").agg(F.first("text").alias("text"))
 
-        return step
 
-    kind = docs.schema[key].dataType.simpleString()
-    made = arrow_map(rows, make, f"id {kind}, node binary, shingles array<bigint>")
-    return made.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "shingles")
+def _sequence(hasher: Hasher, text: str) -> np.ndarray:
+    return hasher.shingles(WORD.findall(text.lower()))
 
 
-def _verified(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose similarity is ``least`` or more."""
-    both = pairs.join(sequences.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(sequences.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
+    both = pairs
+    for end, name in (("a", "left"), ("b", "right")):
+        both = both.join(bodies.select(F.col("id").alias(end), F.col("text").alias(name)), end)
 
     def make():
+        hasher = Hasher()
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            left, right = batch.column("left"), batch.column("right")
-            found = [similarity(x.values.to_numpy(), y.values.to_numpy(), least) for x, y in zip(left, right, strict=True)]
+            known: dict[int, np.ndarray] = {}  # a batch has one text in many pairs
+
+            def of(node: int, text: str) -> np.ndarray:
+                if node not in known:
+                    known[node] = _sequence(hasher, text)
+                return known[node]
+
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "left", "right")), strict=True)
+            found = [similarity(of(a, x), of(b, y), least) for a, b, x, y in rows]
             return pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "similarity": pa.array(found, pa.float64())})
 
         return step
 
-    return arrow_map(both.select("a", "b", "left", "right"), make, "a binary, b binary, similarity double").where(F.col("similarity") >= least)
+    return arrow_map(both.select("a", "b", "left", "right"), make, "a long, b long, similarity double").where(F.col("similarity") >= least)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, component (least node) of each node of the links (a, b): least labels with pointer jumping."""
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, component (least id) of each node of the links (a, b): least labels with pointer jumping."""
+    both = scratch.write(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = scratch.write(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "id"), "labels")
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        ends = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        jumped = written(step.join(ends, "label", "left").select("node", "old", F.least("label", "beyond").alias("label")), "labels")
-        labels = jumped.select("node", "label")
+        near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        ends = labels.select(F.col("id").alias("label"), F.col("label").alias("beyond"))
+        jumped = scratch.write(step.join(ends, "label", "left").select("id", "old", F.least("label", "beyond").alias("label")), "labels")
+        scratch.drop_older("labels")
+        labels = jumped.select("id", "label")
         if jumped.where("label <> old").isEmpty():
+            scratch.drop("edges")
             return labels.withColumnRenamed("label", "component")
 
 
-def _tile_links(members: DataFrame, large: DataFrame, sequences: DataFrame, keys_of: DataFrame, least: float) -> DataFrame:
-    """Links between nodes of one large key that are in different components, one of which is not the hub's."""
-    kept = members.join(large.select("key", "size", F.col("component").alias("hub_component")), "key")
-    kept = kept.withColumn("query", F.col("component") != F.col("hub_component"))
-    mixed = written(kept.groupBy("key").agg(F.count(F.when(F.col("query"), 1)).alias("queries")).where("queries > 0"), "mixed")
-    kept = kept.join(mixed, "key").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("query_tiles", F.ceil(F.col("queries") / TILE).cast("int"))
-    own = F.pmod(F.xxhash64("node"), F.col("tiles").cast("long")).cast("int")
-    asked = F.pmod(F.xxhash64("node", F.lit(1)), F.col("query_tiles").cast("long")).cast("int")
-    as_member = kept.select("key", "node", "component", own.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("query_tiles") - 1)).alias("query_tile"), F.lit(False).alias("query"))
-    as_query = kept.where("query").select("key", "node", "component", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), asked.alias("query_tile"), F.lit(True).alias("query"))
-    payload = sequences.join(keys_of, "node")
-    rows = as_member.unionByName(as_query).join(payload, "node")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        key = group["key"].iloc[0]
-        ask, have = group[group["query"]], group[~group["query"]]
-        seqs, parts, names = have["shingles"].tolist(), have["component"].tolist(), have["node"].tolist()
+def _tiled(members: DataFrame, tile: int, carried: tuple[str, ...]) -> DataFrame:
+    """Each row of ``members`` (key, id, query, size, queries and what is carried), once for each tile that it enters: as a
+    member of one tile with every tile of queries, and, if it is a query, as one with every tile of members."""
+    tiles, query_tiles = (F.ceil(F.col(c) / tile).cast("int") for c in ("size", "queries"))
+    own = F.pmod(F.xxhash64("id"), tiles).cast("int")
+    asked = F.pmod(F.xxhash64("id", F.lit(1)), query_tiles).cast("int")
+
+    def places(fixed: Column, moving: Column, asks: bool) -> Column:
+        pair = (lambda t: (t, fixed)) if asks else (lambda t: (fixed, t))
+        return F.transform(F.sequence(F.lit(0), moving - 1), lambda t: F.struct(pair(t)[0].alias("tile"), pair(t)[1].alias("query_tile"), F.lit(asks).alias("asks")))
+
+    both = F.concat(places(own, query_tiles, False), F.when(F.col("query"), places(asked, tiles, True)).otherwise(F.array()))
+    return members.select("key", "id", "query", *carried, F.explode(both).alias("_at")).select("key", "id", "query", *carried, "_at.*")
+
+
+def _plausible_members(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(key, id) of the members of a large key that have a plausible partner of another component under that key.
+
+    A member's sketch comes to it by one join on the node, each node once, and is copied for its keys and tiles after it.
+    """
+    held = members.groupBy("id").agg(F.first("component").alias("component"), F.collect_list(F.struct("key", "query", "size", "queries")).alias("held"))
+    rows = held.join(nodes.select("id", "n", "keys"), "id")
+    rows = rows.withColumn("large", F.col("held.key")).withColumn("h", F.explode("held"))
+    # bit j: the key of hash order j is a large one; place: the hash order of this key
+    bits = F.aggregate(F.transform("keys", lambda k, j: F.when(F.array_contains("large", k), F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
+    rows = rows.select("h.*", "id", "component", "n", "keys", bits.alias("bits"), (F.array_position("keys", F.col("h.key")) - 1).cast("int").alias("place"))
+    rows = _tiled(rows, TILE, ("component", "n", "keys", "bits", "place"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
+        ids, parts, sizes, query, bits = (table.column(c).to_numpy() for c in ("id", "component", "n", "query", "bits"))
+        place = table.column("place")[0].as_py()
+        have = np.flatnonzero(~asks)
+        members_, marked = keys[have], np.zeros(len(asks), bool)
+        for q in np.flatnonzero(asks).tolist():
+            n = np.minimum(sizes[have], sizes[q])
+            open_ = (parts[have] != parts[q]) & (n >= least * np.maximum(sizes[have], sizes[q])) & (~query[have] | (ids[have] > ids[q]))
+            equal = members_ == keys[q]
+            open_ &= equal.sum(axis=1) >= np.where(n < SHORT, 1, NEEDED)
+            if open_.any():
+                earlier = [j for j in range(place) if int(bits[q]) >> j & 1]
+                open_ &= ~equal[:, earlier].any(axis=1)
+                if open_.any():
+                    marked[have[open_]] = True
+                    marked[q] = True
+        return pa.table({"key": table.column("key").filter(pa.array(marked)), "id": table.column("id").filter(pa.array(marked))})
+
+    return rows.groupBy("key", "tile", "query_tile").applyInArrow(compare, "key long, id long").distinct()
+
+
+def _tile_links(members: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
+    """Links between members of one large key that join different components, by their texts. Of the links of a tile only
+    those come that join what the tile's links before have not."""
+    held = members.groupBy("id").agg(F.first("component").alias("component"), F.collect_list(F.struct("key", "query", "size", "queries")).alias("held"))
+    rows = held.join(bodies, "id").withColumn("h", F.explode("held")).select("h.*", "id", "component", "text")
+    rows = _tiled(rows, TEXT_TILE, ("component", "text"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        hasher, head = Hasher(), {}
+        asks, query = table.column("asks").to_numpy(), table.column("query").to_pylist()
+        ids, parts, bodies_ = (table.column(c).to_pylist() for c in ("id", "component", "text"))
+        seqs = [_sequence(hasher, t) for t in bodies_]
         sizes = np.array([len(s) for s in seqs])
-        keys = [set(k) for k in have["large_keys"]]
-        found = []
-        for node, part, s, ks in zip(ask["node"], ask["component"], ask["shingles"], ask["large_keys"], strict=True):
-            n, first, mine = len(s), sorted(ks), np.sort(s)
-            for j in np.flatnonzero(np.minimum(sizes, n) >= least * np.maximum(sizes, n)).tolist():
-                if parts[j] == part or next(k for k in first if k in keys[j]) != key:
+
+        def find(c: int) -> int:
+            while head.get(c, c) != c:
+                c = head[c]
+            return c
+
+        have, found = np.flatnonzero(~asks), []
+        for q in np.flatnonzero(asks).tolist():
+            s, n, mine = seqs[q], len(seqs[q]), np.sort(seqs[q])
+            for j in have[np.minimum(sizes[have], n) >= least * np.maximum(sizes[have], n)].tolist():
+                if (query[j] and ids[j] <= ids[q]) or find(parts[j]) == find(parts[q]):
                     continue
                 at = np.searchsorted(mine, seqs[j])
                 common = int((mine[np.minimum(at, n - 1)] == seqs[j]).sum())
                 if common >= least * (n + sizes[j] - common):
                     v = similarity(s, seqs[j], least)
                     if v >= least:
-                        found.append((min(node, names[j]), max(node, names[j]), v))
-        return pd.DataFrame(found, columns=["a", "b", "similarity"])
+                        found.append((min(ids[q], ids[j]), max(ids[q], ids[j]), v))
+                        head[find(parts[q])] = find(parts[j])
+        a, b, v = zip(*found, strict=True) if found else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(v, pa.float64())})
+
+    return rows.groupBy("key", "tile", "query_tile").applyInArrow(compare, "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
-    return rows.groupBy("key", "tile", "query_tile").applyInPandas(compare, "a binary, b binary, similarity double").dropDuplicates(["a", "b"])
 
+def _with_counts(members: DataFrame) -> DataFrame:
+    """``members`` of the keys that hold a query, with their number (size) and that of their queries."""
+    counts = members.groupBy("key").agg(F.count("*").alias("size"), F.count_if("query").alias("queries")).where("queries > 0")
+    return members.join(counts, "key")
 
-def links(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
-    """Verified links (a, b, similarity) between nodes, and the components of the linked nodes (None without links)."""
-    first = rows.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col(key).isNull(), F.col(key).alias("id"), "raw")).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    first = written(first.select("node", "least.id", "least.raw", "n", "keys"), "nodes")
-    entries = first.select("node", "n", F.explode("keys").alias("key"))
+
+def links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, least: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """Verified links (a, b, similarity) between nodes that span every class, and the components of the linked nodes (None without links)."""
+    entries = nodes.where("n > 0").select("id", F.explode("keys").alias("key"))
     # written, so that the join has an exchange of its own, which Spark can split at a hot key
-    sizes = written(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    members = written(entries.join(sizes, "key"), "members")
-    small = members.where(F.col("size") <= ALL_PAIRS)
-    left, right = small.select("key", F.col("node").alias("a"), F.col("n").alias("n_a")), small.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"))
-    pairs = left.join(right, "key").where("a < b")
-    big = members.where(F.col("size") > ALL_PAIRS)
-    central = members.groupBy("node").agg(F.sum(F.log("size")).alias("central"))
-    big = written(big.join(central, "node"), "big")
-    hubs = big.groupBy("key").agg(F.max(F.struct("central", "node", "n")).alias("hub"), F.first("size").alias("size"))
-    hubs = written(hubs.select("key", "size", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
-    to_hub = big.join(hubs.drop("size"), "key").where("node <> hub").select("key", F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.col("n").alias("n_a"), F.col("hub_n").alias("n_b"))
-    near = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")
-    pairs = written(pairs.unionByName(to_hub).where(near).select("a", "b").distinct(), "pairs")
-    in_pairs = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(big.select("node")).distinct()
-    wanted = first.join(in_pairs, "node", "left_semi").select("id", "raw", "node")
-    sequences = written(_sequences(docs, wanted, key, text), "sequences")
-    found = written(_verified(pairs, sequences, least), "links")
+    sizes = scratch.write(entries.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("a"), F.max("id").alias("b")).where("size > 1"), "sizes")
+    members = scratch.write(entries.join(sizes.where("size > 2").select("key", "size"), "key"), "members")
+    few = members.where(F.col("size") <= ALL_PAIRS)
+    pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
+    pairs = pairs.unionByName(sizes.where("size = 2").select("a", "b"))
+    central = members.groupBy("id").agg(F.sum(F.log("size")).alias("central"))
+    big = scratch.write(members.where(F.col("size") > ALL_PAIRS).join(central, "id"), "big")
+    hubs = scratch.write(big.groupBy("key").agg(F.max(F.struct("central", "id")).alias("hub")).select("key", F.col("hub.id").alias("hub")), "hubs")
+    to_hub = big.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    pairs = scratch.write(_plausible(pairs.unionByName(to_hub).distinct(), nodes, least), "pairs")
+    scratch.drop("sizes", "members")
+    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(big.select("id")).distinct()
+    bodies = scratch.write(_bodies(docs, nodes.select("id", "first", "raw").join(asked, "id", "left_semi"), key, text), "bodies")
+    found = scratch.write(_verified(pairs, bodies, least), "links")
+    scratch.drop("pairs")
+    labels = None if found.isEmpty() else components(found, scratch)
     if hubs.isEmpty():
-        return found, None if found.isEmpty() else components(found)
-    labels = components(found)
-    name = F.coalesce("component", "node")
-    placed = big.join(labels, "node", "left").select("key", "node", name.alias("component"))
-    hub_parts = hubs.withColumnRenamed("hub", "node").join(labels, "node", "left").select("key", "size", name.alias("component"))
-    keys_of = big.groupBy("node").agg(F.collect_list("key").alias("large_keys"))
-    more = written(_tile_links(placed, hub_parts, sequences, keys_of, least), "more")
+        return found, labels
+    named = hubs.select("key", F.col("hub").alias("id"))
+    if labels is not None:
+        big, named = (d.join(labels, "id", "left") for d in (big.select("key", "id"), named))
+    else:
+        big, named = (d.select("key", "id").withColumn("component", F.lit(None).cast("long")) for d in (big, named))
+    part = F.coalesce("component", "id")
+    placed = big.select("key", "id", part.alias("component")).join(named.select("key", part.alias("of_hub")), "key")
+    placed = scratch.write(placed.select("key", "id", "component", (F.col("component") != F.col("of_hub")).alias("query")), "placed")
+    near = scratch.write(_plausible_members(_with_counts(placed), nodes, least), "near")
+    if near.isEmpty():
+        return found, labels
+    more = scratch.write(_tile_links(_with_counts(placed.join(near, ["key", "id"], "left_semi")), bodies, least), "more")
     if more.isEmpty():
         return found, labels
     found = found.unionByName(more)
-    return found, components(found)
+    return found, components(found, scratch)
 
 
-def _classes(docs: DataFrame, least: float, key: str, text: str) -> DataFrame:
-    """Per row: key, raw, node, component (null for a null text), class_id, n_texts, n_copies."""
+def _classes(docs: DataFrame, scratch: Scratch, least: float, key: str, text: str) -> DataFrame:
+    """Per row: key, raw, component (null for a null text), class_id, n_texts, n_copies."""
     small_batches(docs.sparkSession)
-    rows = written(nodes(docs, key, text), "rows")
-    found, labels = links(docs, rows, least, key, text)
-    known = rows.where("node is not null").groupBy("node").agg(F.min(key).alias("first"), F.count("*").alias("n_copies"))
+    rows = scratch.write(nodes(docs, key, text), "rows")
+    first = F.min(F.struct(F.col(key).isNull(), F.col(key).alias("first"), "raw")).alias("least")
+    known = rows.where("node is not null").groupBy("node").agg(first, F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    known = scratch.write(known.select(F.monotonically_increasing_id().alias("id"), "node", "least.first", "least.raw", "n_copies", "n", "keys"), "nodes")
+    _, labels = links(docs, known, scratch, least, key, text)
+    named = known.select("id", "node", "first", "n_copies")
     if labels is None:
-        named = known.withColumns({"component": F.col("node"), "class_id": F.col("first"), "n_texts": F.lit(1).cast("long")})
+        named = named.select("node", F.col("id").alias("component"), F.col("first").alias("class_id"), F.lit(1).cast("long").alias("n_texts"), "n_copies")
     else:
-        placed = known.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = named.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         heads = placed.groupBy("component").agg(F.min("first").alias("class_id"), F.count("*").alias("n_texts"))
-        named = placed.join(heads, "component")
-    out = rows.select(key, "raw", "node").join(named.select("node", "component", "class_id", "n_texts", "n_copies"), "node", "left")
-    return out.select(key, "raw", "component", F.coalesce("class_id", key).alias("class_id"), F.coalesce("n_texts", F.lit(1)).cast("long").alias("n_texts"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+        named = placed.join(heads, "component").select("node", "component", "class_id", "n_texts", "n_copies")
+    out = rows.select(key, "raw", "node").join(named, "node", "left")
+    out = out.select(key, "raw", "component", F.coalesce("class_id", key).alias("class_id"), F.coalesce("n_texts", F.lit(1)).cast("long").alias("n_texts"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    return scratch.write(out, "classes")
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, class_id, n_texts (different texts of the class), n_copies (rows with its text)."""
-    return _classes(docs, least, key, text).select(key, "class_id", "n_texts", "n_copies")
+    scratch = Scratch(docs.sparkSession)
+    out = _classes(docs, scratch, least, key, text)
+    scratch.close("classes")
+    return out.select(key, "class_id", "n_texts", "n_copies")
 
 
 def keep_first(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class (the least id, and of its texts in the class the one of least hash), all columns as they
     are. Rows with a null id or a null text stay; of rows with one id and one text one stays. Rows with one id and other
     texts go by the class of each text."""
-    found = written(_classes(docs, least, key, text).where(F.col(key).isNotNull()).select(F.col(key).alias("gone_id"), "raw", "component"), "classes")
+    scratch = Scratch(docs.sparkSession)
+    found = _classes(docs, scratch, least, key, text).where(F.col(key).isNotNull()).select(F.col(key).alias("gone_id"), "raw", "component")
     placed = found.where("component is not null")
     heads = placed.groupBy("component").agg(F.min(F.struct("gone_id", "raw")).alias("head"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    heads = written(heads, "heads")  # so that the join has an exchange of its own, which Spark can split at a large class
+    heads = scratch.write(heads, "heads")  # so that the join has an exchange of its own, which Spark can split at a large class
     gone = placed.join(heads, "component").where((F.col("gone_id") != F.col("head.gone_id")) | (F.col("raw") != F.col("head.raw"))).select("gone_id", "raw").distinct()
-    kept = docs.join(gone, (docs[key] == F.col("gone_id")) & (F.xxhash64(docs[text]) == F.col("raw")), "left_anti").select(docs.columns)
-    again = found.groupBy(F.col("gone_id").alias(key)).agg(F.count("*").alias("rows")).where("rows > 1").select(key)
+    gone = scratch.write(gone, "gone")
+    again = scratch.write(found.groupBy(F.col("gone_id").alias(key)).agg(F.count("*").alias("rows")).where("rows > 1").select(key), "again")
+    scratch.close("gone", "again")
+    # What goes grows with the corpus, so the join is never one that broadcasts it.
+    kept = docs.join(gone.hint("merge"), (docs[key] == F.col("gone_id")) & (F.xxhash64(docs[text]) == F.col("raw")), "left_anti").select(docs.columns)
     if again.isEmpty():
         return kept
     once = kept.join(again, key, "left_semi").select(docs.columns).dropDuplicates([key, text])

@@ -10,7 +10,12 @@ order, with running offsets; the manifest holds the Merkle root of each recipe f
     manifest/  part, base, n_docs, n_tokens, root, total_root
 
 Only digests are shuffled for the recipes; chunk payloads are shuffled once, after each task has dropped the
-chunks that it has seen already, so a chunk that very many documents share does not gather in one task.
+chunks that it has seen already, so a chunk that very many documents share does not gather in one task. The table that
+one encoding pass leaves for both goes when they are written.
+
+A reader first recomputes the manifest from the recipes and compares every file's root, its numbers of documents and
+tokens, and the total root, so a recipe file that is lost, doubled or changed is found; then it checks every chunk
+against its name and every document against its recipe.
 
 Encoding. The tokenizer first splits a text by a pattern, then encodes each piece by itself, so equal pieces have
 equal ids. Where a text has no two white-space characters in a row, cutting it before each space only cuts between
@@ -33,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, small_batches, texts
+from .common import arrow_map, remove, small_batches, texts
 
 CACHE_ENTRIES = 600_000
 WINDOW = 8
@@ -227,7 +232,8 @@ def write_store(docs: DataFrame, root: str, file: str, end_id: int = 0, key: str
 
     chunk = staged.select(F.explode(F.arrays_zip("digests", "sizes", "payloads")).alias("c")).where("c.payloads is not null")
     chunk = chunk.select(F.col("c.digests").alias("digest"), F.col("c.sizes").alias("n"), F.col("c.payloads").alias("ids"))
-    chunk.dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{root}/chunks")
+    # dealt first: tasks have dropped their own repeats, so a sort before the exchange would find none
+    chunk.repartition("digest").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{root}/chunks")
 
     def offsets():
         state = {"at": 0}
@@ -246,25 +252,47 @@ def write_store(docs: DataFrame, root: str, file: str, end_id: int = 0, key: str
     ordered = ordered.withColumn("part", F.spark_partition_id())
     placed = arrow_map(ordered, offsets, f"row long, {key} {kind}, n_tokens long, digests array<binary>, sizes array<int>, root binary, part int, local_start long")
     placed.write.option("compression", "zstd").parquet(f"{root}/recipes")
-    _write_manifest(spark, root)
+    remove(spark, f"{root}/staged")
+    files = _recipe_files(spark, root)
+    total = merkle([f[4] for f in files])
+    spark.createDataFrame([(*f, total) for f in files], "part int, base long, n_docs long, n_tokens long, root binary, total_root binary").coalesce(1).write.parquet(f"{root}/manifest")
 
 
-def _write_manifest(spark: SparkSession, root: str) -> None:
-    """One row per recipe file: the offset of its first id and its Merkle root. Its size is the number of files."""
+def _recipe_files(spark: SparkSession, root: str) -> list[tuple[int, int, int, int, bytes]]:
+    """(part, base, n_docs, n_tokens, root) of each recipe file, from the recipes: base is the offset of its first id. The list
+    has one short row for each file."""
     recipes = spark.read.parquet(f"{root}/recipes")
-
     # Sections of a million ids are the leaves of a file's tree, so no task gathers a whole file.
     ordered = recipes.select("part", "local_start", "n_tokens", "root", F.floor(F.col("local_start") / SECTION).alias("section"))
     leaves = ordered.groupBy("part", "section").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("local_start", "n_tokens", "root"))).alias("roots"))
     leaves = leaves.select("part", "section", "n_docs", "n_tokens", F.sha2(F.array_join(F.transform("roots", lambda r: F.hex(r["root"])), ""), 256).alias("leaf"))
     files = leaves.groupBy("part").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("section", "leaf"))).alias("leaves"))
-    rows = files.orderBy("part").toLocalIterator()
+
+    def roots():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            made = [merkle([bytes.fromhex(x["leaf"]) for x in leaves]) for leaves in batch.column("leaves").to_pylist()]
+            return pa.RecordBatch.from_pydict({n: batch.column(n) for n in ("part", "n_docs", "n_tokens")} | {"root": pa.array(made, pa.binary())})
+
+        return step
+
     out, base = [], 0
-    for r in rows:
-        out.append((r["part"], base, r["n_docs"], r["n_tokens"], merkle([bytes.fromhex(x["leaf"]) for x in r["leaves"]])))
+    for r in sorted(arrow_map(files, roots, "part int, n_docs long, n_tokens long, root binary").toLocalIterator(), key=lambda r: r["part"]):
+        out.append((r["part"], base, r["n_docs"], r["n_tokens"], bytes(r["root"])))
         base += r["n_tokens"]
-    total = merkle([r[4] for r in out])
-    spark.createDataFrame([(*r, total) for r in out], "part int, base long, n_docs long, n_tokens long, root binary, total_root binary").coalesce(1).write.parquet(f"{root}/manifest")
+    return out
+
+
+def verified_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """part and base of each recipe file; raises if the manifest differs from what the recipes give."""
+    stored = spark.read.parquet(f"{root}/manifest")
+    listed = sorted((r["part"], r["base"], r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in stored.toLocalIterator())
+    found = _recipe_files(spark, root)
+    if listed != found:
+        wrong = sorted({r[0] for r in set(listed) ^ set(found)})
+        raise ValueError(f"recipe files {wrong[:10]} differ from the manifest")
+    if any(bytes(r["total_root"]) != merkle([f[4] for f in found]) for r in stored.select("total_root").distinct().toLocalIterator()):
+        raise ValueError("the manifest has another total root")
+    return stored.select("part", "base")
 
 
 @lru_cache(maxsize=1)
@@ -303,8 +331,8 @@ def shifted_crc(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 
 def read_documents(spark: SparkSession, root: str, key: str = "doc_id") -> DataFrame:
-    """key, start, n_tokens and ids_crc32 of each document, from the files: every chunk's digest, every recipe's root
-    and every length are checked, and a difference raises. ids_crc32 is over 4-byte little-endian ids. CRCs of
+    """key, start, n_tokens and ids_crc32 of each document, from the files: the manifest, every chunk's digest, every recipe's
+    root and every length are checked, and a difference raises. ids_crc32 is over 4-byte little-endian ids. CRCs of
     chunks are joined by their linearity, so no id stream is shuffled or gathered."""
     kind = spark.read.parquet(f"{root}/recipes").schema[key].dataType.simpleString()
 
@@ -348,7 +376,7 @@ def read_documents(spark: SparkSession, root: str, key: str = "doc_id") -> DataF
     refs = arrow_map(recipes.select("row", "digests", "sizes", "root"), check_recipes, "row long, digest binary, after long, n int")
     joined = refs.join(chunks, "digest", "left").withColumn("crc", F.when(F.col("stored") == F.col("n"), F.col("crc")).otherwise(F.raise_error(F.lit("a recipe names a chunk that the store lacks"))))
     whole = arrow_map(joined.select("row", "after", "n", "crc"), shift, "row long, part_crc long, n int").groupBy("row").agg(F.bit_xor("part_crc").alias("ids_crc32"), F.sum("n").alias("got"))
-    manifest = spark.read.parquet(f"{root}/manifest").select("part", "base")  # one row per recipe file
+    manifest = verified_manifest(spark, root)  # one row per recipe file
     out = recipes.select("row", key, "n_tokens", "local_start", "part").join(F.broadcast(manifest), "part").join(whole, "row", "left")
     return out.select(
         F.col(key).cast(kind).alias(key),
@@ -371,6 +399,6 @@ def read_ids(spark: SparkSession, root: str, key: str = "doc_id") -> DataFrame:
 
         return step
 
-    manifest = spark.read.parquet(f"{root}/manifest").select("part", "base")
+    manifest = verified_manifest(spark, root)
     out = recipes.select("row", key, "part", "local_start").join(F.broadcast(manifest), "part")
     return out.join(arrow_map(rows, make, "row long, ids array<int>"), "row").select(key, (F.col("base") + F.col("local_start")).alias("start"), "ids")

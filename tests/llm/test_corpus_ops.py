@@ -269,6 +269,33 @@ def test_mix_targets_and_bounds(spark):
     assert copies.columns == ["doc_id", "source", "text"] and copies.count() > 0
 
 
+def test_mixed_rows_stand_in_the_order_of_their_slots(spark):
+    rng = random.Random(15)
+    docs = spark.createDataFrame([(i, "abc"[i % 3 if i % 2 else 1], " ".join(["w"] * rng.randrange(1, 40))) for i in range(600)], "doc_id long, source string, text string")
+    first = {r.doc_id: (r.first_slot, r.taken, r["size"]) for r in mixing.mix(docs, blocks=400).collect()}
+    rows = mixing.mixed(docs, blocks=400).select("doc_id", "source", F.spark_partition_id().alias("part")).collect()  # collected by partition
+    seen, order = set(), []
+    for r in rows:
+        if r.doc_id not in seen:
+            seen.add(r.doc_id)
+            order.append(first[r.doc_id][0])
+    assert order == sorted(order) and seen == {i for i, (_, n, _) in first.items() if n} and len({r.part for r in rows}) > 1
+    assert len(rows) == sum(-(-n // size) for _, n, size in first.values())
+    words, early = defaultdict(int), rows[: len(rows) // 4]
+    for r in early:  # the first quarter already stands near the weights 5 : 2 : 1
+        words[r.source] += first[r.doc_id][2]
+    whole = {s: t for s, _, t in mixing.targets(sorted((r.source, r.n) for r in docs.groupBy("source").agg(F.sum(mixing.words_of(F.col("text"))).alias("n")).collect()))}
+    for s, t in whole.items():
+        assert abs(words[s] / sum(words.values()) - t / sum(whole.values())) < 0.08
+
+
+def test_mix_of_null_ids_and_long_blocks(spark):
+    docs = spark.createDataFrame([(None, "a" if i % 2 else None, f"w{i} " * (i % 7 + 1)) for i in range(200)], "doc_id long, source string, text string")
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == 200 and len({r.first_slot for r in rows if r.taken}) > 100
+    assert mixing.mixed(docs).count() == sum(-(-r.taken // r["size"]) for r in rows)
+
+
 def test_schedule_keeps_its_pace(spark):
     sources = [mixing.Source("a", 0, 0.0, 500), mixing.Source("b", 0, 0.0, 200), mixing.Source("c", 0, 0.0, 3)]
     rows = mixing.schedule(spark, sources).orderBy("slot").collect()

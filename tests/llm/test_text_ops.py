@@ -93,6 +93,23 @@ def test_a_damaged_chunk_is_found(spark, tmp_path):
         store.read_documents(spark, str(tmp_path / "s")).collect()
 
 
+@pytest.mark.parametrize("damage", ["lost", "doubled", "changed"])
+def test_damaged_recipes_are_found(spark, tmp_path, damage):
+    import shutil
+
+    docs = table(spark, [f"some words here {i}" for i in range(20)])
+    store.write_store(docs, str(tmp_path / "s"), BYTES)
+    assert not (tmp_path / "s/staged").exists()
+    recipes = spark.read.parquet(str(tmp_path / "s/recipes"))
+    new = {"lost": recipes.where("doc_id <> 7"), "doubled": recipes.unionByName(recipes.where("doc_id = 7")), "changed": recipes.withColumn("root", F.expr("if(doc_id = 7, unhex('00'), root)"))}
+    new[damage].write.parquet(str(tmp_path / "bad"))
+    shutil.rmtree(tmp_path / "s/recipes")
+    shutil.move(tmp_path / "bad", tmp_path / "s/recipes")
+    spark.catalog.clearCache()
+    with pytest.raises(ValueError, match="differ from the manifest"):
+        store.read_documents(spark, str(tmp_path / "s"))
+
+
 def test_cuts_depend_on_content_only():
     rng = np.random.default_rng(0)
     body = rng.integers(0, 50000, 20000).astype("<u2")
