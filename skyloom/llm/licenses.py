@@ -1,22 +1,27 @@
 """License scans (operator 1, native): digests of canonical texts, joined to the digests of known licences.
 
-A *unit* is an entire text: the whole document, each paragraph of it (between blank lines) and each line.
+A *unit* is an entire text: the whole document, each paragraph of it (between blank lines), each line, and each run of
+consecutive paragraphs that is as long as a known licence of several paragraphs.
 Canonical form: lower case; copyright lines go; equivalent spellings become one; every run of characters that
 are neither letters nor digits becomes one space. The SHA-256 of a unit's canonical form is hash-joined with the
-digests of the known licences, which are made by the same expressions. Everything is DataFrame functions.
+digests of the known licences, which are made by the same expressions; that of a run is taken over the digests of its
+paragraphs, each made once, without those in which nothing is left. Everything is DataFrame functions.
 
 A text can only match if it holds a word that each known licence has (``MARKERS``); rows without one skip the
 normalisation. ``registry`` checks this property of the known licences, so no match is lost.
 
-The registry is broadcast: its size is that of the list below, whatever the corpus (checked by ``registry``).
+Known licences are texts (``KNOWN``, more with ``known``), with and without their title, and long ones by their digests
+alone (``LONG``). The registry is broadcast: its size is that of these lists, whatever the corpus (checked by ``registry``).
 
 Defined cases: null and empty texts have no units and so no licence; units with one canonical form count once; a
-unit with that of the whole text counts as ``whole`` only; extra columns are ignored; keys may repeat or be null,
-each row has its own result row; an empty table gives an empty table.
+unit with that of the whole text, and the run of all paragraphs, count as ``whole`` only; extra columns are ignored; keys
+may repeat or be null, each row has its own result row; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,11 +59,95 @@ Unless required by applicable law or agreed to in writing, software distributed
     ),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    (
+        "GPL-2.0-or-later",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    (
+        "LGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    (
+        "AGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    (
+        "BSD-2-Clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "BSD-3-Clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "0BSD",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    ),
+    (
+        "Zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution.""",
+    ),
+    (
+        "BSL-1.0",
+        """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
     (
         "MPL-2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ),
 )
+# Titles that stand above the texts of KNOWN.
+TITLES = (
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("ISC", "ISC License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("0BSD", "BSD Zero Clause License"),
+    ("Zlib", "zlib License"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+)
+# Full texts as published; paragraphs of the canonical form, its digest, and the digest over those of its paragraphs.
+LONG = (
+    ("Apache-2.0", 33, "ef36af97727268b60fb709836c24580bed9887f649dba6f0fd9ef4b18232fd25", "1438fdd75dc727f76fafc5d86ffc9ae26b5830859c6819057909809cb4c53d94"),
+    ("Artistic-1.0", 29, "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702", "e67857eb987d918a83f254ec75d3bf4e01be028356322965c48126e257cf5341"),
+    ("CC0-1.0", 13, "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", "1605af2f16e937dcdf7e272021732d6fc27f38f605ef3becd7caf69749d73bd1"),
+    ("GFDL-1.3", 67, "c4f8ea2b5247ab1ff721ce8255137250d4c14f50a0fb68c00fd793f496ced65e", "5ef52afccf049e167defbe66d4e2cdcb5bc87dca5c7b05347f81a339629cee86"),
+    ("GPL-2.0", 59, "331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6", "0a500f6d13dd24db83bbfd5167c4b4bd1389f9a215beea0a08272b961af6e300"),
+    ("GPL-3.0", 122, "3c39b58d51baf32b2a21a55c429305f51cfd82e53cad05134293933580b4cd84", "be040a6f6e8a67705fa25baa24f4105edb1dda8030d5982fa7876a0d80cfeb9b"),
+    ("LGPL-2.1", 76, "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891", "a62fd3b7f35586b3b145347e000b0bc27a30b4eb9d6fa664c4a8ad9ad21ce797"),
+    ("LGPL-3.0", 37, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", "467c826d0fbf36b0997bbc38a72d4d60a793013cbd4706b520c485c58847ee39"),
+    ("MPL-2.0", 81, "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d", "3d50bd8877757243f384a60f0da1da90623270c28062d186ef16413c7703bbda"),
+)
 # Equivalent spellings, after lower case and before punctuation goes.
 SPELLINGS = (
     ("licence", "license"),
@@ -71,11 +160,13 @@ SPELLINGS = (
     ("sub-license", "sublicense"),
     ("non-infringement", "noninfringement"),
 )
-#: Each known licence holds one of these in lower case.
-MARKERS = ("licen", "permission")
-COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}©\n]*(?:copyright[ \t]+(?:\(c\)|©|[0-9]{4}|by )|©|\(c\) *[0-9])[^\n]*"
+#: Each known licence holds one of these in lower case, the long ones too.
+MARKERS = ("licen", "permi")
+COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}©\n]*(?:copyright[ \t]+(?:\(c\)|©|[0-9]{4}|by )|©|\(c\) *[0-9]|all rights reserved)[^\n]*"
 PARAGRAPHS = r"\n[ \t\r]*\n"
 MAX_KNOWN = 10_000
+#: Digest of a paragraph of which nothing is left.
+NOTHING = hashlib.sha256(b"").hexdigest()
 
 
 def canonical(text: Column) -> Column:
@@ -94,24 +185,46 @@ def marked(text: Column) -> Column:
     return out
 
 
-def registry(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """license_id and digest of each known text; checked for size and for MARKERS."""
-    if len(known) > MAX_KNOWN:
-        raise ValueError(f"{len(known)} licence texts; the broadcast registry holds {MAX_KNOWN}")
+def paragraphs(text: Column) -> Column:
+    """Digests of the paragraphs of a text, without those of which nothing is left."""
+    return F.filter(F.transform(F.split(text, PARAGRAPHS), lambda u: F.sha2(canonical(u), 256)), lambda d: d != NOTHING)
+
+
+def run_digest(digests: Column) -> Column:
+    return F.sha2(F.array_join(digests, ""), 256)
+
+
+def entitled(known: tuple[tuple[str, str], ...]) -> list[tuple[str, str]]:
+    """The known texts, and those of several paragraphs under each of their titles too."""
+    return [*known, *((name, f"{title}\n\n{text}") for name, text in known if "\n\n" in text for of, title in TITLES if of == name)]
+
+
+def registry(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN, long: tuple[tuple[str, int, str, str], ...] = LONG) -> DataFrame:
+    """license_id, digest and n (paragraphs of a run, 0 for a text) of what is known; checked for size and for MARKERS."""
+    if len(known) + len(long) > MAX_KNOWN:
+        raise ValueError(f"{len(known) + len(long)} licence texts; the broadcast registry holds {MAX_KNOWN}")
     lost = [name for name, text in known if not any(w in text.lower() for w in MARKERS)]
     if lost:
         raise ValueError(f"licence texts without a marker word: {lost}")
-    rows = spark.createDataFrame(list(known), "license_id string, text string")
-    return rows.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).distinct()
+    rows = spark.createDataFrame(entitled(known), "license_id string, text string")
+    digests = paragraphs(F.col("text"))
+    runs = rows.select("license_id", run_digest(digests).alias("digest"), F.size(digests).alias("n")).where("n > 1")
+    rows = rows.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.lit(0).alias("n")).unionByName(runs)
+    if long:
+        stored = [(name, d, k) for name, n, text, run in long for d, k in ((text, 0), (run, n))]
+        rows = rows.unionByName(spark.createDataFrame(stored, "license_id string, digest string, n int"))
+    return rows.distinct()
 
 
-def license_scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, whole_license (of the entire text, else null), n_units (matching paragraphs and lines), licenses (sorted, comma-joined).
+def license_scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, key: str = "doc_id", text: str = "text", long: tuple[tuple[str, int, str, str], ...] = LONG) -> DataFrame:
+    """Per row: key, whole_license (of the entire text, else null), n_units (matching paragraphs, lines and runs), licenses (sorted, comma-joined).
 
     One shuffle, of row numbers and digests that matched or not, combined in each task before it: a row's units are
     in one task. Texts are not shuffled.
     """
     spark = docs.sparkSession
+    names = registry(spark, known, long)
+    lengths = sorted(r["n"] for r in names.select("n").where("n > 1").distinct().collect())  # a few lengths of the registry
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("text", F.when(marked(F.col("text")), F.col("text")))
     units = F.filter(F.array_union(F.split("text", PARAGRAPHS), F.split("text", "\n")), lambda u: marked(u))
     rows = rows.select(
@@ -119,13 +232,21 @@ def license_scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, ke
         "key",
         F.sha2(canonical(F.col("text")), 256).alias("whole"),
         F.array_distinct(F.transform(units, lambda u: F.sha2(canonical(u), 256))).alias("parts"),
+        paragraphs(F.col("text")).alias("of"),
     )
+
+    def runs(n: int) -> Column:
+        """Runs of n paragraphs in a text of more."""
+        starts = F.sequence(F.lit(1), F.size("of") - (n - 1))
+        return F.when(F.size("of") > n, F.transform(starts, lambda i: run_digest(F.slice("of", i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+    rows = rows.withColumn("parts", F.array_distinct(F.concat("parts", *[runs(n) for n in lengths])))
     found = F.concat(
         F.array(F.struct(F.lit(True).alias("entire"), F.col("whole").alias("digest"))),
         F.transform(F.array_except("parts", F.array("whole")), lambda d: F.struct(F.lit(False).alias("entire"), d.alias("digest"))),
     )
     rows = rows.select("row", "key", F.explode_outer(F.when(F.col("whole").isNotNull(), found)).alias("unit")).select("row", "key", "unit.*")
-    hits = rows.join(F.broadcast(registry(spark, known)), "digest", "left")
+    hits = rows.join(F.broadcast(names.drop("n")), "digest", "left")
     return (
         hits.groupBy("row", "key")
         .agg(

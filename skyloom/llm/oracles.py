@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import mixing
-from .licenses import COPYRIGHT_LINE, KNOWN, MARKERS, PARAGRAPHS, SPELLINGS
+from .licenses import COPYRIGHT_LINE, KNOWN, LONG, MARKERS, NOTHING, PARAGRAPHS, SPELLINGS, entitled
 
 
 def _quoted(text: str) -> str:
@@ -21,10 +21,21 @@ def _marked(text: str) -> str:
     return "(" + " or ".join(f"contains(lower({text}), '{w}')" for w in MARKERS) + ")"
 
 
+def _paragraphs(text: str) -> str:
+    """List of the digests of a text's paragraphs, without empty ones."""
+    return f"list_filter(list_transform(string_split_regex({text}, {_quoted(PARAGRAPHS)}), lambda u: sha256({_canonical('u')})), lambda d: d <> '{NOTHING}')"
+
+
 def licenses_sql() -> str:
-    known = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in KNOWN)
+    known = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in entitled(KNOWN))
+    long = ", ".join(f"({_quoted(name)}, '{text}', 0), ({_quoted(name)}, '{run}', {n})" for name, n, text, run in LONG)
     return f"""
-with registry as (select distinct license_id, sha256({_canonical("text")}) as digest from (values {known}) t(license_id, text)),
+with texts as (select license_id, text, {_paragraphs("text")} as ps from (values {known}) t(license_id, text)),
+registry as (
+  select distinct license_id, digest, n from (
+    select license_id, sha256({_canonical("text")}) as digest, 0 as n from texts
+    union all select license_id, sha256(array_to_string(ps, '')), len(ps) from texts where len(ps) > 1
+    union all select * from (values {long}) l(license_id, digest, n))),
 rows as (select row_number() over () as r, doc_id, text from documents),
 units as (
   select r, true as entire, sha256({_canonical("text")}) as digest from rows where {_marked("text")}
@@ -32,7 +43,11 @@ units as (
   select r, false, digest from (
     select distinct r, sha256({_canonical("u")}) as digest, sha256({_canonical("text")}) as whole from (
       select r, text, unnest(string_split_regex(text, {_quoted(PARAGRAPHS)}) || string_split(text, chr(10))) as u from rows where {_marked("text")}) where {_marked("u")})
-  where digest <> whole),
+  where digest <> whole
+  union all
+  select distinct r, false, sha256(array_to_string(ps[i:i + n - 1], '')) from (
+    select r, ps, n, unnest(range(1, len(ps) - n + 2)) as i from (select r, {_paragraphs("text")} as ps from rows where {_marked("text")}), (select distinct n from registry where n > 1)
+    where len(ps) > n)),
 hits as (select r, entire, license_id from units join registry using (digest))
 select doc_id, max(license_id) filter (where entire) as whole_license, count(license_id) filter (where not entire) as n_units,
   coalesce(string_agg(distinct license_id, ',' order by license_id), '') as licenses
@@ -87,10 +102,23 @@ rounds as (
 level as (select unit from rounds order by k desc limit 1),
 t as (select source, n, case when weight * unit > {mixing.MAX_EPOCHS} * n then cast({mixing.MAX_EPOCHS} * n as double) else weight * unit end as target from w, level),
 p as (
-  select d.doc_id, d.size, t.n as source_size, t.target, cast(floor(t.target) as bigint) as take,
+  select r, d.source, d.doc_id, d.size, t.n as source_size, t.target, cast(floor(t.target) as bigint) as take,
     sum(d.size) over (partition by d.source order by md5('mix:' || d.doc_id), r) - d.size as place
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
+  from d join t on d.source is not distinct from t.source),
+-- the schedule: golden-ratio points mapped through the cumulative quotas, ranked within each source
+b as (select greatest(1, least({mixing.MOST_WORDS}, cast(sum(n) // {mixing.BLOCKS} as bigint))) as block from w),
+q as (
+  select source, quota, sum(quota) over (order by source nulls last) - quota as begin_, sum(quota) over () as needed
+  from (select source, cast(ceil(floor(target) / block) as bigint) as quota from t, b)),
+lines as (select source, quota, begin_::double / needed as low, case when begin_ + quota < needed then (begin_ + quota)::double / needed else 2.0e0 end as high from q where quota > 0),
+points as (select slot, (slot + 1) * {mixing.GOLDEN!r}e0 - floor((slot + 1) * {mixing.GOLDEN!r}e0) as point from (select unnest(range(0, 3 * (select cast(max(needed) as bigint) from q) + 3)) as slot)),
+slots as (select slot, source, row_number() over (partition by source order by slot) - 1 as rank from points join lines on point >= low and point < high),
+firsts as (
+  select p.r, min(slot) as first_slot
+  from p, b, (select unnest(range(0, {mixing.MAX_EPOCHS})) as epoch) e, slots
+  where size > 0 and place + epoch * source_size < take and slots.source is not distinct from p.source and slots.rank = (place + epoch * source_size) // block
+  group by p.r)
+select doc_id, size, source_size, target, first_slot,
   cast(case when source_size = 0 then 0 else (take // source_size) * size + greatest(0, least(place + size, take % source_size) - place) end as bigint) as taken
-from p
+from p left join firsts using (r)
 """

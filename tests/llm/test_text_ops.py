@@ -195,3 +195,34 @@ def test_licences(spark):
     assert [rows[i].licenses for i in range(7)] == ["MIT", "MIT", "MIT", "", "", "", "CC-BY-NC-4.0"]
     assert rows[2].n_units == 1 and rows[6].n_units == 1 and rows[0].n_units == 0
     assert licenses.license_scan(table(spark, [])).count() == 0
+
+
+def test_licences_of_several_paragraphs_inside_a_text(spark):
+    of = {n: t for n, t in licenses.KNOWN if "\n\n" in t}
+    texts = [
+        f"My project\n\nSome words.\n\n{of['MIT']}\n\nThe end",
+        f"MIT License\n\nCopyright (c) 2021 Someone\nAll rights reserved.\n\n{of['MIT']}",
+        f"Copyright 2020 A\n\n{of['BSD-3-Clause']}\n\nmore",
+        of["BSD-2-Clause"].replace("\n\n3.", "\n3."),
+        f"{of['ISC']}\n\n{of['Apache-2.0']}",
+        of["MIT"].split("\n\n")[0] + "\n\nother words\n\n" + of["MIT"].split("\n\n")[2],
+        "words " * 30_000 + "\n\n" + of["Zlib"] + "\n\nlast",
+    ]
+    rows = {r.doc_id: r for r in licenses.license_scan(table(spark, texts)).collect()}
+    assert [rows[i].licenses for i in range(7)] == ["MIT", "MIT", "BSD-3-Clause", "BSD-2-Clause", "Apache-2.0,ISC", "", "Zlib"]
+    assert [rows[i].whole_license for i in range(7)] == [None, "MIT", None, "BSD-2-Clause", None, None, None]
+    assert rows[0].n_units == 1 and rows[4].n_units == 2
+
+
+def test_long_licences_have_the_digests_of_their_texts(spark):
+    from pathlib import Path
+
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "Artistic-1.0": "Artistic"}
+    found = {n: Path("/usr/share/common-licenses", f) for n, f in files.items()}
+    found = {n: p.read_text() for n, p in found.items() if p.exists()}
+    if not found:
+        pytest.skip("this machine has no licence texts")
+    names = list(found)
+    rows = {r.doc_id: r for r in licenses.license_scan(table(spark, [found[n] for n in names] + ["before\n\n" + found[n] + "\n\nafter" for n in names])).collect()}
+    for i, n in enumerate(names):
+        assert rows[i].whole_license == n and n in rows[len(names) + i].licenses.split(",") and rows[len(names) + i].whole_license is None
