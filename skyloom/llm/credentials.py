@@ -3,23 +3,32 @@
 The base kinds are three patterns. The added kind ``guess`` looks at values assigned to, or said to be, a
 credential, and estimates how many guesses an attacker needs: the minimum-cost segmentation of the value into
 dictionary words, dates, repeats, keyboard walks and brute-force spans, found by dynamic programming over its
-positions. A value whose cost reaches ``min_log10`` becomes a span unless it overlaps a base span.
+positions. Every span that is a word, date, repeat or walk by itself is relaxed, so the cost is the least over all
+segmentations. A value whose cost reaches ``min_log10`` becomes a span unless it overlaps a base span.
+
+The dictionary is a fixed list of frequent passwords and the ``DICTIONARY`` most frequent words of the corpus itself
+(``common_words``: number of texts that hold a word, over all texts, the values in credential contexts left out), so
+prose behind "the password is" is cheap in whatever language the corpus is. A word's rank is its number of guesses.
 
 Defined cases: null text counts as empty and has no spans; repeated rows are scanned row by row; a span is in
-code points, end exclusive; extra columns are ignored; an empty table gives an empty table.
+code points, end exclusive; a word of the corpus counts from ``LEAST_TEXTS`` texts on, ties go by the word; extra columns
+are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
+import uuid
+from collections import Counter
+from collections.abc import Iterator
 from math import log10
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import arrow_map, texts
+from .common import arrow_map, small_batches, texts
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -65,75 +74,161 @@ ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrs
 LEET = str.maketrans("0134578@$!", "oieastbasi")
 RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
 DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0[1-9]|1[0-2])(?:\1(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])(?:0[1-9]|1[0-2])(?:19|20)\d\d")
+DATE_LENGTHS = (4, 6, 7, 8, 10)
 DATE_GUESSES = 365 * 120
-#: The longest span that counts as one repeat; longer ones are several segments.
-MAX_REPEAT = 64
+#: Most characters of one word, one repeat and its unit; the least of a word and a walk.
+LONGEST_WORD, LONGEST_REPEAT, LONGEST_UNIT, SHORTEST = 24, 64, 4, 3
+#: Words of the corpus that become a dictionary, and texts that must hold each.
+DICTIONARY, LEAST_TEXTS = 100_000, 20
+LETTERS = re.compile(r"[^\W\d_]{3,24}")
+SEPARATE, UPPER, LEETED = 0.3, 0.3, 0.6  # log10 of the guesses for one more segment, for capitals, for letters replaced
+
+
+class Guesser:
+    """Guess costs with a dictionary of words and their ranks; keeps the costs of a few thousand values."""
+
+    def __init__(self, ranks: dict[str, int] | None = None):
+        self.ranks = dict(ranks or {})
+        for word, rank in RANK.items():
+            self.ranks[word] = min(rank, self.ranks.get(word, rank))
+        self.known: dict[str, float] = {}
+
+    def cost(self, value: str) -> float:
+        """log10 of the guesses for the cheapest segmentation of a value."""
+        if value not in self.known:
+            if len(self.known) >= 4096:
+                self.known.clear()
+            self.known[value] = self._cost(value)
+        return self.known[value]
+
+    def _cost(self, value: str) -> float:
+        n = len(value)
+        low = value.lower()
+        if len(low) != n:
+            low = value  # a character that has no lower case of one character
+        plain = low.translate(LEET)
+        brute = log10(max(alphabet(value), 2))
+        cost = [0.0] + [float("inf")] * n
+
+        def relax(i: int, j: int, guesses: float) -> None:
+            cost[j] = min(cost[j], cost[i] + (SEPARATE if i else 0.0) + guesses)
+
+        for i in range(n):
+            cost[i + 1] = min(cost[i + 1], cost[i] + brute)
+            for j in range(i + SHORTEST, min(n, i + LONGEST_WORD) + 1):
+                if rank := self.ranks.get(low[i:j]):
+                    relax(i, j, log10(rank + 1) + (UPPER if value[i:j] != low[i:j] else 0.0))
+                if (rank := self.ranks.get(plain[i:j])) and plain[i:j] != low[i:j]:
+                    relax(i, j, log10(rank + 1) + LEETED)
+            if value[i].isdigit():
+                for length in DATE_LENGTHS:
+                    if i + length <= n and DATE.fullmatch(value, i, i + length):
+                        relax(i, i + length, log10(DATE_GUESSES))
+            for width in range(1, LONGEST_UNIT + 1):
+                j = i + width
+                while j + width <= min(n, i + LONGEST_REPEAT) and low[j : j + width] == low[i : i + width]:
+                    j += width
+                    relax(i, j, width * brute + log10((j - i) // width))
+            for row in ROWS:  # keyboard walks and sequences, either way
+                for line in (row, row[::-1]):
+                    at, j = line.find(low[i]), i
+                    while 0 <= at < len(line) and j < n and low[j] == line[at]:
+                        j, at = j + 1, at + 1
+                        if j - i >= SHORTEST:
+                            relax(i, j, log10(len(row) * 2 * (j - i)))
+        return cost[n]
+
+
+def alphabet(value: str) -> int:
+    """Characters of the classes that a value draws from."""
+    return 10 * any(c.isdigit() for c in value) + 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 33 * any(not c.isalnum() for c in value)
+
+
+#: The last guesser that this worker has used, by the name of its dictionary: tasks of one job share it.
+_LAST: dict[str, Guesser] = {}
+
+
+def _guesser(named: tuple[str, dict[str, int]]) -> Guesser:
+    name, ranks = named
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = Guesser(ranks)
+    return _LAST[name]
+
+
+_FIXED = Guesser()
 
 
-@lru_cache(maxsize=4096)
 def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest segmentation of a value."""
-    n = len(value)
-    low = value.lower()
-    plain = low.translate(LEET)
-    alphabet = 10 * any(c.isdigit() for c in value) + 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 33 * any(not c.isalnum() for c in value)
-    brute = log10(max(alphabet, 2))
-    cost = [0.0] + [float("inf")] * n
-    for i in range(n):
-        base = cost[i]
-        if i:
-            base += 0.3  # another segment doubles the guesses
-        cost[i + 1] = min(cost[i + 1], cost[i] + brute)
-        for j in range(i + 3, min(n, i + 12) + 1):  # words, as they stand or with letters replaced
-            if rank := RANK.get(low[i:j]):
-                upper = 0.3 if value[i:j] != low[i:j] else 0.0
-                cost[j] = min(cost[j], base + log10(rank + 1) + upper)
-            elif rank := RANK.get(plain[i:j]):
-                cost[j] = min(cost[j], base + log10(rank + 1) + 0.6)
-        if m := DATE.match(value, i):
-            cost[m.end()] = min(cost[m.end()], base + log10(DATE_GUESSES))
-        for width in range(1, 5):  # repeats of up to four characters
-            j = i + width
-            while j + width <= min(n, i + MAX_REPEAT) and low[j : j + width] == low[i : i + width]:
-                j += width
-                cost[j] = min(cost[j], base + width * brute + log10((j - i) // width))
-        for row in ROWS:  # keyboard walks and sequences, either way
-            for line in (row, row[::-1]):
-                at, j = line.find(low[i]), i
-                while at >= 0 and j < n and at < len(line) and low[j] == line[at]:
-                    j, at = j + 1, at + 1
-                if j - i >= 3:
-                    cost[j] = min(cost[j], base + log10(len(row) * 2 * (j - i)))
-    return cost[n]
-
-
-def scan(text: str, min_log10: float = 12.0) -> list[tuple[int, str, int]]:
+    """The cost by the fixed list of passwords alone."""
+    return _FIXED.cost(value)
+
+
+def _held(low: str, words: tuple[str, ...]) -> bool:
+    return any(w in low for w in words)
+
+
+def without_values(text: str) -> str:
+    """A text without what its patterns take for credentials, so that these do not become words of the dictionary."""
+    low = text.lower()
+    if _held(low, ASSIGN_WORDS):
+        text = ASSIGN.sub(" ", text)
+    return CONTEXT.sub(" ", text) if _held(low, CONTEXT_WORDS) else text
+
+
+def common_words(docs: DataFrame, text: str = "text", size: int = DICTIONARY, least: int = LEAST_TEXTS) -> dict[str, int]:
+    """The ``size`` most frequent words of all texts and their ranks, from 1."""
+    small_batches(docs.sparkSession)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
+        for batch in batches:
+            for t in texts(batch):
+                found.update(set(LETTERS.findall(without_values(t).lower())))
+            if len(found) > 200_000:  # a bounded table, handed on as it fills
+                yield _counts(found)
+                found.clear()
+        yield _counts(found)
+
+    rows = docs.select(docs[text].alias("text")).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = rows.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(size).toArrow()  # at most ``size`` words
+    return {w: i + 1 for i, w in enumerate(top.column("word").to_pylist())}
+
+
+def _counts(found: Counter[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"word": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+
+
+def scan(text: str, min_log10: float = 12.0, guesser: Guesser = _FIXED) -> list[tuple[int, str, int]]:
     """Spans (start, kind, end) of a text, by start and then by kind in the order of KINDS."""
     spans = []
     low = text.lower()
-    if any(w in low for w in ASSIGN_WORDS):
+    if _held(low, ASSIGN_WORDS):
         spans += [(m.start(), "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         spans += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     spans += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
     base = sorted(spans, key=lambda s: s[0])
-    if any(w in low for w in CONTEXT_WORDS):
+    if _held(low, CONTEXT_WORDS):
         for m in CONTEXT.finditer(text):
             start, value = m.start(1), m[1].rstrip("\"',;.)")
             end = start + len(value)
-            if len(value) >= 6 and guess_cost(value) >= min_log10 and not any(a < end and start < b for a, _, b in base):
+            if len(value) >= 6 and guesser.cost(value) >= min_log10 and not any(a < end and start < b for a, _, b in base):
                 spans.append((start, "guess", end))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
-def secret_spans(docs: DataFrame, min_log10: float = 12.0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key and ``found``, an array of (kind, start, end)."""
+def secret_spans(docs: DataFrame, min_log10: float = 12.0, key: str = "doc_id", text: str = "text", ranks: dict[str, int] | None = None) -> DataFrame:
+    """Per row: key and ``found``, an array of (kind, start, end). ``ranks``: the dictionary, by default that of ``docs``."""
+    ranks = common_words(docs, text) if ranks is None else ranks
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, ranks))
 
     def make():
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+        guesser = _guesser(shared.value)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [[{"kind": k, "start": a, "end": b} for a, k, b in scan(t, min_log10)] for t in texts(batch)]
+            found = [[{"kind": k, "start": a, "end": b} for a, k, b in scan(t, min_log10, guesser)] for t in texts(batch)]
             return pa.RecordBatch.from_pydict({key: batch.column(key), "found": pa.array(found, kind)})
 
         return step

@@ -105,6 +105,12 @@ class Hasher:
         return out
 
 
+@lru_cache(maxsize=1)
+def _hasher() -> Hasher:
+    """The hasher of this worker, shared by its tasks."""
+    return Hasher()
+
+
 def sketch(shingles: np.ndarray) -> np.ndarray:
     """One key per hash order: the hash of the TAKEN least labelled shingles in text order."""
     a, b = _orders()
@@ -155,7 +161,7 @@ def nodes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     kind = docs.schema[key].dataType.simpleString()
 
     def make():
-        hasher = Hasher()
+        hasher = _hasher()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: dict[str, list] = {"node": [], "n": [], "keys": []}
@@ -204,7 +210,7 @@ def _verified(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
         both = both.join(bodies.select(F.col("id").alias(end), F.col("text").alias(name)), end)
 
     def make():
-        hasher = Hasher()
+        hasher = _hasher()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             known: dict[int, np.ndarray] = {}  # a batch has one text in many pairs
@@ -298,7 +304,7 @@ def _tile_links(members: DataFrame, bodies: DataFrame, least: float) -> DataFram
     rows = _tiled(rows, TEXT_TILE, ("component", "text"))
 
     def compare(table: pa.Table) -> pa.Table:
-        hasher, head = Hasher(), {}
+        hasher, head = _hasher(), {}
         asks, query = table.column("asks").to_numpy(), table.column("query").to_pylist()
         ids, parts, bodies_ = (table.column(c).to_pylist() for c in ("id", "component", "text"))
         seqs = [_sequence(hasher, t) for t in bodies_]

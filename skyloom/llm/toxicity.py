@@ -1,7 +1,7 @@
 """Toxicity (operator 9): a learned lexicon, Levenshtein automata on its trie, and context windows.
 
-Learning. From a bounded sample of labelled rows (``SAMPLE_ROWS``, by hash order, never more than that) the words
-and word beginnings whose share among toxic texts is surely higher than among clean ones become the lexicon, with the
+Learning. From a bounded sample of labelled rows (``SAMPLE_ROWS``, by hash order, never more than that, however often
+an id is repeated) all words and word beginnings whose share among toxic texts is surely higher than among clean ones become the lexicon, with the
 lower bound of their log odds ratio as weight. A logistic model over a few features of a text's hits gives the score.
 
 Matching. The lexicon is a trie. ``Automaton`` is its product with the Levenshtein automaton of distance one, made
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,7 +35,6 @@ from pyspark.sql import functions as F
 from .common import arrow_map, small_batches, texts, written
 
 SAMPLE_ROWS = 20_000
-LEXICON_TERMS = 3_000
 LEAST_TEXTS = 3
 LEAST_WEIGHT = 1.6
 PREFIXES = (4, 5, 6)
@@ -228,17 +228,24 @@ def _pruned(lexicon: dict[str, float]) -> dict[str, float]:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame) -> dict:
-    """A model from the labelled rows outside fold 0; ``docs`` needs doc_id and text, ``labels`` doc_id and toxic."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text and toxic of the labelled rows outside fold 0: SAMPLE_ROWS of them at most, the first by the hash of id and text."""
     chosen = labels.where((fold("doc_id") != 0) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(SAMPLE_ROWS)
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "sample")  # SAMPLE_ROWS rows of ids
+    rows = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "sample")  # SAMPLE_ROWS rows of ids
+    if rows.count() > SAMPLE_ROWS:  # ids that several rows share
+        rows = written(rows.orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "doc_id", "text", "toxic").limit(SAMPLE_ROWS), "sample")
+    return rows.select("text", "toxic")
+
+
+def train(docs: DataFrame, labels: DataFrame) -> dict:
+    """A model from the labelled rows outside fold 0; ``docs`` needs doc_id and text, ``labels`` doc_id and toxic."""
+    small_batches(docs.sparkSession)
+    sample = training_rows(docs, labels)
     counts = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     bad, good = counts.get(1, 0), counts.get(0, 0)
     if not bad or not good:
-        return {"share": bad / (bad + good) if bad + good else 0.0}
+        return {"name": uuid.uuid4().hex, "share": bad / (bad + good) if bad + good else 0.0}
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     sure = odds - 1.64 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     top = seen.where(F.col("bad") >= LEAST_TEXTS).select("term", "bad", sure.alias("weight")).where(F.col("weight") >= LEAST_WEIGHT)
-    top = top.orderBy(F.desc("weight"), "term").limit(LEXICON_TERMS).collect()
+    top = top.orderBy(F.desc("weight"), "term").collect()  # terms of the bounded sample
     lexicon = _pruned({r["term"]: r["weight"] for r in top})
     share = {r["term"]: r["bad"] / bad for r in top}
 
@@ -275,7 +282,19 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     table = sample.mapInArrow(rows, "x array<double>, toxic int").toArrow()  # SAMPLE_ROWS rows of eight numbers
     x, y = np.array(table.column("x").to_pylist()), np.array(table.column("toxic").to_pylist(), float)
     order = np.lexsort((*x.T, y))  # sums do not depend on the order in which tasks end
-    return {"lexicon": lexicon, "fuzzy": fuzzy, "fit": logistic(x[order], y[order])}
+    return {"name": uuid.uuid4().hex, "lexicon": lexicon, "fuzzy": fuzzy, "fit": logistic(x[order], y[order])}
+
+
+#: The last model that this worker has used, by its name: tasks of one job share automaton and cache.
+_LAST: dict[str, Model] = {}
+
+
+def _scorer(model: dict) -> Model:
+    name = model["name"]
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = Model(model)
+    return _LAST[name]
 
 
 class Model:
@@ -298,7 +317,7 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        scorer = Model(shared.value)
+        scorer = _scorer(shared.value)
         return lambda batch: pa.RecordBatch.from_pydict({key: batch.column(key), "score": pa.array(scorer.scores(texts(batch)), pa.float64())})
 
     kind = docs.schema[key].dataType.simpleString()
@@ -310,7 +329,7 @@ def keep_clean(docs: DataFrame, model: dict, threshold: float = 0.5, text: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        scorer = Model(shared.value)
+        scorer = _scorer(shared.value)
         return lambda batch: batch.filter(pa.array(scorer.scores(texts(batch, text)) < threshold))
 
     return arrow_map(docs, make, docs.schema)
