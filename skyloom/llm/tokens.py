@@ -1,27 +1,31 @@
-"""Token counts (operator 3): exact counts at every prefix of a text, by dynamic programming over chunks.
+"""Token counts (operator 3): exact counts at every prefix of a text, by dynamic programming.
 
-A byte-pair encoder never merges across a boundary that no vocabulary piece spans. For the sentencepiece
-vocabulary used here these boundaries are: before a run of word marks (spaces) and around a line break; the
-vocabulary is checked for that when it is loaded, and a vocabulary without them is encoded whole. So
+The table of a text holds count[k], the tokens of its first k code points, for every k. Inside a chunk it comes from the
+appending recurrence
 
-    count(prefix up to chunk k) = count(prefix up to chunk k - 1) + tokens(chunk k)
+    count[i] = count[i - |t|] + 1   for the one piece t that ends at i and is stable after the last piece of i - |t|
 
-is exact, and inside a chunk ``prefix_tokens`` runs the appending recurrence
+and a byte-pair encoder never merges across a boundary that no vocabulary piece spans, so chunks follow each other by
 
-    count[i] = count[i - |t|] + 1   for the one piece t that ends at i and is stable after the last piece of i - |t|
+    count(prefix that ends in chunk k) = count(text before chunk k) + count(prefix of chunk k)
 
-so truncation and budget questions are answered from stored counts, without encoding a prefix again.
+For the sentencepiece vocabulary used here these boundaries are: before a run of word marks (spaces) and around a line
+break; the vocabulary is checked for that when it is loaded, and a vocabulary without them is one chunk a text. The rows
+of a chunk are kept in a bounded cache. A chunk whose last count is not the library's (none is known) gets all its counts from the
+library.
 
-Defined cases: null text counts as empty; empty text has 0 tokens and 0 bytes; ties and repeated rows are
+``prefix_table`` stores the table as the steps count[k] - count[k - 1], one signed byte for each code point.
+``answers`` and ``prefix_counts`` read stored tables: the total, whether it is above a limit, the longest prefix within a
+budget, and the tokens of a truncated text, none of which encodes anything again. ``token_counts`` is both in a row.
+
+Defined cases: null text counts as empty; empty text has 0 tokens and 0 bytes and an empty table; ties and repeated rows are
 counted row by row; extra columns are ignored by ``token_counts``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,7 @@ from .common import arrow_map, texts
 
 #: Entries of a worker's chunk cache; a full cache takes no more, which changes speed only.
 CACHE_ENTRIES = 600_000
+CACHED_LENGTH = 200
 MARK = "▁"
 CHUNKS = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
@@ -47,8 +52,16 @@ class PrefixCounter:
         self.longest = max(map(len, self.pieces))
         self.bytes = np.array([1 if self.model.is_byte(i) else len(p.encode()) for i, p in enumerate(pieces)])
         self.splits = not any("\n" in p or re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces)
-        self.cache: dict[str, int] = {}
+        if self.longest > 100:
+            raise ValueError("pieces of over 100 characters: a step may not fit a byte")
+        self.cache: dict[str, bytes] = {}
         self.stable: dict[tuple[str, str], bool] = {}
+        self.endings: dict = {}  # trie of the pieces from their last character; a piece stands under the empty string
+        for piece in self.pieces:
+            node = self.endings
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = piece
 
     def chunks(self, text: str) -> list[str]:
         """The parts of a text that no piece crosses, with spaces as word marks and the leading mark added."""
@@ -72,77 +85,82 @@ class PrefixCounter:
         ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(c.encode()) for c in led])) + 1
         return np.diff(ends, prepend=0).tolist()
 
-    def sizes(self, chunks: list[str]) -> list[int]:
-        """Tokens of each chunk."""
-        cache = self.cache
-        found = [cache.get(c) for c in chunks]
-        if None in found:
-            fresh = {c for c, n in zip(chunks, found, strict=True) if n is None}
-            led = [c for c in fresh if c[0] == MARK and c != MARK and c[-1] != MARK]
-            rest = [c for c in fresh if c[0] != MARK or c[-1] == MARK]
-            new = {c: len(self._encode(c)) for c in rest}
-            new.update(zip(led, self._sizes_joined(led), strict=True))
-            found = [new[c] if n is None else n for c, n in zip(chunks, found, strict=True)]
-            if len(cache) < CACHE_ENTRIES:
-                cache.update(new)
-        return found
+    def _sizes(self, chunks: list[str]) -> dict[str, int]:
+        """The library's tokens of each chunk."""
+        led = [c for c in chunks if c[0] == MARK and c != MARK and c[-1] != MARK]
+        rest = [c for c in chunks if c[0] != MARK or c[-1] == MARK]
+        return {c: len(self._encode(c)) for c in rest} | dict(zip(led, self._sizes_joined(led), strict=True))
 
-    def count(self, text: str) -> int:
-        return sum(self.sizes(self.chunks(text)))
+    def _steps(self, chunk: str, tokens: int) -> bytes:
+        counts = self.prefix_tokens(chunk)
+        if counts[-1] != tokens:
+            counts = [0] + [len(self._encode(chunk[:i])) for i in range(1, len(chunk) + 1)]
+        return bytes([b - a & 255 for a, b in zip(counts, counts[1:], strict=False)])
 
-    def table(self, text: str) -> tuple[list[int], list[int], list[str]]:
-        """Code points and exact tokens up to the end of each chunk, and the chunks."""
+    def table(self, text: str) -> np.ndarray:
+        """count[k] - count[k - 1] for each code point of a text, as signed bytes."""
         chunks = self.chunks(text)
-        ends = [n - 1 for n in accumulate(map(len, chunks))]  # without the added mark
-        return ends, list(accumulate(self.sizes(chunks))), chunks
-
-    def _follows(self, left: str, right: str) -> bool:
-        key = (left, right)
-        if key not in self.stable:
-            if len(self.stable) > CACHE_ENTRIES:
-                self.stable.clear()
-            self.stable[key] = self._encode(left + right) == [left, right]
-        return self.stable[key]
+        if not chunks:
+            return np.zeros(0, np.int8)
+        found = list(map(self.cache.get, chunks))
+        if None in found:
+            fresh = list(dict.fromkeys(c for c, steps in zip(chunks, found, strict=True) if steps is None))
+            sizes = self._sizes(fresh)
+            new = {c: self._steps(c, sizes[c]) for c in fresh}
+            found = [new[c] if steps is None else steps for c, steps in zip(chunks, found, strict=True)]
+            if len(self.cache) < CACHE_ENTRIES:
+                self.cache.update((c, steps) for c, steps in new.items() if len(c) <= CACHED_LENGTH)
+        steps = np.frombuffer(b"".join(found), np.int8)
+        out = steps[1:].copy()
+        out[0] += steps[0]  # the added mark comes with the first code point
+        return out
+
+    def _follows(self, pair: tuple[str, str]) -> bool:
+        if len(self.stable) > CACHE_ENTRIES:
+            self.stable.clear()
+        found = self.stable[pair] = self._encode(pair[0] + pair[1]) == list(pair)
+        return found
 
     def prefix_tokens(self, chunk: str) -> list[int]:
         """Exact tokens of each prefix of a chunk, from 0 to its length."""
-        count, last = [0], [""]
+        count, last, stable = [0], [""], self.stable.get
         for i in range(1, len(chunk) + 1):
-            best = None
-            for n in range(min(i, self.longest), 0, -1):
-                piece = chunk[i - n : i]
-                if piece in self.pieces and last[i - n] is not None and (not last[i - n] or self._follows(last[i - n], piece)):
-                    best = (count[i - n] + 1, piece)
+            node, k, ends, best = self.endings, i, [], None
+            while k:
+                node = node.get(chunk[k - 1])
+                if node is None:
                     break
+                k -= 1
+                if "" in node:
+                    ends.append((k, node[""]))
+            while ends:  # the longest that is stable
+                k, piece = ends.pop()
+                before = last[k]
+                if before:
+                    fits = stable((before, piece))
+                    if not fits and (fits is not None or not self._follows((before, piece))):
+                        continue
+                best = (k, piece)
+                break
             if best is None:  # a character outside the vocabulary becomes its bytes, which merge with nothing
-                best = (count[i - 1] + len(chunk[i - 1].encode()), "")
-            count.append(best[0])
-            last.append(best[1])
+                count.append(count[-1] + len(chunk[i - 1].encode()))
+                last.append("")
+            else:
+                count.append(count[best[0]] + 1)
+                last.append(best[1])
         return count
 
-    def prefix_count(self, text: str, chars: int) -> int:
-        """Tokens of text[:chars], from the table."""
-        if chars <= 0 or not text:
-            return 0
-        ends, counts, chunks = self.table(text)
-        k = bisect_left(ends, min(chars, len(text)))
-        start = ends[k - 1] if k else -1
-        return (counts[k - 1] if k else 0) + self.prefix_tokens(chunks[k])[min(chars, len(text)) - start]
-
-    def longest_prefix(self, text: str, budget: int) -> int:
-        """The most code points of a prefix with no more than ``budget`` tokens."""
-        ends, counts, chunks = self.table(text)
-        if not counts or counts[-1] <= budget:
-            return len(text)
-        k = next(i for i, n in enumerate(counts) if n > budget)
-        while k >= 0:
-            before, start = (counts[k - 1], ends[k - 1]) if k else (0, -1)
-            inside = self.prefix_tokens(chunks[k])
-            for i in range(len(chunks[k]), 0, -1):
-                if before + inside[i] <= budget and start + i >= 0:
-                    return start + i
-            k -= 1
-        return 0
+
+def counts_of(steps: np.ndarray) -> np.ndarray:
+    """count[k] for k from 0, of a stored table."""
+    out = np.zeros(len(steps) + 1, np.int64)
+    np.cumsum(steps, out=out[1:])
+    return out
+
+
+def longest_prefix(counts: np.ndarray, budget: int) -> int:
+    """The most code points of a prefix with no more than ``budget`` tokens."""
+    return int(np.flatnonzero(counts <= budget)[-1]) if budget >= 0 else 0
 
 
 @lru_cache(maxsize=4)
@@ -150,42 +168,60 @@ def counter(model_file: str) -> PrefixCounter:
     return PrefixCounter(model_file)
 
 
-def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_bytes, n_tokens, over_limit, and fit_chars, the longest prefix within ``limit`` tokens."""
+def prefix_table(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key, n_bytes and ``steps``, the stored table of its text."""
 
     def make():
         count = counter(model_file)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = texts(batch)
-            tokens = [count.count(t) for t in rows]
+            tables = pa.array([count.table(t).tobytes() for t in rows], pa.binary())
+            return pa.RecordBatch.from_pydict({key: batch.column(key), "n_bytes": pa.array([len(t.encode()) for t in rows], pa.int64()), "steps": tables})
+
+        return step
+
+    kind = docs.schema[key].dataType.simpleString()
+    return arrow_map(docs.select(key, docs[text].alias("text")), make, f"{key} {kind}, n_bytes long, steps binary")
+
+
+def answers(tables: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
+    """Per stored table: key, n_bytes, n_tokens, over_limit, and fit_chars, the longest prefix within ``limit`` tokens."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            counts = [counts_of(np.frombuffer(b, np.int8)) for b in batch.column("steps").to_pylist()]
+            tokens = [int(c[-1]) for c in counts]
             return pa.RecordBatch.from_pydict(
                 {
                     key: batch.column(key),
-                    "n_bytes": pa.array([len(t.encode()) for t in rows], pa.int64()),
+                    "n_bytes": batch.column("n_bytes"),
                     "n_tokens": pa.array(tokens, pa.int64()),
-                    "over_limit": pa.array([n > limit for n in tokens]),
-                    "fit_chars": pa.array([len(t) if n <= limit else count.longest_prefix(t, limit) for t, n in zip(rows, tokens, strict=True)], pa.int64()),
+                    "over_limit": pa.array([n > limit for n in tokens], pa.bool_()),
+                    "fit_chars": pa.array([longest_prefix(c, limit) for c in counts], pa.int64()),
                 }
             )
 
         return step
 
-    kind = docs.schema[key].dataType.simpleString()
-    return arrow_map(docs.select(key, docs[text].alias("text")), make, f"{key} {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    kind = tables.schema[key].dataType.simpleString()
+    return arrow_map(tables.select(key, "n_bytes", "steps"), make, f"{key} {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
 
 
-def prefix_table(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row the stored prefix table: ``ends`` (code points) and ``counts`` (exact tokens up to there)."""
+def prefix_counts(tables: DataFrame, chars: int, key: str = "doc_id") -> DataFrame:
+    """Per stored table: key and n_tokens of the text cut to ``chars`` code points."""
 
     def make():
-        count = counter(model_file)
-
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            tables = [count.table(t)[:2] for t in texts(batch)]
-            return pa.RecordBatch.from_pydict({key: batch.column(key), "ends": pa.array([t[0] for t in tables], pa.list_(pa.int32())), "counts": pa.array([t[1] for t in tables], pa.list_(pa.int32()))})
+            found = [int(np.frombuffer(b, np.int8)[: max(0, chars)].sum(dtype=np.int64)) for b in batch.column("steps").to_pylist()]
+            return pa.RecordBatch.from_pydict({key: batch.column(key), "n_tokens": pa.array(found, pa.int64())})
 
         return step
 
-    kind = docs.schema[key].dataType.simpleString()
-    return arrow_map(docs.select(key, docs[text].alias("text")), make, f"{key} {kind}, ends array<int>, counts array<int>")
+    kind = tables.schema[key].dataType.simpleString()
+    return arrow_map(tables.select(key, "steps"), make, f"{key} {kind}, n_tokens long")
+
+
+def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key, n_bytes, n_tokens, over_limit, and fit_chars, the longest prefix within ``limit`` tokens."""
+    return answers(prefix_table(docs, model_file, key, text), limit, key)

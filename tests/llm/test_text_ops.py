@@ -26,7 +26,7 @@ def table(spark, rows):
 @given(st.text(alphabet="ab étheing \n▁.<s>1ﬁ😀", max_size=30))
 def test_prefix_counts_equal_the_library(text):
     counter = tokens.counter(PIECES)
-    assert [counter.prefix_count(text, k) for k in range(len(text) + 1)] == [len(counter.model.encode(text[:k])) for k in range(len(text) + 1)]
+    assert tokens.counts_of(counter.table(text)).tolist() == [len(counter.model.encode(text[:k])) for k in range(len(text) + 1)]
 
 
 def test_longest_prefix_is_the_longest():
@@ -34,7 +34,21 @@ def test_longest_prefix_is_the_longest():
     text = "The thonnerish wordly 😀 things.\nAnd more, éléments!"
     for budget in range(0, 30):
         want = max(k for k in range(len(text) + 1) if len(counter.model.encode(text[:k])) <= budget)
-        assert counter.longest_prefix(text, budget) == want
+        assert tokens.longest_prefix(tokens.counts_of(counter.table(text)), budget) == want
+
+
+def test_stored_tables_answer_truncation_and_budgets(spark, tmp_path):
+    counter = tokens.counter(PIECES)
+    texts = [*HARD, "Some wordly things, éléments and 😀.\n" * 400]
+    tokens.prefix_table(table(spark, texts), PIECES).write.parquet(str(tmp_path / "tables"))
+    stored = spark.read.parquet(str(tmp_path / "tables"))
+    for chars in (0, 1, 7, 1000):
+        got = {r.doc_id: r.n_tokens for r in tokens.prefix_counts(stored, chars).collect()}
+        assert got == {i: len(counter.model.encode((t or "")[:chars])) for i, t in enumerate(texts)}
+    for r in tokens.answers(stored, 9).collect():
+        t = texts[r.doc_id] or ""
+        assert r.n_tokens == len(counter.model.encode(t)) and r.over_limit == (r.n_tokens > 9)
+        assert r.fit_chars == max(k for k in range(min(len(t), 400) + 1) if len(counter.model.encode(t[:k])) <= 9)
 
 
 def test_token_counts_of_hard_rows(spark):
