@@ -35,6 +35,21 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(vectors(spark, []), F.col("vec_id") == 1).count() == 0
 
 
+def test_top_k_over_many_shards_and_huge_numbers(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 100)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(0, 0.2, 12).tolist(), "x") for i in range(900)] + [(1000, [1e306] * 12, "x"), (1001, [float("inf")] * 12, "x"), (1002, [1e15] * 12, "x"), (1100, [0.1] * 20, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, hits string")
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, k=7).collect()
+    fine = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v, _ in rows if np.isfinite(1024 * np.array(v)).all()]
+    want = []
+    for i, v in fine:
+        if i % 50 == 0:
+            best = sorted((-min(topk.LONG, max(-topk.LONG - 1, sum(a * b for a, b in zip(v, w)))), j) for j, w in fine if j != i)[:7]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
 def test_large_scores_saturate():
     big = np.array([[1e15, 1e15]])
     assert topk.exact(big, np.array([1e15, 1e15]))[0] == topk.LONG
