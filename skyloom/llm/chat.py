@@ -11,9 +11,10 @@ and (in ROLE) ``"`` are escaped by a backslash before them, so no text can open
 back the exact roles and texts. ``loss`` holds the spans of the assistant texts in the formatted string.
 
 Defined cases: null text and null role are empty; an empty conversation has no row; a reply to a node that is not
-in the tree starts a tree of its own; nodes that only reply to each other in a circle are on no path from a root
-and raise an error; rows with one turn number follow each other by role, then text; repeated rows are turns of
-their own; a null conversation id is one conversation; extra columns are ignored.
+in the tree starts a tree of its own; where nodes reply to each other in a circle, the least node of the circle starts a
+tree as if it replied to none; branches of one score rank by their leaf; rows with one turn number follow each other by role, then text; repeated rows are turns of
+their own; a null conversation id is one conversation; extra columns are ignored. A conversation is one string, so its
+turns meet in one task; no other step gathers one.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, written
+from .common import Scratch, arrow_map
 
 ESCAPED = re.compile(r'\\|</?turn|"')
 ESCAPED_TEXT = re.compile(r"\\|</?turn")
@@ -84,28 +85,50 @@ def _on(*names: str) -> Column:
     return out
 
 
+def _jumps(links: DataFrame, limit: int, scratch: Scratch) -> list[DataFrame]:
+    """Table k has each node's ancestor at distance 2^k. The last is empty, or its distance is above ``limit``, the number of nodes,
+    so that its ancestors stand in circles."""
+    jumps = [links.where("up is not null")]
+    while not jumps[-1].isEmpty() and 2 ** (len(jumps) - 1) <= limit:
+        last = jumps[-1]
+        jumps.append(scratch.write(last.alias("l").join(last.alias("r"), _on("conv_id", "up=node")).select("l.conv_id", "l.node", "r.up"), "jumps"))
+    return jumps
+
+
+def _circle_heads(jumps: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """(conv_id, node): the least node of each circle. All that is a far ancestor stands in a circle; the least of a circle is
+    found by doubling the distance over which each node has looked."""
+    inside = jumps[-1].select("conv_id", F.col("up").alias("node")).distinct().alias("l")
+    seen = inside.join(jumps[0].alias("r"), _on("conv_id", "node")).select("l.conv_id", "l.node", "r.up", F.least("l.node", "r.up").alias("least"))
+    for _ in range(len(jumps)):
+        seen = scratch.write(seen, "seen")
+        seen = seen.alias("l").join(seen.alias("r"), _on("conv_id", "up=node")).select("l.conv_id", "l.node", "r.up", F.least("l.least", "r.least").alias("least"))
+    return seen.where("node = least").select("conv_id", "node")
+
+
 def paths(nodes: DataFrame, top: int | None = None) -> DataFrame:
     """(conv_id, leaf, rank, step, node) of the kept root-to-leaf paths; step 0 is the root.
 
     nodes: conv_id, node, parent, role, text, score, with one row for each (conv_id, node).
     """
+    scratch = Scratch(nodes.sparkSession)
     links = nodes.select("conv_id", "node", "parent")
     known = links.select("conv_id", F.col("node").alias("parent"))
     links = links.alias("l").join(known.alias("r"), F.col("l.parent").isNotNull() & _on("conv_id", "parent"), "left")
-    links = written(links.select("l.conv_id", "l.node", F.col("r.parent").alias("up")), "links")
-    jumps = [links.where("up is not null")]
-    # Round k: jumps[k] has each node's ancestor at distance 2^k.
+    links = scratch.write(links.select("l.conv_id", "l.node", F.col("r.parent").alias("up")), "links")
     limit = links.count()
-    while not jumps[-1].isEmpty():
-        if 2 ** (len(jumps) - 1) > limit:
-            raise ValueError("nodes reply to each other in a circle")
-        last = jumps[-1]
-        jumps.append(written(last.alias("l").join(last.alias("r"), _on("conv_id", "up=node")).select("l.conv_id", "l.node", "r.up"), "jumps"))
+    jumps = _jumps(links, limit, scratch)
+    if 2 ** (len(jumps) - 1) > limit and not jumps[-1].isEmpty():
+        cut = _circle_heads(jumps, scratch)
+        links = links.alias("l").join(cut.withColumn("cut", F.lit(True)).alias("r"), _on("conv_id", "node"), "left")
+        links = scratch.write(links.select("l.conv_id", "l.node", F.when(F.col("cut").isNull(), F.col("l.up")).alias("up")), "links")
+        scratch.drop("jumps")
+        jumps = _jumps(links, limit, scratch)
     leaves = links.alias("l").join(links.where("up is not null").alias("r"), _on("conv_id", "node=up"), "left_anti")
     reached = leaves.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("height"))
     for k in range(len(jumps) - 2, -1, -1):
         far = reached.alias("l").join(jumps[k].alias("r"), _on("conv_id", "node")).select("l.conv_id", "l.leaf", F.col("r.up").alias("node"), (F.col("l.height") + 2**k).alias("height"))
-        reached = written(reached.unionByName(far), "reached")
+        reached = scratch.write(reached.unionByName(far), "reached")
     scored = reached.alias("l").join(nodes.alias("r"), _on("conv_id", "node")).select("l.*", "r.score")
     branches = scored.groupBy("conv_id", "leaf").agg(F.sum("score").alias("score"), F.max("height").alias("top"))
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "leaf"))
@@ -116,7 +139,9 @@ def paths(nodes: DataFrame, top: int | None = None) -> DataFrame:
 
 
 def format_conversations(nodes: DataFrame, top: int | None = None) -> DataFrame:
-    """conv_id, leaf, rank, n_turns, formatted, loss (array of start and end) of each kept path."""
+    """conv_id, leaf, rank, formatted, loss (array of start and end) of each kept path."""
+    # written: the steps below read the nodes many times
+    nodes = Scratch(nodes.sparkSession).write(nodes.select("conv_id", "node", "parent", "role", "text", "score"), "nodes")
     steps = paths(nodes, top)
     filled = nodes.select("conv_id", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = steps.alias("l").join(filled.alias("r"), _on("conv_id", "node")).select("l.*", "r.role", "r.text")

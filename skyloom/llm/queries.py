@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +23,8 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # here, so that the other queries do without the vocabularies
+
     return tokens.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -37,6 +38,8 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     root = work_path(spark, "store")
     store.write_store(documents(spark, sf_dir), root, public_tokenizers.path("byte_bpe_50k.json"))
     return store.read_documents(spark, root)

@@ -250,8 +250,20 @@ def test_reply_trees(spark):
     assert got == {(1, 1): ["orphan"], (1, 2): ["q", "b", "c"], (1, 3): ["q", "a"], (None, 1): [""]}
     best = chat.format_conversations(nodes(spark, rows), top=1).collect()
     assert {(r.conv_id, r.leaf) for r in best} == {(1, 5), (None, 1)}
-    with pytest.raises(ValueError, match="circle"):
-        chat.format_conversations(nodes(spark, [(1, 1, 2, "u", "", 0.0), (1, 2, 1, "u", "", 0.0)]))
+
+
+def test_circles_start_at_their_least_node(spark):
+    rows = [(1, 5, 7, "u", "e", 0.0), (1, 7, 6, "u", "g", 0.0), (1, 6, 5, "u", "f", 0.0), (1, 8, 7, "u", "h", 1.0), (1, 9, 9, "u", "i", 0.0), (2, 1, None, "u", "a", 0.0), (2, 2, 1, "u", "b", 0.0)]
+    rows += [(3, i, i % 40 + 1, "u", str(i), 0.0) for i in range(1, 41)]
+    found = chat.format_conversations(nodes(spark, rows)).collect()
+    got = {(r.conv_id, r["rank"]): [t for _, t in chat.parse(r.formatted)] for r in found}
+    assert got == {(1, 1): ["e", "f", "g", "h"], (1, 2): ["i"], (2, 1): ["a", "b"], (3, 1): [str(i) for i in (1, *range(40, 1, -1))]}
+
+
+def test_branches_of_one_score_rank_by_their_leaf(spark):
+    rows = [(1, 1, None, "user", "q", 0.0)] + [(1, i, 1, "assistant", str(i), 0.5) for i in range(9, 1, -1)]
+    found = chat.format_conversations(nodes(spark, rows), top=3).collect()
+    assert sorted((r["rank"], r.leaf) for r in found) == [(1, 2), (2, 3), (3, 4)]
 
 
 def test_long_chain_and_empty(spark):
