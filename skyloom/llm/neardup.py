@@ -50,7 +50,7 @@ TAKEN = 4
 NEEDED, SHORT = 3, 16
 #: Nodes of a key up to which all its pairs are candidates, and nodes of a tile of sketches and of texts.
 ALL_PAIRS = 12
-TILE, TEXT_TILE = 1024, 256
+TILE, TEXT_TILE = 768, 256
 WORD = re.compile(r"\w+")
 CACHE_ENTRIES = 600_000
 #: Numbers that one step over all hash orders may hold.
