@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import asdict, dataclass, field
+import math
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import types as T
 
+from .functions import cells
+
 LAYOUT_VERSION = 1
 
 #: The canonical star table. Nothing else is stored for a star; working bands are derived at load time.
@@ -58,7 +61,8 @@ STATE_SCHEMA = T.StructType(
 
 @dataclass(frozen=True)
 class LoadRequest:
-    """What a caller wants of the star store."""
+    """What a caller wants of the star store: ``pixels`` (all if None), and with ``stitching_level`` also the stars in the ring of
+    cells of that level around them."""
 
     release: str = "dr3"
     outer_level: int = 6
@@ -85,7 +89,6 @@ class SearchConfig:
     top_k: int = 5
     min_area_arcsec2: float = 0.0
     max_side_arcsec: float = 120.0
-    extra: dict = field(default_factory=dict)
 
     def as_map(self) -> dict[str, str]:
         return {k: json.dumps(v, sort_keys=True) for k, v in sorted(asdict(self).items())}
@@ -101,9 +104,16 @@ def star_root(root: str, release: str, level: int) -> str:
     return f"{root}/stars/release={release}/level={level}"
 
 
-def star_path(root: str, release: str, level: int, pix: int, ra: float, dec: float) -> str:
-    """Hour, declination and pixel folder of a cell, from the position of its centre."""
-    return f"{star_root(root, release, level)}/h{int(ra // 15) % 24:02d}/d{int((dec + 90) // 10):02d}/outer_pix={pix}"
+def star_folder(ra: float, dec: float) -> tuple[int, int]:
+    """Hour and declination band (of ten degrees, from the south pole) of a cell's centre. Nine digits are enough to put a
+    centre on a border on the same side in every implementation of the sine."""
+    return math.floor(round(ra, 9) / 15) % 24, min(17, math.floor((round(dec, 9) + 90) / 10))
+
+
+def star_path(root: str, release: str, level: int, pix: int) -> str:
+    """Folder of a cell in the star store: hour, declination, pixel."""
+    hour, dec = star_folder(*cells.centre(pix, level))
+    return f"{star_root(root, release, level)}/hour={hour}/dec={dec}/outer_pix={pix}"
 
 
 def pass_path(root: str, pass_id: str, kind: str) -> str:

@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import geometry
+
 #: For each byte: its bits at the even places; and the bits at its even places, together.
 SPREAD = [sum((v >> b & 1) << 2 * b for b in range(8)) for v in range(256)]
 GATHER = [sum((v >> 2 * b & 1) << b for b in range(4)) for v in range(256)]
@@ -58,6 +60,11 @@ def _gather(c: Column, level: int) -> Column:
     return _by_bytes(c, GATHER, 2 * level, 4)
 
 
+def pix_of(face: Column, x: Column, y: Column, level: int) -> Column:
+    """The cell of whole in-face coordinates."""
+    return F.shiftleft(face, 2 * level).bitwiseOR(_spread(x, level)).bitwiseOR(F.shiftleft(_spread(y, level), 1))
+
+
 def ang2pix(ra: Column, dec: Column, level: int) -> Column:
     """The cell of a position in degrees; null for a null or non-finite one. Right ascension wraps."""
     n = nside(level)
@@ -79,8 +86,7 @@ def ang2pix(ra: Column, dec: Column, level: int) -> Column:
     cap_x, cap_y = F.when(north, (n - 1) - cm).otherwise(cp), F.when(north, (n - 1) - cp).otherwise(cm)
     belt = F.abs(z) <= 2.0 / 3.0
     face, x, y = (F.when(belt, p).otherwise(c) for p, c in ((belt_face, cap_face), (belt_x, cap_x), (belt_y, cap_y)))
-    pix = F.shiftleft(face, 2 * level).bitwiseOR(_spread(x, level)).bitwiseOR(F.shiftleft(_spread(y, level), 1))
-    return F.when(ra.isNotNull() & dec.isNotNull() & ~F.isnan(ra) & ~F.isnan(dec), pix)
+    return F.when(ra.isNotNull() & dec.isNotNull() & ~F.isnan(ra) & ~F.isnan(dec), pix_of(face, x, y, level))
 
 
 def face_xy(pix: Column, level: int) -> tuple[Column, Column, Column]:
@@ -143,11 +149,6 @@ def children(pix: Column, level: int, to: int) -> Column:
     return F.sequence(first, first + (4 ** (to - level) - 1))
 
 
-def traversal_rank(pix: Column) -> Column:
-    """Order in which most neighbours in the list are neighbours on the sky: the nested number itself."""
-    return _long(pix)
-
-
 def corners(spark: SparkSession, level: int, cells: DataFrame | None = None) -> DataFrame:
     """(pix, vertex): the four corners of each cell; a vertex is named by its rounded unit vector."""
     cells = spark.range(npix(level)).withColumnRenamed("id", "pix") if cells is None else cells.select("pix")
@@ -167,3 +168,36 @@ def neighbours(spark: SparkSession, level: int) -> DataFrame:
     own = corners(spark, level)
     other = own.select(F.col("pix").alias("nbr"), "vertex")
     return own.join(other, "vertex").where("pix <> nbr").select("pix", "nbr").distinct()
+
+
+def centre(pix: int, level: int) -> tuple[float, float]:
+    """(ra, dec) of one cell's centre, in degrees, for paths and plans on the driver."""
+    n, inside = nside(level), pix & (4**level - 1)
+    x, y = (sum((inside >> (2 * b + k) & 1) << b for b in range(level)) + 0.5 for k in (0, 1))
+    row, column = divmod(pix >> 2 * level, 4)
+    r = row + 2 - (x + y) / n
+    w = min(1.0, r, 4 - r)
+    z = math.copysign(1 - w * w / 3, 2 - r) if w < 1 else (2 - r) * 2.0 / 3.0
+    return 45.0 * ((2 * column + (row != 1)) * w + (x - y) / n) / w % 360.0, math.degrees(math.asin(z))
+
+
+#: Directions in which a corner is left to find the cells around it.
+AROUND = [(math.cos(k * math.pi / 4 + 0.1), math.sin(k * math.pi / 4 + 0.1)) for k in range(8)]
+
+
+def neighbours_of(pixels: DataFrame, level: int, pix: str = "pix") -> DataFrame:
+    """(pix, nbr) of the given cells only: the cells found by short steps from each corner. No table of the whole sky is made."""
+    face, x, y = face_xy(F.col("pix"), level)
+    at = pixels.select(F.col(pix).alias("pix")).where("pix is not null").distinct()
+    at = at.select("pix", F.explode(F.array(*[F.struct(face.alias("face"), (x + a).alias("x"), (y + b).alias("y")) for a in (0, 1) for b in (0, 1)])).alias("c"))
+    ra, dec, _ = position(F.col("c.face"), F.col("c.x"), F.col("c.y"), level)
+    at = bound(at, ra=ra, dec=dec).select("pix", "ra", "dec", F.explode(F.array(*[F.struct(F.lit(e).alias("east"), F.lit(n).alias("north")) for e, n in AROUND])).alias("s"))
+    step = math.radians(resolution_arcsec(level) / 3600) * 1e-3
+    a, d, east, north = F.radians("ra"), F.radians("dec"), F.col("s.east") * step, F.col("s.north") * step
+    point = (
+        F.cos(d) * F.cos(a) - east * F.sin(a) - north * F.sin(d) * F.cos(a),
+        F.cos(d) * F.sin(a) + east * F.cos(a) - north * F.sin(d) * F.sin(a),
+        F.sin(d) + north * F.cos(d),
+    )
+    ra, dec = geometry.ra_dec(*point)
+    return with_cell(bound(at, ra=ra, dec=dec), "ra", "dec", level, "nbr").where("pix <> nbr").select("pix", "nbr").distinct()

@@ -70,11 +70,10 @@ def prepared(stars: DataFrame, request: LoadRequest) -> DataFrame:
 def load_stitched(stars: DataFrame, pixels: DataFrame, level: int, request: LoadRequest = LoadRequest()) -> DataFrame:
     """For each wanted cell (``pix``), the prepared stars of the cell and of its neighbours at ``level``.
 
-    The neighbour table has at most nine rows per wanted cell; it is joined by cell, so Spark broadcasts it when it is
-    small and shuffles it when it is not.
+    The neighbour table has at most nine rows per wanted cell and is made from these cells alone; it is joined by cell, so Spark
+    broadcasts it when it is small and shuffles it when it is not.
     """
-    spark = stars.sparkSession
-    wanted = pixels.select("pix").distinct()
-    around = cells.neighbours(spark, level).join(wanted, "pix").unionByName(wanted.withColumn("nbr", F.col("pix")))
+    wanted = pixels.select("pix").where("pix is not null").distinct()
+    around = cells.neighbours_of(wanted, level).unionByName(wanted.withColumn("nbr", F.col("pix")))
     out = cells.with_cell(prepared(stars, request), "gaia_ra", "gaia_dec", level, "nbr")
     return out.join(around, "nbr").withColumn("own", F.col("pix") == F.col("nbr"))

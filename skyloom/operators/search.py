@@ -8,8 +8,12 @@ and the wrap of right ascension need no care. The work of a cell grows with its
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..contracts import SearchConfig
 from ..functions import cells, geometry
@@ -69,10 +73,20 @@ def triples(found: DataFrame, radius_arcsec: float, min_separation_arcsec: float
     return out.where(F.col("sep23") >= min_separation_arcsec) if min_separation_arcsec else out
 
 
-def candidates(stars: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFrame:
-    """Groups of all the sizes in one table; a group is (g1, g2, g3), null where it is smaller."""
-    out = None
-    two = pairs(stars, cfg.radius_arcsec, cfg.min_separation_arcsec)
+def held(df: DataFrame) -> DataFrame:
+    """``df``, kept on the executors for its later uses; a lost part is made again."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def candidates(stars: DataFrame, cfg: SearchConfig = SearchConfig(), hold: Callable[[DataFrame], DataFrame] = held) -> DataFrame:
+    """Groups of all the sizes in one table; a group is (g1, g2, g3), null where it is smaller.
+
+    Triples read the pairs twice, and pairs are groups themselves, so the distance join is made once and ``hold`` keeps it.
+    """
+    out, two = None, None
+    if {2, 3} & set(cfg.sizes):
+        two = pairs(stars, cfg.radius_arcsec, cfg.min_separation_arcsec)
+        two = hold(two) if 3 in cfg.sizes else two
     for size, part in ((1, lambda: singles(stars)), (2, lambda: two), (3, lambda: triples(two, cfg.radius_arcsec, cfg.min_separation_arcsec))):
         if size in cfg.sizes:
             out = part() if out is None else out.unionByName(part(), allowMissingColumns=True)
@@ -80,29 +94,24 @@ def candidates(stars: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFram
 
 
 def geometry_of(groups: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFrame:
-    """Centre (ra, dec), cell, longest side, area and circumradius of groups, and the flux of their stars."""
+    """Centre (ra, dec), cell, longest side, area and circumradius of groups, and the flux of their stars.
+
+    Only the centre is bound before the cell is made; the shape and the flux come after it, so a query that asks for cells
+    alone computes nothing else.
+    """
     for c in ("g2", "g3", "m2", "m3", "x2", "y2", "z2", "x3", "y3", "z3", "sep12", "sep13", "sep23"):
         if c not in groups.columns:
             groups = groups.withColumn(c, F.lit(None).cast("long" if c[0] == "g" else "double"))
     total = [F.col(f"{a}1") + F.coalesce(f"{a}2", F.lit(0.0)) + F.coalesce(f"{a}3", F.lit(0.0)) for a in "xyz"]
     ra, dec = geometry.ra_dec(*total)
+    out = cells.with_cell(cells.bound(groups, ra=F.round(ra, 9), dec=F.round(dec, 9)), "ra", "dec", cfg.outer_level, "outer_pix")
     a, b, c = (F.col(s) for s in ("sep12", "sep13", "sep23"))
     # Heron's rule on the plane: groups are arc minutes wide
     half = (a + b + c) / 2
     area = F.sqrt(F.greatest(F.lit(0.0), half * (half - a) * (half - b) * (half - c)))
     flux = sum((F.coalesce(F.pow(F.lit(10.0), -0.4 * (F.col(f"m{i}") - 15)), F.lit(0.0)) for i in (2, 3)), F.pow(F.lit(10.0), -0.4 * (F.col("m1") - 15)))
-    out = groups.withColumns(
-        {
-            "ra": F.round(ra, 9),
-            "dec": F.round(dec, 9),
-            "max_side": F.coalesce(F.greatest(a, b, c), F.lit(0.0)),
-            "area": F.coalesce(area, F.lit(0.0)),
-            "flux": flux,
-        }
-    )
-    out = cells.bound(out, **{c: F.col(c) for c in ("ra", "dec", "max_side", "area", "flux")})
-    out = out.withColumn("circumradius", F.when((F.col("size") == 3) & (F.col("area") > 0), a * b * c / (4 * F.col("area"))).otherwise(F.col("max_side") / 2))
-    return cells.with_cell(out, "ra", "dec", cfg.outer_level, "outer_pix")
+    out = out.withColumns({"max_side": F.coalesce(F.greatest(a, b, c), F.lit(0.0)), "area": F.coalesce(area, F.lit(0.0)), "flux": flux})
+    return out.withColumn("circumradius", F.when((F.col("size") == 3) & (F.col("area") > 0), a * b * c / (4 * F.col("area"))).otherwise(F.col("max_side") / 2))
 
 
 def geom_filter(groups: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFrame:
@@ -134,19 +143,18 @@ def suppress(groups: DataFrame, radius_arcsec: float) -> DataFrame:
     return groups.withColumn("id", _group_id()).join(worse, "id", "left_anti").drop("id")
 
 
-def suppress_greedy(groups: DataFrame, radius_arcsec: float, written=None, rounds: int = 1000) -> DataFrame:
+def suppress_greedy(groups: DataFrame, radius_arcsec: float, written=None) -> DataFrame:
     """Best-first removal, to its end: in each round the groups without a better open overlap stay and drop what they overlap.
 
-    ``written`` cuts the lineage of the edges between rounds (default: checkpoint).
+    ``written`` cuts the lineage of the edges between rounds (default: checkpoint). Every round closes the best open overlap
+    at least, so the rounds end by themselves; their number is that of the longest chain of ever worse overlaps.
     """
     written = written or (lambda df: df.checkpoint())
     pairs_ = overlaps(groups, radius_arcsec)
     loser = F.when(F.col("better") == F.col("a"), F.col("b")).otherwise(F.col("a"))
     edges = written(pairs_.select(F.col("better").alias("win"), loser.alias("lose")))
     removed = None
-    for _ in range(rounds):
-        if edges.isEmpty():
-            break
+    while not edges.isEmpty():
         kept = edges.select(F.col("win").alias("id")).distinct().join(edges.select(F.col("lose").alias("id")).distinct(), "id", "left_anti")
         out = written(edges.join(kept.withColumnRenamed("id", "win"), "win", "left_semi").select(F.col("lose").alias("id")).distinct())
         removed = out if removed is None else removed.unionByName(out)
@@ -156,27 +164,46 @@ def suppress_greedy(groups: DataFrame, radius_arcsec: float, written=None, round
 
 
 def coverage(groups: DataFrame, level: int, radius_arcsec: float) -> DataFrame:
-    """(g1, g2, g3, pix): cells of a level whose centre is within the radius of a group's centre.
+    """(g1, g2, g3, pix): cells of a level whose centre is within the radius of a group's centre. No shuffle.
 
-    Candidates come from a grid of samples on the tangent plane, finer than a cell: each sample gives its cell, and the
-    distance to the cell's own centre decides.
+    Candidates are the cells around the centre's own, by steps of the two coordinates in a face. A group so near the border of
+    a face that a step could leave it takes samples of a grid on the tangent plane instead; a cell then comes from the one
+    sample nearest to its centre, so none comes twice.
     """
-    step = cells.resolution_arcsec(level) / 3
-    reach = int((radius_arcsec + cells.resolution_arcsec(level)) / step) + 1
-    offset = F.sequence(F.lit(-reach), F.lit(reach))
-    at = groups.select("g1", "g2", "g3", F.col("ra").alias("ra0"), F.col("dec").alias("dec0")).withColumn("i", F.explode(offset)).withColumn("j", F.explode(offset))
-    at = at.where((F.col("i") * F.col("i") + F.col("j") * F.col("j")) <= (reach + 1) ** 2)
+    n, side = cells.nside(level), cells.resolution_arcsec(level)
+    # rows of cells are at least 0.6 sides apart, at the poles too
+    steps = 1 + math.ceil(radius_arcsec / (0.6 * side))
+    grid = side / 4
+    reach = int(radius_arcsec / grid) + 3
+    near = F.lit(steps).cast("long")
+    at = groups.select("g1", "g2", "g3", F.col("ra").alias("ra0"), F.col("dec").alias("dec0"))
+    at = cells.with_cell(at, "ra0", "dec0", level, "_own")
+    face, x, y = cells.face_xy(F.col("_own"), level)
+    at = cells.bound(at, _face=face, _x=x, _y=y)
+    inside = (F.col("_x") >= near) & (F.col("_y") >= near) & (F.col("_x") < n - near) & (F.col("_y") < n - near)
+
+    def lattice(most: int, step: float) -> Column:
+        line = [k for k in range(-most, most + 1)]
+        return F.array(*[F.struct(F.lit(float(i)).alias("i"), F.lit(float(j)).alias("j")) for i in line for j in line if step == 0.0 or math.hypot(i, j) * step <= radius_arcsec + 2 * grid])
+
+    at = at.withColumn("_inside", inside).withColumn("_s", F.explode(F.when(F.col("_inside"), lattice(steps, 0.0)).otherwise(lattice(reach, grid))))
     a, d = F.radians("ra0"), F.radians("dec0")
-    east, north = F.col("i") * step / geometry.ARCSEC, F.col("j") * step / geometry.ARCSEC
-    point = (
-        F.cos(d) * F.cos(a) - east * F.sin(a) - north * F.sin(d) * F.cos(a),
-        F.cos(d) * F.sin(a) + east * F.cos(a) - north * F.sin(d) * F.sin(a),
-        F.sin(d) + north * F.cos(d),
-    )
-    ra, dec = geometry.ra_dec(*point)
-    at = cells.with_cell(cells.bound(at, ra=ra, dec=dec), "ra", "dec", level, "pix").select("g1", "g2", "g3", "ra0", "dec0", "pix").distinct()
+    east, north = F.col("_s.i") * grid / geometry.ARCSEC, F.col("_s.j") * grid / geometry.ARCSEC
+    axes = ((-F.sin(a), F.cos(a), F.lit(0.0)), (-F.sin(d) * F.cos(a), -F.sin(d) * F.sin(a), F.cos(d)))
+    own = (F.cos(d) * F.cos(a), F.cos(d) * F.sin(a), F.sin(d))
+    ra, dec = geometry.ra_dec(*[o + east * e + north * v for o, e, v in zip(own, *axes, strict=True)])
+    stepped = cells.pix_of(F.col("_face"), F.col("_x") + F.col("_s.i").cast("long"), F.col("_y") + F.col("_s.j").cast("long"), level)
+    sampled = cells.ang2pix(F.col("_ra"), F.col("_dec"), level)
+    at = cells.bound(at, _ra=F.when(~F.col("_inside"), ra), _dec=F.when(~F.col("_inside"), dec))
+    at = cells.bound(at, pix=F.when(F.col("_inside"), stepped).otherwise(sampled))
     at = cells.with_centre(at, "pix", level, "ra_c", "dec_c")
-    return at.where(geometry.separation(F.col("ra0"), F.col("dec0"), F.col("ra_c"), F.col("dec_c")) <= radius_arcsec).select("g1", "g2", "g3", "pix")
+    at = at.where(geometry.separation(F.col("ra0"), F.col("dec0"), F.col("ra_c"), F.col("dec_c")) <= radius_arcsec)
+    # the sample nearest to a cell's centre, seen from the group
+    centre = geometry.unit_vec(F.col("ra_c"), F.col("dec_c"))
+    dot = lambda v, w: v[0] * w[0] + v[1] * w[1] + v[2] * w[2]
+    place = [F.round(dot(centre, axis) / dot(centre, own) * (geometry.ARCSEC / grid)) for axis in axes]
+    first = (place[0] == F.col("_s.i")) & (place[1] == F.col("_s.j"))
+    return at.where(F.col("_inside") | first).select("g1", "g2", "g3", "pix")
 
 
 def count_by_pix(groups: DataFrame) -> DataFrame:

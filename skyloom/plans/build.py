@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 
 from pyspark.errors import AnalysisException
@@ -33,9 +35,9 @@ def create_pass(spark: SparkSession, root: str, cfg: SearchConfig = SearchConfig
     return pass_id
 
 
-def plan_universe(spark: SparkSession, level: int, excluded: DataFrame | None = None) -> DataFrame:
-    """outer_pix of the cells to process."""
-    out = spark.range(cells.npix(level)).withColumnRenamed("id", "outer_pix")
+def plan_universe(spark: SparkSession, level: int, excluded: DataFrame | None = None, held: DataFrame | None = None) -> DataFrame:
+    """outer_pix of the cells to process: all of the level, or those that ``held`` names, less the excluded ones."""
+    out = spark.range(cells.npix(level)).withColumnRenamed("id", "outer_pix") if held is None else held.select("outer_pix").distinct()
     return out if excluded is None else out.join(excluded.select("outer_pix"), "outer_pix", "left_anti")
 
 
@@ -68,9 +70,10 @@ def unfinished(universe: DataFrame, states: DataFrame, retry_failed: bool = Fals
     return universe.join(states.where(F.col("state").isin(*ended)).select("outer_pix"), "outer_pix", "left_anti")
 
 
-def traverse(work: DataFrame, partitions: int) -> DataFrame:
-    """Work in neighbour-first order: range partitions of the nested number, sorted within."""
-    return work.repartitionByRange(partitions, "outer_pix").sortWithinPartitions("outer_pix")
+def traverse(work: DataFrame) -> DataFrame:
+    """outer_pix and place of the work in neighbour-first order: that of the nested number, a curve on which most cells
+    follow one that they touch."""
+    return balance(work.select("outer_pix").distinct().withColumn("weight", F.lit(1).cast("long")), 1).select("outer_pix", F.col("before").alias("place"))
 
 
 def balance(weighted: DataFrame, shares: int, section_bits: int = 12) -> DataFrame:
@@ -95,46 +98,97 @@ def progress(universe: DataFrame, states: DataFrame) -> DataFrame:
     return named.groupBy("state").agg(F.count("*").alias("n_cells"))
 
 
-def build_cells(star_rows: DataFrame, work: DataFrame, cfg: SearchConfig, scorer: scoring.Scorer, band: str = "R", epoch: float = 2016.0) -> tuple[DataFrame, DataFrame]:
+def build_cells(star_rows: DataFrame, work: DataFrame, cfg: SearchConfig, scorer: scoring.Scorer, band: str = "R", epoch: float = 2016.0, hold=search.held) -> tuple[DataFrame, DataFrame]:
     """(inner product, groups) of the cells in ``work``. Stars of the cells around come along for the search; a group is
     given by the cell that holds its centre, so it comes once."""
     prepared = loader.with_band(loader.at_epoch(star_rows, epoch), band)
     own = prepared.join(work.select("outer_pix"), "outer_pix", "left_semi")
     inner = products.inner_product(own.where("mag is not null").select("ra", "dec", "mag"), cfg.outer_level, cfg.inner_level)
     guides = loader.guide_stars(star_rows, cfg, band, epoch)
-    groups = search.geom_filter(search.candidates(guides, cfg), cfg).join(work.select("outer_pix"), "outer_pix", "left_semi")
+    groups = search.geom_filter(search.candidates(guides, cfg, hold), cfg).join(work.select("outer_pix"), "outer_pix", "left_semi")
     return inner, search.top_k(scorer.score(groups), cfg.top_k)
 
 
-def run(spark: SparkSession, root: str, pass_id: str, cfg: SearchConfig = SearchConfig(), request: LoadRequest = LoadRequest(), scorer: scoring.Scorer | None = None, batches: int = 4, retry_failed: bool = False, stop_after: int | None = None) -> DataFrame:
+def run(
+    spark: SparkSession,
+    root: str,
+    pass_id: str,
+    cfg: SearchConfig = SearchConfig(),
+    request: LoadRequest = LoadRequest(),
+    scorer: scoring.Scorer | None = None,
+    batches: int = 4,
+    retry_failed: bool = False,
+    stop_after: int | None = None,
+    excluded: DataFrame | None = None,
+    at_once: int = 2,
+) -> DataFrame:
     """Build what is unfinished, in balanced batches of neighbouring cells; returns the progress.
 
-    Each batch writes its artifacts (replacing those of its cells) and then its ``done`` events, so a crash can only
-    cause work to be done again. ``stop_after`` ends after so many batches.
+    ``at_once`` batches are under way together, and the next begins when any of them ends, so no batch waits for the slowest
+    task of another. Each batch writes its artifacts (replacing those of its cells) and then its ``done`` events, so a crash
+    can only cause work to be done again. A batch that fails leaves ``failed`` events with the error, and the others go on; its
+    cells are built again by ``retry_failed``. Cells of ``excluded`` (outer_pix) get that state and are not built.
+    ``stop_after`` ends after so many batches.
+
+    Events name the content of the star store (``stars.fingerprint``): a pass is not resumed over another one.
     """
+    if cfg.outer_level != request.outer_level:
+        raise ValueError(f"the search is planned by cells of level {cfg.outer_level}, the stars are stored by level {request.outer_level}")
     scorer = scorer or scoring.HeuristicScorer()
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or f"{root}/checkpoints")
     all_stars = stars.read_stars(spark, root, request.release, request.outer_level)
+    content = stars.fingerprint(all_stars)
+    events = read_events(spark, root, pass_id)
+    if not events.where((F.col("state") == "done") & (F.col("note") != content)).isEmpty():
+        raise ValueError("the star store is not the one that the finished cells of this pass were built from")
     weights = all_stars.groupBy("outer_pix").agg(F.count("*").alias("weight"))
-    universe = weights.select("outer_pix")
-    todo = unfinished(universe, latest(read_events(spark, root, pass_id)), retry_failed)
+    held = weights.select("outer_pix")
+    if excluded is not None:
+        out = excluded.select("outer_pix").join(held, "outer_pix", "left_semi").distinct()
+        _states(out.join(latest(events).where("state = 'excluded'"), "outer_pix", "left_anti"), root, pass_id, "excluded")
+        events = read_events(spark, root, pass_id)
+    universe = plan_universe(spark, request.outer_level, excluded, held)
+    known = latest(events).select("outer_pix").checkpoint()
+    todo = unfinished(universe, latest(events), retry_failed)
     shares = balance(weights.join(todo, "outer_pix"), batches).select("outer_pix", "share").checkpoint()
-    around = cells.neighbours(spark, request.outer_level).checkpoint()
-    for n, share in enumerate(r["share"] for r in shares.select("share").distinct().orderBy("share").collect()):
-        if stop_after is not None and n >= stop_after:
-            break
+    around = cells.neighbours_of(shares.select(F.col("outer_pix").alias("pix")), request.outer_level).checkpoint()
+    log = threading.Lock()  # one writer of events at a time: appends to one folder share their commit
+
+    def say(work: DataFrame, state: str, note: str) -> None:
+        with log:
+            _states(work, root, pass_id, state, note)
+
+    def batch(share: int) -> None:
         work = shares.where(F.col("share") == share).select("outer_pix")
-        wanted = work.unionByName(around.join(work.withColumnRenamed("outer_pix", "pix"), "pix").select(F.col("nbr").alias("outer_pix"))).distinct()
-        _states(work, root, pass_id, "running")
-        inner, groups = build_cells(all_stars.join(wanted, "outer_pix", "left_semi"), work, cfg, scorer, request.band, request.epoch)
-        artifacts.write_inner(inner, root, pass_id)
-        artifacts.write_asterisms(groups, root, pass_id)
-        _states(work, root, pass_id, "done")
+        try:
+            wanted = work.unionByName(around.join(work.withColumnRenamed("outer_pix", "pix"), "pix").select(F.col("nbr").alias("outer_pix"))).distinct()
+            say(work, "running", content)
+            kept: list[DataFrame] = []
+
+            def hold(df: DataFrame) -> DataFrame:
+                kept.append(search.held(df))
+                return kept[-1]
+
+            inner, groups = build_cells(all_stars.join(wanted, "outer_pix", "left_semi"), work, cfg, scorer, request.band, request.epoch, hold)
+            for kind in ("inner", "asterisms"):
+                artifacts.clear_cells(spark, root, pass_id, kind, known.join(work, "outer_pix", "left_semi"))
+            artifacts.write_inner(inner, root, pass_id)
+            artifacts.write_asterisms(groups, root, pass_id)
+            for df in kept:
+                df.unpersist()
+        except Exception as error:  # whatever stops a batch is told by its cells' state, and the others go on
+            say(work, "failed", str(error)[:1000])
+        else:
+            say(work, "done", content)
+
+    order = [r["share"] for r in shares.select("share").distinct().orderBy("share").collect()][:stop_after]
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        list(pool.map(batch, order))
     states = latest(read_events(spark, root, pass_id))
-    if unfinished(universe, states).isEmpty():
+    if unfinished(universe, states, retry_failed=True).isEmpty():
         _finish(spark, root, pass_id, cfg)
-    return progress(universe, states)
+    return progress(held, states)
 
 
 def resume(*args, **kwargs) -> DataFrame:
@@ -142,8 +196,14 @@ def resume(*args, **kwargs) -> DataFrame:
     return run(*args, **kwargs)
 
 
-def _states(work: DataFrame, root: str, pass_id: str, state: str) -> None:
-    record(work.select("outer_pix", F.lit(state).alias("state"), F.current_timestamp().alias("ts"), F.lit(STATES.index(state)).cast("long").alias("seq"), F.lit(None).cast("string").alias("note")), root, pass_id)
+def _states(work: DataFrame, root: str, pass_id: str, state: str, note: str | None = None) -> None:
+    record(work.select("outer_pix", F.lit(state).alias("state"), F.current_timestamp().alias("ts"), F.lit(STATES.index(state)).cast("long").alias("seq"), F.lit(note).cast("string").alias("note")), root, pass_id)
+
+
+def add_overlay(spark: SparkSession, root: str, pass_id: str, boxes: DataFrame, levels: tuple[int, ...]) -> DataFrame:
+    """Store which cells of a pass's map lie in which survey's boxes, and return the stored overlay (level, pix, survey)."""
+    artifacts.write_overlay(products.survey_cells(boxes, levels), root, pass_id)
+    return artifacts.read_overlay(spark, root, pass_id)
 
 
 def _finish(spark: SparkSession, root: str, pass_id: str, cfg: SearchConfig) -> None:
@@ -179,5 +239,9 @@ def bench(spark: SparkSession, root: str, pass_id: str, **fields) -> None:
     spark.createDataFrame([row | {"at": _now()}], ", ".join(f"{n} string" for n in (*names, "at"))).coalesce(1).write.mode("append").parquet(pass_path(root, pass_id, "bench"))
 
 
+def read_bench(spark: SparkSession, root: str, pass_id: str) -> DataFrame:
+    return spark.read.parquet(pass_path(root, pass_id, "bench"))
+
+
 def bench_summary(records: DataFrame) -> DataFrame:
     return records.groupBy("location", "workers", "temperature").agg(F.count("*").alias("n"), F.expr("percentile_approx(cast(seconds as double), 0.5)").alias("median_seconds"))

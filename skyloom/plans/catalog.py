@@ -82,10 +82,16 @@ def guide_stars(spark, sf_dir):
     return _rounded(guides(spark, sf_dir), {"mag": 6})
 
 
+def working_bands(spark, sf_dir):
+    """All stored and working bands."""
+    stars = patch(spark, sf_dir)
+    return stars.select("gaia_id", *[F.round(loader.band_column(b), 6).alias(f"mag_{b}") for b in (*loader.STORED_BANDS, *loader.BANDS)])
+
+
 def stitched_load(spark, sf_dir):
-    """Stars around the level-6 cells that hold the stars numbered 0 to 4."""
+    """Stars in and around each level-6 cell that holds a star."""
     stars = patch(spark, sf_dir)
-    wanted = stars.where("gaia_id < 5").select(cells.ang2pix(F.col("gaia_ra"), F.col("gaia_dec"), 6).alias("pix"))
+    wanted = stars.select(cells.ang2pix(F.col("gaia_ra"), F.col("gaia_dec"), 6).alias("pix"))
     return loader.load_stitched(stars, wanted, 6).select("pix", "gaia_id", "own")
 
 
@@ -120,8 +126,13 @@ def neighbours(spark, sf_dir):
 
 def traversal(spark, sf_dir):
     """Cells with stars in neighbour-first order, with their place."""
-    held = sky(spark, sf_dir).select(cells.ang2pix(F.col("ra"), F.col("dec"), 5).alias("outer_pix")).distinct()
-    return build.balance(held.withColumn("weight", F.lit(1).cast("long")), 8).select("outer_pix", F.col("before").alias("place"))
+    return build.traverse(sky(spark, sf_dir).select(cells.ang2pix(F.col("ra"), F.col("dec"), 5).alias("outer_pix")))
+
+
+def cell_helpers(spark, sf_dir):
+    """Size of the cells of each level."""
+    rows = [(k, cells.nside(k), cells.npix(k), round(cells.cell_area_deg2(k), 9), round(cells.resolution_arcsec(k), 6)) for k in range(13)]
+    return spark.createDataFrame(rows, "level int, nside long, npix long, area double, resolution double")
 
 
 def separation(spark, sf_dir):
@@ -222,17 +233,14 @@ def density_map(spark, sf_dir):
 
 def map_lookup(spark, sf_dir):
     sky_map = products.aggregate_map(_inner(spark, sf_dir), 10, (6,))
-    points = patch(spark, sf_dir).where("gaia_id % 7 = 0").select("gaia_id", F.col("gaia_ra").alias("ra"), F.col("gaia_dec").alias("dec"))
+    points = patch(spark, sf_dir).select("gaia_id", F.col("gaia_ra").alias("ra"), F.col("gaia_dec").alias("dec"))
     found = products.map_data(sky_map, 6, points)
     return found.select("gaia_id", "pix", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_stars", "n_cells")])
 
 
 def _overlaid(spark, sf_dir):
     sky_map = products.aggregate_map(_inner(spark, sf_dir), 10, (7, 6))
-    boxes = footprints(spark, sf_dir)
-    at7, at6 = (products.footprint_cells(boxes, k).withColumn("level", F.lit(k)) for k in (7, 6))
-    survey = at7.unionByName(at6)
-    return sky_map.join(survey, ["level", "pix"], "left").withColumn("inside", F.col("survey").isNotNull())
+    return products.overlay(sky_map, products.survey_cells(footprints(spark, sf_dir), (7, 6)))
 
 
 def survey_overlay(spark, sf_dir):
@@ -279,11 +287,16 @@ def pass_compare(spark, sf_dir):
 
 
 def _root(spark: SparkSession, name: str) -> str:
-    """A fresh folder for a pass below the shared one (a temporary one where none is set, as in tests)."""
+    """A fresh folder for a pass below the shared one. Where none is set, a session whose tasks run in the driver gets a temporary
+    one; on a cluster no folder of one machine would do."""
     import tempfile
     import uuid
 
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="skyloom-")
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", "")
+    master = spark.sparkContext.master
+    if not folder and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = folder or tempfile.mkdtemp(prefix="skyloom-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder}/{name}-{uuid.uuid4().hex}"
@@ -306,6 +319,64 @@ def manifest(spark, sf_dir):
     return found.select("pass_id", "algorithm", "algorithm_version", "release", "outer_level", "scorer", "layout_version", F.col("config")["radius_arcsec"].alias("radius"), F.col("completed_at").isNull().alias("open"))
 
 
+def archive_stars(spark, sf_dir):
+    """Stars of the cells of level 1, one input partition a cell, from a service that makes them up."""
+    from ..sources import archive
+
+    found = archive.archive_query(spark, list(range(cells.npix(1))), "skyloom.plans.catalog:sample_service", level=1)
+    return found.select("gaia_id", "gaia_ra", "gaia_dec", "gaia_G", "gaia_BP", "gaia_ref_epoch", "gaia_non_single_star")
+
+
+def sample_service(release: str, level: int, pix: int):
+    """A fetch function as the archive source takes it."""
+    for k in range(3):
+        yield {"gaia_id": 3 * pix + k, "gaia_ra": 7.5 * pix + k, "gaia_dec": pix / 2.0 - k, "gaia_G": 10.0 + k, "gaia_BP": None, "gaia_RP": None, "gaia_ref_epoch": 2016.0, "gaia_pmra": None, "gaia_pmdec": None, "gaia_non_single_star": k % 2, "gaia_ruwe": None}
+
+
+def stored_inner(spark, sf_dir):
+    """The inner product, written as an artifact of a pass and read back."""
+    from ..sources import artifacts
+
+    root = _root(spark, "inner")
+    artifacts.write_inner(_inner(spark, sf_dir), root, "p")
+    return _rounded(artifacts.read_inner(spark, root, "p").select("outer_pix", "inner_pix", "n_stars", "density", "brightest", "flux"), {"density": 6, "brightest": 6})
+
+
+def stored_map(spark, sf_dir):
+    """The map at two levels, written as an artifact of a pass and read back."""
+    from ..sources import artifacts
+
+    root = _root(spark, "map")
+    artifacts.write_map(products.aggregate_map(_inner(spark, sf_dir), 10, (6, 3)), root, "p")
+    return _rounded(artifacts.read_map(spark, root, "p").select("level", "pix", "n_stars", "n_cells", "brightest", "flux"), {"brightest": 6, "flux": 3})
+
+
+def stored_overlay(spark, sf_dir):
+    """The survey cells of a pass, stored, read back and laid over its stored map."""
+    from ..sources import artifacts
+
+    root = _root(spark, "overlay")
+    artifacts.write_map(products.aggregate_map(_inner(spark, sf_dir), 10, (7, 6)), root, "p")
+    survey = build.add_overlay(spark, root, "p", footprints(spark, sf_dir), (7, 6))
+    return products.overlay(artifacts.read_map(spark, root, "p"), survey).select("level", "pix", "survey", "inside", "n_stars")
+
+
+def inspected_pass(spark, sf_dir):
+    """A manifest and the number of its cells in each state, after the states of ``events`` are recorded."""
+    root = _root(spark, "inspect")
+    pass_id = build.create_pass(spark, root)
+    build.record(build_events(spark, sf_dir).withColumn("note", F.lit(None).cast("string")), root, pass_id)
+    return build.inspect(spark, root, pass_id).select("pass_id", "algorithm", *[f"n_{s}" for s in build.STATES])
+
+
+def bench_records(spark, sf_dir):
+    """Benchmark records, appended and summed up."""
+    root = _root(spark, "bench")
+    for n, seconds in enumerate((3.5, 1.5, 2.5, 9.0)):
+        build.bench(spark, root, "p", location="local", cache_target="none", staging="none", region="patch", workers=1 + n // 3, temperature="cold" if n == 0 else "warm", seconds=seconds)
+    return build.bench_summary(build.read_bench(spark, root, "p"))
+
+
 def resumed_pass(spark, sf_dir):
     """A pass that is stopped after one batch and resumed: the groups that it has in the end."""
     from ..sources import artifacts, stars
@@ -320,9 +391,10 @@ def resumed_pass(spark, sf_dir):
 
 
 ALL = (
-    star_projection, proper_motion, working_band, quality_filter, guide_stars, stitched_load, ang2pix_l6, ang2pix_l14, parent_pixel, children, pix2ang,
+    star_projection, proper_motion, working_band, working_bands, quality_filter, guide_stars, stitched_load, ang2pix_l6, ang2pix_l14, parent_pixel, children, pix2ang, cell_helpers,
     neighbours, traversal, separation, singles, pairs, triples, candidates, star_count, group_geometry, geom_filter, heuristic_score, scorer_plugin, topk_per_pixel,
     overlap_pairs, overlap_suppressed, overlap_greedy, coverage, inner_product, density_map, map_lookup, survey_overlay, survey_summary, state_latest, state_summary, unfinished, balance, pass_compare, manifest, resumed_pass,
+    archive_stars, stored_inner, stored_map, stored_overlay, inspected_pass, bench_records,
 )
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from ..contracts import LAYOUT_VERSION, STATES, SearchConfig, pass_identity
 from ..functions.cells import cell_area_deg2
-from ..operators.loader import BANDS
+from ..operators.loader import BANDS, STORED_BANDS
 
 _RA = "150.0e0 + mod(mod(o_orderkey*o_orderkey,9999991)*7919 + o_orderkey*104729, 10000000)/1000000.0e0"
 _DEC = "-5.0e0 + mod(mod(o_orderkey*o_orderkey,9999973)*mod(o_orderkey,99991) + o_orderkey*15485863, 10000000)/1000000.0e0"
@@ -174,56 +175,173 @@ def _overlaid() -> str:
 
 
 _STATE = f"ev as ({EVENTS.format(table='events')}), last_state as (select outer_pix, state, n_events from (select *, row_number() over (partition by outer_pix order by ts desc, seq desc) as r, count(*) over (partition by outer_pix) as n_events from ev) where r = 1)"
-_UNIVERSE = "universe as (select unnest(range(0, 192)) as outer_pix)"
+_UNIVERSE = "universe as (select unnest(range(0, 192)) as outer_pix union select outer_pix from last_state where outer_pix is not null)"
+
+
+def _corners(level: int) -> list[str]:
+    """CTEs ending in ``corners``: pix, ra and dec of the four corners of every cell."""
+    places = [(i, j) for i in (0, 1) for j in (0, 1)]
+    rows = " union all ".join(f"select pix, ra, dec from v{i}{j}" for i, j in places)
+    return [
+        f"cells4 as (select unnest(range(0, {12 * 4**level})) as pix)",
+        *[_centre(f"v{i}{j}", "cells4", level, dx=f"{i}.0e0", dy=f"{j}.0e0") for i, j in places],
+        f"corners as ({rows})",
+    ]
+
+
+#: Best-first removal round by round: the groups that win an open overlap and lose none drop what they overlap.
+_GREEDY = """numbered as (select *, row_number() over (order by g1, h2, h3) as id from named),
+edges as (
+  select case when a_better then x.id else y.id end as win, case when a_better then y.id else x.id end as lose
+  from over join numbered x on a1 = x.g1 and a2 = x.h2 and a3 = x.h3 join numbered y on b1 = y.g1 and b2 = y.h2 and b3 = y.h3),
+rounds as (
+  select 0 as k, []::bigint[] as removed, 1 as grew
+  union all
+  select k + 1, list_concat(removed, new), len(new) from (
+    select k, removed, coalesce((
+      with open_ as (select win, lose from edges where not list_contains(removed, win) and not list_contains(removed, lose))
+      select list(distinct lose) from open_ where win not in (select lose from open_)), []) as new
+    from rounds where grew > 0))"""
+
+
+def _manifest() -> str:
+    """The manifests of two configurations: their identity is made by the same rule."""
+    rows = []
+    for radius in (60.0, 120.0):
+        identity = pass_identity("guide-star-groups", "1", SearchConfig(radius_arcsec=radius), "dr3", 6, "heuristic-1")
+        rows.append(f"('{identity}', 'guide-star-groups', '1', 'dr3', 6, 'heuristic-1', {LAYOUT_VERSION}, '{radius}', true)")
+    return f"select * from (values {', '.join(rows)}) t(pass_id, algorithm, algorithm_version, release, outer_level, scorer, layout_version, radius, open)"
 
 
 def sql() -> dict[str, str]:
     guides, pair_ctes = _with(STARS, _guides()), _with(STARS, _guides(), _pairs())
     years = "(2030.5e0 - gaia_ref_epoch)"
-    corner = ",\n".join(_centre(f"v{i}{j}", "cells4", 4, dx=f"{i}.0e0", dy=f"{j}.0e0") for i in (0, 1) for j in (0, 1))
-    corner_rows = " union all ".join(f"select pix, ra, dec from v{i}{j}" for i in (0, 1) for j in (0, 1))
     held = _with(SKY_CTE, _pix("loc", "sky", "ra", "dec", 5, "outer_pix"), "held as (select outer_pix, count(*) as weight from loc group by 1)")
     compare = _with(STARS, _guides(), _guides(1.2, "guides2"), _inner(8), _inner(8, "guides2", "other_"))
     near = _sep("g.ra", "g.dec", "c.ra", "c.dec")
-    out = {
+    members = "g1, coalesce(g2,-1) as g2, coalesce(g3,-1) as g3"
+    unit = {c: f"round({v},7) as {c}" for c, v in {"x": "cos(radians(dec))*cos(radians(ra))", "y": "cos(radians(dec))*sin(radians(ra))", "z": "sin(radians(dec))"}.items()}
+    bands = ", ".join([f'round(cast("{c}" as double), 6) as "mag_{b}"' for b, c in STORED_BANDS.items()] + [f'round({_mag(b)}, 6) as "mag_{b}"' for b in BANDS])
+    inner = """
+select outer_pix, inner_pix, n_stars, round(density,6) as density, round(brightest,6) as brightest, round(flux,6) as flux from inner_"""
+    density_map = _with(STARS, _guides(), _inner(), f"map as ({_map(6)} union all {_map(3)})") + """
+select level, pix, n_stars, n_cells, round(brightest,6) as brightest, round(round(flux,6),3) as flux from map"""
+    overlaid = _overlaid() + " select level, pix, survey, inside, n_stars from overlaid"
+    return {
         "star_projection": _with(STARS) + " select * from stars",
-        "proper_motion": _with(STARS) + f" select gaia_id, round((gaia_ra + coalesce(gaia_pmra,0)*{years}/(3.6e6*cos(radians(gaia_dec))) + 360.0e0) % 360.0e0, 9) as ra, round(gaia_dec + coalesce(gaia_pmdec,0)*{years}/3.6e6, 9) as dec from stars",
+        "proper_motion": _with(STARS)
+        + f"""
+select gaia_id, round((gaia_ra + coalesce(gaia_pmra,0)*{years}/(3.6e6*cos(radians(gaia_dec))) + 360.0e0) % 360.0e0, 9) as ra,
+  round(gaia_dec + coalesce(gaia_pmdec,0)*{years}/3.6e6, 9) as dec
+from stars""",
         "working_band": _with(STARS) + f" select gaia_id, round({_mag()}, 6) as mag from stars",
+        "working_bands": _with(STARS) + f" select gaia_id, {bands} from stars",
         "quality_filter": _with(STARS) + " select gaia_id from stars where (gaia_ruwe is null or gaia_ruwe <= cast(1.4 as float)) and gaia_non_single_star = 0",
         "guide_stars": guides + " select gaia_id, ra, dec, round(mag, 6) as mag from guides",
-        "stitched_load": _with(STARS, _pix("loc", "stars", "gaia_ra", "gaia_dec", 6), "wanted as (select distinct pix from loc where gaia_id < 5)", f"cells4 as (select unnest(range(0, {12 * 4**6})) as pix)", ",\n".join(_centre(f"v{i}{j}", "cells4", 6, dx=f"{i}.0e0", dy=f"{j}.0e0") for i in (0, 1) for j in (0, 1)), f"corners as ({corner_rows})", "own_corners as (select corners.* from corners join wanted using (pix))", "around as (select distinct a.pix, b.pix as nbr from own_corners a join corners b on b.dec between a.dec - 1e-7 and a.dec + 1e-7 and abs(a.ra - b.ra) < 1e-6)") + " select around.pix, gaia_id, around.pix = nbr as own from around join loc on loc.pix = nbr",
+        "stitched_load": _with(
+            STARS,
+            _pix("loc", "stars", "gaia_ra", "gaia_dec", 6),
+            "wanted as (select distinct pix from loc)",
+            *_corners(6),
+            "own_corners as (select corners.* from corners join wanted using (pix))",
+            """around as (
+  select distinct a.pix, b.pix as nbr from own_corners a join corners b on b.dec between a.dec - 1e-7 and a.dec + 1e-7 and abs(a.ra - b.ra) < 1e-6)""",
+        )
+        + " select around.pix, gaia_id, around.pix = nbr as own from around join loc on loc.pix = nbr",
         "ang2pix_l6": _with(SKY_CTE, _pix("loc", "sky", "ra", "dec", 6)) + " select gaia_id, pix from loc",
         "ang2pix_l14": _with(SKY_CTE, _pix("loc", "sky", "ra", "dec", 14)) + " select gaia_id, pix from loc",
         "parent_pixel": _with(SKY_CTE, _pix("loc", "sky", "ra", "dec", 6)) + " select gaia_id, pix from loc",
         "children": "select pix, unnest(range(pix*16, pix*16+16)) as child from (select unnest(range(0, 768)) as pix)",
         "pix2ang": _with("cells6 as (select unnest(range(0, 49152)) as pix)", _centre("loc", "cells6", 6)) + " select pix, round(ra, 9) as ra, round(dec, 9) as dec from loc",
-        "neighbours": _with("cells4 as (select unnest(range(0, 3072)) as pix)", corner, f"corners as (select pix, round(cos(radians(dec))*cos(radians(ra)),7) as x, round(cos(radians(dec))*sin(radians(ra)),7) as y, round(sin(radians(dec)),7) as z from ({corner_rows}))") + " select distinct a.pix, b.pix as nbr from corners a join corners b on abs(a.x-b.x) < 1e-6 and abs(a.y-b.y) < 1e-6 and abs(a.z-b.z) < 1e-6 where a.pix <> b.pix",
+        "cell_helpers": """
+select cast(k as integer) as level, cast(1 << k as bigint) as nside, cast(12 * (1 << 2*k) as bigint) as npix,
+  round(4*pi()*pow(degrees(1),2)/(12 * (1 << 2*k)), 9) as area, round(sqrt(4*pi()*pow(degrees(1),2)/(12 * (1 << 2*k)))*3600, 6) as resolution
+from range(0, 13) t(k)""",
+        "neighbours": _with(*_corners(4), f"spots as (select pix, {', '.join(unit.values())} from corners)")
+        + """
+select distinct a.pix, b.pix as nbr
+from spots a join spots b on abs(a.x-b.x) < 1e-6 and abs(a.y-b.y) < 1e-6 and abs(a.z-b.z) < 1e-6 where a.pix <> b.pix""",
         "traversal": _with(SKY_CTE, _pix("loc", "sky", "ra", "dec", 5, "outer_pix")) + " select outer_pix, row_number() over (order by outer_pix) - 1 as place from (select distinct outer_pix from loc)",
-        "separation": _with(SKY_CTE) + f" select a.gaia_id, round({_sep('a.ra', 'a.dec', 'b.ra', 'b.dec')}, 4) as sep, round((degrees(atan2(sin(radians(b.ra-a.ra))*cos(radians(b.dec)), cos(radians(a.dec))*sin(radians(b.dec)) - sin(radians(a.dec))*cos(radians(b.dec))*cos(radians(b.ra-a.ra)))) + 360) % 360, 6) as bearing from sky a join sky b on b.gaia_id = a.gaia_id + 1",
+        "separation": _with(SKY_CTE)
+        + f"""
+select a.gaia_id, round({_sep("a.ra", "a.dec", "b.ra", "b.dec")}, 4) as sep,
+  round((degrees(atan2(sin(radians(b.ra-a.ra))*cos(radians(b.dec)),
+    cos(radians(a.dec))*sin(radians(b.dec)) - sin(radians(a.dec))*cos(radians(b.dec))*cos(radians(b.ra-a.ra)))) + 360) % 360, 6) as bearing
+from sky a join sky b on b.gaia_id = a.gaia_id + 1""",
         "singles": guides + " select gaia_id as g1, round(mag, 6) as m1 from guides",
         "pairs": pair_ctes + " select g1, g2, round(sep12, 4) as sep12 from pairs",
         "triples": pair_ctes + f", {TRIPLES} select g1, g2, g3, round(sep12, 4) as sep12, round(sep13, 4) as sep13, round(sep23, 4) as sep23 from triples",
-        "candidates": _found(1, 2, 3) + " select size, g1, coalesce(g2,-1) as g2, coalesce(g3,-1) as g3 from groups",
+        "candidates": _found(1, 2, 3) + f" select size, {members} from groups",
         "star_count": _found(1, 2, 3) + " select outer_pix, count(*) as n_groups from groups group by 1",
-        "group_geometry": _found(2, 3) + " select g1, coalesce(g2,-1) as g2, coalesce(g3,-1) as g3, round(ra,7) as ra, round(dec,7) as dec, round(max_side,4) as max_side, round(area,2) as area, round(circumradius,3) as circumradius from groups",
-        "geom_filter": _found(2, 3) + " select size, g1, coalesce(g2,-1) as g2, coalesce(g3,-1) as g3 from groups where max_side <= 90 and (size < 3 or area > 500)",
-        "heuristic_score": _found(1, 2, 3) + " select g1, coalesce(g2,-1) as g2, coalesce(g3,-1) as g3, round(score, 6) as score from groups",
-        "scorer_plugin": _found(1, 2, 3) + " select g1, coalesce(g2,-1) as g2, coalesce(g3,-1) as g3, round(score, 6) as score from groups",
-        "topk_per_pixel": _found(2, 3) + " select * from (select outer_pix, cast(row_number() over (partition by outer_pix order by score desc, g1, g2 nulls first, g3 nulls first) as integer) as rank, g1, coalesce(g2,-1) as g2, coalesce(g3,-1) as g3 from groups) where rank <= 5",
+        "group_geometry": _found(2, 3)
+        + f"""
+select {members}, round(ra,7) as ra, round(dec,7) as dec, round(max_side,4) as max_side, round(area,2) as area, round(circumradius,3) as circumradius
+from groups""",
+        "geom_filter": _found(2, 3) + f" select size, {members} from groups where max_side <= 90 and (size < 3 or area > 500)",
+        "heuristic_score": _found(1, 2, 3) + f" select {members}, round(score, 6) as score from groups",
+        "scorer_plugin": _found(1, 2, 3) + f" select {members}, round(score, 6) as score from groups",
+        "topk_per_pixel": _found(2, 3)
+        + f"""
+select * from (
+  select outer_pix, cast(row_number() over (partition by outer_pix order by score desc, g1, g2 nulls first, g3 nulls first) as integer) as rank, {members}
+  from groups)
+where rank <= 5""",
         "overlap_pairs": _found(2, 3) + f", {_overlaps(60.0)} select * from over",
-        "overlap_suppressed": _found(2, 3) + f", {_overlaps(60.0)} select g1, h2 as g2, h3 as g3 from named where not exists (select 1 from over where (a_better and (b1,b2,b3) = (g1,h2,h3)) or (not a_better and (a1,a2,a3) = (g1,h2,h3)))",
-        "coverage": _found(3) + f", coarse as (select unnest(range(0, 49152)) as up), {_centre('cc', 'coarse', 6, 'up')}, fine as (select unnest(range(up*256, up*256+256)) as pix from cc where ra between 148 and 162 and dec between -7 and 7), {_centre('c', 'fine', 10)} select pix, count(*) as n_groups, count(distinct g1) as n_first from groups g join c on c.dec between g.dec - 0.0334 and g.dec + 0.0334 where {near} <= 120 group by pix",
-        "inner_product": _with(STARS, _guides(), _inner()) + " select outer_pix, inner_pix, n_stars, round(density,6) as density, round(brightest,6) as brightest, round(flux,6) as flux from inner_",
-        "density_map": _with(STARS, _guides(), _inner(), f"map as ({_map(6)} union all {_map(3)})") + " select level, pix, n_stars, n_cells, round(brightest,6) as brightest, round(round(flux,6),3) as flux from map",
-        "map_lookup": _with(STARS, _guides(), _inner(), f"map as ({_map(6)})", _pix("loc", "(select * from stars where gaia_id % 7 = 0)", "gaia_ra", "gaia_dec", 6)) + " select gaia_id, loc.pix, coalesce(n_stars,0) as n_stars, coalesce(n_cells,0) as n_cells from loc left join map on map.pix = loc.pix",
-        "survey_overlay": _overlaid() + " select level, pix, survey, inside, n_stars from overlaid",
-        "survey_summary": _overlaid() + " select survey, coalesce(level,-1) as level, count(*) as n_cells, cast(sum(n_stars) as bigint) as n_stars, grouping_id(survey, level) as grouping from overlaid group by grouping sets ((survey, level), (level), ())",
+        "overlap_suppressed": _found(2, 3)
+        + f""", {_overlaps(60.0)}
+select g1, h2 as g2, h3 as g3 from named
+where not exists (select 1 from over where (a_better and (b1,b2,b3) = (g1,h2,h3)) or (not a_better and (a1,a2,a3) = (g1,h2,h3)))""",
+        "overlap_greedy": _found(2, 3).replace("with ", "with recursive ", 1)
+        + f""", {_overlaps(60.0)},
+{_GREEDY}
+select g1, h2 as g2, h3 as g3 from numbered where id not in (select unnest(removed) from (select removed from rounds order by k desc limit 1))""",
+        "coverage": _found(3)
+        + f""", coarse as (select unnest(range(0, 49152)) as up),
+{_centre("cc", "coarse", 6, "up")},
+fine as (select unnest(range(up*256, up*256+256)) as pix from cc where ra between 148 and 162 and dec between -7 and 7),
+{_centre("c", "fine", 10)}
+select pix, count(*) as n_groups, count(distinct g1) as n_first
+from groups g join c on c.dec between g.dec - 0.0334 and g.dec + 0.0334 where {near} <= 120 group by pix""",
+        "inner_product": _with(STARS, _guides(), _inner()) + inner,
+        "stored_inner": _with(STARS, _guides(), _inner()) + inner,
+        "density_map": density_map,
+        "stored_map": density_map,
+        "map_lookup": _with(STARS, _guides(), _inner(), f"map as ({_map(6)})", _pix("loc", "stars", "gaia_ra", "gaia_dec", 6))
+        + " select gaia_id, loc.pix, coalesce(n_stars,0) as n_stars, coalesce(n_cells,0) as n_cells from loc left join map on map.pix = loc.pix",
+        "survey_overlay": overlaid,
+        "stored_overlay": overlaid,
+        "survey_summary": _overlaid()
+        + """
+select survey, coalesce(level,-1) as level, count(*) as n_cells, cast(sum(n_stars) as bigint) as n_stars, grouping_id(survey, level) as grouping
+from overlaid group by grouping sets ((survey, level), (level), ())""",
         "state_latest": f"with {_STATE} select outer_pix, state, n_events from last_state",
         "state_summary": f"with {_STATE}, {_UNIVERSE} select coalesce(state, 'pending') as state, count(*) as n_cells from universe left join last_state using (outer_pix) group by 1",
         "unfinished": f"with {_STATE}, {_UNIVERSE} select outer_pix from universe where outer_pix not in (select outer_pix from last_state where state in ('done', 'excluded', 'failed'))",
-        "balance": held + ", run as (select outer_pix, weight, cast(sum(weight) over (order by outer_pix) - weight as bigint) as before, sum(weight) over () as total from held) select outer_pix, weight, before, cast(least(floor(before*16/total), 15) as integer) as share from run",
-        "pass_compare": compare + " select * from (select coalesce(a.outer_pix,b.outer_pix) as outer_pix, coalesce(a.inner_pix,b.inner_pix) as inner_pix, case when b.inner_pix is null then 'only_left' when a.inner_pix is null then 'only_right' when a.n_stars <> b.n_stars then 'changed' end as difference from inner_ a full outer join other_ b on a.outer_pix = b.outer_pix and a.inner_pix = b.inner_pix) where difference is not null",
-        "resumed_pass": _found(2) + " select outer_pix, rank, g1, g2 from (select outer_pix, cast(row_number() over (partition by outer_pix order by score desc, g1, g2) as integer) as rank, g1, g2 from groups where max_side <= 120 and outer_pix in (select distinct pix from owncells)) where rank <= 5",
+        "balance": held
+        + """, run as (
+  select outer_pix, weight, cast(sum(weight) over (order by outer_pix) - weight as bigint) as before, sum(weight) over () as total from held)
+select outer_pix, weight, before, cast(least(floor(before*16/total), 15) as integer) as share from run""",
+        "pass_compare": compare
+        + """
+select * from (
+  select coalesce(a.outer_pix,b.outer_pix) as outer_pix, coalesce(a.inner_pix,b.inner_pix) as inner_pix,
+    case when b.inner_pix is null then 'only_left' when a.inner_pix is null then 'only_right' when a.n_stars <> b.n_stars then 'changed' end as difference
+  from inner_ a full outer join other_ b on a.outer_pix = b.outer_pix and a.inner_pix = b.inner_pix)
+where difference is not null""",
+        "manifest": _manifest(),
+        "resumed_pass": _with(STARS, _guides(), _pairs(), TRIPLES, _groups(2), _pix("owncells", "stars", "gaia_ra", "gaia_dec", 6))
+        + """
+select outer_pix, rank, g1, g2 from (
+  select outer_pix, cast(row_number() over (partition by outer_pix order by score desc, g1, g2) as integer) as rank, g1, g2
+  from groups where max_side <= 120 and outer_pix in (select distinct pix from owncells))
+where rank <= 5""",
+        "archive_stars": """
+select 3*pix + k as gaia_id, 7.5e0*pix + k as gaia_ra, pix/2.0e0 - k as gaia_dec, cast(10.0e0 + k as float) as "gaia_G",
+  cast(null as float) as "gaia_BP", 2016.0e0 as gaia_ref_epoch, cast(k % 2 as smallint) as gaia_non_single_star
+from range(0, 48) p(pix), range(0, 3) t(k)""",
+        "inspected_pass": f"with {_STATE} select '{pass_identity('guide-star-groups', '1', SearchConfig(), 'dr3', 6, 'heuristic-1')}' as pass_id, 'guide-star-groups' as algorithm, "
+        + ", ".join(f"count(*) filter (where state = '{state}') as n_{state}" for state in STATES)
+        + " from last_state",
+        "bench_records": """
+select * from (values ('local', '1', 'cold', 1, 3.5e0), ('local', '1', 'warm', 2, 1.5e0), ('local', '2', 'warm', 1, 9.0e0)) t(location, workers, temperature, n, median_seconds)""",
     }
-    out["resumed_pass"] = _with(STARS, _guides(), _pairs(), TRIPLES, _groups(2), _pix("owncells", "stars", "gaia_ra", "gaia_dec", 6)) + out["resumed_pass"].removeprefix(_found(2))
-    return out

@@ -20,6 +20,15 @@ def write_artifact(df: DataFrame, root: str, pass_id: str, kind: str, by: str |
     writer.parquet(path)
 
 
+def clear_cells(spark: SparkSession, root: str, pass_id: str, kind: str, cells: DataFrame) -> None:
+    """Remove what an artifact holds of the cells (``outer_pix``). A dynamic overwrite replaces only the cells that have new
+    rows, so a cell that is built again and has none any more must go first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pass_path(root, pass_id, kind))
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in cells.select("outer_pix").distinct().toLocalIterator():
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(path, f"outer_pix={r['outer_pix']}"), True)
+
+
 def read_artifact(spark: SparkSession, root: str, pass_id: str, kind: str, pixels: list[int] | None = None) -> DataFrame:
     df = spark.read.parquet(pass_path(root, pass_id, kind))
     return df if pixels is None else df.where(F.col("outer_pix").isin([int(p) for p in pixels]))
@@ -45,8 +54,11 @@ def write_map(df, root, pass_id):
     write_artifact(df, root, pass_id, "map", "level")
 
 
-def read_map(spark, root, pass_id):
-    return read_artifact(spark, root, pass_id, "map")
+def read_map(spark, root, pass_id, level: int | None = None, pixels=None):
+    """The map of a pass, of one level and of some of its cells if these are given."""
+    df = read_artifact(spark, root, pass_id, "map")
+    df = df if level is None else df.where(F.col("level") == level)
+    return df if pixels is None else df.where(F.col("pix").isin([int(p) for p in pixels]))
 
 
 def write_overlay(df, root, pass_id):

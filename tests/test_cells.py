@@ -65,6 +65,23 @@ def test_neighbours_are_symmetric_and_seven_or_eight(spark, level):
     assert counts.count(7) == 24 and counts.count(8) == cells.npix(level) - 24
 
 
+def test_neighbours_of_some_cells_equal_those_of_all(spark):
+    for level in (0, 1, 2, 4):
+        every = {tuple(r) for r in cells.neighbours(spark, level).collect()}
+        some = spark.range(0, cells.npix(level), 1 if level < 4 else 7).withColumnRenamed("id", "pix")
+        asked = {r.pix for r in some.collect()}
+        assert {tuple(r) for r in cells.neighbours_of(some, level).collect()} == {p for p in every if p[0] in asked}
+    fine = cells.neighbours_of(spark.range(1).select(F.lit(12345678901).alias("pix")), 20).collect()
+    assert len(fine) == 8
+
+
+def test_centres_on_the_driver_equal_those_of_columns(spark):
+    for level in (0, 3, 5):
+        at = cells.with_centre(spark.range(cells.npix(level)).withColumnRenamed("id", "pix"), "pix", level, "ra", "dec").collect()
+        for r in at:
+            assert cells.centre(r.pix, level) == pytest.approx((r.ra, r.dec), abs=1e-9)
+
+
 def test_the_benchmark_cluster_needs_22_files(spark):
     around = {r.nbr for r in cells.neighbours(spark, 6).where(F.col("pix").isin(41425, 41427, 41428, 41429, 41430, 41433)).collect()}
     assert len(around | {41425, 41427, 41428, 41429, 41430, 41433}) == 22

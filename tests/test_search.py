@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.contracts import SearchConfig
+from skyloom.functions import cells, geometry
 from skyloom.operators import scoring, search
 
 
@@ -71,6 +72,16 @@ def test_coverage_at_a_pole_has_the_nearest_cells(spark):
     assert search.coverage(group, 6, 2700.0).count() == 4
 
 
+def test_coverage_equals_the_distance_to_every_centre(spark):
+    places = [(0.0, 0.0), (45.0, 0.0), (44.98, 41.81), (90.0, 41.81), (0.01, 89.9), (200.0, -89.95), (135.0, 60.0), (314.9, -41.8), (77.7, 23.4), (10.0, -66.6)]
+    groups = spark.createDataFrame([(i, None, None, ra, dec) for i, (ra, dec) in enumerate(places)], "g1 long, g2 long, g3 long, ra double, dec double")
+    at = cells.with_centre(spark.range(cells.npix(6)).withColumnRenamed("id", "pix"), "pix", 6, "ra_c", "dec_c")
+    for radius in (900.0, 3600.0, 9000.0):
+        near = groups.crossJoin(at).where(geometry.separation(F.col("ra"), F.col("dec"), F.col("ra_c"), F.col("dec_c")) <= radius)
+        got = search.coverage(groups, 6, radius).select("g1", "pix").collect()
+        assert len(got) == len(set(got)) and set(got) == set(near.select("g1", "pix").collect())
+
+
 def test_batch_scorer_equals_columns(spark, hard_sky):
     groups = search.candidates(stars(spark, hard_sky[:40]), SearchConfig(radius_arcsec=1200.0, min_separation_arcsec=0.0))
     one = {tuple(r) for r in scoring.HeuristicScorer().score(groups).select("g1", "g2", "g3", F.round("score", 6)).collect()}

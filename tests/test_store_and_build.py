@@ -1,11 +1,14 @@
 """Contracts, the star store, passes, states and a stopped and resumed build."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from skyloom import cli
 from skyloom.contracts import LoadRequest, SearchConfig, pass_identity, pass_path, star_path
-from skyloom.operators import loader
+from skyloom.functions import cells
+from skyloom.operators import loader, products, scoring
 from skyloom.plans import build, catalog
 from skyloom.sources import archive, artifacts, stars
 
@@ -22,6 +25,8 @@ def test_store_round_trip_and_pruning(spark, patch, tmp_path):
     one = back.first().outer_pix
     some = stars.read_stars(spark, str(tmp_path), "dr3", 4, [one])
     assert 0 < some.count() < back.count() and {r.outer_pix for r in some.select("outer_pix").distinct().collect()} == {one}
+    held = [r.outer_pix for r in back.select("outer_pix").distinct().collect()]
+    assert all(os.listdir(star_path(str(tmp_path), "dr3", 4, p)) for p in held)  # the path contract is where the files are
     assert "PartitionFilters: [" in some._jdf.queryExecution().toString() and stars.exists(spark, str(tmp_path), "dr3", 4)
     assert not stars.exists(spark, str(tmp_path), "dr9", 4)
 
@@ -34,7 +39,6 @@ def test_writer_rejects_derived_columns_and_wrong_types(patch, tmp_path):
 
 
 def test_paths_and_identity():
-    assert star_path("r", "dr3", 6, 41430, 31.0, -12.0) == "r/stars/release=dr3/level=6/h02/d07/outer_pix=41430"
     a = pass_identity("a", "1", SearchConfig(), "dr3", 6, "s")
     assert a == pass_identity("a", "1", SearchConfig(), "dr3", 6, "s") != pass_identity("a", "1", SearchConfig(radius_arcsec=1.0), "dr3", 6, "s")
     with pytest.raises(ValueError):
@@ -66,9 +70,118 @@ def test_stopped_and_resumed_pass_equals_a_clean_one(spark, patch, tmp_path):
     for left, right in zip(*found, strict=True):
         assert left.count() == right.count() > 0 and left.select(right.columns).exceptAll(right).isEmpty()
     assert build.compare(found[0][1], found[1][1], ["outer_pix", "inner_pix"], ["n_stars"]).isEmpty()
+    assert cli.main(["compare", "--root", str(tmp_path / "a"), "--pass-id", pass_id, pass_id], spark) == 0
     assert cli.main(["inspect", "--root", str(tmp_path / "a"), "--pass-id", pass_id], spark) == 0
 
 
+SMALL = SearchConfig(sizes=(1,), outer_level=3, inner_level=5, map_levels=(3,))
+
+
+class Broken(scoring.HeuristicScorer):
+    """Fails on the groups of one side of the patch."""
+
+    def __init__(self, below):
+        self.below = below
+
+    def score(self, groups):
+        broken = F.raise_error(F.lit("scorer broke")).cast("double")
+        return super().score(groups).withColumn("score", F.when(F.col("outer_pix") < self.below, broken).otherwise(F.col("score")))
+
+
+def test_a_failing_batch_is_told_and_tried_again(spark, patch, tmp_path):
+    root, request = str(tmp_path), LoadRequest(outer_level=3)
+    stars.write_stars(patch, root, "dr3", 3)
+    held = sorted(r.outer_pix for r in stars.read_stars(spark, root, "dr3", 3).select("outer_pix").distinct().collect())
+    out = spark.createDataFrame([(held[-1],)], "outer_pix long")
+    pass_id = build.create_pass(spark, root, SMALL, request)
+    states = build.run(spark, root, pass_id, SMALL, request, Broken(held[1]), batches=3, excluded=out)
+    counts = {r.state: r.n_cells for r in states.collect()}
+    assert counts["failed"] > 0 and counts["done"] > 0 and counts["excluded"] == 1 and sum(counts.values()) == len(held)
+    notes = build.read_events(spark, root, pass_id).where("state = 'failed'").select("note").distinct().collect()
+    assert len(notes) == 1 and "scorer broke" in notes[0].note
+    same = build.resume(spark, root, pass_id, SMALL, request, batches=3, excluded=out)
+    assert {r.state: r.n_cells for r in same.collect()} == counts  # failed cells stay until they are asked for
+    assert artifacts.read_manifest(spark, root, pass_id).first().completed_at is None
+    again = build.resume(spark, root, pass_id, SMALL, request, batches=3, retry_failed=True, excluded=out)
+    assert {r.state: r.n_cells for r in again.collect()} == {"done": len(held) - 1, "excluded": 1}
+    assert artifacts.read_manifest(spark, root, pass_id).first().completed_at is not None
+    built = {r.outer_pix for r in artifacts.read_asterisms(spark, root, pass_id).select("outer_pix").distinct().collect()}
+    assert built <= set(held[:-1])
+
+
+def test_a_rebuilt_cell_keeps_nothing_of_before(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "outer_pix long, v string")
+    artifacts.write_inner(rows, str(tmp_path), "p")
+    artifacts.clear_cells(spark, str(tmp_path), "p", "inner", rows.where("outer_pix = 1"))
+    artifacts.write_inner(rows.where("outer_pix = 3"), str(tmp_path), "p")
+    assert {r.outer_pix for r in artifacts.read_inner(spark, str(tmp_path), "p").collect()} == {2}
+
+
+def test_a_run_asks_for_one_level_and_one_store(spark, patch, tmp_path):
+    root, request = str(tmp_path), LoadRequest(outer_level=3)
+    pass_id = build.create_pass(spark, root, SMALL, request)
+    with pytest.raises(ValueError, match="level"):
+        build.run(spark, root, pass_id, SMALL, LoadRequest(outer_level=4))
+    stars.write_stars(patch, root, "dr3", 3)
+    build.run(spark, root, pass_id, SMALL, request, batches=2, stop_after=1)
+    stars.write_stars(patch.withColumn("gaia_dec", F.col("gaia_dec") + 0.001), root, "dr3", 3)
+    with pytest.raises(ValueError, match="not the one"):
+        build.resume(spark, root, pass_id, SMALL, request, batches=2)
+
+
+def test_requests_name_cells_and_the_ring_around_them(spark, patch, tmp_path):
+    root = str(tmp_path)
+    stars.write_stars(patch, root, "dr3", 4)
+    every = stars.load(spark, root, LoadRequest(outer_level=4, epoch=2020.0, band="V"))
+    assert every.count() == patch.count() and every.where("own").count() == patch.count()
+    pix = every.groupBy("outer_pix").count().orderBy(F.desc("count")).first().outer_pix
+    alone = stars.load(spark, root, LoadRequest(outer_level=4, pixels=(pix,)))
+    assert {r.outer_pix for r in alone.select("outer_pix").distinct().collect()} == {pix}
+    around = {r.nbr for r in cells.neighbours(spark, 4).where(F.col("pix") == pix).collect()}
+    for level in (4, 6):
+        got = stars.load(spark, root, LoadRequest(outer_level=4, pixels=(pix,), stitching_level=level))
+        inner = {r.p for r in spark.range(1).select(F.explode(cells.children(F.lit(pix), 4, level)).alias("p")).collect()}
+        near = cells.neighbours(spark, level).where(F.col("pix").isin(list(inner))).select("nbr").distinct()
+        ring = {r.nbr for r in near.collect()} - inner
+        want = cells.with_cell(every, "gaia_ra", "gaia_dec", level, "fine").where(F.col("fine").isin(list(ring | inner)))
+        assert {(r.gaia_id, r.own) for r in got.collect()} == {(r.gaia_id, r.fine in inner) for r in want.collect()}
+        assert {r.outer_pix for r in got.collect()} <= around | {pix}
+
+
+def test_boxes_over_zero_and_the_poles(spark):
+    boxes = [("a", 350.0, 10.0, -5.0, 5.0), ("b", 350.0, 370.0, -5.0, 5.0), ("c", 0.0, 360.0, 80.0, 90.0), ("d", 100.0, 101.0, -90.0, -60.0), ("e", 10.0, 20.0, 5.0, -5.0), ("f", None, 20.0, 0.0, 5.0)]
+    df = spark.createDataFrame(boxes, "survey string, ra_min double, ra_max double, dec_min double, dec_max double")
+    got = {(r.survey, r.pix) for r in products.footprint_cells(df, 5).collect()}
+    at = cells.with_centre(spark.range(cells.npix(5)).withColumnRenamed("id", "pix"), "pix", 5, "ra", "dec").collect()
+    inside = {"a": lambda r: (r.ra >= 350 or r.ra <= 10) and abs(r.dec) <= 5, "c": lambda r: r.dec >= 80, "d": lambda r: 100 <= r.ra <= 101 and r.dec <= -60}
+    inside["b"] = inside["a"]
+    assert got == {(s, r.pix) for s, f in inside.items() for r in at if f(r)} and {s for s, _ in got} == set("abcd")
+
+
+def test_overlays_hold_their_level(spark):
+    sky_map = spark.createDataFrame([(6, 5, 10), (7, 5, 3)], "level int, pix long, n_stars long")
+    survey = spark.createDataFrame([(6, 5, "s")], "level int, pix long, survey string")
+    assert {(r.level, r.inside) for r in products.overlay(sky_map, survey).collect()} == {(6, True), (7, False)}
+
+
+def test_command_line_builds_a_pass(spark, patch, tmp_path, capsys):
+    root = str(tmp_path)
+    stars.write_stars(patch.where("gaia_id < 60"), root, "dr3", 3)
+    for verb in ("plan", "run", "resume"):
+        assert cli.main([verb, "--root", root, "--level", "3", "--batches", "2"], spark) == 0
+    said = capsys.readouterr().out
+    pass_id = said.split()[0]
+    assert said.count(pass_id) == 3 and "done" in said
+    assert artifacts.read_manifest(spark, root, pass_id).first().completed_at is not None
+
+
+def test_bench_records_are_summed(spark, tmp_path):
+    for seconds in (1.0, 3.0, 2.0):
+        build.bench(spark, str(tmp_path), "p", location="ssd", workers=2, temperature="warm", seconds=seconds)
+    row = build.bench_summary(build.read_bench(spark, str(tmp_path), "p")).first()
+    assert (row.location, row.workers, row.n, row.median_seconds) == ("ssd", "2", 3, 2.0)
+
+
 def test_balance_is_contiguous_and_even(spark):
     weighted = spark.range(300).select(F.col("id").alias("outer_pix"), (F.col("id") % 7 + 1).alias("weight"))
     rows = build.balance(weighted, 5, section_bits=4).orderBy("outer_pix").collect()
