@@ -50,7 +50,7 @@ TAKEN = 4
 NEEDED, SHORT = 3, 16
 #: Nodes of a key up to which all its pairs are candidates, and nodes of a tile of sketches and of texts.
 ALL_PAIRS = 12
-TILE, TEXT_TILE = 768, 256
+TILE, TEXT_TILE = 320, 256
 WORD = re.compile(r"\w+")
 CACHE_ENTRIES = 600_000
 #: Numbers that one step over all hash orders may hold.
@@ -246,18 +246,28 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _tiled(members: DataFrame, tile: int, carried: tuple[str, ...]) -> DataFrame:
-    """Each row of ``members`` (key, id, query, size, queries and what is carried), once for each tile that it enters: as a
-    member of one tile with every tile of queries, and, if it is a query, as one with every tile of members."""
-    tiles, query_tiles = (F.ceil(F.col(c) / tile).cast("int") for c in ("size", "queries"))
-    own = F.pmod(F.xxhash64("id"), tiles).cast("int")
-    asked = F.pmod(F.xxhash64("id", F.lit(1)), query_tiles).cast("int")
+    """Each row of ``members`` (key, id, query, size, queries and what is carried), once for each tile that it enters.
+
+    The queries of a key meet its other nodes in tiles numbered from 0, every part of the one with every part of the other, and
+    each other in tiles numbered from -1 downward, where part u of the queries is asked by part v, for v up to u only: no pair meets
+    twice but in the tiles of one part with itself, where a row stands on both sides.
+    """
+    parts, query_parts = (F.ceil(c / tile).cast("int") for c in (F.col("size") - F.col("queries"), F.col("queries")))
+    own, own_query = F.pmod(F.xxhash64("id"), F.greatest(parts, F.lit(1))).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), query_parts).cast("int")
+
+    def place(t: Column, q: Column, asks: bool) -> Column:
+        return F.struct(t.cast("int").alias("tile"), q.cast("int").alias("query_tile"), F.lit(asks).alias("asks"))
+
+    meets = F.transform(F.sequence(F.lit(0), query_parts - 1), lambda q: place(own, q, False))
+    asked = F.transform(F.sequence(F.lit(0), own_query), lambda q: place(-1 - own_query, q, False))
+    asks = F.transform(F.sequence(own_query, query_parts - 1), lambda u: place(-1 - u, own_query, True))
+    asks_others = F.when(parts > 0, F.transform(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1), lambda t: place(t, own_query, True))).otherwise(F.slice(asks, 1, 0))
+    return members.select("key", "id", *carried, F.explode(F.when(F.col("query"), F.concat(asked, asks, asks_others)).otherwise(meets)).alias("_at")).select("key", "id", *carried, "_at.*")
 
-    def places(fixed: Column, moving: Column, asks: bool) -> Column:
-        pair = (lambda t: (t, fixed)) if asks else (lambda t: (fixed, t))
-        return F.transform(F.sequence(F.lit(0), moving - 1), lambda t: F.struct(pair(t)[0].alias("tile"), pair(t)[1].alias("query_tile"), F.lit(asks).alias("asks")))
 
-    both = F.concat(places(own, query_tiles, False), F.when(F.col("query"), places(asked, tiles, True)).otherwise(F.array()))
-    return members.select("key", "id", "query", *carried, F.explode(both).alias("_at")).select("key", "id", "query", *carried, "_at.*")
+def _with_itself(table: pa.Table) -> bool:
+    """Whether a tile is one of a part of the queries with itself."""
+    return table.column("tile")[0].as_py() == -1 - table.column("query_tile")[0].as_py()
 
 
 def _plausible_members(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -276,13 +286,15 @@ def _plausible_members(members: DataFrame, nodes: DataFrame, least: float) -> Da
     def compare(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
         keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
-        ids, parts, sizes, query, bits = (table.column(c).to_numpy() for c in ("id", "component", "n", "query", "bits"))
-        place = table.column("place")[0].as_py()
+        ids, parts, sizes, bits = (table.column(c).to_numpy() for c in ("id", "component", "n", "bits"))
+        place, once = table.column("place")[0].as_py(), _with_itself(table)
         have = np.flatnonzero(~asks)
         members_, marked = keys[have], np.zeros(len(asks), bool)
         for q in np.flatnonzero(asks).tolist():
             n = np.minimum(sizes[have], sizes[q])
-            open_ = (parts[have] != parts[q]) & (n >= least * np.maximum(sizes[have], sizes[q])) & (~query[have] | (ids[have] > ids[q]))
+            open_ = (parts[have] != parts[q]) & (n >= least * np.maximum(sizes[have], sizes[q]))
+            if once:
+                open_ &= ids[have] > ids[q]
             equal = members_ == keys[q]
             open_ &= equal.sum(axis=1) >= np.where(n < SHORT, 1, NEEDED)
             if open_.any():
@@ -305,7 +317,7 @@ def _tile_links(members: DataFrame, bodies: DataFrame, least: float) -> DataFram
 
     def compare(table: pa.Table) -> pa.Table:
         hasher, head = _hasher(), {}
-        asks, query = table.column("asks").to_numpy(), table.column("query").to_pylist()
+        asks, once = table.column("asks").to_numpy(), _with_itself(table)
         ids, parts, bodies_ = (table.column(c).to_pylist() for c in ("id", "component", "text"))
         seqs = [_sequence(hasher, t) for t in bodies_]
         sizes = np.array([len(s) for s in seqs])
@@ -319,7 +331,7 @@ def _tile_links(members: DataFrame, bodies: DataFrame, least: float) -> DataFram
         for q in np.flatnonzero(asks).tolist():
             s, n, mine = seqs[q], len(seqs[q]), np.sort(seqs[q])
             for j in have[np.minimum(sizes[have], n) >= least * np.maximum(sizes[have], n)].tolist():
-                if (query[j] and ids[j] <= ids[q]) or find(parts[j]) == find(parts[q]):
+                if (once and ids[j] <= ids[q]) or find(parts[j]) == find(parts[q]):
                     continue
                 at = np.searchsorted(mine, seqs[j])
                 common = int((mine[np.minimum(at, n - 1)] == seqs[j]).sum())

@@ -1,6 +1,7 @@
 """Search, near-duplicates, leaks, toxicity, mixing and the pipeline against brute force and on edge cases."""
 
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -100,6 +101,98 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == brute_classes(rows)
 
 
+def independent_classes(rows):
+    """Classes by the definition: longest common ordered chain of labelled five-word shingles, over every pair of texts."""
+
+    def labelled(text):
+        own = re.findall(r"\w+", text.lower())
+        seen, out = defaultdict(int), []
+        for k in range(max(1, len(own) - 4)):
+            s = tuple(own[k : k + 5])
+            out.append((s, seen[s]))
+            seen[s] += 1
+        return out
+
+    def chain(a, b):
+        place = {s: j for j, s in enumerate(b)}
+        best = []
+        for s in a:
+            if s in place:
+                j = place[s]
+                best.append((j, 1 + max((n for i, n in best if i < j), default=0)))
+        return max((n for _, n in best), default=0)
+
+    seqs = [labelled(t) for _, t in rows]
+    head = list(range(len(rows)))
+
+    def find(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if find(i) != find(j) and min(len(seqs[i]), len(seqs[j])) >= 0.8 * max(len(seqs[i]), len(seqs[j])):
+                c = chain(seqs[i], seqs[j])
+                if c >= 0.8 * (len(seqs[i]) + len(seqs[j]) - c):
+                    head[find(i)] = find(j)
+    classes = defaultdict(set)
+    for i in range(len(rows)):
+        classes[find(i)].add(i)
+    return {frozenset(c) for c in classes.values()}
+
+
+@pytest.mark.parametrize("tile", [320, 7])
+def test_near_duplicates_equal_the_definition_over_all_pairs(spark, monkeypatch, tile):
+    """A family that one hub does not hold together, a passage that many share, rows without ids, texts of few words; small
+    tiles give what one tile gives."""
+    monkeypatch.setattr(neardup, "TILE", tile)
+    monkeypatch.setattr(neardup, "TEXT_TILE", tile)
+    rng = random.Random(31)
+    rows, base = [], words(rng, 200)
+    for step in range(30):  # a chain: each text is near the next, the ends are far from each other
+        base = list(base)
+        base[6 * step] = f"step{step}"
+        rows += [" ".join(base), " ".join([*base[:-1], f"end{step}"])]
+    passage = words(rng, 90)
+    rows += [" ".join(words(rng, 25) + passage + words(rng, 10)) for _ in range(45)]
+    short = words(rng, 9)
+    rows += [" ".join(short), " ".join(short[:-1]), " ".join(words(rng, 60)), "a b c d e f g h i j k l", "a b c d e f g h i j k l m"]
+    docs = spark.createDataFrame([(i if i % 3 else None, t, i) for i, t in enumerate(rows)], "doc_id long, text string, row long")
+    scratch = neardup.Scratch(spark)
+    found = neardup._classes(docs, scratch, 0.8, "doc_id", "text")
+    part = {(r.doc_id, r.raw): r.component for r in found.collect()}
+    named = docs.select("row", "doc_id", F.xxhash64("text").alias("raw")).collect()
+    got = defaultdict(set)
+    for r in named:
+        got[part[r.doc_id, r.raw]].add(r.row)
+    assert {frozenset(c) for c in got.values()} == independent_classes(list(enumerate(rows)))
+
+
+def test_recall_at_lower_similarity(spark):
+    """Of pairs whose similarity is 0.8 to 0.85, none of 300 is missed (expected: 1e-4 of them at most)."""
+    rng = random.Random(32)
+    rows = []
+    while len(rows) < 600:
+        own = words(rng, rng.randrange(40, 200))
+        other = list(own)
+        for _ in range(rng.randrange(1, 6)):
+            at = rng.randrange(len(other))
+            other[at : at + 1] = [] if rng.random() < 0.5 else [f"e{rng.randrange(10**6)}"]
+        h = neardup.Hasher()
+        if 0.8 <= neardup.similarity(h.shingles(own), h.shingles(other)) <= 0.85:
+            rows += [" ".join(own), " ".join(other)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == {i: i - i % 2 for i in range(600)}
+
+
+def test_near_duplicates_of_long_texts(spark):
+    rng = random.Random(33)
+    own = words(rng, 60_000)
+    docs = spark.createDataFrame([(1, " ".join(own)), (2, " ".join([*own[:-9], "x"])), (3, " ".join(words(rng, 50_000))), (4, "a " * 40_000), (5, "a " * 39_000)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
 def test_near_duplicates_edge_cases(spark):
     docs = spark.createDataFrame([(1, None), (2, None), (None, "a b c d e f"), (3, "a b c d e f"), (4, "x y"), (4, "x y"), (5, "x y")], "doc_id long, text string")
     got = [(r.doc_id, r.class_id) for r in neardup.classes(docs).collect()]
