@@ -40,7 +40,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, remove, small_batches, texts
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_500_000
+#: Words that the library gets in one string; long strings cost it more a word.
+SLICE = 256
 WINDOW = 8
 #: A cut follows a position whose hash has these bits zero (one in 512), between the least and greatest length.
 CUT_BITS = 9
@@ -79,17 +81,20 @@ class Encoder:
         return [np.asarray(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
     def _library_joined(self, parts: list[str]) -> list[bytes]:
-        """As _library, for parts with a space before each, none of which ends with one: one call, taken apart by byte lengths."""
+        """As _library, for parts with a space before each, none of which ends with one: a call for each SLICE of them, taken apart
+        by byte lengths."""
         if not parts:
             return []
-        ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(parts)], add_special_tokens=False)[0].ids, self.kind)
-        stops = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) + 1 for p in parts])) + 1
+        strings = [" " + " ".join(parts[i : i + SLICE]) for i in range(0, len(parts), SLICE)]
+        ids = np.concatenate([np.asarray(self.tokenizer.encode_batch_fast([s], add_special_tokens=False)[0].ids, self.kind) for s in strings])
+        sizes = np.array([len(p.encode()) for p in parts])
+        stops = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(sizes + 1)) + 1
         stream, stops = ids.tobytes(), (stops * self.width).tolist()
         return [stream[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
     def encode(self, rows: list[str]) -> list[bytes]:
         get = self.cache.get  # of a part without its space
-        cut: list[tuple[list[str], list[bytes | None]] | None] = []
+        cut: list[tuple[list[str], list[bytes | None], list[int]] | None] = []
         whole: list[str] = []
         missing: set[str] = set()
         for text in rows:
@@ -104,21 +109,21 @@ class Encoder:
                 continue
             whole.append(first)  # it has no space before it
             found = list(map(get, words))
-            if None in found:
-                missing.update([w for w, ids in zip(words, found, strict=True) if ids is None])
-            cut.append((words, found))
+            holes = _holes(found)
+            missing.update([words[k] for k in holes])
+            cut.append((words, found, holes))
         fresh: dict[str, bytes] = {}
         if missing:
-            led = [w for w in missing if w and not w[-1].isspace()]
             rest = [w for w in missing if not w or w[-1].isspace()]
+            led = list(missing.difference(rest))
             fresh.update(zip(led, self._library_joined(led), strict=True))
             fresh.update(zip(rest, self._library([" " + w for w in rest]), strict=True))
         out = []
         for ids, parts in zip(self._library(whole), cut, strict=True):
             if parts:
-                words, found = parts
-                if None in found:
-                    found = [fresh[w] if ids_ is None else ids_ for w, ids_ in zip(words, found, strict=True)]
+                words, found, holes = parts
+                for k in holes:
+                    found[k] = fresh[words[k]]
                 ids += b"".join(found)
             out.append(ids)
         if len(self.cache) < CACHE_ENTRIES:
@@ -126,6 +131,17 @@ class Encoder:
         return out
 
 
+def _holes(found: list[bytes | None]) -> list[int]:
+    """Places of None in a list, found at the speed of a list search."""
+    places, at = [], -1
+    try:
+        while True:
+            at = found.index(None, at + 1)
+            places.append(at)
+    except ValueError:
+        return places
+
+
 @lru_cache(maxsize=4)
 def encoder(file: str) -> Encoder:
     return Encoder(file)
@@ -148,9 +164,11 @@ def cuts(ids: np.ndarray) -> list[int]:
         return [n] if n else []
     g = _gear()[ids & 0xFFFF]
     with np.errstate(over="ignore"):
-        h = g.copy()
-        for k in range(1, WINDOW):
-            h[k:] += g[:-k] << np.uint64(7 * k)
+        h, k = g, 1  # sums of g << 7 * age over windows of 1, 2, 4 and 8 ids
+        while k < WINDOW:
+            wider = h.copy()
+            wider[k:] += h[:-k] << np.uint64(7 * k)
+            h, k = wider, 2 * k
     marks = np.flatnonzero((h >> np.uint64(64 - CUT_BITS)) == 0) + 1
     ends, at = [], 0
     for m in marks.tolist():
