@@ -349,6 +349,58 @@ def test_misspelled_learned_words_are_found(spark):
     assert {r.doc_id: r.score > 0.5 for r in toxicity.score(tried, model).collect()} == asked
 
 
+def test_training_rows_are_bounded_however_ids_repeat(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 50)
+    docs = spark.createDataFrame([(i % 3, f"text {i}", "x") for i in range(900)] + [(7, None, "x")], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (7, 1), (None, 1)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels)
+    assert rows.count() == 50 and sorted(map(tuple, rows.collect())) == sorted(map(tuple, toxicity.training_rows(docs.repartition(5), labels).collect()))
+    model = toxicity.train(docs, labels)
+    assert all(0 <= r.score <= 1 for r in toxicity.score(docs, model).collect())
+
+
+def test_hits_equal_a_search_of_the_whole_lexicon(spark):
+    """Each word against every term, by plain edit distance, as the automaton must find them; the score follows from these hits."""
+    rng = random.Random(18)
+    lexicon = {w: round(rng.uniform(1, 6), 3) for w in words(rng, 40)} | {"grum*": 2.5, "idiot": 4.0, "stupid": 5.0}
+    scanner = toxicity.Scanner(lexicon)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+            row = new
+        return row[-1]
+
+    def weight(word):
+        exact = [v for t, v in lexicon.items() if t == word or (t.endswith("*") and word.startswith(t[:-1]))]
+        near = [0.7 * v for t, v in lexicon.items() if not t.endswith("*") and len(t) >= 5 and distance(t, word) <= 1]
+        return max(exact + near, default=0.0)
+
+    terms = [t.rstrip("*") for t in lexicon]
+    for _ in range(60):
+        own = words(rng, 12) + [t[:k] + rng.choice("xyzab") + t[k + rng.randrange(2) :] for t in rng.sample(terms, 6) for k in [rng.randrange(len(t))]]
+        rng.shuffle(own)
+        want = [(i, pytest.approx(weight(w))) for i, w in enumerate(own) if weight(w) > 0]
+        assert [(i, w) for i, w, _ in scanner.hits(" ".join(own))[1]] == want
+    long = "fine words " * 40_000 + "stup1d idi0t"
+    assert len(scanner.hits(long)[1]) == 2 and scanner.features("")[7] == 0.0
+    assert toxicity.score(spark.createDataFrame([], "doc_id long, text string"), {"name": "x", "share": 0.0}).count() == 0
+
+
+def test_leaks_in_long_texts_and_repeated_rows(spark):
+    rng = random.Random(19)
+    items = [(i, " ".join(words(rng, 30))) for i in range(20)]
+    long = " ".join([*words(rng, 60_000), items[4][1], *words(rng, 100)])
+    docs = spark.createDataFrame([(1, long, "x"), (2, items[5][1], "x"), (2, items[5][1], "x"), (None, items[6][1], "x")], "doc_id long, text string, score string")
+    table = spark.createDataFrame([*items, items[5]], "item_id long, text string")
+    got = sorted((str(r.doc_id), r.item_id) for r in leaks.find_leaks(docs, table).collect())
+    assert got == [("1", 4)] + [("2", 5)] * 4 + [("None", 6)]
+    assert leaks.without_leaks(docs, table).count() == 0
+
+
 def test_mix_targets_and_bounds(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice(["a", "b", "b", "b", "b", "c", None]), " ".join(["w"] * rng.randrange(0, 60)), "x") for i in range(400)] + [(1000, "tiny", "one two", "x"), (1001, "a", None, "x"), (5, "a", "same id again", "x")]
