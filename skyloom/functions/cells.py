@@ -44,7 +44,7 @@ def _long(c: Column) -> Column:
 
 def _by_bytes(c: Column, table: list[int], bits: int, step: int) -> Column:
     """The table's entries of each byte of a number with so many bits, ``step`` bits apart. Each byte names the number once."""
-    known = F.array(*[F.lit(v).cast("long") for v in table])
+    known = F.expr(f"array({', '.join(f'{v}L' for v in table)})")  # one call to the JVM, not one for each entry
     out = None
     for k in range(0, max(1, -(-bits // 8))):
         part = F.shiftleft(F.get(known, F.shiftright(c, 8 * k).bitwiseAND(F.lit(255).cast("long")).cast("int")), step * k)
@@ -114,6 +114,11 @@ def pix2ang(pix: Column, level: int) -> tuple[Column, Column]:
     return ra, dec
 
 
+def structs(rows: list[tuple[float, ...]], *names: str) -> Column:
+    """A constant array of structs of doubles, made by one call to the JVM."""
+    return F.expr("array(" + ", ".join("named_struct(" + ", ".join(f"'{n}', {float(v)!r}D" for n, v in zip(names, row, strict=True)) + ")" for row in rows) + ")")
+
+
 def bound(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with columns that the optimizer does not copy into later expressions. A projection is merged into the ones
     above it and a filter moves below it, each use with the whole expression; a generator of one row is not."""
@@ -191,7 +196,7 @@ def neighbours_of(pixels: DataFrame, level: int, pix: str = "pix") -> DataFrame:
     at = pixels.select(F.col(pix).alias("pix")).where("pix is not null").distinct()
     at = at.select("pix", F.explode(F.array(*[F.struct(face.alias("face"), (x + a).alias("x"), (y + b).alias("y")) for a in (0, 1) for b in (0, 1)])).alias("c"))
     ra, dec, _ = position(F.col("c.face"), F.col("c.x"), F.col("c.y"), level)
-    at = bound(at, ra=ra, dec=dec).select("pix", "ra", "dec", F.explode(F.array(*[F.struct(F.lit(e).alias("east"), F.lit(n).alias("north")) for e, n in AROUND])).alias("s"))
+    at = bound(at, ra=ra, dec=dec).select("pix", "ra", "dec", F.explode(structs(AROUND, "east", "north")).alias("s"))
     step = math.radians(resolution_arcsec(level) / 3600) * 1e-3
     a, d, east, north = F.radians("ra"), F.radians("dec"), F.col("s.east") * step, F.col("s.north") * step
     point = (

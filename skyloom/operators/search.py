@@ -184,7 +184,7 @@ def coverage(groups: DataFrame, level: int, radius_arcsec: float) -> DataFrame:
 
     def lattice(most: int, step: float) -> Column:
         line = [k for k in range(-most, most + 1)]
-        return F.array(*[F.struct(F.lit(float(i)).alias("i"), F.lit(float(j)).alias("j")) for i in line for j in line if step == 0.0 or math.hypot(i, j) * step <= radius_arcsec + 2 * grid])
+        return cells.structs([(i, j) for i in line for j in line if step == 0.0 or math.hypot(i, j) * step <= radius_arcsec + 2 * grid], "i", "j")
 
     at = at.withColumn("_inside", inside).withColumn("_s", F.explode(F.when(F.col("_inside"), lattice(steps, 0.0)).otherwise(lattice(reach, grid))))
     a, d = F.radians("ra0"), F.radians("dec0")
