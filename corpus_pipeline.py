@@ -1,22 +1,22 @@
 """The corpus pipeline: five stages over ``documents``, each an operator of ``skyloom.llm``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet in the shared folder and
-hands what it reads back to the next stage. All but the last return the columns of ``documents``.
+hands what it reads back to the next stage; a stage's table goes when the next one is written. All but the last return the
+columns of ``documents``.
 
 1. toxicity: documents with a score of 0.5 or more go.
 2. near-dedup: one document of each class of copies and near copies stays.
 3. decontamination: documents that hold a benchmark item go.
-4. mixing: documents are repeated or left out so that sources stand near their target weights.
+4. mixing: documents are repeated or left out so that sources stand near their target weights, and stand in the order of the mix.
 5. token store: the mixed documents become token ids in a content-addressed store, read back and verified.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from skyloom.llm import leaks, mixing, neardup, store, toxicity
-from skyloom.llm.common import work_path, written
+from skyloom.llm.common import Scratch, work_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,6 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def store_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each stored document, read back from the store."""
+    import public_tokenizers
+
     root = work_path(spark, "store")
     store.write_store(docs, root, public_tokenizers.path("byte_bpe_50k.json"))
     return store.read_documents(spark, root)
@@ -56,7 +58,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.close(name)  # the stage before has been read for the last time
     return docs
