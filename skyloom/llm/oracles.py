@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import infill, mixing, variants
 from .licenses import COPYRIGHT_LINE, KNOWN, LONG, MARKERS, NOTHING, PARAGRAPHS, SPELLINGS, entitled
 
 
@@ -122,3 +122,73 @@ select doc_id, size, source_size, target, first_slot,
   cast(case when source_size = 0 then 0 else (take // source_size) * size + greatest(0, least(place + size, take % source_size) - place) end as bigint) as taken
 from p left join firsts using (r)
 """
+
+
+def _hash32(text: str) -> tuple[str, str]:
+    """Unsigned crc32 of a string: its hexadecimal digits, two for each byte, the lower half first, through a table of 16."""
+    table = []
+    for k in range(16):
+        for _ in range(4):
+            k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
+        table.append(k)
+    halves = f"list_transform(range(0, octet_length(encode({text}))), lambda i: [instr('123456789ABCDEF', hx[2*i+2]), instr('123456789ABCDEF', hx[2*i+1])])"
+    return halves, f"xor(list_reduce(list_prepend(4294967295::bigint, nibbles), lambda c, b: xor(({table}::bigint[])[1 + (xor(c, b) & 15)], c >> 4)), 4294967295)"
+
+
+def variants_sql() -> str:
+    """Near words by other means: equal after a character is left out at one place (replaced), or one is the other without a character."""
+    halves, crc = _hash32("s")
+    letters = variants.LETTERS.replace("\\u00C0-\\u00FF", "\u00C0-\u00FF")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+with recursive runs as (
+  select doc_id, translate(run, '{upper}', '{upper.lower()}') as run, count(*) as times
+  from (select doc_id, unnest(regexp_extract_all(text, '[{letters}]+')) as run from documents) where length(run) >= {variants.LEAST_LENGTH} group by 1, 2),
+keyed as (select run, times, s, hex(encode(s)) as hx from (select *, coalesce(cast(doc_id as varchar), '') || ':' || run as s from runs)),
+parts as (select run, times, flatten({halves})::bigint[] as nibbles from keyed),
+hashed as (select run, times, {crc} as h from parts),
+spoilt as (select case when h % {variants.SPOILT} = 0 then run[:h % length(run)] || run[h % length(run) + 2:] else run end as word, times from hashed),
+known as (select word, cast(sum(times) as bigint) as n from spoilt where length(word) >= {variants.LEAST_LENGTH} group by 1 having sum(times) >= 2),
+less as (select word, i, word[:i - 1] || word[i + 1:] as rest from (select word, unnest(range(1, length(word) + 1)) as i from known)),
+near as (
+  select distinct a.word, b.word as other from less a join less b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select a.word, b.word from less a join known b on a.rest = b.word
+  union select b.word, a.word from less a join known b on a.rest = b.word),
+best as (
+  select near.word, count(*) as n_near, arg_max(other, n) as any_form, max(n) as top from near join known on other = known.word group by 1),
+forms as (
+  select known.word, known.n, coalesce(n_near, 0) as n_near, case when top >= {variants.TIMES} * known.n then top end as form_n,
+    (select min(other) from near join known k on k.word = other where near.word = known.word and k.n = top) as near_form
+  from known left join best on best.word = known.word),
+named as (select word, n, n_near, form_n, case when form_n is not null then near_form end as form from forms),
+chain as (
+  select word, form as last_ from named where form is not null
+  union all
+  select chain.word, named.form from chain join named on named.word = chain.last_ where named.form is not null),
+roots as (select word, arg_max(last_, n) as root from (select chain.word, last_, known.n from chain join known on known.word = last_) group by 1)
+select word, form, coalesce(root, word) as root, n, n_near, form_n from named left join roots using (word)
+"""
+
+
+def infill_sql(seed: int = 42, rate: int = 50, spm_rate: int = 80) -> str:
+    hashes = ", ".join(f"cast(cast('0x' || digest[{8 * k + 1}:{8 * k + 8}] as ubigint) as bigint) as h{k + 1}" for k in range(4))
+    plain = " or ".join(f"contains(text, '{m}')" for m in (infill.PREFIX, infill.SUFFIX, infill.MIDDLE))
+    part = lambda a, b: f"array_to_string(t[{a} + 1:{b}], '')"
+    return f"""
+with rows as (
+  select doc_id, coalesce(text, '') as text, sha256('{seed}:' || coalesce(cast(doc_id as varchar), '')) as digest,
+    regexp_extract_all(coalesce(text, ''), '[{infill.SPACE}]*[^{infill.SPACE}]+|[{infill.SPACE}]+') as t from documents),
+cut as (select doc_id, text, t, cast(len(t) as bigint) as n, {hashes} from rows),
+placed as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as one, greatest(h1 % (n + 1), h2 % (n + 1)) as two,
+    case when text = '' or {plain} or h3 % 100 >= {rate} then 'plain' when h4 % 100 < {spm_rate} then 'spm' else 'psm' end as form from cut),
+parts as (select *, {part("0", "one")} as p, {part("one", "two")} as m, {part("two", "n")} as s from placed)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(text) as restored_sha256
+from parts
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"op1_licenses": licenses_sql(), "op2_chat": CHAT_SQL, "op4_topk": TOPK_SQL, "op10_mix": mix_sql(), "op12_variants": variants_sql(), "op13_infill": infill_sql()}

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, credentials, leaks, licenses, mixing, neardup, oracles, store, tokens, topk, toxicity
+from . import chat, credentials, infill, leaks, licenses, mixing, neardup, oracles, store, tokens, topk, toxicity, variants, wordpieces
 from .common import arrow_map, documents, work_path
 
 
@@ -74,6 +74,21 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    return wordpieces.digests(wordpieces.decode(wordpieces.encode(documents(spark, sf_dir), file), file))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(documents(spark, sf_dir))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.fill_in_middle(documents(spark, sf_dir)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,8 +96,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_licenses, op2_chat, op3_token_counts, op4_topk, op5_near_dup, op6_token_store, op7_secrets, op8_leaks, op9_toxicity, op10_mix, pipeline)}
+    return {f.__name__: f for f in (op1_licenses, op2_chat, op3_token_counts, op4_topk, op5_near_dup, op6_token_store, op7_secrets, op8_leaks, op9_toxicity, op10_mix, op11_word_bpe, op12_variants, op13_infill, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": oracles.licenses_sql(), "op2_chat": oracles.CHAT_SQL, "op4_topk": oracles.TOPK_SQL, "op10_mix": oracles.mix_sql()}
+    return oracles.oracle_sql()
