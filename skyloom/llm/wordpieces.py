@@ -170,21 +170,29 @@ class WordEncoder:
         joined = {w: np.array(i, np.int32).tobytes() for w, i in ids.items()}
         return {p: b"".join([joined[w] for w in words]) for p, words in cut.items()}
 
+    def _keep(self, found: dict[str, bytes]) -> None:
+        room = CACHE_ENTRIES - len(self.cache)
+        if room > 0:
+            self.cache.update([(p, i) for p, i in found.items() if len(p) <= CACHED_LENGTH][:room])
+
     def _plain(self, text: str, fresh: dict[str, bytes]) -> list[bytes]:
         parts = text.replace("\n", " ").split(" ")
         found = list(map(self.cache.get, parts))
         if None in found:
-            missing = {p for p, f in zip(parts, found, strict=True) if f is None} - fresh.keys()
-            fresh.update(self._learn(missing))
-            found = [fresh[p] if f is None else f for p, f in zip(parts, found, strict=True)]
+            holes = [k for k, f in enumerate(found) if f is None]
+            missing = {parts[k] for k in holes} - fresh.keys()
+            if missing:
+                fresh.update(self._learn(missing))
+            for k in holes:
+                found[k] = fresh[parts[k]]
         return found
 
     def encode(self, rows: list[str]) -> list[bytes]:
         """Ids of each text, as 32-bit integers."""
-        fresh: dict[str, bytes] = {}
         # what the whole batch lacks goes through the trie at once, so that its words share their prefixes
-        missing = set().union(*[t.replace("\n", " ").split(" ") for t in rows if len(t) <= SECTION]) - self.cache.keys() if rows else set()
-        fresh.update(self._learn(missing))
+        missing = set().union(*[t.replace("\n", " ").split(" ") for t in rows if len(t) <= SECTION]) - self.cache.keys()
+        fresh = self._learn(missing)
+        self._keep(fresh)
         out = []
         for text in rows:
             found: list[bytes] = []
@@ -195,9 +203,6 @@ class WordEncoder:
                     else:
                         found += self._plain(part, fresh)
             out.append(b"".join(found))
-        room = CACHE_ENTRIES - len(self.cache)
-        if room > 0:
-            self.cache.update([(p, i) for p, i in fresh.items() if len(p) <= CACHED_LENGTH][:room])
         return out
 
 
