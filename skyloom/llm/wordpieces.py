@@ -175,35 +175,39 @@ class WordEncoder:
         if room > 0:
             self.cache.update([(p, i) for p, i in found.items() if len(p) <= CACHED_LENGTH][:room])
 
-    def _plain(self, text: str, fresh: dict[str, bytes]) -> list[bytes]:
-        parts = text.replace("\n", " ").split(" ")
-        found = list(map(self.cache.get, parts))
-        if None in found:
-            holes = [k for k, f in enumerate(found) if f is None]
-            missing = {parts[k] for k in holes} - fresh.keys()
-            if missing:
-                fresh.update(self._learn(missing))
-            for k in holes:
-                found[k] = fresh[parts[k]]
-        return found
-
     def encode(self, rows: list[str]) -> list[bytes]:
         """Ids of each text, as 32-bit integers."""
-        # what the whole batch lacks goes through the trie at once, so that its words share their prefixes
-        missing = set().union(*[t.replace("\n", " ").split(" ") for t in rows if len(t) <= SECTION]) - self.cache.keys()
-        fresh = self._learn(missing)
-        self._keep(fresh)
-        out = []
+        out: list[bytes] = []
+        held: list[tuple[list[list[bytes | None]], list[tuple[list, int, str]]]] = []
+        size = 0
         for text in rows:
-            found: list[bytes] = []
+            found, holes = [], []
             for segment in sections(text):
                 for part in self.special_split.split(segment) if self.special else [segment]:
                     if part in self.special:
-                        found.append(np.int32(self.special[part]).tobytes())
-                    else:
-                        found += self._plain(part, fresh)
-            out.append(b"".join(found))
-        return out
+                        found.append([np.int32(self.special[part]).tobytes()])
+                        continue
+                    parts = part.replace("\n", " ").split(" ")
+                    ids = list(map(self.cache.get, parts))
+                    found.append(ids)
+                    if None in ids:
+                        holes += [(ids, k, parts[k]) for k, i in enumerate(ids) if i is None]
+            held.append((found, holes))
+            size += len(text)
+            if size > SECTION:
+                out += self._filled(held)
+                held, size = [], 0
+        return out + self._filled(held)
+
+    def _filled(self, held: list) -> list[bytes]:
+        """Ids of texts whose unknown parts are still open: those of all the texts go through the trie at once, so that their words
+        share their prefixes."""
+        fresh = self._learn({part for _, holes in held for _, _, part in holes})
+        for _, holes in held:
+            for ids, k, part in holes:
+                ids[k] = fresh[part]
+        self._keep(fresh)
+        return [b"".join([b"".join(ids) for ids in found]) for found, _ in held]
 
 
 def sections(text: str, most: int = SECTION):
@@ -248,18 +252,21 @@ def decode(encoded: DataFrame, file: str, key: str = "doc_id") -> DataFrame:
     def make():
         coder = encoder(file)
         known = coder.tokens | {i: t for t, i in coder.special.items()}
-
-        def text_of(ids: list[int] | None) -> str:
-            if coder.library.decoder is not None:
-                return coder.library.decode(ids or [], skip_special_tokens=False)
-            try:
-                return " ".join(map(known.__getitem__, ids or ()))
-            except KeyError:
-                return " ".join([known[i] for i in ids or () if i in known])
+        table = np.array([known.get(i) for i in range(max(known) + 1)], object)
+        asked = coder.library.decoder is not None
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = batch.column("ids")
-            return pa.RecordBatch.from_pydict({key: batch.column(key), "ids": ids, "decoded": pa.array([text_of(i) for i in ids.to_pylist()], pa.string())})
+            flat = np.asarray(ids.flatten().fill_null(-1))
+            fit = (flat >= 0) & (flat < len(table))
+            strings = np.where(fit, table[np.where(fit, flat, 0)], None).tolist()
+            ends = np.cumsum([0] + (ids.value_lengths().fill_null(0)).to_pylist()).tolist()
+            if asked:
+                made = [coder.library.decode([int(i) for i in flat[a:b] if i >= 0], skip_special_tokens=False) for a, b in zip(ends, ends[1:], strict=False)]
+            else:
+                gaps = None in strings
+                made = [" ".join([s for s in strings[a:b] if s is not None] if gaps else strings[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+            return pa.RecordBatch.from_pydict({key: batch.column(key), "ids": ids, "decoded": pa.array(made, pa.string())})
 
         return step
 
