@@ -3,17 +3,18 @@
 Words that differ by one edit are found by a rare-first prefix filter over positional bigrams. An edit spoils at most two
 bigrams of a word, so of the three rarest ones of either word (ordered over the whole corpus by the number of words that hold
 them, then by themselves and their place) at least one stands in both words' three, at the same place or, past an edit that
-inserts, one further. Only these three of each word are joined, on bigram, place and length:
+inserts, one further. The edit leaves the first half or the second half of the shorter word as it is, too. Only the three
+bigrams of each word are joined, on bigram, place, length and an equal half:
 
-    base    (bigram, place, length)                     of every word
-    probe   (bigram, place, length)                     finds words of the same length
-            (bigram, place or place - 1, length - 1)    finds words with one character less
+    base    (bigram, place, length, half)                     of every word, for either half
+    probe   (bigram, place, length, half)                     finds words of the same length
+            (bigram, place or place - 1, length - 1, half)    finds words with one character less
 
-and every candidate is verified by its edit distance in the join itself. The join has an exchange on its key, so Spark splits a
-bigram that very many words share; nothing is capped.
+and every candidate is verified by its edit distance in the join itself. The key of the join is the hash of these, and the
+join has an exchange on it, so Spark splits a key that very many words share; nothing is capped.
 
-All steps are DataFrame functions. Documents are read once, to count words; all later tables have a row for each distinct word (or three,
-or twelve). The one table that is broadcast has a row for each bigram of the alphabet: 90 letters, 8,100 rows at most.
+All steps are DataFrame functions. Documents are read once, to count words; all later tables have a few rows for each distinct word, 18 at
+most. The one table that is broadcast has a row for each bigram of the alphabet: 90 letters, 8,100 rows at most.
 
 Defined cases: a null text has no words; a null key counts as an empty one in the hash that deletes a letter; empty texts and an empty
 table give no rows; repeated documents count again; of near words with equal counts the least in code-point order is the form; extra
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -65,9 +66,7 @@ def bigrams(known: DataFrame) -> DataFrame:
 
 
 def rarest(known: DataFrame, most: int = PREFIX) -> DataFrame:
-    """(word, n, len, gram, place): the rarest bigrams of each word by the number of bigrams in all words."""
-    from pyspark.sql import Window
-
+    """(word, gram, place): the rarest bigrams of each word by the number of bigrams in all words."""
     grams = bigrams(known)
     counts = grams.groupBy("gram").agg(F.count("*").alias("held"))
     order = Window.partitionBy("word").orderBy("held", "gram", "place")
@@ -77,16 +76,20 @@ def rarest(known: DataFrame, most: int = PREFIX) -> DataFrame:
 
 def near_words(known: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): all pairs of different words with one edit between them, each once; b is the longer, or the later of equal length."""
-    entries = scratch.write(rarest(known).withColumn("len", F.length("word")), "entries")
-    base = entries.select("gram", "place", "len", F.col("word").alias("a"))
-    at = F.array(
-        F.struct(F.col("place"), F.col("len")),
-        F.struct(F.col("place"), (F.col("len") - 1).alias("len")),
-        F.struct((F.col("place") - 1).alias("place"), (F.col("len") - 1).alias("len")),
-    )
-    probe = entries.select("gram", F.explode(at).alias("at"), F.col("word").alias("b")).select("gram", "at.place", "at.len", "b")
+    entries = scratch.write(rarest(known), "entries")
+
+    def keys(length: Column, places: list[Column]) -> Column:
+        """Keys of the word as one of this length, or of what is left of it after one character before or after the bigram."""
+        half = (length / 2).cast("int")
+        parts = (F.substring("word", F.lit(1), half), F.substring("word", F.length("word") - (length - half) + 1, length - half))
+        return F.array(*[F.xxhash64("gram", place, length, F.lit(side), part) for place in places for side, part in enumerate(parts)])
+
+    own, place = F.length("word"), F.col("place")
+    base = entries.select(F.explode(keys(own, [place])).alias("key"), F.col("word").alias("a"))
+    probes = F.concat(keys(own, [place]), keys(own - 1, [place, place - 1]))
+    probe = entries.select(F.explode(probes).alias("key"), F.col("word").alias("b"))
     fits = (F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))
-    found = base.hint("merge").join(probe, ["gram", "place", "len"]).where(fits & (F.levenshtein("a", "b", 1) == 1))
+    found = base.hint("merge").join(probe, "key").where(fits & (F.levenshtein("a", "b", 1) == 1))
     return scratch.write(found.select("a", "b").distinct(), "near")
 
 
