@@ -12,8 +12,9 @@ back the exact roles and texts. ``loss`` holds the spans of the assistant texts
 
 Defined cases: null text and null role are empty; an empty conversation has no row; a reply to a node that is not
 in the tree starts a tree of its own; where nodes reply to each other in a circle, the least node of the circle starts a
-tree as if it replied to none; branches of one score rank by their leaf; rows with one turn number follow each other by role, then text; repeated rows are turns of
-their own; a null conversation id is one conversation; extra columns are ignored. A conversation is one string, so its
+tree as if it replied to none; branches of one score rank by their leaf; rows with one turn number follow each other by role, then text; rows
+of one node are turns of their own that follow each other by role, then text, wherever a path passes the node (which replies to the
+least of their parents and has the sum of their scores); a null conversation id is one conversation; extra columns are ignored. A conversation is one string, so its
 turns meet in one task; no other step gathers one.
 """
 
@@ -106,12 +107,13 @@ def _circle_heads(jumps: list[DataFrame], scratch: Scratch) -> DataFrame:
     return seen.where("node = least").select("conv_id", "node")
 
 
-def paths(nodes: DataFrame, top: int | None = None) -> DataFrame:
+def paths(nodes: DataFrame, top: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(conv_id, leaf, rank, step, node) of the kept root-to-leaf paths; step 0 is the root.
 
-    nodes: conv_id, node, parent, role, text, score, with one row for each (conv_id, node).
+    nodes: conv_id, node, parent, role, text, score; rows of one (conv_id, node) are one node.
     """
-    scratch = Scratch(nodes.sparkSession)
+    scratch = scratch or Scratch(nodes.sparkSession)
+    nodes = scratch.write(nodes.groupBy("conv_id", "node").agg(F.min("parent").alias("parent"), F.sum("score").alias("score")), "tree")
     links = nodes.select("conv_id", "node", "parent")
     known = links.select("conv_id", F.col("node").alias("parent"))
     links = links.alias("l").join(known.alias("r"), F.col("l.parent").isNotNull() & _on("conv_id", "parent"), "left")
@@ -135,14 +137,18 @@ def paths(nodes: DataFrame, top: int | None = None) -> DataFrame:
     branches = branches.withColumn("rank", rank)
     if top is not None:
         branches = branches.where(F.col("rank") <= top)
-    return reached.alias("l").join(branches.alias("r"), _on("conv_id", "leaf")).select("l.conv_id", "l.leaf", "r.rank", (F.col("r.top") - F.col("l.height")).alias("step"), "l.node")
+    out = reached.alias("l").join(branches.alias("r"), _on("conv_id", "leaf")).select("l.conv_id", "l.leaf", "r.rank", (F.col("r.top") - F.col("l.height")).alias("step"), "l.node")
+    out = scratch.write(out, "paths")
+    scratch.drop("tree", "links", "jumps", "seen", "reached")
+    return out
 
 
 def format_conversations(nodes: DataFrame, top: int | None = None) -> DataFrame:
     """conv_id, leaf, rank, formatted, loss (array of start and end) of each kept path."""
     # written: the steps below read the nodes many times
-    nodes = Scratch(nodes.sparkSession).write(nodes.select("conv_id", "node", "parent", "role", "text", "score"), "nodes")
-    steps = paths(nodes, top)
+    scratch = Scratch(nodes.sparkSession)
+    nodes = scratch.write(nodes.select("conv_id", "node", "parent", "role", "text", "score"), "nodes")
+    steps = paths(nodes, top, scratch)
     filled = nodes.select("conv_id", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = steps.alias("l").join(filled.alias("r"), _on("conv_id", "node")).select("l.*", "r.role", "r.text")
     rows = rows.groupBy("conv_id", "leaf", "rank").agg(F.array_sort(F.collect_list(F.struct("step", "role", "text"))).alias("turns"))
@@ -163,7 +169,9 @@ def format_conversations(nodes: DataFrame, top: int | None = None) -> DataFrame:
 
         return step
 
-    return arrow_map(rows, make, f"conv_id {kind}, leaf long, rank int, formatted string, loss array<struct<start: bigint, end: bigint>>")
+    out = scratch.write(arrow_map(rows, make, f"conv_id {kind}, leaf long, rank int, formatted string, loss array<struct<start: bigint, end: bigint>>"), "formatted")
+    scratch.close("formatted")
+    return out
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +34,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/skyloom-{uuid.uuid4().hex}/{name}"
+#: Folders made inside each open ``released`` block, the innermost last.
+_OPEN: list[list[str]] = []
+
+
+def work_path(spark: SparkSession, name: str, kept: bool = False) -> str:
+    """A fresh path below the shared folder. It goes at the end of the ``released`` block that it is made in, unless it is ``kept``."""
+    folder = f"{shared_folder(spark)}/skyloom-{uuid.uuid4().hex}"
+    if _OPEN and not kept:
+        _OPEN[-1].append(folder)
+    return f"{folder}/{name}"
+
+
+@contextmanager
+def released(spark: SparkSession):
+    """Deletes, at its end, the work folders made inside: for a caller that has then read for the last time what it called for."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        for folder in made:
+            remove(spark, folder)
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -68,14 +89,14 @@ class Scratch:
     def drop(self, *names: str) -> None:
         for name in names:
             for path in self.paths.pop(name, []):
-                remove(self.spark, path)
+                remove(self.spark, path.rsplit("/", 1)[0])
 
     def drop_older(self, name: str) -> None:
         """Drop all tables of a name but the last."""
         *older, last = self.paths[name]
         self.paths[name] = [last]
         for path in older:
-            remove(self.spark, path)
+            remove(self.spark, path.rsplit("/", 1)[0])
 
     def close(self, *kept: str) -> None:
         """Drop all tables but those named."""

@@ -410,8 +410,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", tex
 
 def keep_first(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class (the least id, and of its texts in the class the one of least hash), all columns as they
-    are. Rows with a null id or a null text stay; of rows with one id and one text one stays. Rows with one id and other
-    texts go by the class of each text."""
+    are, whatever their names. Rows with a null text stay; of rows with one id and one text, or with one text and no id, one stays; other rows
+    without an id stay. Rows with one id and other texts go by the class of each text."""
     scratch = Scratch(docs.sparkSession)
     found = _classes(docs, scratch, least, key, text).where(F.col(key).isNotNull()).select(F.col(key).alias("gone_id"), "raw", "component")
     placed = found.where("component is not null")
@@ -421,9 +421,12 @@ def keep_first(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id",
     gone = scratch.write(gone, "gone")
     again = scratch.write(found.groupBy(F.col("gone_id").alias(key)).agg(F.count("*").alias("rows")).where("rows > 1").select(key), "again")
     scratch.close("gone", "again")
-    # What goes grows with the corpus, so the join is never one that broadcasts it.
-    kept = docs.join(gone.hint("merge"), (docs[key] == F.col("gone_id")) & (F.xxhash64(docs[text]) == F.col("raw")), "left_anti").select(docs.columns)
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, key, "left_semi").select(docs.columns).dropDuplicates([key, text])
-    return kept.join(again, key, "left_anti").select(docs.columns).unionByName(once)
+    # What goes grows with the corpus, so the join is never one that broadcasts it. Names are bound to their side: any may clash.
+    named, d_key = docs.where(docs[key].isNotNull()).alias("d"), F.col(f"d.`{key}`")
+    on = (d_key == F.col("g.gone_id")) & (F.xxhash64(F.col(f"d.`{text}`")) == F.col("g.raw"))
+    kept = named.join(gone.hint("merge").alias("g"), on, "left_anti").select("d.*")
+    if not again.isEmpty():
+        once = kept.join(again, key, "left_semi").select(docs.columns).dropDuplicates([key, text])
+        kept = kept.join(again, key, "left_anti").select(docs.columns).unionByName(once)
+    no_id = docs.where(docs[key].isNull())
+    return kept.unionByName(no_id.where(docs[text].isNull())).unionByName(no_id.where(docs[text].isNotNull()).dropDuplicates([text]))

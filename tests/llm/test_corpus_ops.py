@@ -202,6 +202,29 @@ def test_near_duplicates_edge_cases(spark):
     assert neardup.classes(docs.limit(0)).count() == 0
 
 
+def test_kept_rows_have_all_columns_whatever_their_names(spark):
+    rows = [(1, "a b c d e f", 7, 8), (2, "a b c d e f", 9, 1), (2, "a b c d e f", 9, 1), (None, "x y z", 5, 5), (None, "x y z", 5, 6), (None, "x", 5, 5), (None, None, 1, 1), (3, "", 2, 2)]
+    names = "component class_id head rows n_texts again id"
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id long, raw long").selectExpr("*", *[f"1 as `{n}`" for n in names.split()])
+    kept = neardup.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, "a b c d e f"), (3, ""), (None, "x y z"), (None, "x"), (None, None)], key=str)
+    assert {(r.gone_id, r.raw) for r in got if r.doc_id == 1} == {(7, 8)}
+
+
+def test_pipeline_leaves_store_and_result(spark, sf, tmp_path, monkeypatch):
+    import os
+
+    import corpus_pipeline
+    from skyloom.llm import common
+
+    monkeypatch.setattr(common, "shared_folder", lambda _: str(tmp_path))
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    left = sorted(name for folder in os.listdir(tmp_path) for name in os.listdir(tmp_path / folder))
+    assert [n for n in left if not n.startswith(".")] == ["store", "token_store"]
+
+
 def test_near_duplicates_of_repeated_and_null_ids(spark):
     rng = random.Random(20)
     own = [words(rng, 90) for _ in range(4)]

@@ -252,6 +252,16 @@ def test_reply_trees(spark):
     assert {(r.conv_id, r.leaf) for r in best} == {(1, 5), (None, 1)}
 
 
+def test_rows_of_one_node_follow_each_other(spark):
+    rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "b", 1.0), (1, 2, 1, "assistant", "a", 1.0), (1, 3, 2, "user", "c", 0.0), (1, 4, 2, "user", "d", 5.0), (1, 4, 2, "user", "d", 5.0)]
+    found = chat.format_conversations(nodes(spark, rows)).collect()
+    assert {r["rank"]: [t for _, t in chat.parse(r.formatted)] for r in found} == {1: ["q", "a", "b", "d", "d"], 2: ["q", "a", "b", "c"]}
+    chain = [(1, i, i - 1 if i else None, "user", f"{i}{k}", 0.0) for i in range(9) for k in "ab"]
+    assert chat.paths(nodes(spark, chain)).count() == 9
+    row = chat.format_conversations(nodes(spark, chain)).first()
+    assert [t for _, t in chat.parse(row.formatted)] == [f"{i}{k}" for i in range(9) for k in "ab"]
+
+
 def test_circles_start_at_their_least_node(spark):
     rows = [(1, 5, 7, "u", "e", 0.0), (1, 7, 6, "u", "g", 0.0), (1, 6, 5, "u", "f", 0.0), (1, 8, 7, "u", "h", 1.0), (1, 9, 9, "u", "i", 0.0), (2, 1, None, "u", "a", 0.0), (2, 2, 1, "u", "b", 0.0)]
     rows += [(3, i, i % 40 + 1, "u", str(i), 0.0) for i in range(1, 41)]
