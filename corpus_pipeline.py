@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skyloom.llm import leaks, mixing, neardup, store, toxicity
-from skyloom.llm.common import Scratch, work_path
+from skyloom.llm.common import released, remove, work_path, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def store_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """doc_id, start, n_tokens and ids_crc32 of each stored document, read back from the store."""
     import public_tokenizers
 
-    root = work_path(spark, "store")
+    root = work_path(spark, "store", kept=True)
     store.write_store(docs, root, public_tokenizers.path("byte_bpe_50k.json"))
     return store.read_documents(spark, root)
 
@@ -58,9 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
-        scratch.close(name)  # the stage before has been read for the last time
+        path = work_path(spark, name)
+        with released(spark):  # what a stage wrote for itself goes when its rows are written
+            docs = written(stage(spark, docs, sf_dir), name, path)
+        if before:
+            remove(spark, before)
+        before = path.rsplit("/", 1)[0]
     return docs
