@@ -399,8 +399,12 @@ ALL = (
 
 
 def queries():
-    return {f.__name__: f for f in ALL}
+    from . import survey_queries
+
+    return {f.__name__: f for f in ALL} | survey_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.sql()
+    from . import survey_queries
+
+    return oracle.sql() | survey_queries.oracle_sql()
