@@ -1,9 +1,10 @@
-"""Guide-star groups: distance self-joins, geometry, filters, overlap and ranking.
+"""Guide-star groups: distance joins, geometry, filters, overlap and ranking.
 
-The distance join lays a cubic grid of side twice the radius over the unit sphere. A star enters every grid cell that
-its ball of half the radius touches, about 2.2 of them; two stars within the radius both touch the cell of their
-midpoint, and are paired there only. So one shuffle of one exchange serves both sides, no pair is made twice, and poles
-and the wrap of right ascension need no care. The work of a cell grows with its own stars; AQE splits dense ones.
+The distance join lays a cubic grid of side twice the radius over the unit sphere. A point enters every grid cell that
+its ball of half the radius touches, about 2.2 of them; two points within the radius both touch the cell of their
+midpoint, and are paired there only. So no pair is made twice, and poles and the wrap of right ascension need no care. Both sides
+are dealt by grid cell, whatever the size that the scan of a table promises: a cell's pairs are the work, not its rows. AQE splits
+dense cells.
 """
 
 from __future__ import annotations
@@ -32,22 +33,50 @@ def _grid(value: Column, side: float) -> Column:
     return F.floor((value + 1.0001) / side).cast("long")
 
 
-def close_pairs(points: DataFrame, radius_arcsec: float, key: str = "id", carry: tuple[str, ...] = ()) -> DataFrame:
-    """All pairs of points (key, ra, dec) within an angle, the lesser key first: key1, key2, the unit vectors and ``carry`` of both, sep."""
-    length = geometry.chord(radius_arcsec)
-    side = max(2 * length, 2.1 / 2**_BITS)
-    reach = length / 2 * (1 + 1e-9) + 1e-15
+def _gridded(points: DataFrame, length: float, key: str, carry: tuple[str, ...], n: str) -> DataFrame:
+    """The points by grid cell: cell, and key, carried columns and unit vector with ``n`` after their names."""
+    side, reach = _side(length), length / 2 * (1 + 1e-9) + 1e-15
     x, y, z = geometry.unit_vec(F.col("ra"), F.col("dec"))
     at = cells.bound(points.where("ra is not null and dec is not null").select(F.col(key).alias("k"), *carry, "ra", "dec"), x=x, y=y, z=z).drop("ra", "dec")
-    for axis in "xyz":
-        at = at.withColumn(f"c{axis}", F.explode(F.sequence(_grid(F.col(axis) - reach, side), _grid(F.col(axis) + reach, side))))
-    at = at.withColumn("cell", _key([F.col("cx"), F.col("cy"), F.col("cz")])).drop("cx", "cy", "cz")
-    left = at.select("cell", *[F.col(c).alias(f"{c}1") for c in at.columns if c != "cell"])
-    right = at.select("cell", *[F.col(c).alias(f"{c}2") for c in at.columns if c != "cell"])
-    middle = _key([_grid((F.col(f"{a}1") + F.col(f"{a}2")) / 2, side) for a in "xyz"])
+    # the ball is narrower than a cell, so it touches one or two along each axis
+    ends = cells.bound(at, **{f"_{a}{k}": _grid(F.col(a) + sign * reach, side) for a in "xyz" for k, sign in enumerate((-1, 1))})
+    touched = F.array(*[_key([F.col(f"_x{i}"), F.col(f"_y{j}"), F.col(f"_z{k}")]) for i in (0, 1) for j in (0, 1) for k in (0, 1)])
+    out = ends.select(F.explode(F.array_distinct(touched)).alias("cell"), *at.columns)
+    return out.withColumnsRenamed({c: f"{c}{n}" for c in at.columns})
+
+
+def _side(length: float) -> float:
+    return max(2 * length, 2.1 / 2**_BITS)
+
+
+def _met(left: DataFrame, right: DataFrame, length: float) -> DataFrame:
+    """Pairs of gridded points within the chord, each in the cell of its midpoint, with the angle between them."""
+    side = _side(length)
     one, two = tuple(F.col(f"{a}1") for a in "xyz"), tuple(F.col(f"{a}2") for a in "xyz")
-    pairs = left.join(right, "cell").where((F.col("k1") < F.col("k2")) & (geometry.chord2(one, two) <= length**2) & (F.col("cell") == middle)).drop("cell")
-    return pairs.withColumn("sep", geometry.sep_arcsec(one, two)).withColumnsRenamed({"k1": f"{key}1", "k2": f"{key}2"})
+    middle = _key([_grid((F.col(f"{a}1") + F.col(f"{a}2")) / 2, side) for a in "xyz"])
+    near = left.hint("merge").join(right, "cell").where(geometry.chord2(one, two) <= length**2)
+    return near.where(F.col("cell") == middle).drop("cell").withColumn("sep", geometry.sep_arcsec(one, two))
+
+
+def close_pairs(points: DataFrame, radius_arcsec: float, key: str = "id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs of points (key, ra, dec) within an angle, the lesser key first: key1, key2, the unit vectors and ``carry`` of both, sep."""
+    length = geometry.chord(radius_arcsec)
+    left, right = (_gridded(points, length, key, carry, n) for n in "12")
+    return _met(left, right, length).where("k1 < k2").withColumnsRenamed({"k1": f"{key}1", "k2": f"{key}2"})
+
+
+def cross_match(left: DataFrame, right: DataFrame, radius_arcsec: float, key: str = "id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs of a point of one table and a point of another one within an angle: key1, key2, ``carry`` of both, sep, rank1 (of the pair among those of
+    its left point, by sep, then key), rank2 (among those of its right point), and mutual: each is the other's nearest.
+
+    Both tables are (key, ra, dec); keys of one table are its own and may be equal to those of the other. Points without a position match none. Repeated keys
+    are points of their own.
+    """
+    length = geometry.chord(radius_arcsec)
+    found = _met(_gridded(left, length, key, carry, "1"), _gridded(right, length, key, carry, "2"), length).drop(*[f"{a}{n}" for a in "xyz" for n in "12"])
+    for own, other, rank in (("k1", "k2", "rank1"), ("k2", "k1", "rank2")):
+        found = found.withColumn(rank, F.row_number().over(Window.partitionBy(own).orderBy("sep", other)))
+    return found.withColumn("mutual", (F.col("rank1") == 1) & (F.col("rank2") == 1)).withColumnsRenamed({"k1": f"{key}1", "k2": f"{key}2"})
 
 
 def singles(stars: DataFrame) -> DataFrame:

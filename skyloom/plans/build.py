@@ -232,6 +232,28 @@ def compare(left: DataFrame, right: DataFrame, key: list[str], values: list[str]
     return both.select(*[F.coalesce(f"a_{k}", f"b_{k}").alias(k) for k in key], kind.alias("difference")).where("difference is not null")
 
 
+MEMBERS = ("g1", "g2", "g3")
+
+
+def compare_groups(left: DataFrame, right: DataFrame, radius_arcsec: float, values: list[str]) -> DataFrame:
+    """Groups of two passes that differ: g1..g3 of the left pass, h1..h3 of the right one, difference and sep.
+
+    Groups of the same stars are ``changed`` if a value differs. Of the others, a group is ``moved`` to the group of the other pass that is its mutual nearest
+    within the radius (sep, arcsec), even if other stars make it; the rest is ``only_left`` or ``only_right``.
+    """
+    keyed = [df.select(F.struct(*[F.coalesce(c, F.lit(-1).cast("long")).alias(c) for c in MEMBERS]).alias("id"), "ra", "dec", F.struct(*values).alias("v")) for df in (left, right)]
+    same = keyed[0].select("id", F.col("v").alias("v1")).join(keyed[1].select("id", F.col("v").alias("v2")), "id")
+    alone = [df.join(same, "id", "left_anti") for df in keyed]
+    moved = search.cross_match(*alone, radius_arcsec).where("mutual").select("id1", "id2", "sep")
+    none, missing = F.lit(None).cast("double"), F.lit(None).cast(keyed[0].schema["id"].dataType)
+    changed = same.where(~F.col("v1").eqNullSafe(F.col("v2"))).select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit("changed").alias("difference"), none.alias("sep"))
+    out = changed.unionByName(moved.select(F.col("id1").alias("a"), F.col("id2").alias("b"), F.lit("moved").alias("difference"), "sep"))
+    gone = alone[0].join(moved.select(F.col("id1").alias("id")), "id", "left_anti").select(F.col("id").alias("a"), missing.alias("b"), F.lit("only_left").alias("difference"), none.alias("sep"))
+    new = alone[1].join(moved.select(F.col("id2").alias("id")), "id", "left_anti").select(missing.alias("a"), F.col("id").alias("b"), F.lit("only_right").alias("difference"), none.alias("sep"))
+    out = out.unionByName(gone).unionByName(new)
+    return out.select(*[F.nullif(F.col(f"a.{c}"), F.lit(-1)).alias(c) for c in MEMBERS], *[F.nullif(F.col(f"b.{c}"), F.lit(-1)).alias(c.replace("g", "h")) for c in MEMBERS], "difference", "sep")
+
+
 def bench(spark: SparkSession, root: str, pass_id: str, **fields) -> None:
     """Append a benchmark record: location, cache target, staging mode, region, workers, cold or warm, seconds."""
     names = ("location", "cache_target", "staging", "region", "workers", "temperature", "seconds")

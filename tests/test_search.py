@@ -91,3 +91,42 @@ def test_batch_scorer_equals_columns(spark, hard_sky):
 
     two = scoring.BatchScorer("x", ("size", "flux", "area", "max_side"), predict).score(groups)
     assert {tuple(r) for r in two.select("g1", "g2", "g3", F.round("score", 6)).collect()} == one
+
+
+def test_cross_match_equals_brute_force(spark):
+    import math
+    import random
+
+    draw = random.Random(6)
+    spots = [(0.0, 89.99), (359.999, -0.001), (120.0, -45.0), (10.0, -90.0)]
+
+    def some(n, base):
+        out = [(base + i, (ra + draw.uniform(-0.02, 0.02)) % 360, max(-90.0, min(90.0, dec + draw.uniform(-0.02, 0.02)))) for i in range(n) for ra, dec in [draw.choice(spots)]]
+        return [*out, (base + n, None, 1.0), (base + n + 1, 5.0, 5.0)]
+
+    a, b = some(60, 0), some(60, 30)  # ids of both tables overlap
+    a.append((99, *b[0][1:]))  # one spot in both
+    got = search.cross_match(*(spark.createDataFrame(t, "id long, ra double, dec double") for t in (a, b)), 40.0).collect()
+
+    def sep(p, q):
+        if p[1] is None or q[1] is None:
+            return math.inf
+        s = math.sin(math.radians(q[2] - p[2]) / 2) ** 2 + math.cos(math.radians(p[2])) * math.cos(math.radians(q[2])) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2
+        return 2 * math.asin(min(1.0, math.sqrt(s))) * 206264.80624709636
+
+    want = {(p[0], q[0]): sep(p, q) for p in a for q in b if sep(p, q) <= 40.0}
+    assert {(r.id1, r.id2) for r in got} == set(want) and len(want) > 50 and all(abs(r.sep - want[r.id1, r.id2]) < 1e-6 for r in got)
+    best1 = {p: min((s, j) for (i, j), s in want.items() if i == p)[1] for p, _ in want}
+    best2 = {q: min((s, i) for (i, j), s in want.items() if j == q)[1] for _, q in want}
+    assert {(r.id1, r.id2) for r in got if r.mutual} == {(p, q) for p, q in want if best1[p] == q and best2[q] == p}
+
+
+def test_groups_that_moved_are_told_with_their_way(spark):
+    from skyloom.plans import build
+
+    names = "g1 long, g2 long, g3 long, ra double, dec double, flux double"
+    a = spark.createDataFrame([(1, 2, None, 10.0, 0.0, 1.0), (3, 4, None, 20.0, 0.0, 1.0), (5, 6, 7, 30.0, 0.0, 1.0), (8, None, None, 40.0, 0.0, 1.0), (9, None, None, 50.0, 0.0, None)], names)
+    b = spark.createDataFrame([(1, 2, None, 10.0, 0.1, 1.0), (3, 4, None, 20.0, 0.0, 2.0), (50, 60, 70, 30.0, 1 / 3600, 1.0), (80, None, None, 41.0, 0.0, 1.0), (9, None, None, 50.0, 0.0, None)], names)
+    got = {(r.difference, r.g1, r.h1, None if r.sep is None else round(r.sep, 6)) for r in build.compare_groups(a, b, 5.0, ["flux"]).collect()}
+    assert got == {("changed", 3, 3, None), ("moved", 5, 50, 1.0), ("only_left", 8, None, None), ("only_right", None, 80, None)}
+    assert build.compare_groups(a, a, 5.0, ["flux"]).isEmpty() and build.compare_groups(a.limit(0), b.limit(0), 5.0, ["flux"]).isEmpty()
