@@ -55,6 +55,9 @@ STATE_SCHEMA = T.StructType(
         T.StructField("ts", T.TimestampType(), False),
         T.StructField("seq", T.LongType(), False),
         T.StructField("note", T.StringType()),
+        T.StructField("owner", T.StringType()),
+        T.StructField("lease_until", T.TimestampType()),
+        T.StructField("attempt", T.IntegerType()),
     ]
 )
 
@@ -120,4 +123,4 @@ def pass_path(root: str, pass_id: str, kind: str) -> str:
     """Folder of a pass artifact: inner, asterisms, map, overlay, manifest or state."""
     if kind not in ("inner", "asterisms", "map", "overlay", "manifest", "state", "bench"):
         raise ValueError(f"no artifact of kind {kind!r}")
-    return f"{root}/passes/layout={LAYOUT_VERSION}/{kind}" if kind in ("manifest", "state") else f"{root}/passes/layout={LAYOUT_VERSION}/{kind}/pass_id={pass_id}"
+    return f"{root}/passes/layout={LAYOUT_VERSION}/{kind}" if kind == "manifest" else f"{root}/passes/layout={LAYOUT_VERSION}/{kind}/pass_id={pass_id}"

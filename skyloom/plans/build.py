@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import threading
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..contracts import LAYOUT_VERSION, STATE_SCHEMA, STATES, LoadRequest, SearchConfig, pass_identity, pass_path
+from ..contracts import LAYOUT_VERSION, STATES, LoadRequest, SearchConfig, pass_identity, pass_path
 from ..functions import cells
 from ..operators import loader, products, scoring, search
-from ..sources import artifacts, stars
+from ..sources import artifacts, digests, stars
+from ..sources.log import StateLog, latest
+from . import regions
 
 ALGORITHM, VERSION = "guide-star-groups", "1"
 
@@ -42,25 +43,12 @@ def plan_universe(spark: SparkSession, level: int, excluded: DataFrame | None =
 
 
 def record(events: DataFrame, root: str, pass_id: str) -> None:
-    """Append state events (outer_pix, state, ts, seq, note)."""
-    known = events.where(~F.col("state").isin(*STATES))
-    if not known.isEmpty():
-        raise ValueError(f"states are {STATES}")
-    rows = events.withColumn("pass_id", F.lit(pass_id)).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in STATE_SCHEMA])
-    rows.write.mode("append").parquet(pass_path(root, pass_id, "state"))
+    """Append state events (outer_pix, state, ts, seq, note) as one commit of the pass's log."""
+    StateLog(events.sparkSession, root, pass_id).record(events)
 
 
 def read_events(spark: SparkSession, root: str, pass_id: str) -> DataFrame:
-    try:
-        return spark.read.schema(STATE_SCHEMA).parquet(pass_path(root, pass_id, "state")).where(F.col("pass_id") == pass_id)
-    except AnalysisException:
-        return spark.createDataFrame([], STATE_SCHEMA)
-
-
-def latest(events: DataFrame) -> DataFrame:
-    """Each cell's last state by (ts, seq): an aggregate that combines in every task, no window."""
-    order = F.struct("ts", "seq")
-    return events.groupBy("outer_pix").agg(F.max_by("state", order).alias("state"), F.max("ts").alias("ts"), F.count("*").alias("n_events"))
+    return StateLog(spark, root, pass_id).events()
 
 
 def unfinished(universe: DataFrame, states: DataFrame, retry_failed: bool = False) -> DataFrame:
@@ -109,6 +97,16 @@ def build_cells(star_rows: DataFrame, work: DataFrame, cfg: SearchConfig, scorer
     return inner, search.top_k(scorer.score(groups), cfg.top_k)
 
 
+def open_cells(inputs: DataFrame, states: DataFrame, retry_failed: bool = False, attempts: int | None = None) -> DataFrame:
+    """Cells of ``inputs`` (outer_pix, input) that are to be built: those whose last ``done`` event names another input, that were never done,
+    whose lease has ended, or that failed (if these are tried again, fewer than ``attempts`` times)."""
+    F_state, live = F.col("state"), (F.col("state") == "running") & (F.col("lease_until") >= F.current_timestamp())
+    tried = (F_state == "failed") & (F.lit(not retry_failed) | (F.lit(False) if attempts is None else F.coalesce("attempt", F.lit(0)) >= attempts))
+    ended = ((F_state == "done") & (F.col("note") == F.col("input"))) | (F_state == "excluded") | live | tried
+    seen = inputs.join(states.select("outer_pix", "state", "note", "lease_until", "attempt"), "outer_pix", "left")
+    return seen.where(~F.coalesce(ended, F.lit(False))).select("outer_pix", "input")
+
+
 def run(
     spark: SparkSession,
     root: str,
@@ -121,74 +119,76 @@ def run(
     stop_after: int | None = None,
     excluded: DataFrame | None = None,
     at_once: int = 2,
+    lease_seconds: float = 3600.0,
+    attempts: int | None = 5,
+    by_region: bool = False,
 ) -> DataFrame:
-    """Build what is unfinished, in balanced batches of neighbouring cells; returns the progress.
+    """Build what is unfinished, in batches of neighbouring cells balanced by predicted work; returns the progress.
 
     ``at_once`` batches are under way together, and the next begins when any of them ends, so no batch waits for the slowest
-    task of another. Each batch writes its artifacts (replacing those of its cells) and then its ``done`` events, so a crash
-    can only cause work to be done again. A batch that fails leaves ``failed`` events with the error, and the others go on; its
-    cells are built again by ``retry_failed``. Cells of ``excluded`` (outer_pix) get that state and are not built.
-    ``stop_after`` ends after so many batches.
-
-    Events name the content of the star store (``stars.fingerprint``): a pass is not resumed over another one.
+    task of another. A batch first takes its cells in the log (``StateLog.claim``), so runs of one pass at the same time build each cell once;
+    each takes what the others have not. Then it writes its artifacts (replacing those of its cells), and then its ``done`` events, so a crash
+    can only cause work to be done again, after the lease. A batch that fails leaves ``failed`` events with the error, and the others go on; its
+    cells are built again by ``retry_failed``, ``attempts`` times at most. Cells of ``excluded`` (outer_pix) get that state and are not built.
+    ``stop_after`` ends after so many batches. ``by_region`` orders the cells by connected regions of open ones (``regions.in_order``).
+
+    A ``done`` event names what its cell was built from: the digests of its own stars and of those around it. After a change of the store a run builds
+    the cells again whose digest, or whose neighbour's, is another one.
     """
     if cfg.outer_level != request.outer_level:
         raise ValueError(f"the search is planned by cells of level {cfg.outer_level}, the stars are stored by level {request.outer_level}")
     scorer = scorer or scoring.HeuristicScorer()
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or f"{root}/checkpoints")
-    all_stars = stars.read_stars(spark, root, request.release, request.outer_level)
-    content = stars.fingerprint(all_stars)
-    events = read_events(spark, root, pass_id)
-    if not events.where((F.col("state") == "done") & (F.col("note") != content)).isEmpty():
-        raise ValueError("the star store is not the one that the finished cells of this pass were built from")
-    weights = all_stars.groupBy("outer_pix").agg(F.count("*").alias("weight"))
-    held = weights.select("outer_pix")
+    level, owner, log = request.outer_level, uuid.uuid4().hex, StateLog(spark, root, pass_id)
+    all_stars = stars.read_stars(spark, root, request.release, level)
+    known = digests.read_digests(spark, root, request.release, level, all_stars)
+    needs = digests.inputs(known, level).join(digests.predicted_work(known, level, cfg.radius_arcsec), "outer_pix").checkpoint()
     if excluded is not None:
-        out = excluded.select("outer_pix").join(held, "outer_pix", "left_semi").distinct()
-        _states(out.join(latest(events).where("state = 'excluded'"), "outer_pix", "left_anti"), root, pass_id, "excluded")
-        events = read_events(spark, root, pass_id)
-    universe = plan_universe(spark, request.outer_level, excluded, held)
-    known = latest(events).select("outer_pix").checkpoint()
-    todo = unfinished(universe, latest(events), retry_failed)
-    shares = balance(weights.join(todo, "outer_pix"), batches).select("outer_pix", "share").checkpoint()
-    around = cells.neighbours_of(shares.select(F.col("outer_pix").alias("pix")), request.outer_level).checkpoint()
-    log = threading.Lock()  # one writer of events at a time: appends to one folder share their commit
-
-    def say(work: DataFrame, state: str, note: str) -> None:
-        with log:
-            _states(work, root, pass_id, state, note)
+        log.exclude(excluded.select("outer_pix").distinct().join(needs, "outer_pix", "left_semi"))
+    events = log.events()
+    before = latest(events).select("outer_pix")
+    todo = open_cells(needs, latest(events), retry_failed, attempts).join(needs.select("outer_pix", "weight"), "outer_pix")
+    ordered = regions.in_order(todo, level, batches) if by_region else balance(todo.select("outer_pix", "weight"), batches)
+    shares = ordered.select("outer_pix", "share").join(todo.select("outer_pix", F.col("input").alias("note")), "outer_pix").join(before.withColumn("again", F.lit(True)), "outer_pix", "left").checkpoint()
 
     def batch(share: int) -> None:
-        work = shares.where(F.col("share") == share).select("outer_pix")
+        asked = shares.where(F.col("share") == share)
+        work = log.claim(asked.select("outer_pix", "note"), owner, lease_seconds, attempts).select("outer_pix", "note")
+        if work.isEmpty():
+            return
+        kept: list[DataFrame] = []
+
+        def hold(df: DataFrame) -> DataFrame:
+            kept.append(search.held(df))
+            return kept[-1]
+
         try:
-            wanted = work.unionByName(around.join(work.withColumnRenamed("outer_pix", "pix"), "pix").select(F.col("nbr").alias("outer_pix"))).distinct()
-            say(work, "running", content)
-            kept: list[DataFrame] = []
-
-            def hold(df: DataFrame) -> DataFrame:
-                kept.append(search.held(df))
-                return kept[-1]
-
-            inner, groups = build_cells(all_stars.join(wanted, "outer_pix", "left_semi"), work, cfg, scorer, request.band, request.epoch, hold)
-            for kind in ("inner", "asterisms"):
-                artifacts.clear_cells(spark, root, pass_id, kind, known.join(work, "outer_pix", "left_semi"))
-            artifacts.write_inner(inner, root, pass_id)
-            artifacts.write_asterisms(groups, root, pass_id)
-            for df in kept:
-                df.unpersist()
+            own = work.select("outer_pix")
+            ring = cells.neighbours_of(own.select(F.col("outer_pix").alias("pix")), level).select(F.col("nbr").alias("outer_pix"))
+            made = build_cells(all_stars.join(own.unionByName(ring).distinct(), "outer_pix", "left_semi"), own, cfg, scorer, request.band, request.epoch, hold)
+            rebuilt = asked.where("again").join(own, "outer_pix", "left_semi").select("outer_pix")
+            for kind, rows in zip(("inner", "asterisms"), map(hold, made), strict=True):
+                artifacts.write_artifact(rows, root, pass_id, kind)
+                # a cell that has no rows any more is not replaced by the write, and goes after it
+                artifacts.clear_cells(spark, root, pass_id, kind, rebuilt.join(rows, "outer_pix", "left_anti"))
         except Exception as error:  # whatever stops a batch is told by its cells' state, and the others go on
-            say(work, "failed", str(error)[:1000])
+            log.finish(work.select("outer_pix", F.lit(str(error)[:1000]).alias("note")), owner, "failed")
         else:
-            say(work, "done", content)
+            log.finish(work, owner, "done")
+        finally:
+            for df in kept:
+                df.unpersist()
 
     order = [r["share"] for r in shares.select("share").distinct().orderBy("share").collect()][:stop_after]
     with ThreadPoolExecutor(max(1, at_once)) as pool:
         list(pool.map(batch, order))
-    states = latest(read_events(spark, root, pass_id))
-    if unfinished(universe, states, retry_failed=True).isEmpty():
+    version = log.version()
+    states = latest(log.events(version))
+    done = needs.join(states, "outer_pix", "left").where("state is null or (state <> 'excluded' and (state <> 'done' or note <> input))").isEmpty()
+    if done and (order or artifacts.read_manifest(spark, root, pass_id).where("completed_at is not null").isEmpty()) and log.once(f"finish-{version}"):
         _finish(spark, root, pass_id, cfg)
-    return progress(held, states)
+    return progress(needs.select("outer_pix"), states)
 
 
 def resume(*args, **kwargs) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..contracts import STAR_COLUMNS, STAR_SCHEMA, LoadRequest, star_folder, star_root
 from ..functions import cells
 from ..operators import loader
+from . import digests
 
 
 class ContractError(ValueError):
@@ -32,8 +33,10 @@ def checked(df: DataFrame) -> DataFrame:
 
 
 def write_stars(df: DataFrame, root: str, release: str, level: int) -> None:
-    """Write or replace the cells that ``df`` holds; other cells stay (dynamic overwrite, so a retry is idempotent)."""
-    df = cells.with_cell(checked(df), "gaia_ra", "gaia_dec", level, "outer_pix")
+    """Write or replace the cells that ``df`` holds, then record their digests; other cells stay (dynamic overwrite, so a retry is idempotent)."""
+    rows = checked(df)
+    commit = digests.staged(rows, root, release, level)  # before the stars, which ``df`` may be read from
+    df = cells.with_cell(rows, "gaia_ra", "gaia_dec", level, "outer_pix")
     df = cells.with_centre(df, "outer_pix", level, "_ra", "_dec")
     hour = F.pmod(F.floor(F.round("_ra", 9) / 15), F.lit(24)).cast("int")
     dec = F.least(F.lit(17), F.floor((F.round("_dec", 9) + 90) / 10)).cast("int")
@@ -48,6 +51,7 @@ def write_stars(df: DataFrame, root: str, release: str, level: int) -> None:
         .partitionBy("hour", "dec", "outer_pix")
         .parquet(star_root(root, release, level))
     )
+    commit()
 
 
 def read_stars(spark: SparkSession, root: str, release: str, level: int, pixels: list[int] | None = None) -> DataFrame:

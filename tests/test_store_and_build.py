@@ -9,8 +9,9 @@ from skyloom import cli
 from skyloom.contracts import LoadRequest, SearchConfig, pass_identity, pass_path, star_path
 from skyloom.functions import cells
 from skyloom.operators import loader, products, scoring
-from skyloom.plans import build, catalog
-from skyloom.sources import archive, artifacts, stars
+from skyloom.plans import build, catalog, regions
+from skyloom.sources import archive, artifacts, digests, stars
+from skyloom.sources.log import StateLog, illegal, latest
 
 
 @pytest.fixture(scope="module")
@@ -117,16 +118,133 @@ def test_a_rebuilt_cell_keeps_nothing_of_before(spark, tmp_path):
     assert {r.outer_pix for r in artifacts.read_inner(spark, str(tmp_path), "p").collect()} == {2}
 
 
-def test_a_run_asks_for_one_level_and_one_store(spark, patch, tmp_path):
+def test_a_run_asks_for_one_level(spark, patch, tmp_path):
     root, request = str(tmp_path), LoadRequest(outer_level=3)
     pass_id = build.create_pass(spark, root, SMALL, request)
     with pytest.raises(ValueError, match="level"):
         build.run(spark, root, pass_id, SMALL, LoadRequest(outer_level=4))
-    stars.write_stars(patch, root, "dr3", 3)
-    build.run(spark, root, pass_id, SMALL, request, batches=2, stop_after=1)
-    stars.write_stars(patch.withColumn("gaia_dec", F.col("gaia_dec") + 0.001), root, "dr3", 3)
-    with pytest.raises(ValueError, match="not the one"):
-        build.resume(spark, root, pass_id, SMALL, request, batches=2)
+
+
+def found(spark, root, pass_id):
+    tables = (artifacts.read_inner(spark, root, pass_id), artifacts.read_asterisms(spark, root, pass_id), artifacts.read_map(spark, root, pass_id))
+    return [sorted(map(repr, t.select(sorted(t.columns)).collect())) for t in tables]
+
+
+def test_a_changed_cell_is_built_again_with_its_neighbours_only(spark, patch, tmp_path):
+    cfg = SearchConfig(sizes=(1, 2), radius_arcsec=900.0, max_side_arcsec=900.0, outer_level=5, inner_level=7, map_levels=(5,))
+    request, roots = LoadRequest(outer_level=5), [str(tmp_path / n) for n in "ab"]
+    stars.write_stars(patch, roots[0], "dr3", 5)
+    pass_id = build.create_pass(spark, roots[0], cfg, request)
+    build.run(spark, roots[0], pass_id, cfg, request, batches=2)
+    counts = stars.read_stars(spark, roots[0], "dr3", 5).groupBy("outer_pix").count().orderBy("count", "outer_pix").collect()
+    pix = counts[len(counts) // 2].outer_pix
+    cell = cells.with_cell(patch, "gaia_ra", "gaia_dec", 5, "p")
+    new = cell.withColumn("gaia_G", F.when(F.col("p") == pix, F.col("gaia_G") + 0.5).otherwise(F.col("gaia_G")).cast("float"))
+    stars.write_stars(new.where(F.col("p") == pix).drop("p"), roots[0], "dr3", 5)  # one cell of the store is replaced
+    version = build.StateLog(spark, roots[0], pass_id).version()
+    build.resume(spark, roots[0], pass_id, cfg, request, batches=2)
+    again = {r.outer_pix for r in build.read_events(spark, roots[0], pass_id).where(F.col("version") > version).where("state = 'done'").collect()}
+    near = {r.nbr for r in cells.neighbours(spark, 5).where(F.col("pix") == pix).collect()} | {pix}
+    assert again == near & {r.outer_pix for r in counts} and len(again) <= 9
+    stars.write_stars(new.drop("p"), roots[1], "dr3", 5)
+    build.create_pass(spark, roots[1], cfg, request)
+    build.run(spark, roots[1], pass_id, cfg, request, batches=1)
+    assert found(spark, roots[0], pass_id) == found(spark, roots[1], pass_id)
+    version = build.StateLog(spark, roots[0], pass_id).version()
+    build.resume(spark, roots[0], pass_id, cfg, request)
+    assert build.StateLog(spark, roots[0], pass_id).version() == version  # nothing changed, nothing is built
+
+
+def test_two_runs_at_once_build_each_cell_once(spark, patch, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root, request = str(tmp_path), LoadRequest(outer_level=4)
+    cfg = SearchConfig(sizes=(1,), outer_level=4, inner_level=5, map_levels=(4,))
+    stars.write_stars(patch, root, "dr3", 4)
+    pass_id = build.create_pass(spark, root, cfg, request)
+    with ThreadPoolExecutor(2) as pool:
+        runs = [pool.submit(build.run, spark, root, pass_id, cfg, request, batches=3, by_region=k == 1) for k in range(2)]
+        for r in runs:
+            r.result()
+    events = build.read_events(spark, root, pass_id)
+    assert events.groupBy("outer_pix", "state").count().where("count > 1").isEmpty() and illegal(events).isEmpty()
+    assert {r.state for r in latest(events).collect()} == {"done"}
+    assert artifacts.read_manifest(spark, root, pass_id).first().completed_at is not None and not artifacts.read_map(spark, root, pass_id).isEmpty()
+
+
+def test_leases_attempts_and_owners(spark, tmp_path):
+    log, work = StateLog(spark, str(tmp_path), "p"), spark.createDataFrame([(1, "x"), (2, "x")], "outer_pix long, note string")
+    taken = lambda df: sorted(r.outer_pix for r in df.collect())
+    assert log.version() == 0 and log.events().isEmpty()
+    assert taken(log.claim(work, "a", lease_seconds=1000)) == [1, 2] and taken(log.claim(work, "b")) == []
+    assert taken(log.finish(work.where("outer_pix = 1"), "b", "done")) == []  # not the owner
+    assert taken(log.finish(work.where("outer_pix = 1"), "a", "failed")) == [1]
+    assert taken(log.claim(work, "b", lease_seconds=-1)) == [1]
+    assert taken(log.claim(work, "c", attempts=2)) == [] and taken(log.claim(work, "c", attempts=3)) == [1]  # its lease has ended
+    assert taken(log.finish(work, "b", "done")) == [] and taken(log.finish(work, "c", "done")) == [1]
+    assert {(r.outer_pix, r.state, r.attempt) for r in latest(log.events()).collect()} == {(1, "done", 3), (2, "running", 1)}
+    assert taken(log.claim(work, "d", attempts=1)) == [1]  # done cells begin anew
+    assert illegal(log.events()).isEmpty() and taken(log.exclude(work)) == []
+    with pytest.raises(ValueError):
+        log.record(work.withColumn("state", F.lit("odd")))
+    assert log.once("x") and not log.once("x") and log.once("y")
+
+
+def test_a_number_is_committed_once(spark, tmp_path):
+    """A writer that finds its number taken makes its events anew from the log as it then is."""
+    log, work, seen = StateLog(spark, str(tmp_path), "p"), spark.createDataFrame([(1,)], "outer_pix long"), []
+
+    def make(events):
+        seen.append(events.count())
+        if len(seen) == 1:
+            StateLog(spark, str(tmp_path), "p").claim(work, "other")  # comes in between
+        return work.withColumn("state", F.lit("done" if events.count() else "running"))
+
+    assert [r.state for r in log.append(make).collect()] == ["done"] and seen == [0, 1] and log.version() == 2
+    assert sorted((r.version, r.state) for r in log.events().collect()) == [(1, "running"), (2, "done")]
+    assert os.listdir(os.path.join(log.path, "_staged")) == []
+
+
+def test_changed_cells_are_found_from_the_top(spark, patch):
+    level = 5
+    some = cells.with_cell(patch, "gaia_ra", "gaia_dec", level, "p")
+    pixels = sorted({r.p for r in some.select("p").collect()})
+    gone, new, other = pixels[0], pixels[3], pixels[7]
+    a, b = some.where(F.col("p") != new).drop("p"), some.where(F.col("p") != gone)
+    b = b.withColumn("gaia_ruwe", F.when(F.col("p") == other, F.lit(9.0)).otherwise(F.col("gaia_ruwe")).cast("float")).drop("p")
+    one, two = (digests.cell_digests(df, level) for df in (a, b))
+    assert {(r.outer_pix, r.change) for r in digests.changed(one, two, level).collect()} == {(gone, "gone"), (new, "new"), (other, "changed")}
+    assert digests.changed(one, digests.cell_digests(a.orderBy(F.desc("gaia_id")), level), level).isEmpty()
+    twice = digests.cell_digests(a.unionByName(a), level)
+    assert digests.changed(one, twice, level).count() == one.count()  # repeated rows are content
+    assert digests.tree(one, level)[0].count() <= 12
+
+
+def test_regions_equal_a_search(spark):
+    import random
+
+    level, draw = 3, random.Random(8)
+    chosen = set(draw.sample(range(cells.npix(level)), 330))
+    near: dict = {}
+    for r in cells.neighbours(spark, level).collect():
+        near.setdefault(r.pix, set()).add(r.nbr)
+    want = {}
+    for p in sorted(chosen):
+        if p not in want:
+            todo = [p]
+            while todo:
+                q = todo.pop()
+                if q in chosen and q not in want:
+                    want[q] = p
+                    todo += near[q]
+    df = spark.createDataFrame([(p, 1 + p % 5) for p in chosen] + [(None, 3)], "outer_pix long, weight long")
+    got = regions.regions(df, level).collect()
+    assert {r.outer_pix: r.region for r in got} == want and len(set(want.values())) > 3
+    assert all(r.n_open == len(near[r.outer_pix] & chosen) for r in got)
+    rows = regions.in_order(df.where("outer_pix is not null"), level, 4).orderBy("before").collect()
+    named = [r.region for r in rows]
+    assert len(rows) == len(chosen) and [k for k, n in enumerate(named) if k == 0 or named[k - 1] != n].__len__() == len(set(named))  # region by region
+    assert [r.share for r in rows] == sorted(r.share for r in rows) and [r.before for r in rows] == [sum(x.weight for x in rows[:k]) for k in range(len(rows))]
 
 
 def test_requests_name_cells_and_the_ring_around_them(spark, patch, tmp_path):
