@@ -14,6 +14,7 @@ from ..functions import cells
 from ..operators import loader, products, scoring, search
 from ..sources import artifacts, digests, stars
 from ..sources.log import StateLog, latest
+from ..sources.work import Work
 from . import regions
 
 ALGORITHM, VERSION = "guide-star-groups", "1"
@@ -138,24 +139,24 @@ def run(
     if cfg.outer_level != request.outer_level:
         raise ValueError(f"the search is planned by cells of level {cfg.outer_level}, the stars are stored by level {request.outer_level}")
     scorer = scorer or scoring.HeuristicScorer()
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or f"{root}/checkpoints")
-    level, owner, log = request.outer_level, uuid.uuid4().hex, StateLog(spark, root, pass_id)
+    level, owner, log, work = request.outer_level, uuid.uuid4().hex, StateLog(spark, root, pass_id), Work(spark, root)
     all_stars = stars.read_stars(spark, root, request.release, level)
     known = digests.read_digests(spark, root, request.release, level, all_stars)
-    needs = digests.inputs(known, level).join(digests.predicted_work(known, level, cfg.radius_arcsec), "outer_pix").checkpoint()
+    needs = digests.inputs(known, level).join(digests.predicted_work(known, level, cfg.radius_arcsec), "outer_pix")
+    needs = work.write(needs)
     if excluded is not None:
         log.exclude(excluded.select("outer_pix").distinct().join(needs, "outer_pix", "left_semi"))
     events = log.events()
     before = latest(events).select("outer_pix")
     todo = open_cells(needs, latest(events), retry_failed, attempts).join(needs.select("outer_pix", "weight"), "outer_pix")
-    ordered = regions.in_order(todo, level, batches) if by_region else balance(todo.select("outer_pix", "weight"), batches)
-    shares = ordered.select("outer_pix", "share").join(todo.select("outer_pix", F.col("input").alias("note")), "outer_pix").join(before.withColumn("again", F.lit(True)), "outer_pix", "left").checkpoint()
+    ordered = regions.in_order(todo, level, batches, work.write) if by_region else balance(todo.select("outer_pix", "weight"), batches)
+    shares = ordered.select("outer_pix", "share").join(todo.select("outer_pix", F.col("input").alias("note")), "outer_pix").join(before.withColumn("again", F.lit(True)), "outer_pix", "left")
+    shares = work.write(shares)
 
     def batch(share: int) -> None:
         asked = shares.where(F.col("share") == share)
-        work = log.claim(asked.select("outer_pix", "note"), owner, lease_seconds, attempts).select("outer_pix", "note")
-        if work.isEmpty():
+        taken = log.claim(asked.select("outer_pix", "note"), owner, lease_seconds, attempts).select("outer_pix", "note")
+        if taken.isEmpty():
             return
         kept: list[DataFrame] = []
 
@@ -164,7 +165,7 @@ def run(
             return kept[-1]
 
         try:
-            own = work.select("outer_pix")
+            own = taken.select("outer_pix")
             ring = cells.neighbours_of(own.select(F.col("outer_pix").alias("pix")), level).select(F.col("nbr").alias("outer_pix"))
             made = build_cells(all_stars.join(own.unionByName(ring).distinct(), "outer_pix", "left_semi"), own, cfg, scorer, request.band, request.epoch, hold)
             rebuilt = asked.where("again").join(own, "outer_pix", "left_semi").select("outer_pix")
@@ -173,9 +174,9 @@ def run(
                 # a cell that has no rows any more is not replaced by the write, and goes after it
                 artifacts.clear_cells(spark, root, pass_id, kind, rebuilt.join(rows, "outer_pix", "left_anti"))
         except Exception as error:  # whatever stops a batch is told by its cells' state, and the others go on
-            log.finish(work.select("outer_pix", F.lit(str(error)[:1000]).alias("note")), owner, "failed")
+            log.finish(taken.select("outer_pix", F.lit(str(error)[:1000]).alias("note")), owner, "failed")
         else:
-            log.finish(work, owner, "done")
+            log.finish(taken, owner, "done")
         finally:
             for df in kept:
                 df.unpersist()
@@ -188,7 +189,9 @@ def run(
     done = needs.join(states, "outer_pix", "left").where("state is null or (state <> 'excluded' and (state <> 'done' or note <> input))").isEmpty()
     if done and (order or artifacts.read_manifest(spark, root, pass_id).where("completed_at is not null").isEmpty()) and log.once(f"finish-{version}"):
         _finish(spark, root, pass_id, cfg)
-    return progress(needs.select("outer_pix"), states)
+    counts = progress(needs.select("outer_pix"), states).collect()  # a row for each state
+    work.close()
+    return spark.createDataFrame(counts, "state string, n_cells long")
 
 
 def resume(*args, **kwargs) -> DataFrame:

@@ -399,12 +399,12 @@ ALL = (
 
 
 def queries():
-    from . import survey_queries
+    from . import build_queries, survey_queries
 
-    return {f.__name__: f for f in ALL} | survey_queries.queries()
+    return {f.__name__: f for f in ALL} | survey_queries.queries() | build_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import survey_queries
+    from . import build_queries, survey_queries
 
-    return oracle.sql() | survey_queries.oracle_sql()
+    return oracle.sql() | survey_queries.oracle_sql() | build_queries.oracle_sql()

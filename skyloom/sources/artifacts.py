@@ -31,7 +31,8 @@ def clear_cells(spark: SparkSession, root: str, pass_id: str, kind: str, cells:
 
 def read_artifact(spark: SparkSession, root: str, pass_id: str, kind: str, pixels: list[int] | None = None) -> DataFrame:
     df = spark.read.parquet(pass_path(root, pass_id, kind))
-    return df if pixels is None else df.where(F.col("outer_pix").isin([int(p) for p in pixels]))
+    df = df if pixels is None else df.where(F.col("outer_pix").isin([int(p) for p in pixels]))
+    return df.withColumn("outer_pix", F.col("outer_pix").cast("long")) if "outer_pix" in df.columns else df  # folders say no type
 
 
 def write_inner(df, root, pass_id):

@@ -68,24 +68,32 @@ def read_digests(spark: SparkSession, root: str, release: str, level: int, stars
     return last.select("outer_pix", "d.*")
 
 
-def tree(digests: DataFrame, level: int) -> dict[int, DataFrame]:
-    """(pix, digest) at each level, from the cells up to the twelve base cells. A parent has four children at most."""
-    out = {level: digests.select(F.col("outer_pix").alias("pix"), "digest")}
+def tree(digests: DataFrame, level: int, written=None) -> dict[int, DataFrame]:
+    """(pix, digest) at each level, from the cells up to the twelve base cells. A parent has four children at most.
+
+    ``written`` cuts the lineage of a level (default: checkpoint), so that each is made once, from the one below it.
+    """
+    written = written or (lambda df: df.checkpoint())
+    out = {level: written(digests.select(F.col("outer_pix").alias("pix"), "digest"))}
     for k in range(level - 1, -1, -1):
         below = out[k + 1].groupBy(cells.parent(F.col("pix"), k + 1, k).alias("up")).agg(F.array_sort(F.collect_list(F.struct("pix", "digest"))).alias("c"))
-        out[k] = below.select(F.col("up").alias("pix"), F.sha2(F.array_join(F.transform("c", lambda c: F.concat_ws("=", c.pix.cast("string"), c.digest)), ","), 256).alias("digest"))
+        out[k] = written(below.select(F.col("up").alias("pix"), F.sha2(F.array_join(F.transform("c", lambda c: F.concat_ws("=", c.pix.cast("string"), c.digest)), ","), 256).alias("digest")))
     return out
 
 
-def changed(before: DataFrame, after: DataFrame, level: int) -> DataFrame:
+def changed(before: DataFrame, after: DataFrame, level: int, written=None) -> DataFrame:
     """(outer_pix, change) of the cells that differ: ``new``, ``gone`` or ``changed``. Both trees are descended below what differs."""
-    one, two, found = tree(before, level), tree(after, level), None
+    written = written or (lambda df: df.checkpoint())
+    one, two, both = tree(before, level, written), tree(after, level, written), None
     for k in range(level + 1):
         a, b = (t[k] for t in (one, two))
-        if found is not None:
-            a, b = (t.join(found, cells.parent(t["pix"], k, k - 1) == found["up"], "left_semi") for t in (a, b))
+        if both is not None:
+            up = both.select(F.col("pix").alias("up"))
+            a, b = (t.join(up, cells.parent(t["pix"], k, k - 1) == up["up"], "left_semi") for t in (a, b))
         both = a.select("pix", F.col("digest").alias("d1")).join(b.select("pix", F.col("digest").alias("d2")), "pix", "full_outer").where(~F.col("d1").eqNullSafe(F.col("d2")))
-        found = both.select(F.col("pix").alias("up"))
+        both = written(both)
+        if both.isEmpty():
+            break
     return both.select(F.col("pix").alias("outer_pix"), F.when(F.col("d1").isNull(), "new").when(F.col("d2").isNull(), "gone").otherwise("changed").alias("change"))
 
 
@@ -108,4 +116,4 @@ def predicted_work(digests: DataFrame, level: int, radius_arcsec: float) -> Data
     """(outer_pix, weight): stars and the pairs within the radius that a search will find among them, as their counts on the fine grid tell: where k stars
     stand in a fine cell, each has k * (disc / cell) others in its disc."""
     share = math.pi * (radius_arcsec / 3600) ** 2 / cells.cell_area_deg2(min(cells.MAX_LEVEL, level + FINER)) / 2
-    return digests.select("outer_pix", (F.col("n") + F.floor(F.col("squares") * share)).cast("long").alias("weight"))
+    return digests.select("outer_pix", (F.col("n") + F.floor((F.col("squares") - F.col("n")) * share)).cast("long").alias("weight"))
