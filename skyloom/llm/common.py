@@ -121,5 +121,18 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
+#: What the operator that a Python worker served last keeps between its tasks: a vocabulary and its cache, a model, an index.
+_KEPT: dict = {}
+
+
+def kept_in_worker(name, make: Callable):
+    """The object of this name that the worker has, or a new one in place of what another operator left, so that a worker that serves many stages
+    holds what one of them needs."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, small_batches, texts, written
+from .common import arrow_map, kept_in_worker, small_batches, texts, written
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.5, 0.8
@@ -287,15 +287,11 @@ def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 #: The last indexes that this worker has used, by the name of their block: tasks of one job share them.
-_LAST: dict[tuple, Indexes] = {}
 
 
 def _indexes(named: tuple[str, list[tuple[int, str]], Counts], threshold: float) -> Indexes:
     name, items, counts = named
-    if (name, threshold) not in _LAST:
-        _LAST.clear()
-        _LAST[name, threshold] = Indexes(items, threshold, counts)
-    return _LAST[name, threshold]
+    return kept_in_worker(("leaks", name, threshold), lambda: Indexes(items, threshold, counts))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, least: float = OVERLAP, key: str = "doc_id", text: str = "text") -> DataFrame:

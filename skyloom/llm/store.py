@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, remove, small_batches, texts
+from .common import arrow_map, kept_in_worker, remove, small_batches, texts
 
 CACHE_ENTRIES = 1_500_000
 #: Words that the library gets in one string; long strings cost it more a word.
@@ -142,9 +142,8 @@ def _holes(found: list[bytes | None]) -> list[int]:
         return places
 
 
-@lru_cache(maxsize=4)
 def encoder(file: str) -> Encoder:
-    return Encoder(file)
+    return kept_in_worker(("store", file), lambda: Encoder(file))
 
 
 @lru_cache(maxsize=1)

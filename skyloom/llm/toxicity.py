@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, small_batches, texts, written
+from .common import arrow_map, kept_in_worker, small_batches, texts, written
 
 SAMPLE_ROWS = 20_000
 LEAST_TEXTS = 3
@@ -286,15 +286,10 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
 
 
 #: The last model that this worker has used, by its name: tasks of one job share automaton and cache.
-_LAST: dict[str, Model] = {}
 
 
 def _scorer(model: dict) -> Model:
-    name = model["name"]
-    if name not in _LAST:
-        _LAST.clear()
-        _LAST[name] = Model(model)
-    return _LAST[name]
+    return kept_in_worker(("toxicity", model["name"]), lambda: Model(model))
 
 
 class Model:
