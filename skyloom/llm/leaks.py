@@ -286,9 +286,6 @@ def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-#: The last indexes that this worker has used, by the name of their block: tasks of one job share them.
-
-
 def _indexes(named: tuple[str, list[tuple[int, str]], Counts], threshold: float) -> Indexes:
     name, items, counts = named
     return kept_in_worker(("leaks", name, threshold), lambda: Indexes(items, threshold, counts))

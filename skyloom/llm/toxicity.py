@@ -285,9 +285,6 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     return {"name": uuid.uuid4().hex, "lexicon": lexicon, "fuzzy": fuzzy, "fit": logistic(x[order], y[order])}
 
 
-#: The last model that this worker has used, by its name: tasks of one job share automaton and cache.
-
-
 def _scorer(model: dict) -> Model:
     return kept_in_worker(("toxicity", model["name"]), lambda: Model(model))
 
