@@ -17,7 +17,7 @@ LEVEL = 6
 SHARES = 4
 
 
-def open_regions(spark, sf_dir):
+def work_regions(spark, sf_dir):
     """Connected regions of the cells that the events leave open, and how many open cells touch each."""
     catalog._root(spark, "regions")  # rounds write to the shared folder
     states = build.latest(catalog.build_events(spark, sf_dir))
@@ -80,7 +80,7 @@ def rebuilt_pass(spark, sf_dir):
     return artifacts.read_asterisms(spark, root, pass_id).join(built, "outer_pix").select("outer_pix", "rank", "g1", F.round("score", 6).alias("score"), "n_built")
 
 
-ALL = (open_regions, illegal_transitions, balance_by_work, changed_cells, cells_to_rebuild, rebuilt_pass)
+ALL = (work_regions, illegal_transitions, balance_by_work, changed_cells, cells_to_rebuild, rebuilt_pass)
 
 
 def queries():
@@ -106,7 +106,7 @@ def oracle_sql() -> dict[str, str]:
         "differs as (select pix, case when n = n_gone then 'gone' else 'changed' end as change from per_cell where n_gone + n_new > 0)",
     ]
     return {
-        "open_regions": oracle._with(
+        "work_regions": oracle._with(
             oracle._STATE,
             "open_ as (select outer_pix as pix from last_state where outer_pix is not null and state not in ('done', 'excluded', 'failed'))",
             *_touching("open_"),
