@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
@@ -14,6 +15,7 @@ from ..functions import cells
 from ..operators import loader, products, scoring, search
 from ..sources import artifacts, digests, stars
 from ..sources.log import StateLog, latest
+from ..sources.prewarm import STAR_BYTES, PreWarm
 from ..sources.work import Work
 from . import regions
 
@@ -123,6 +125,7 @@ def run(
     lease_seconds: float = 3600.0,
     attempts: int | None = 5,
     by_region: bool = False,
+    prewarm_bytes: int = 0,
 ) -> DataFrame:
     """Build what is unfinished, in batches of neighbouring cells balanced by predicted work; returns the progress.
 
@@ -132,6 +135,8 @@ def run(
     can only cause work to be done again, after the lease. A batch that fails leaves ``failed`` events with the error, and the others go on; its
     cells are built again by ``retry_failed``, ``attempts`` times at most. Cells of ``excluded`` (outer_pix) get that state and are not built.
     ``stop_after`` ends after so many batches. ``by_region`` orders the cells by connected regions of open ones (``regions.in_order``).
+    With ``prewarm_bytes`` the stars of the next batches are loaded into the executors' storage while a batch runs, as far as they fit under so many bytes
+    (``sources.prewarm``); they go when their batch ends.
 
     A ``done`` event names what its cell was built from: the digests of its own stars and of those around it. After a change of the store a run builds
     the cells again whose digest, or whose neighbour's, is another one.
@@ -152,8 +157,27 @@ def run(
     ordered = regions.in_order(todo, level, batches, work.write) if by_region else balance(todo.select("outer_pix", "weight"), batches)
     shares = ordered.select("outer_pix", "share").join(todo.select("outer_pix", F.col("input").alias("note")), "outer_pix").join(before.withColumn("again", F.lit(True)), "outer_pix", "left")
     shares = work.write(shares)
+    warm = PreWarm(prewarm_bytes)
+
+    def around(own: DataFrame) -> DataFrame:
+        ring = cells.neighbours_of(own.select(F.col("outer_pix").alias("pix")), level).select(F.col("nbr").alias("outer_pix"))
+        return own.unionByName(ring).distinct()
+
+    def size(share: int) -> int:
+        """Bytes of the stars in and around a batch's cells."""
+        near = around(shares.where(F.col("share") == share).select("outer_pix")).join(known.select("outer_pix", "n"), "outer_pix")
+        return STAR_BYTES * (near.agg(F.sum("n").alias("n")).first()["n"] or 0)
 
     def batch(share: int) -> None:
+        if prewarm_bytes > 0:
+            for then in order[order.index(share) + 1 :][:at_once]:
+                warm.ahead(then, size(then), lambda then=then: all_stars.join(around(shares.where(F.col("share") == then).select("outer_pix")), "outer_pix", "left_semi"))
+        try:
+            build_batch(share)
+        finally:
+            warm.release(share)
+
+    def build_batch(share: int) -> None:
         asked = shares.where(F.col("share") == share)
         taken = log.claim(asked.select("outer_pix", "note"), owner, lease_seconds, attempts).select("outer_pix", "note")
         if taken.isEmpty():
@@ -166,8 +190,8 @@ def run(
 
         try:
             own = taken.select("outer_pix")
-            ring = cells.neighbours_of(own.select(F.col("outer_pix").alias("pix")), level).select(F.col("nbr").alias("outer_pix"))
-            made = build_cells(all_stars.join(own.unionByName(ring).distinct(), "outer_pix", "left_semi"), own, cfg, scorer, request.band, request.epoch, hold)
+            near = warm.take(share, all_stars).join(around(own), "outer_pix", "left_semi")
+            made = build_cells(near, own, cfg, scorer, request.band, request.epoch, hold)
             rebuilt = asked.where("again").join(own, "outer_pix", "left_semi").select("outer_pix")
             for kind, rows in zip(("inner", "asterisms"), map(hold, made), strict=True):
                 artifacts.write_artifact(rows, root, pass_id, kind)
@@ -184,6 +208,7 @@ def run(
     order = [r["share"] for r in shares.select("share").distinct().orderBy("share").collect()][:stop_after]
     with ThreadPoolExecutor(max(1, at_once)) as pool:
         list(pool.map(batch, order))
+    warm.close()
     version = log.version()
     states = latest(log.events(version))
     done = needs.join(states, "outer_pix", "left").where("state is null or (state <> 'excluded' and (state <> 'done' or note <> input))").isEmpty()
@@ -257,15 +282,33 @@ def compare_groups(left: DataFrame, right: DataFrame, radius_arcsec: float, valu
     return out.select(*[F.nullif(F.col(f"a.{c}"), F.lit(-1)).alias(c) for c in MEMBERS], *[F.nullif(F.col(f"b.{c}"), F.lit(-1)).alias(c.replace("g", "h")) for c in MEMBERS], "difference", "sep")
 
 
+BENCH_FIELDS = ("location", "cache_target", "staging", "region", "workers", "temperature", "seconds", "n_cells", "n_stars", "n_groups", "at")
+
+
 def bench(spark: SparkSession, root: str, pass_id: str, **fields) -> None:
-    """Append a benchmark record: location, cache target, staging mode, region, workers, cold or warm, seconds."""
-    names = ("location", "cache_target", "staging", "region", "workers", "temperature", "seconds")
-    row = {n: None if fields.get(n) is None else str(fields[n]) for n in names}
-    spark.createDataFrame([row | {"at": _now()}], ", ".join(f"{n} string" for n in (*names, "at"))).coalesce(1).write.mode("append").parquet(pass_path(root, pass_id, "bench"))
+    """Append a benchmark record: location, cache target, staging mode, region, workers, cold or warm, seconds, and what was built."""
+    row = {n: None if fields.get(n) is None else str(fields[n]) for n in BENCH_FIELDS}
+    spark.createDataFrame([row | {"at": _now()}], ", ".join(f"{n} string" for n in BENCH_FIELDS)).coalesce(1).write.mode("append").parquet(pass_path(root, pass_id, "bench"))
+
+
+def bench_run(spark: SparkSession, root: str, pass_id: str, cfg: SearchConfig = SearchConfig(), request: LoadRequest = LoadRequest(), prewarm_bytes: int = 0, **options) -> DataFrame:
+    """``run``, timed: appends a record of what the run was given, what it took, and the cells, stars and groups that the pass then holds."""
+    began = time.monotonic()
+    states = run(spark, root, pass_id, cfg, request, prewarm_bytes=prewarm_bytes, **options)
+    seconds = time.monotonic() - began
+    known = digests.read_digests(spark, root, request.release, request.outer_level).join(latest(read_events(spark, root, pass_id)).where("state = 'done'"), "outer_pix", "left_semi")
+    held = known.agg(F.count("*").alias("n_cells"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_stars")).first()
+    where = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+    bench(
+        spark, root, pass_id, location=where, cache_target="executors" if prewarm_bytes else "none", staging="prewarm" if prewarm_bytes else "none", region=f"{request.release}/level-{request.outer_level}",
+        workers=spark.sparkContext.defaultParallelism, temperature="warm" if prewarm_bytes else "cold", seconds=seconds, n_cells=held["n_cells"], n_stars=held["n_stars"],
+        n_groups=artifacts.read_asterisms(spark, root, pass_id).count(),
+    )
+    return states
 
 
 def read_bench(spark: SparkSession, root: str, pass_id: str) -> DataFrame:
-    return spark.read.parquet(pass_path(root, pass_id, "bench"))
+    return spark.read.schema(", ".join(f"{n} string" for n in BENCH_FIELDS)).parquet(pass_path(root, pass_id, "bench"))
 
 
 def bench_summary(records: DataFrame) -> DataFrame:

@@ -111,17 +111,22 @@ def parent_pixel(spark, sf_dir):
     return at.select("gaia_id", cells.parent(F.col("pix"), 10, 6).alias("pix"))
 
 
+def _sky_cells(spark, sf_dir, level: int) -> DataFrame:
+    """The cells (pix) that hold stars."""
+    return cells.with_cell(sky(spark, sf_dir), "ra", "dec", level, "pix").select("pix").distinct()
+
+
 def children(spark, sf_dir):
-    return spark.range(cells.npix(3)).select(F.col("id").alias("pix"), F.explode(cells.children(F.col("id"), 3, 5)).alias("child"))
+    return _sky_cells(spark, sf_dir, 3).select("pix", F.explode(cells.children(F.col("pix"), 3, 5)).alias("child"))
 
 
 def pix2ang(spark, sf_dir):
-    ra, dec = cells.pix2ang(F.col("id"), 6)
-    return spark.range(cells.npix(6)).select(F.col("id").alias("pix"), F.round(ra, 9).alias("ra"), F.round(dec, 9).alias("dec"))
+    """Centres of the cells that hold stars."""
+    return _rounded(cells.with_centre(_sky_cells(spark, sf_dir, 6), "pix", 6, "ra", "dec"), {"ra": 9, "dec": 9})
 
 
 def neighbours(spark, sf_dir):
-    return cells.neighbours(spark, 4)
+    return cells.neighbours_of(_sky_cells(spark, sf_dir, 4), 4)
 
 
 def traversal(spark, sf_dir):
@@ -130,9 +135,12 @@ def traversal(spark, sf_dir):
 
 
 def cell_helpers(spark, sf_dir):
-    """Size of the cells of each level."""
-    rows = [(k, cells.nside(k), cells.npix(k), round(cells.cell_area_deg2(k), 9), round(cells.resolution_arcsec(k), 6)) for k in range(13)]
-    return spark.createDataFrame(rows, "level int, nside long, npix long, area double, resolution double")
+    """Size of the cells of each level, how many hold stars, and the density in those."""
+    fine = cells.with_cell(sky(spark, sf_dir), "ra", "dec", 12, "pix").groupBy("pix").agg(F.count("*").alias("n"))
+    levels = [F.struct(F.lit(k).alias("level"), F.lit(cells.nside(k)).cast("long").alias("nside"), F.lit(cells.npix(k)).cast("long").alias("npix"), F.lit(cells.cell_area_deg2(k)).alias("area"), F.lit(cells.resolution_arcsec(k)).alias("resolution"), cells.parent(F.col("pix"), 12, k).alias("pix")) for k in range(13)]
+    filled = fine.select(F.explode(F.array(*levels)).alias("at"), "n").groupBy("at").agg(F.sum("n").alias("n"))
+    out = filled.groupBy("at.level", "at.nside", "at.npix", "at.area", "at.resolution").agg(F.count("*").alias("n_filled"), F.sum("n").alias("n"))
+    return _rounded(out.withColumn("density", F.col("n") / (F.col("n_filled") * F.col("area"))).drop("n"), {"area": 9, "resolution": 6, "density": 6})
 
 
 def separation(spark, sf_dir):
@@ -309,30 +317,16 @@ def overlap_greedy(spark, sf_dir):
 
 
 def manifest(spark, sf_dir):
-    """Passes over two configurations, written and read back."""
+    """A pass for each region, its search radius by the region, written and read back."""
     from ..sources import artifacts
 
     root = _root(spark, "manifest")
-    for radius in (60.0, 120.0):
-        build.create_pass(spark, root, SearchConfig(radius_arcsec=radius))
+    for r in spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey").toLocalIterator():
+        build.create_pass(spark, root, SearchConfig(radius_arcsec=60.0 + 10.0 * r["r_regionkey"]))
     found = artifacts.read_manifest(spark, root)
     return found.select("pass_id", "algorithm", "algorithm_version", "release", "outer_level", "scorer", "layout_version", F.col("config")["radius_arcsec"].alias("radius"), F.col("completed_at").isNull().alias("open"))
 
 
-def archive_stars(spark, sf_dir):
-    """Stars of the cells of level 1, one input partition a cell, from a service that makes them up."""
-    from ..sources import archive
-
-    found = archive.archive_query(spark, list(range(cells.npix(1))), "skyloom.plans.catalog:sample_service", level=1)
-    return found.select("gaia_id", "gaia_ra", "gaia_dec", "gaia_G", "gaia_BP", "gaia_ref_epoch", "gaia_non_single_star")
-
-
-def sample_service(release: str, level: int, pix: int):
-    """A fetch function as the archive source takes it."""
-    for k in range(3):
-        yield {"gaia_id": 3 * pix + k, "gaia_ra": 7.5 * pix + k, "gaia_dec": pix / 2.0 - k, "gaia_G": 10.0 + k, "gaia_BP": None, "gaia_RP": None, "gaia_ref_epoch": 2016.0, "gaia_pmra": None, "gaia_pmdec": None, "gaia_non_single_star": k % 2, "gaia_ruwe": None}
-
-
 def stored_inner(spark, sf_dir):
     """The inner product, written as an artifact of a pass and read back."""
     from ..sources import artifacts
@@ -369,14 +363,6 @@ def inspected_pass(spark, sf_dir):
     return build.inspect(spark, root, pass_id).select("pass_id", "algorithm", *[f"n_{s}" for s in build.STATES])
 
 
-def bench_records(spark, sf_dir):
-    """Benchmark records, appended and summed up."""
-    root = _root(spark, "bench")
-    for n, seconds in enumerate((3.5, 1.5, 2.5, 9.0)):
-        build.bench(spark, root, "p", location="local", cache_target="none", staging="none", region="patch", workers=1 + n // 3, temperature="cold" if n == 0 else "warm", seconds=seconds)
-    return build.bench_summary(build.read_bench(spark, root, "p"))
-
-
 def resumed_pass(spark, sf_dir):
     """A pass that is stopped after one batch and resumed: the groups that it has in the end."""
     from ..sources import artifacts, stars
@@ -394,17 +380,17 @@ ALL = (
     star_projection, proper_motion, working_band, working_bands, quality_filter, guide_stars, stitched_load, ang2pix_l6, ang2pix_l14, parent_pixel, children, pix2ang, cell_helpers,
     neighbours, traversal, separation, singles, pairs, triples, candidates, star_count, group_geometry, geom_filter, heuristic_score, scorer_plugin, topk_per_pixel,
     overlap_pairs, overlap_suppressed, overlap_greedy, coverage, inner_product, density_map, map_lookup, survey_overlay, survey_summary, state_latest, state_summary, unfinished, balance, pass_compare, manifest, resumed_pass,
-    archive_stars, stored_inner, stored_map, stored_overlay, inspected_pass, bench_records,
+    stored_inner, stored_map, stored_overlay, inspected_pass,
 )
 
 
 def queries():
-    from . import build_queries, survey_queries
+    from . import build_queries, source_queries, survey_queries
 
-    return {f.__name__: f for f in ALL} | survey_queries.queries() | build_queries.queries()
+    return {f.__name__: f for f in ALL} | survey_queries.queries() | build_queries.queries() | source_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import build_queries, survey_queries
+    from . import build_queries, source_queries, survey_queries
 
-    return oracle.sql() | survey_queries.oracle_sql() | build_queries.oracle_sql()
+    return oracle.sql() | survey_queries.oracle_sql() | build_queries.oracle_sql() | source_queries.oracle_sql()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..contracts import LAYOUT_VERSION, STATES, SearchConfig, pass_identity
+import json
+
+from ..contracts import LAYOUT_VERSION, STATES, SearchConfig
 from ..functions.cells import cell_area_deg2
 from ..operators.loader import BANDS, STORED_BANDS
 
@@ -204,13 +206,11 @@ rounds as (
     from rounds where grew > 0))"""
 
 
-def _manifest() -> str:
-    """The manifests of two configurations: their identity is made by the same rule."""
-    rows = []
-    for radius in (60.0, 120.0):
-        identity = pass_identity("guide-star-groups", "1", SearchConfig(radius_arcsec=radius), "dr3", 6, "heuristic-1")
-        rows.append(f"('{identity}', 'guide-star-groups', '1', 'dr3', 6, 'heuristic-1', {LAYOUT_VERSION}, '{radius}', true)")
-    return f"select * from (values {', '.join(rows)}) t(pass_id, algorithm, algorithm_version, release, outer_level, scorer, layout_version, radius, open)"
+def _identity(radius: str = "120.0e0") -> str:
+    """SQL of the id of a pass with the default rules and a radius: the digest of its record's text."""
+    record = {"algorithm": "guide-star-groups", "version": "1", "config": SearchConfig().as_map() | {"radius_arcsec": "RADIUS"}, "release": "dr3", "level": 6, "scorer": "heuristic-1", "layout": LAYOUT_VERSION}
+    before, after = json.dumps(record, sort_keys=True, separators=(",", ":")).split("RADIUS")
+    return f"sha256('{before}' || cast(cast({radius} as double) as varchar) || '{after}')"
 
 
 def sql() -> dict[str, str]:
@@ -251,16 +251,21 @@ from stars""",
         "ang2pix_l6": _with(SKY_CTE, _pix("loc", "sky", "ra", "dec", 6)) + " select gaia_id, pix from loc",
         "ang2pix_l14": _with(SKY_CTE, _pix("loc", "sky", "ra", "dec", 14)) + " select gaia_id, pix from loc",
         "parent_pixel": _with(SKY_CTE, _pix("loc", "sky", "ra", "dec", 6)) + " select gaia_id, pix from loc",
-        "children": "select pix, unnest(range(pix*16, pix*16+16)) as child from (select unnest(range(0, 768)) as pix)",
-        "pix2ang": _with("cells6 as (select unnest(range(0, 49152)) as pix)", _centre("loc", "cells6", 6)) + " select pix, round(ra, 9) as ra, round(dec, 9) as dec from loc",
-        "cell_helpers": """
-select cast(k as integer) as level, cast(1 << k as bigint) as nside, cast(12 * (1 << 2*k) as bigint) as npix,
-  round(4*pi()*pow(degrees(1),2)/(12 * (1 << 2*k)), 9) as area, round(sqrt(4*pi()*pow(degrees(1),2)/(12 * (1 << 2*k)))*3600, 6) as resolution
-from range(0, 13) t(k)""",
-        "neighbours": _with(*_corners(4), f"spots as (select pix, {', '.join(unit.values())} from corners)")
+        "children": _with(SKY_CTE, _pix("loc", "sky", "ra", "dec", 3)) + " select pix, unnest(range(pix*16, pix*16+16)) as child from (select distinct pix from loc)",
+        "pix2ang": _with(SKY_CTE, _pix("own", "sky", "ra", "dec", 6), "cells6 as (select distinct pix from own)", _centre("loc", "cells6", 6)) + " select pix, round(ra, 9) as ra, round(dec, 9) as dec from loc",
+        "cell_helpers": _with(
+            SKY_CTE,
+            _pix("loc", "sky", "ra", "dec", 12),
+            "per_level as (select k, count(distinct pix >> (2*(12-k))) as n_filled, count(*) as n from loc, range(0, 13) t(k) group by k)",
+            "sized as (select *, cast(12 * (1 << 2*k) as bigint) as npix, 4*pi()*pow(degrees(1),2)/(12 * (1 << 2*k)) as deg2 from per_level)",
+        )
+        + """
+select cast(k as integer) as level, cast(1 << k as bigint) as nside, npix, round(deg2, 9) as area, round(sqrt(deg2)*3600, 6) as resolution, n_filled, round(n/(n_filled*deg2), 6) as density
+from sized""",
+        "neighbours": _with(SKY_CTE, _pix("held", "sky", "ra", "dec", 4), *_corners(4), f"spots as (select pix, {', '.join(unit.values())} from corners)")
         + """
 select distinct a.pix, b.pix as nbr
-from spots a join spots b on abs(a.x-b.x) < 1e-6 and abs(a.y-b.y) < 1e-6 and abs(a.z-b.z) < 1e-6 where a.pix <> b.pix""",
+from spots a join spots b on abs(a.x-b.x) < 1e-6 and abs(a.y-b.y) < 1e-6 and abs(a.z-b.z) < 1e-6 where a.pix <> b.pix and a.pix in (select pix from held)""",
         "traversal": _with(SKY_CTE, _pix("loc", "sky", "ra", "dec", 5, "outer_pix")) + " select outer_pix, row_number() over (order by outer_pix) - 1 as place from (select distinct outer_pix from loc)",
         "separation": _with(SKY_CTE)
         + f"""
@@ -328,20 +333,17 @@ select * from (
     case when b.inner_pix is null then 'only_left' when a.inner_pix is null then 'only_right' when a.n_stars <> b.n_stars then 'changed' end as difference
   from inner_ a full outer join other_ b on a.outer_pix = b.outer_pix and a.inner_pix = b.inner_pix)
 where difference is not null""",
-        "manifest": _manifest(),
+        "manifest": f"""
+select {_identity("60 + 10*r_regionkey")} as pass_id, 'guide-star-groups' as algorithm, '1' as algorithm_version, 'dr3' as release, 6 as outer_level, 'heuristic-1' as scorer, {LAYOUT_VERSION} as layout_version,
+  cast(cast(60 + 10*r_regionkey as double) as varchar) as radius, true as open
+from region""",
         "resumed_pass": _with(STARS, _guides(), _pairs(), TRIPLES, _groups(2), _pix("owncells", "stars", "gaia_ra", "gaia_dec", 6))
         + """
 select outer_pix, rank, g1, g2 from (
   select outer_pix, cast(row_number() over (partition by outer_pix order by score desc, g1, g2) as integer) as rank, g1, g2
   from groups where max_side <= 120 and outer_pix in (select distinct pix from owncells))
 where rank <= 5""",
-        "archive_stars": """
-select 3*pix + k as gaia_id, 7.5e0*pix + k as gaia_ra, pix/2.0e0 - k as gaia_dec, cast(10.0e0 + k as float) as "gaia_G",
-  cast(null as float) as "gaia_BP", 2016.0e0 as gaia_ref_epoch, cast(k % 2 as smallint) as gaia_non_single_star
-from range(0, 48) p(pix), range(0, 3) t(k)""",
-        "inspected_pass": f"with {_STATE} select '{pass_identity('guide-star-groups', '1', SearchConfig(), 'dr3', 6, 'heuristic-1')}' as pass_id, 'guide-star-groups' as algorithm, "
+        "inspected_pass": f"with {_STATE} select {_identity()} as pass_id, 'guide-star-groups' as algorithm, "
         + ", ".join(f"count(*) filter (where state = '{state}') as n_{state}" for state in STATES)
         + " from last_state",
-        "bench_records": """
-select * from (values ('local', '1', 'cold', 1, 3.5e0), ('local', '1', 'warm', 2, 1.5e0), ('local', '2', 'warm', 1, 9.0e0)) t(location, workers, temperature, n, median_seconds)""",
     }

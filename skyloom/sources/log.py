@@ -14,19 +14,17 @@ the owner ends it. ``attempt`` counts the times that a cell was taken since it w
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
-from urllib.parse import urlparse
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..contracts import STATE_SCHEMA, STATES, pass_path
+from .work import publish
 
 #: Which state may follow which; "" stands before the first event.
 LEGAL = {
@@ -93,29 +91,7 @@ class StateLog:
         return out if version is None else out.where(F.col("version") <= version)
 
     def _publish(self, staged: str, name: str) -> bool:
-        """Rename a staged folder, unless the name is taken."""
-        _, files = self._files()
-        target = f"{self.path}/{name}"
-        if files.getUri().getScheme() == "file":
-            local = lambda p: urlparse(p).path if p.startswith("file:") else p
-            try:
-                os.rename(local(staged), local(target))  # a folder with files in it is not replaced
-            except OSError:
-                if not os.path.isdir(local(target)):
-                    raise
-                return False
-            return True
-        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
-        options = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), self.spark._jsc.hadoopConfiguration())
-        try:
-            context.rename(jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(target), options)
-        except Py4JJavaError as error:
-            if "FileAlreadyExists" not in error.java_exception.getClass().getName():
-                raise
-            return False
-        return True
+        return publish(self.spark, staged, f"{self.path}/{name}")
 
     def append(self, make: Callable[[DataFrame], DataFrame], tries: int = 100) -> DataFrame:
         """Commit the events that ``make`` gives for the log as it is (outer_pix, state, and what else an event has), and return them as
