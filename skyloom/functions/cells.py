@@ -86,7 +86,8 @@ def ang2pix(ra: Column, dec: Column, level: int) -> Column:
     cap_x, cap_y = F.when(north, (n - 1) - cm).otherwise(cp), F.when(north, (n - 1) - cp).otherwise(cm)
     belt = F.abs(z) <= 2.0 / 3.0
     face, x, y = (F.when(belt, p).otherwise(c) for p, c in ((belt_face, cap_face), (belt_x, cap_x), (belt_y, cap_y)))
-    return F.when(ra.isNotNull() & dec.isNotNull() & ~F.isnan(ra) & ~F.isnan(dec), pix_of(face, x, y, level))
+    finite = [F.abs(c) < math.inf for c in (ra, dec)]  # false for NaN, which is above all numbers
+    return F.when(finite[0] & finite[1], pix_of(face, x, y, level))
 
 
 def face_xy(pix: Column, level: int) -> tuple[Column, Column, Column]:
