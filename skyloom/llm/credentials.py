@@ -3,16 +3,21 @@
 The base kinds are three patterns. The added kind ``guess`` looks at values assigned to, or said to be, a
 credential, and estimates how many guesses an attacker needs: the minimum-cost segmentation of the value into
 dictionary words, dates, repeats, keyboard walks and brute-force spans, found by dynamic programming over its
-positions. Every span that is a word, date, repeat or walk by itself is relaxed, so the cost is the least over all
-segmentations. A value whose cost reaches ``min_log10`` becomes a span unless it overlaps a base span.
+positions. Every span that is a word, date, repeat or walk by itself is relaxed, whatever its length, so the cost is the
+least over all segmentations. A value whose cost reaches ``min_log10`` becomes a span unless it overlaps a base span.
 
-The dictionary is a fixed list of frequent passwords and the ``DICTIONARY`` most frequent words of the corpus itself
-(``common_words``: number of texts that hold a word, over all texts, the values in credential contexts left out), so
-prose behind "the password is" is cheap in whatever language the corpus is. A word's rank is its number of guesses.
+- A repeat is a unit that stands twice or more and is no repeat itself; it costs the unit's own least cost and the count.
+- A walk goes from key to adjacent key, with turns; a sequence goes along the alphabet or the digits, either way.
+
+The dictionary is a fixed list of frequent passwords and the words of the corpus itself that stand in at least ``SHARE``
+of its texts (``common_words``: over all texts, the values in credential contexts left out), so prose behind "the
+password is" is cheap in whatever language the corpus is. A word's rank is its number of guesses. Shares and ranks do
+not change when a corpus grows by more of the same, so neither do the spans; and the dictionary holds at most
+(mean number of different words of a text) / SHARE words, whatever the number of texts.
 
 Defined cases: null text counts as empty and has no spans; repeated rows are scanned row by row; a span is in
-code points, end exclusive; a word of the corpus counts from ``LEAST_TEXTS`` texts on, ties go by the word; extra columns
-are ignored; an empty table gives an empty table.
+code points, end exclusive; words of one frequency are ranked by the word; extra columns are ignored; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from math import log10
+from math import inf, lgamma, log, log10
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,18 +74,26 @@ prince magic wizard ninja pirate samurai rocket planet earth moon sun ocean rive
 office school teacher doctor january february march april may june july august september october november december
 monday tuesday wednesday thursday friday saturday sunday correct battery staple example sample demo temp new old
 company pass word key token data base cloud prod dev stage""".split()
-# Rows of a keyboard.
-ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
+# Rows of a keyboard, each key up and right of the one below it; what its keys give with shift; sequences.
+ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
+SHIFTED = ('!@#$%^&*()_+{}:"<>?', "1234567890-=[];',./")
+SEQUENCES = ("0123456789", "abcdefghijklmnopqrstuvwxyz")
+#: Row and column of each key, and the steps from a key to those next to it.
+KEYS = {c: (r, k) for r, row in enumerate(ROWS) for k, c in enumerate(row)}
+STEPS = ((0, 1), (0, -1), (1, 0), (1, -1), (-1, 0), (-1, 1))
+UNSHIFT = str.maketrans(*SHIFTED)
 LEET = str.maketrans("0134578@$!", "oieastbasi")
 RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
 DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0[1-9]|1[0-2])(?:\1(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])(?:0[1-9]|1[0-2])(?:19|20)\d\d")
 DATE_LENGTHS = (4, 6, 7, 8, 10)
 DATE_GUESSES = 365 * 120
-#: Most characters of one word, one repeat and its unit; the least of a word and a walk.
-LONGEST_WORD, LONGEST_REPEAT, LONGEST_UNIT, SHORTEST = 24, 64, 4, 3
-#: Words of the corpus that become a dictionary, and texts that must hold each.
-DICTIONARY, LEAST_TEXTS = 100_000, 20
-LETTERS = re.compile(r"[^\W\d_]{3,24}")
+#: The least characters of a word, a walk and a sequence.
+SHORTEST = 3
+#: A word of the corpus stands in at least one text of 2,000.
+SHARE = 1 / 2000
+LETTERS = re.compile(r"[^\W\d_]{3,}")
+#: Units as long as this are looked for by their first characters.
+SEED = 8
 SEPARATE, UPPER, LEETED = 0.3, 0.3, 0.6  # log10 of the guesses for one more segment, for capitals, for letters replaced
 
 
@@ -91,52 +104,145 @@ class Guesser:
         self.ranks = dict(ranks or {})
         for word, rank in RANK.items():
             self.ranks[word] = min(rank, self.ranks.get(word, rank))
-        self.known: dict[str, float] = {}
-
-    def cost(self, value: str) -> float:
-        """log10 of the guesses for the cheapest segmentation of a value."""
-        if value not in self.known:
+        lengths: dict[str, set[int]] = {}
+        for word in self.ranks:
+            lengths.setdefault(word[:SHORTEST], set()).add(len(word))
+        self.lengths = {start: sorted(of) for start, of in lengths.items()}  # of the words that start so
+        self.known: dict[tuple[str, float], float] = {}
+
+    def cost(self, value: str, limit: float = inf) -> float:
+        """log10 of the guesses for the cheapest segmentation of a value, or ``limit`` if it is not below that."""
+        if (value, limit) not in self.known:
             if len(self.known) >= 4096:
                 self.known.clear()
-            self.known[value] = self._cost(value)
-        return self.known[value]
+            self.known[value, limit] = self._least(value, log10(max(alphabet(value), 2)), limit, {})
+        return self.known[value, limit]
 
-    def _cost(self, value: str) -> float:
+    def _least(self, value: str, brute: float, limit: float, units: dict[str, float]) -> float:
+        """Positions whose cost reaches the limit lead nowhere: segments only add to it."""
+        if value in units:
+            return units[value]
         n = len(value)
         low = value.lower()
         if len(low) != n:
             low = value  # a character that has no lower case of one character
-        plain = low.translate(LEET)
-        brute = log10(max(alphabet(value), 2))
-        cost = [0.0] + [float("inf")] * n
+        plain, keys = low.translate(LEET), low.translate(UNSHIFT)
+        cost = [0.0] + [inf] * n
+        runs: dict[int, tuple[int, int]] = {}  # by width: start and end of the last run seen
+        starts: dict[tuple[int, int, int], list[int]] = {}  # of repeats, by width, end of the run and place in the unit
+        furthest = 0
 
         def relax(i: int, j: int, guesses: float) -> None:
-            cost[j] = min(cost[j], cost[i] + (SEPARATE if i else 0.0) + guesses)
+            nonlocal furthest
+            total = cost[i] + (SEPARATE if i else 0.0) + guesses
+            if total < cost[j] and total < limit:
+                cost[j] = total
+                furthest = max(furthest, j)
 
         for i in range(n):
-            cost[i + 1] = min(cost[i + 1], cost[i] + brute)
-            for j in range(i + SHORTEST, min(n, i + LONGEST_WORD) + 1):
-                if rank := self.ranks.get(low[i:j]):
-                    relax(i, j, log10(rank + 1) + (UPPER if value[i:j] != low[i:j] else 0.0))
-                if (rank := self.ranks.get(plain[i:j])) and plain[i:j] != low[i:j]:
-                    relax(i, j, log10(rank + 1) + LEETED)
+            if i > furthest:
+                break
+            if cost[i] == inf:
+                continue
+            if cost[i] + brute < min(cost[i + 1], limit):
+                cost[i + 1] = cost[i] + brute
+                furthest = max(furthest, i + 1)
+            self._words(value, low, plain, i, relax)
             if value[i].isdigit():
                 for length in DATE_LENGTHS:
                     if i + length <= n and DATE.fullmatch(value, i, i + length):
                         relax(i, i + length, log10(DATE_GUESSES))
-            for width in range(1, LONGEST_UNIT + 1):
-                j = i + width
-                while j + width <= min(n, i + LONGEST_REPEAT) and low[j : j + width] == low[i : i + width]:
-                    j += width
-                    relax(i, j, width * brute + log10((j - i) // width))
-            for row in ROWS:  # keyboard walks and sequences, either way
-                for line in (row, row[::-1]):
-                    at, j = line.find(low[i]), i
-                    while 0 <= at < len(line) and j < n and low[j] == line[at]:
-                        j, at = j + 1, at + 1
-                        if j - i >= SHORTEST:
-                            relax(i, j, log10(len(row) * 2 * (j - i)))
-        return cost[n]
+            for end, guesses in lines(low, i):
+                relax(i, end, guesses)
+            for end, guesses in walks(keys, i, limit - cost[i]):
+                relax(i, end, guesses + (UPPER if keys[i:end] != value[i:end] else 0.0))
+            for width, end in repeats(value, i, runs):
+                kept = starts.setdefault((width, end, i % width), [])
+                # From an earlier start of the same run the same ends are reached with (m + k) / k times the guesses, k >= 2.
+                if any(cost[i] - cost[a] + (0.0 if a else SEPARATE) >= log10(((i - a) // width + 2) / 2) for a in kept):
+                    continue
+                kept.append(i)
+                unit = brute if width == 1 else self._least(value[i : i + width], brute, limit, units)
+                for times in range(2, (end - i) // width + 1):
+                    relax(i, i + times * width, unit + log10(times))
+        units[value] = min(cost[n], limit)
+        return units[value]
+
+    def _words(self, value: str, low: str, plain: str, i: int, relax) -> None:
+        for length in self.lengths.get(low[i : i + SHORTEST], ()):
+            if i + length <= len(value) and (rank := self.ranks.get(low[i : i + length])):
+                relax(i, i + length, log10(rank + 1) + (UPPER if value[i : i + length] != low[i : i + length] else 0.0))
+        for length in self.lengths.get(plain[i : i + SHORTEST], ()):
+            if i + length <= len(value) and plain[i : i + length] != low[i : i + length] and (rank := self.ranks.get(plain[i : i + length])):
+                relax(i, i + length, log10(rank + 1) + LEETED)
+
+
+def lines(low: str, i: int) -> Iterator[tuple[int, float]]:
+    """End and cost of each sequence that starts at i."""
+    for row in SEQUENCES:
+        for line in (row, row[::-1]):
+            at, j = line.find(low[i]), i
+            while 0 <= at < len(line) and j < len(low) and low[j] == line[at]:
+                j, at = j + 1, at + 1
+                if j - i >= SHORTEST:
+                    yield j, log10(len(row) * 2 * (j - i))
+
+
+def walks(keys: str, i: int, limit: float) -> Iterator[tuple[int, float]]:
+    """End and cost of each keyboard walk that starts at i: first key, direction and length, then where it turns and whereto."""
+    turns, last, j = 0, None, i
+    while j + 1 < len(keys) and keys[j] in KEYS and keys[j + 1] in KEYS:
+        (r, c), (to_r, to_c) = KEYS[keys[j]], KEYS[keys[j + 1]]
+        step = (to_r - r, to_c - c)
+        if step not in STEPS:
+            return
+        turns += last is not None and step != last
+        last, j = step, j + 1
+        length = j + 1 - i
+        if length >= SHORTEST:
+            places = (lgamma(length - 1) - lgamma(turns + 1) - lgamma(length - 1 - turns)) / log(10)  # turns among length - 2 keys
+            guesses = log10(len(KEYS) * len(STEPS) * length) + turns * log10(len(STEPS) - 1) + places
+            if guesses >= limit:
+                return  # it never falls with the length
+            yield j + 1, guesses
+
+
+def alike(value: str, a: int, b: int) -> int:
+    """How many characters from a and from b are the same."""
+    most, step = len(value) - max(a, b), 1
+    while step < most and value[a : a + step] == value[b : b + step]:
+        step *= 2
+    low, high = 0, min(step, most)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if value[a + low : a + middle] == value[b + low : b + middle] else (low, middle - 1)
+    return low
+
+
+def repeats(value: str, i: int, runs: dict[int, tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Width and end of each run at i of a unit that stands twice or more and is no repeat itself, by width.
+
+    In a run of width w up to ``end`` no width from w + 1 to end - i - w gives a new unit: two such periods would have a
+    common divisor for period. ``runs`` is filled on the way.
+    """
+    most = (len(value) - i) // 2
+    width = 1
+    while width <= most:
+        if width >= SEED:
+            at = value.find(value[i : i + SEED], i + width)
+            if at < 0 or at - i > most:
+                return
+            width = at - i
+        start, end = runs.get(width, (0, 0))
+        if not start <= i <= end - 2 * width:
+            if value[i : i + width] != value[i + width : i + 2 * width]:
+                width += 1
+                continue
+            end = i + width + alike(value, i, i + width)
+            runs[width] = (i, end)
+        if (value[i : i + width] * 2).find(value[i : i + width], 1) == width:
+            yield width, end
+        width = max(width + 1, end - i - width + 1)
 
 
 def alphabet(value: str) -> int:
@@ -176,8 +282,8 @@ def without_values(text: str) -> str:
     return CONTEXT.sub(" ", text) if _held(low, CONTEXT_WORDS) else text
 
 
-def common_words(docs: DataFrame, text: str = "text", size: int = DICTIONARY, least: int = LEAST_TEXTS) -> dict[str, int]:
-    """The ``size`` most frequent words of all texts and their ranks, from 1."""
+def common_words(docs: DataFrame, text: str = "text", share: float = SHARE) -> dict[str, int]:
+    """The words that stand in at least ``share`` of all texts and their ranks, from 1 for the most frequent."""
     small_batches(docs.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +297,7 @@ def common_words(docs: DataFrame, text: str = "text", size: int = DICTIONARY, le
         yield _counts(found)
 
     rows = docs.select(docs[text].alias("text")).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = rows.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(size).toArrow()  # at most ``size`` words
+    top = rows.where(F.col("n") >= share * docs.count()).orderBy(F.desc("n"), "word").toArrow()  # at most mean words of a text / share
     return {w: i + 1 for i, w in enumerate(top.column("word").to_pylist())}
 
 
@@ -213,7 +319,7 @@ def scan(text: str, min_log10: float = 12.0, guesser: Guesser = _FIXED) -> list[
         for m in CONTEXT.finditer(text):
             start, value = m.start(1), m[1].rstrip("\"',;.)")
             end = start + len(value)
-            if len(value) >= 6 and guesser.cost(value) >= min_log10 and not any(a < end and start < b for a, _, b in base):
+            if len(value) >= 6 and guesser.cost(value, min_log10) >= min_log10 and not any(a < end and start < b for a, _, b in base):
                 spans.append((start, "guess", end))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[1])))
 

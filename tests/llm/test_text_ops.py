@@ -1,6 +1,8 @@
 """Token counts, secrets, chat, licences and the token store against plain versions and on edge cases."""
 
 import hashlib
+import itertools
+import math
 import random
 import zlib
 
@@ -164,6 +166,20 @@ def test_costs_are_the_least_of_all_segmentations():
     words = {w: min(ranks.get(w, 10**9), credentials.RANK.get(w, 10**9)) for w in ranks | credentials.RANK}
     leet = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 
+    place = {c: (r, k) for r, row in enumerate(("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")) for k, c in enumerate(row)}
+    below = dict(zip('!@#$%^&*()_+{}:"<>?', "1234567890-=[];',./", strict=True))
+
+    def walk(p):
+        """The guesses of a walk over adjacent keys, or none."""
+        keys = "".join(below.get(c, c) for c in p.lower())
+        if len(p) < 3 or not all(c in place for c in keys):
+            return []
+        steps = [(place[b][0] - place[a][0], place[b][1] - place[a][1]) for a, b in itertools.pairwise(keys)]
+        if not set(steps) <= {(0, 1), (0, -1), (1, 0), (1, -1), (-1, 0), (-1, 1)}:
+            return []
+        turns = sum(a != b for a, b in itertools.pairwise(steps))
+        return [np.log10(len(place) * 6 * len(p) * 5**turns * math.comb(len(p) - 2, turns)) + (0.3 if keys != p else 0)]
+
     def part(p, brute):
         low = p.lower()
         plain = "".join(leet.get(c, c) for c in low)
@@ -174,16 +190,16 @@ def test_costs_are_the_least_of_all_segmentations():
             found.append(np.log10(words[plain] + 1) + 0.6)
         if credentials.DATE.fullmatch(p):
             found.append(np.log10(365 * 120))
-        for w in (1, 2, 3, 4):
-            if len(p) > w and len(p) % w == 0 and low == low[:w] * (len(p) // w):
-                found.append(w * brute + np.log10(len(p) // w))
-        for row in credentials.ROWS:
+        unit = next(p[:w] for w in range(1, len(p) + 1) if len(p) % w == 0 and p == p[:w] * (len(p) // w))
+        if unit != p:
+            found.append(least(unit, brute) + np.log10(len(p) // len(unit)))
+        for row in ("0123456789", "abcdefghijklmnopqrstuvwxyz"):
             if len(p) >= 3 and (low in row or low in row[::-1]):
                 found.append(np.log10(len(row) * 2 * len(p)))
-        return min(found, default=np.inf)
+        return min(found + walk(p), default=np.inf)
 
-    def least(value):
-        brute, n, best = np.log10(max(2, credentials.alphabet(value))), len(value), np.inf
+    def least(value, brute=None):
+        brute, n, best = brute or np.log10(max(2, credentials.alphabet(value))), len(value), np.inf
         for cuts in range(2 ** (n - 1)):
             ends = [k + 1 for k in range(n - 1) if cuts >> k & 1] + [n]
             at, total = 0, 0.0
@@ -195,10 +211,47 @@ def test_costs_are_the_least_of_all_segmentations():
         return best
 
     rng = random.Random(11)
-    values = ["qwertyuiopass", "jklmnopass", "P4ssw0rd1", "20240131cat", "catcatcat9", "aaaabbbb", "dr4g0n2019", "123321", "thingpass", "1999/12/31x"]
+    values = ["qwertyuiopass", "jklmnopass", "P4ssw0rd1", "20240131cat", "catcatcat9", "aaaabbbb", "dr4g0n2019", "123321", "thingpass", "1999/12/31x", "catcat", "qwertqwert", "ababaabab", "1qaz2wsx", "xaabaabaab"]
     values += ["".join(rng.choice("aqwcts412@0P") for _ in range(9)) for _ in range(25)]
     for value in values:
         assert guesser.cost(value) == pytest.approx(least(value)), value
+        assert guesser.cost(value, 6.0) == pytest.approx(min(6.0, least(value))), value
+
+
+def test_cost_has_no_longest_part():
+    cost = credentials.guess_cost
+    assert [round(cost("a" * n), 6) for n in (24, 200, 100_000)] == [round(float(np.log10(26) + np.log10(n)), 6) for n in (24, 200, 100_000)]
+    assert cost("gT7#kq9ZpL2v" * 50) == pytest.approx(cost("gT7#kq9ZpL2v") + np.log10(50))  # a unit of any width
+    assert cost("password" * 3) == pytest.approx(cost("password") + np.log10(3))  # by its own least cost
+    word = "rindfleischetikettierungsueberwachung"
+    assert credentials.Guesser({word: 9}).cost(word) == pytest.approx(1.0)
+    assert all(credentials.scan(f"password is {v} now") == [] for v in ("1qaz2wsx3edc", "qazwsxedc", "!QAZxsw2#EDC", "z" * 200, "*" * 5000, "xy" * 3000))
+    rng = random.Random(5)
+    for _ in range(300):  # runs by their definition
+        value = "".join(rng.choice("ab" if rng.random() < 0.7 else "abc") for _ in range(rng.randint(1, 40)))
+        value = value[: rng.randint(1, 12)] * 3 + value
+        for i in range(len(value)):
+            want = []
+            for w in range(1, (len(value) - i) // 2 + 1):
+                unit = value[i : i + w]
+                if unit == value[i + w : i + 2 * w] and not any(w % d == 0 and unit == unit[:d] * (w // d) for d in range(1, w)):
+                    end = i + w
+                    while end < len(value) and value[end] == value[end - w]:
+                        end += 1
+                    want.append((w, end))
+            assert list(credentials.repeats(value, i, {})) == want
+
+
+def test_spans_do_not_turn_on_the_size_of_the_table(spark):
+    """The same rows over and over have the same dictionary and spans at every size."""
+    rows = ["she immediately left and was not forgotten", "the password is immediately forgotten", "the pin is gT7#kq9ZpL2v", "cats and dogs"]
+    spans = []
+    for times in (1, 5, 20, 700):
+        docs = table(spark, rows * times)
+        found = {r.doc_id: tuple((s.kind, s.start) for s in r.found) for r in credentials.secret_spans(docs).collect()}
+        assert len(found) == len(rows) * times
+        spans.append((credentials.common_words(docs), [{v for i, v in found.items() if i % 4 == k} for k in range(4)]))
+    assert all(s == spans[0] for s in spans) and spans[0][1] == [{()}, {()}, {(("guess", 11),)}, {()}]
 
 
 def test_prose_is_no_secret_and_secrets_are_no_words(spark):
