@@ -1,9 +1,12 @@
 """License scans (operator 1, native): digests of canonical texts, joined to the digests of known licences.
 
 A *unit* is an entire text: the whole document, each paragraph of it (between blank lines), each line, and each run of
-consecutive paragraphs that is as long as a known licence of several paragraphs.
-Canonical form: lower case; copyright lines go; equivalent spellings become one; every run of characters that
-are neither letters nor digits becomes one space. The SHA-256 of a unit's canonical form is hash-joined with the
+consecutive paragraphs that is as long as a known licence of several paragraphs. Paragraphs and runs are also taken of
+the text as its comments stand (``comment_blocks``): comment signs at the start of lines go, and a paragraph ends where a
+block comment begins or ends and where lines with a comment sign meet lines without.
+Canonical form: lower case; copyright lines and list markers (``1.``, ``(a)``, bullets) go; equivalent spellings become
+one; every run of characters that are neither letters nor digits becomes one space; the places where a licence names
+its holder (``SLOTS``) say the same whoever it is. The SHA-256 of a unit's canonical form is hash-joined with the
 digests of the known licences, which are made by the same expressions; that of a run is taken over the digests of its
 paragraphs, each made once, without those in which nothing is left. Everything is DataFrame functions.
 
@@ -14,7 +17,7 @@ Known licences are texts (``KNOWN``, more with ``known``), with and without thei
 alone (``LONG``). The registry is broadcast: its size is that of these lists, whatever the corpus (checked by ``registry``).
 
 Defined cases: null and empty texts have no units and so no licence; units with one canonical form count once; a
-unit with that of the whole text, and the run of all paragraphs, count as ``whole`` only; extra columns are ignored; keys
+unit with that of the whole text, and the run of all paragraphs of the whole, count as ``whole`` only; extra columns are ignored; keys
 may repeat or be null, each row has its own result row; an empty table gives an empty table.
 """
 
@@ -138,15 +141,15 @@ TITLES = (
 )
 # Full texts as published; paragraphs of the canonical form, its digest, and the digest over those of its paragraphs.
 LONG = (
-    ("Apache-2.0", 33, "ef36af97727268b60fb709836c24580bed9887f649dba6f0fd9ef4b18232fd25", "1438fdd75dc727f76fafc5d86ffc9ae26b5830859c6819057909809cb4c53d94"),
-    ("Artistic-1.0", 29, "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702", "e67857eb987d918a83f254ec75d3bf4e01be028356322965c48126e257cf5341"),
-    ("CC0-1.0", 13, "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", "1605af2f16e937dcdf7e272021732d6fc27f38f605ef3becd7caf69749d73bd1"),
-    ("GFDL-1.3", 67, "c4f8ea2b5247ab1ff721ce8255137250d4c14f50a0fb68c00fd793f496ced65e", "5ef52afccf049e167defbe66d4e2cdcb5bc87dca5c7b05347f81a339629cee86"),
-    ("GPL-2.0", 59, "331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6", "0a500f6d13dd24db83bbfd5167c4b4bd1389f9a215beea0a08272b961af6e300"),
-    ("GPL-3.0", 122, "3c39b58d51baf32b2a21a55c429305f51cfd82e53cad05134293933580b4cd84", "be040a6f6e8a67705fa25baa24f4105edb1dda8030d5982fa7876a0d80cfeb9b"),
-    ("LGPL-2.1", 76, "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891", "a62fd3b7f35586b3b145347e000b0bc27a30b4eb9d6fa664c4a8ad9ad21ce797"),
-    ("LGPL-3.0", 37, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", "467c826d0fbf36b0997bbc38a72d4d60a793013cbd4706b520c485c58847ee39"),
-    ("MPL-2.0", 81, "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d", "3d50bd8877757243f384a60f0da1da90623270c28062d186ef16413c7703bbda"),
+    ("Apache-2.0", 33, "b74773cc32bd9891cf3b6f2cbffee6ba250305f332fe5bf8f80de7f62570d885", "409cc8858bcec9b74413ed0e4caa61e6381af935aa2b1359051f44a5755b77de"),
+    ("Artistic-1.0", 29, "b06eda62b7e0c69e6f8a5960610095b69349654af941a79eca834edcd5e64e49", "9cda28846eadee6ae0591bc2659266253c05647f69f3b6a4bdff487f84e7991f"),
+    ("CC0-1.0", 13, "d1f73cfb8c84d854460df0cdbd9dfd52af55932e051bb01f837c98b510e0bcdc", "fa3a54d6908afa17b06903585efd2b6e600712677aa85249d4546bbd534b6f13"),
+    ("GFDL-1.3", 67, "e7b59b688b1712f9dce09b7c35422aeac689c25333780d26ec6928a9dc056892", "142edc5d7727549a9515f6bb76cddcc9bb76324a439bfae5ee4e0ff4b4258616"),
+    ("GPL-2.0", 59, "48aa1cc09278c990143598f5c37c848606b728a4babb43c5f55e16bc66206c59", "d46560d7841a4962b24dd2d5af02ab358f76015471f25813312807e4d9325abc"),
+    ("GPL-3.0", 122, "86eda099cbf0d22186ac221b176c2488450c7cb186a4d2abcd0920de5c2cc7ba", "6dd32d7e0d8a96f88a9fe1c29800ef9d31383ca396f16a109973f76ecd91eac6"),
+    ("LGPL-2.1", 76, "0ca5c17aaa8deceea63b6afae195c7b8e4c2457d104e2a35bb62009f9d4d603b", "5e7e6ceff396b793ad6b028ee79053472cb9a13ba9d5a59b7b2fbcf8e69396e7"),
+    ("LGPL-3.0", 37, "6a1e21cb1f0adda77c68071a8eeadb804a92ffdcaa150c17f976711652333fa0", "0e5880f79b7cba03344c75abbbac6e869ee9f3dd9a5cc93859e4aaf10053a4e4"),
+    ("MPL-2.0", 81, "83b881818f64a5a604eac40dee859b955028dd48eb637becace2c63739abca5a", "9e1c0bac38398057908748fbdb9dc489146c26bf54470a9685051bcce3ee45dd"),
 )
 # Equivalent spellings, after lower case and before punctuation goes.
 SPELLINGS = (
@@ -163,7 +166,18 @@ SPELLINGS = (
 #: Each known licence holds one of these in lower case, the long ones too.
 MARKERS = ("licen", "permi")
 COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}©\n]*(?:copyright[ \t]+(?:\(c\)|©|[0-9]{4}|by )|©|\(c\) *[0-9]|all rights reserved)[^\n]*"
+LIST_MARKER = r"(^|[ \t\r\n(])(?:[0-9]{1,2}[.)]|[a-z][)])[ \t\r\n]"
+# Places that name the holder, in the canonical form, of 40 words at most, and what stands for them.
+SLOTS = (
+    (r"neither the names? of (?:[^ ]+ ){1,40}?nor the names of (?:its|their) contributors", "neither the name of holder nor the names of its contributors"),
+    (r"this software is provided by (?:[^ ]+ ){1,40}?as is and any", "this software is provided by holder as is and any"),
+    (r"in no event shall (?:[^ ]+ ){1,40}?be liable", "in no event shall holder be liable"),
+)
 PARAGRAPHS = r"\n[ \t\r]*\n"
+# Where block comments begin and end, and first lines that name an interpreter; signs of comment lines; signs that start a line inside a comment.
+EDGES = r"^#![^\n]*|/[*]+|[*]+/|<!--+|--+>|\"\"\"|\'\'\'|[(][*]|[*][)]|[{]-|-[}]"
+COMMENT_LINE = r"^[ \t]*(?:[#;%]|//|--)"
+SIGNS = r"^[ \t]*(?:[#;%*]+|//+|--+)"
 MAX_KNOWN = 10_000
 #: Digest of a paragraph of which nothing is left.
 NOTHING = hashlib.sha256(b"").hexdigest()
@@ -172,9 +186,24 @@ NOTHING = hashlib.sha256(b"").hexdigest()
 def canonical(text: Column) -> Column:
     """The canonical form of a text; empty if nothing is left."""
     out = F.regexp_replace(F.lower(text), F.lit(COPYRIGHT_LINE), F.lit("\n"))
+    out = F.regexp_replace(out, F.lit(LIST_MARKER), F.lit(" "))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
-    return F.trim(F.regexp_replace(out, F.lit(r"[^\p{L}\p{N}]+"), F.lit(" ")))
+    out = F.trim(F.regexp_replace(out, F.lit(r"[^\p{L}\p{N}]+"), F.lit(" ")))
+    for named, same in SLOTS:
+        out = F.regexp_replace(out, F.lit(named), F.lit(same))
+    return out
+
+
+def comment_blocks(text: Column) -> Column:
+    """A text without comment signs, with a blank line at each edge of a comment."""
+    lines = F.split(F.regexp_replace(text, F.lit(EDGES), F.lit("\n\n")), "\n")
+
+    def line(here: Column, before: Column) -> Column:
+        bare = F.regexp_replace(here, F.lit(SIGNS), F.lit(""))
+        return F.when(F.rlike(here, F.lit(COMMENT_LINE)) != F.rlike(before, F.lit(COMMENT_LINE)), F.concat(F.lit("\n"), bare)).otherwise(bare)
+
+    return F.array_join(F.zip_with(lines, F.concat(F.array(F.lit("")), lines), line), "\n")  # the last, without a line here, is null and goes
 
 
 def marked(text: Column) -> Column:
@@ -226,21 +255,26 @@ def license_scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, ke
     names = registry(spark, known, long)
     lengths = sorted(r["n"] for r in names.select("n").where("n > 1").distinct().collect())  # a few lengths of the registry
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("text", F.when(marked(F.col("text")), F.col("text")))
-    units = F.filter(F.array_union(F.split("text", PARAGRAPHS), F.split("text", "\n")), lambda u: marked(u))
+    rows = rows.withColumn("bare", comment_blocks(F.col("text")))
+    units = F.filter(F.array_union(F.array_union(F.split("text", PARAGRAPHS), F.split("bare", PARAGRAPHS)), F.split("text", "\n")), lambda u: marked(u))
     rows = rows.select(
         F.monotonically_increasing_id().alias("row"),
         "key",
         F.sha2(canonical(F.col("text")), 256).alias("whole"),
+        F.sha2(canonical(F.col("bare")), 256).alias("whole_bare"),
         F.array_distinct(F.transform(units, lambda u: F.sha2(canonical(u), 256))).alias("parts"),
         paragraphs(F.col("text")).alias("of"),
+        paragraphs(F.col("bare")).alias("of_bare"),
     )
 
-    def runs(n: int) -> Column:
-        """Runs of n paragraphs in a text of more."""
-        starts = F.sequence(F.lit(1), F.size("of") - (n - 1))
-        return F.when(F.size("of") > n, F.transform(starts, lambda i: run_digest(F.slice("of", i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    def runs(n: int, of: str, most: Column) -> Column:
+        """Runs of n paragraphs in a text that has them besides others."""
+        starts = F.sequence(F.lit(1), F.size(of) - (n - 1))
+        return F.when(most >= n, F.transform(starts, lambda i: run_digest(F.slice(of, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
-    rows = rows.withColumn("parts", F.array_distinct(F.concat("parts", *[runs(n) for n in lengths])))
+    most = F.size("of") - 1
+    most_bare = F.when(F.col("whole_bare") != F.col("whole"), F.size("of_bare")).otherwise(F.size("of_bare") - 1)
+    rows = rows.withColumn("parts", F.array_distinct(F.concat("parts", *[runs(n, "of", most) for n in lengths], *[runs(n, "of_bare", most_bare) for n in lengths])))
     found = F.concat(
         F.array(F.struct(F.lit(True).alias("entire"), F.col("whole").alias("digest"))),
         F.transform(F.array_except("parts", F.array("whole")), lambda d: F.struct(F.lit(False).alias("entire"), d.alias("digest"))),

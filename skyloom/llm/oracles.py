@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import infill, mixing, variants
-from .licenses import COPYRIGHT_LINE, KNOWN, LONG, MARKERS, NOTHING, PARAGRAPHS, SPELLINGS, entitled
+from .licenses import COMMENT_LINE, COPYRIGHT_LINE, EDGES, KNOWN, LIST_MARKER, LONG, MARKERS, NOTHING, PARAGRAPHS, SIGNS, SLOTS, SPELLINGS, entitled
 
 
 def _quoted(text: str) -> str:
@@ -12,9 +12,20 @@ def _quoted(text: str) -> str:
 
 def _canonical(text: str) -> str:
     out = f"regexp_replace(lower({text}), {_quoted(COPYRIGHT_LINE)}, chr(10), 'g')"
+    out = f"regexp_replace({out}, {_quoted(LIST_MARKER)}, ' ', 'g')"
     for old, new in SPELLINGS:
         out = f"replace({out}, {_quoted(old)}, {_quoted(new)})"
-    return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    out = f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    for named, same in SLOTS:
+        out = f"regexp_replace({out}, {_quoted(named)}, {_quoted(same)}, 'g')"
+    return out
+
+
+def _comment_blocks(text: str) -> str:
+    lines = f"string_split(regexp_replace({text}, {_quoted(EDGES)}, chr(10) || chr(10), 'g'), chr(10))"
+    bare = f"regexp_replace(l, {_quoted(SIGNS)}, '')"
+    edge = f"regexp_matches(l, {_quoted(COMMENT_LINE)}) <> regexp_matches(coalesce(ls[i - 1], ''), {_quoted(COMMENT_LINE)})"
+    return f"(select array_to_string(list_transform(ls, lambda l, i: case when {edge} then chr(10) || {bare} else {bare} end), chr(10)) from (select {lines} as ls))"
 
 
 def _marked(text: str) -> str:
@@ -37,17 +48,20 @@ registry as (
     union all select license_id, sha256(array_to_string(ps, '')), len(ps) from texts where len(ps) > 1
     union all select * from (values {long}) l(license_id, digest, n))),
 rows as (select row_number() over () as r, doc_id, text from documents),
+seen as (select r, text, {_comment_blocks("text")} as bare from rows where {_marked("text")}),
+runs as (
+  select r, {_paragraphs("text")} as ps, 1 as other from seen
+  union all select r, {_paragraphs("bare")}, case when sha256({_canonical("bare")}) = sha256({_canonical("text")}) then 1 else 0 end from seen),
 units as (
-  select r, true as entire, sha256({_canonical("text")}) as digest from rows where {_marked("text")}
-  union all
+  select r, true as entire, sha256({_canonical("text")}) as digest from seen
+  union
   select r, false, digest from (
-    select distinct r, sha256({_canonical("u")}) as digest, sha256({_canonical("text")}) as whole from (
-      select r, text, unnest(string_split_regex(text, {_quoted(PARAGRAPHS)}) || string_split(text, chr(10))) as u from rows where {_marked("text")}) where {_marked("u")})
+    select r, sha256({_canonical("u")}) as digest, sha256({_canonical("text")}) as whole from (
+      select r, text, unnest(string_split_regex(text, {_quoted(PARAGRAPHS)}) || string_split_regex(bare, {_quoted(PARAGRAPHS)}) || string_split(text, chr(10))) as u from seen) where {_marked("u")})
   where digest <> whole
-  union all
-  select distinct r, false, sha256(array_to_string(ps[i:i + n - 1], '')) from (
-    select r, ps, n, unnest(range(1, len(ps) - n + 2)) as i from (select r, {_paragraphs("text")} as ps from rows where {_marked("text")}), (select distinct n from registry where n > 1)
-    where len(ps) > n)),
+  union
+  select r, false, sha256(array_to_string(ps[i:i + n - 1], '')) from (
+    select r, ps, n, unnest(range(1, len(ps) - n + 2)) as i from runs, (select distinct n from registry where n > 1) where len(ps) - other >= n)),
 hits as (select r, entire, license_id from units join registry using (digest))
 select doc_id, max(license_id) filter (where entire) as whole_license, count(license_id) filter (where not entire) as n_units,
   coalesce(string_agg(distinct license_id, ',' order by license_id), '') as licenses

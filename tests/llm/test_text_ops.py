@@ -364,6 +364,54 @@ def test_licences_of_several_paragraphs_inside_a_text(spark):
     assert rows[0].n_units == 1 and rows[4].n_units == 2
 
 
+def in_source():
+    """Ways in which licences stand in source files, and what holds there."""
+    of = {n: t for n, t in licenses.KNOWN if len(t) > 200}
+    mit, three = of["MIT"].split("\n"), of["BSD-3-Clause"]
+    hashed = "\n".join(f"# {x}".rstrip() for x in mit)
+    starred = "/*\n * Copyright (c) 2001 A. Person\n *\n" + "\n".join(f" * {x}".rstrip() for x in mit) + "\n */\n"
+    for k in (1, 2, 3):
+        three = three.replace(f"\n{k}. ", "\n * ")
+    named = of["BSD-3-Clause"].replace("Neither the name of the copyright holder", "Neither the name of Example Works, Inc.").replace("BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "BY EXAMPLE WORKS, INC. AND OTHERS")
+    return [
+        (three, "BSD-3-Clause", "BSD-3-Clause"),
+        (named, "BSD-3-Clause", "BSD-3-Clause"),
+        (f"#!/usr/bin/env python\n# Copyright 2020 A\n#\n{hashed}\n\nimport os\n", None, "MIT"),
+        (f"#!/bin/sh\n{hashed}\nset -e\n", None, "MIT"),
+        (f"{starred}int main(void) {{ return 0; }}\n", None, "MIT"),
+        (f"package main\n\n{starred}", None, "MIT"),
+        ("<!--\n" + named.replace("\n\n", "\n") + "\n-->\n<html></html>", None, "BSD-3-Clause"),
+        ("\n".join(f"// {x}".rstrip() for x in mit) + "\nfn main() {}", None, "MIT"),
+        ("\n".join(f"// {x}".rstrip() for x in mit), "MIT", "MIT"),
+        (f"{starred}int a;\n{starred}", None, "MIT"),
+        (starred.replace("without restriction", "with many restrictions") + "int a;", None, ""),
+        (named.replace("EXAMPLE WORKS, INC. AND OTHERS", "word " * 41), None, ""),
+    ]
+
+
+def test_licences_in_source_files(spark):
+    cases = in_source()
+    rows = {r.doc_id: r for r in licenses.license_scan(table(spark, [t for t, _, _ in cases])).collect()}
+    assert [(rows[i].whole_license, rows[i].licenses) for i in range(len(cases))] == [c[1:] for c in cases]
+    # A comment is a paragraph of the text and a run of paragraphs within the comment: one licence, up to two units.
+    assert [min(rows[i].n_units, 1) for i in range(len(cases))] == [0 if whole or not held else 1 for _, whole, held in cases]
+
+
+def test_licence_sql_has_the_same_rows(spark, tmp_path):
+    import duckdb
+
+    from skyloom.llm import oracles
+
+    mit = next(t for n, t in licenses.KNOWN if n == "MIT" and len(t) > 200)
+    texts = [t for t, _, _ in in_source()] + HARD + [f"MIT License\n\n{mit}", f"a\n\n{mit}\n\nb", "-- a licence\nselect 1 -- permission\n\n/* licensed */ x", '"""licence"""\n; permit\n\n', "#!x licence\n\n#!y"]
+    table(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(oracles.licenses_sql()).fetchall()
+    got = [(r.doc_id, r.whole_license, r.n_units, r.licenses) for r in licenses.license_scan(table(spark, texts)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == len(texts)
+
+
 def test_long_licences_have_the_digests_of_their_texts(spark):
     from pathlib import Path
 
