@@ -22,27 +22,23 @@ from ..functions import cells, geometry
 _BITS = 20  # of each grid coordinate in a packed key
 
 
-def _key(parts: list[Column]) -> Column:
-    out = parts[0]
-    for p in parts[1:]:
-        out = F.shiftleft(out, _BITS).bitwiseOR(p)
-    return out
+def _key(x: str, y: str, z: str) -> str:
+    return f"(shiftleft(shiftleft({x}, {_BITS}) | {y}, {_BITS}) | {z})"
 
 
-def _grid(value: Column, side: float) -> Column:
-    return F.floor((value + 1.0001) / side).cast("long")
+def _grid(value: str, side: float) -> str:
+    return f"cast(floor(({value} + 1.0001D) / {side!r}D) as bigint)"
 
 
-def _gridded(points: DataFrame, length: float, key: str, carry: tuple[str, ...], n: str) -> DataFrame:
-    """The points by grid cell: cell, and key, carried columns and unit vector with ``n`` after their names."""
+def _gridded(points: DataFrame, length: float, key: str, carry: tuple[str, ...]) -> DataFrame:
+    """The points by grid cell: cell, k (the key), the carried columns and the unit vector. Expressions are SQL text, each one call to the JVM."""
     side, reach = _side(length), length / 2 * (1 + 1e-9) + 1e-15
     x, y, z = geometry.unit_vec(F.col("ra"), F.col("dec"))
     at = cells.bound(points.where("ra is not null and dec is not null").select(F.col(key).alias("k"), *carry, "ra", "dec"), x=x, y=y, z=z).drop("ra", "dec")
     # the ball is narrower than a cell, so it touches one or two along each axis
-    ends = cells.bound(at, **{f"_{a}{k}": _grid(F.col(a) + sign * reach, side) for a in "xyz" for k, sign in enumerate((-1, 1))})
-    touched = F.array(*[_key([F.col(f"_x{i}"), F.col(f"_y{j}"), F.col(f"_z{k}")]) for i in (0, 1) for j in (0, 1) for k in (0, 1)])
-    out = ends.select(F.explode(F.array_distinct(touched)).alias("cell"), *at.columns)
-    return out.withColumnsRenamed({c: f"{c}{n}" for c in at.columns})
+    ends = cells.bound(at, **{f"_{a}{n}": F.expr(_grid(f"({a} {sign} {reach!r}D)", side)) for a in "xyz" for n, sign in enumerate("-+")})
+    touched = ", ".join(_key(f"_x{i}", f"_y{j}", f"_z{k}") for i in (0, 1) for j in (0, 1) for k in (0, 1))
+    return ends.select(F.expr(f"explode(array_distinct(array({touched})))").alias("cell"), *at.columns)
 
 
 def _side(length: float) -> float:
@@ -50,19 +46,20 @@ def _side(length: float) -> float:
 
 
 def _met(left: DataFrame, right: DataFrame, length: float) -> DataFrame:
-    """Pairs of gridded points within the chord, each in the cell of its midpoint, with the angle between them."""
+    """Pairs of gridded points within the chord, each in the cell of its midpoint, with the angle between them; columns end in 1 and 2."""
     side = _side(length)
+    left, right = (df.withColumnsRenamed({c: f"{c}{n}" for c in df.columns if c != "cell"}) for n, df in ((1, left), (2, right)))
     one, two = tuple(F.col(f"{a}1") for a in "xyz"), tuple(F.col(f"{a}2") for a in "xyz")
-    middle = _key([_grid((F.col(f"{a}1") + F.col(f"{a}2")) / 2, side) for a in "xyz"])
+    middle = _key(*[_grid(f"(({a}1 + {a}2) / 2)", side) for a in "xyz"])
     near = left.hint("merge").join(right, "cell").where(geometry.chord2(one, two) <= length**2)
-    return near.where(F.col("cell") == middle).drop("cell").withColumn("sep", geometry.sep_arcsec(one, two))
+    return near.where(f"cell = {middle}").drop("cell").withColumn("sep", geometry.sep_arcsec(one, two))
 
 
 def close_pairs(points: DataFrame, radius_arcsec: float, key: str = "id", carry: tuple[str, ...] = ()) -> DataFrame:
     """All pairs of points (key, ra, dec) within an angle, the lesser key first: key1, key2, the unit vectors and ``carry`` of both, sep."""
     length = geometry.chord(radius_arcsec)
-    left, right = (_gridded(points, length, key, carry, n) for n in "12")
-    return _met(left, right, length).where("k1 < k2").withColumnsRenamed({"k1": f"{key}1", "k2": f"{key}2"})
+    gridded = _gridded(points, length, key, carry)
+    return _met(gridded, gridded, length).where("k1 < k2").withColumnsRenamed({"k1": f"{key}1", "k2": f"{key}2"})
 
 
 def cross_match(left: DataFrame, right: DataFrame, radius_arcsec: float, key: str = "id", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -73,7 +70,7 @@ def cross_match(left: DataFrame, right: DataFrame, radius_arcsec: float, key: st
     are points of their own.
     """
     length = geometry.chord(radius_arcsec)
-    found = _met(_gridded(left, length, key, carry, "1"), _gridded(right, length, key, carry, "2"), length).drop(*[f"{a}{n}" for a in "xyz" for n in "12"])
+    found = _met(_gridded(left, length, key, carry), _gridded(right, length, key, carry), length).drop(*[f"{a}{n}" for a in "xyz" for n in "12"])
     for own, other, rank in (("k1", "k2", "rank1"), ("k2", "k1", "rank2")):
         found = found.withColumn(rank, F.row_number().over(Window.partitionBy(own).orderBy("sep", other)))
     return found.withColumn("mutual", (F.col("rank1") == 1) & (F.col("rank2") == 1)).withColumnsRenamed({"k1": f"{key}1", "k2": f"{key}2"})
@@ -166,8 +163,9 @@ def overlaps(groups: DataFrame, radius_arcsec: float) -> DataFrame:
     return found.select(F.col("id1").alias("a"), F.col("id2").alias("b"), "sep", F.when(first, F.col("id1")).otherwise(F.col("id2")).alias("better"))
 
 
-def suppress(groups: DataFrame, radius_arcsec: float) -> DataFrame:
-    """Groups that no better group overlaps: one anti-join."""
+def suppress(groups: DataFrame, radius_arcsec: float, hold: Callable[[DataFrame], DataFrame] = held) -> DataFrame:
+    """Groups that no better group overlaps: one anti-join. The groups are read by both sides of the overlaps and by the anti-join, so ``hold`` keeps them."""
+    groups = hold(groups)
     worse = overlaps(groups, radius_arcsec).select(F.when(F.col("better") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
     return groups.withColumn("id", _group_id()).join(worse, "id", "left_anti").drop("id")
 
