@@ -130,3 +130,12 @@ def test_groups_that_moved_are_told_with_their_way(spark):
     got = {(r.difference, r.g1, r.h1, None if r.sep is None else round(r.sep, 6)) for r in build.compare_groups(a, b, 5.0, ["flux"]).collect()}
     assert got == {("changed", 3, 3, None), ("moved", 5, 50, 1.0), ("only_left", 8, None, None), ("only_right", None, 80, None)}
     assert build.compare_groups(a, a, 5.0, ["flux"]).isEmpty() and build.compare_groups(a.limit(0), b.limit(0), 5.0, ["flux"]).isEmpty()
+
+
+def test_triples_of_stars_shuffle_no_pairs(spark, hard_sky):
+    close = brute(hard_sky, 900.0)
+    want = {(i, j, k) for i, j in close for k in range(j + 1, len(hard_sky)) if (i, k) in close and (j, k) in close}
+    found = search.star_triples(stars(spark, hard_sky), 900.0)
+    assert {tuple(r) for r in found.select("g1", "g2", "g3").collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "InMemory" not in plan  # the stars of either side, and nothing held
