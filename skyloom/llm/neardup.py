@@ -352,9 +352,11 @@ def links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, least: float = SI
     central = members.groupBy("id").agg(F.sum(F.log("size")).alias("central"))
     big = scratch.write(members.where(F.col("size") > ALL_PAIRS).join(central, "id"), "big")
     hubs = scratch.write(big.groupBy("key").agg(F.max(F.struct("central", "id")).alias("hub")).select("key", F.col("hub.id").alias("hub")), "hubs")
-    to_hub = big.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    # each member with its key's hub, joined once for both uses
+    big = scratch.write(big.select("key", "id").join(hubs, "key"), "met")
+    to_hub = big.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     pairs = scratch.write(_plausible(pairs.unionByName(to_hub).distinct(), nodes, least), "pairs")
-    scratch.drop("sizes", "members")
+    scratch.drop("sizes", "members", "big")
     asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(big.select("id")).distinct()
     bodies = scratch.write(_bodies(docs, nodes.select("id", "first", "raw").join(asked, "id", "left_semi"), key, text), "bodies")
     found = scratch.write(_verified(pairs, bodies, least), "links")
@@ -362,13 +364,11 @@ def links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, least: float = SI
     labels = None if found.isEmpty() else components(found, scratch)
     if hubs.isEmpty():
         return found, labels
-    named = hubs.select("key", F.col("hub").alias("id"))
     if labels is not None:
-        big, named = (d.join(labels, "id", "left") for d in (big.select("key", "id"), named))
+        big = big.join(labels, "id", "left").join(labels.select(F.col("id").alias("hub"), F.col("component").alias("of_hub")), "hub", "left")
     else:
-        big, named = (d.select("key", "id").withColumn("component", F.lit(None).cast("long")) for d in (big, named))
-    part = F.coalesce("component", "id")
-    placed = big.select("key", "id", part.alias("component")).join(named.select("key", part.alias("of_hub")), "key")
+        big = big.withColumns({c: F.lit(None).cast("long") for c in ("component", "of_hub")})
+    placed = big.select("key", "id", F.coalesce("component", "id").alias("component"), F.coalesce("of_hub", "hub").alias("of_hub"))
     placed = scratch.write(placed.select("key", "id", "component", (F.col("component") != F.col("of_hub")).alias("query")), "placed")
     near = scratch.write(_plausible_members(_with_counts(placed), nodes, least), "near")
     if near.isEmpty():

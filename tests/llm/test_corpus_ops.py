@@ -506,3 +506,18 @@ def test_pipeline_against_its_parts(spark, sf):
         at = out.cache()
     rows = corpus_pipeline.run(spark, sf)
     assert rows.count() == at.count()
+
+
+def test_members_of_large_keys_meet_their_hub_in_one_join(spark, monkeypatch):
+    plans, write = {}, neardup.Scratch.write
+
+    def told(self, df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(self, df, name)
+
+    monkeypatch.setattr(neardup.Scratch, "write", told)
+    same = " ".join(f"word{k}" for k in range(60))
+    docs = spark.createDataFrame([(i, f"{same} tail{i}") for i in range(30)], "doc_id long, text string")
+    assert {r.class_id for r in neardup.classes(docs).collect()} == {0}
+    joined = [name for name in ("met", "pairs", "placed") if re.search(r"Join Inner, \(key#\d+L? = key#", plans.get(name, ""))]
+    assert joined == ["met"] and {"met", "placed"} <= set(plans)
