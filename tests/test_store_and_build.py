@@ -351,3 +351,15 @@ def test_state_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {tuple(r) for r in spark.table("live_states").collect()} == {(0, "done"), (1, "done"), (2, "running")}
+
+
+def test_rounds_of_regions_keep_no_constraints_and_numbers_beyond_the_sky_touch_nothing(spark, tmp_path):
+    from skyloom.plans import regions
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    top = 12 * 4**3
+    rows = [(0,), (1,), (2,), (top,), (top + 1,), (5 * top,)]
+    found = regions.regions(spark.createDataFrame(rows, "outer_pix long"), 3)
+    assert {tuple(r) for r in found.collect()} == {(0, 0, 2), (1, 0, 2), (2, 0, 2), (top, top, 0), (top + 1, top + 1, 0), (5 * top, 5 * top, 0)}
+    known = found._jdf.queryExecution().optimizedPlan().constraints()
+    assert known.size() <= 3
