@@ -361,5 +361,4 @@ def test_rounds_of_regions_keep_no_constraints_and_numbers_beyond_the_sky_touch_
     rows = [(0,), (1,), (2,), (top,), (top + 1,), (5 * top,)]
     found = regions.regions(spark.createDataFrame(rows, "outer_pix long"), 3)
     assert {tuple(r) for r in found.collect()} == {(0, 0, 2), (1, 0, 2), (2, 0, 2), (top, top, 0), (top + 1, top + 1, 0), (5 * top, 5 * top, 0)}
-    known = found._jdf.queryExecution().optimizedPlan().constraints()
-    assert known.size() <= 3
+    assert "LogicalRDD" not in found._jdf.queryExecution().optimizedPlan().toString()  # of a checkpoint, which keeps what is known of its plan
