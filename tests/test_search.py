@@ -139,3 +139,19 @@ def test_triples_of_stars_shuffle_no_pairs(spark, hard_sky):
     assert {tuple(r) for r in found.select("g1", "g2", "g3").collect()} == want
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 2 and "InMemory" not in plan  # the stars of either side, and nothing held
+
+
+def test_best_groups_equal_the_whole_search_from_fewer_stars(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(10 + ra), float(dec), float(m)) for i, (ra, dec, m) in enumerate(zip(rng.uniform(0, 0.3, 700), rng.uniform(0, 0.3, 700), rng.uniform(8, 18, 700), strict=True))]
+    rows += [(1000 + i, 50.0 + i / 1000, 1.0, 12.0) for i in range(3)]  # a cell of fewer groups than asked for
+    frame = spark.createDataFrame(rows, "gaia_id long, ra double, dec double, mag double")
+    scorer, names, held = scoring.HeuristicScorer(), ("outer_pix", "rank", "g1", "g2", "g3"), []
+    cfg = SearchConfig(sizes=(2, 3), min_area_arcsec2=50.0, max_side_arcsec=100.0)
+    keep = lambda groups: search.geom_filter(groups, cfg)
+    want = {tuple(r) for r in search.top_k(scorer.score(keep(search.candidates(frame, cfg))), 5).select(*names).collect()}
+    cell = min(want)[0]
+    work = spark.createDataFrame([(cell,)], "outer_pix long")
+    got = search.best_groups(frame, cfg, scorer, 5, work, keep, lambda df: held.append(df.cache()) or held[-1])
+    assert {tuple(r) for r in got.select(*names).collect()} == {r for r in want if r[0] == cell}
+    assert 0 < held[-1].count() < 350  # stars that the whole search would have paired
