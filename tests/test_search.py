@@ -155,3 +155,15 @@ def test_best_groups_equal_the_whole_search_from_fewer_stars(spark):
     got = search.best_groups(frame, cfg, scorer, 5, work, keep, lambda df: held.append(df.cache()) or held[-1])
     assert {tuple(r) for r in got.select(*names).collect()} == {r for r in want if r[0] == cell}
     assert 0 < held[-1].count() < 350  # stars that the whole search would have paired
+
+
+def test_cross_match_shuffles_points_and_no_pairs(spark):
+    draw = np.random.default_rng(4)
+    a, b = (spark.createDataFrame([(i, float(ra), float(dec)) for i, (ra, dec) in enumerate(draw.uniform(0, 0.5, (400, 2)))], "id long, ra double, dec double") for _ in "ab")
+    found = search.cross_match(a, b, 120.0)
+    rows = found.collect()
+    best = {}
+    for r in rows:
+        best.setdefault(r.id1, []).append((r.sep, r.id2, r.rank1))
+    assert all([x[2] for x in sorted(v)] == list(range(1, len(v) + 1)) for v in best.values()) and len(rows) > 1000
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 4  # the points of either side, told twice by AQE
