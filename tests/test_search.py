@@ -67,6 +67,15 @@ def test_greedy_suppression_equals_a_loop(spark, hard_sky):
     assert once <= set(kept)
 
 
+def test_greedy_suppression_of_a_crowd_makes_no_overlaps(spark, tmp_path, monkeypatch):
+    from skyloom.sources.work import Work
+
+    monkeypatch.setattr(search, "overlaps", None)  # whose rows grow with the square of a crowd
+    crowd = spark.range(3000).selectExpr("id as g1", "cast(null as long) as g2", "cast(null as long) as g3", "10 + id % 50 / 1e5 as ra", "id / 1e7 as dec", "cast(id % 7 as double) as score")
+    got = search.suppress_greedy(crowd, 60.0, Work(spark, str(tmp_path)).write)
+    assert [r.g1 for r in got.collect()] == [6]  # the best score, then the least id
+
+
 def test_coverage_at_a_pole_has_the_nearest_cells(spark):
     group = spark.createDataFrame([(1, None, None, 0.0, 90.0)], "g1 long, g2 long, g3 long, ra double, dec double")
     assert search.coverage(group, 6, 2700.0).count() == 4
