@@ -51,6 +51,8 @@ NEEDED, SHORT = 3, 16
 #: Nodes of a key up to which all its pairs are candidates, and nodes of a tile of sketches and of texts.
 ALL_PAIRS = 12
 TILE, TEXT_TILE = 768, 256
+#: Members of a large key that one row carries through a join on the key, about.
+CHUNK = 256
 WORD = re.compile(r"\w+")
 CACHE_ENTRIES = 600_000
 #: Numbers that one step over all hash orders may hold.
@@ -334,10 +336,17 @@ def _tile_links(members: DataFrame, bodies: DataFrame, least: float) -> DataFram
     return rows.groupBy("key", "tile", "query_tile").applyInArrow(compare, "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
 
+def _chunks(members: DataFrame, *carried: str) -> DataFrame:
+    """Rows (key, size, held: structs of id and what is carried) of about CHUNK members of one key, so that a join on the key moves and makes a row for each
+    chunk, not for each member."""
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CHUNK))
+    return members.groupBy("key", "size", part.alias("part")).agg(F.collect_list(F.struct("id", *carried)).alias("held")).drop("part")
+
+
 def _with_counts(members: DataFrame) -> DataFrame:
     """``members`` of the keys that hold a query, with their number (size) and that of their queries."""
     counts = members.groupBy("key").agg(F.count("*").alias("size"), F.count_if("query").alias("queries")).where("queries > 0")
-    return members.join(counts, "key")
+    return _chunks(members, "component", "query").drop("size").join(counts, "key").select("key", "size", "queries", F.inline("held"))
 
 
 def links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, least: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
@@ -352,8 +361,8 @@ def links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, least: float = SI
     central = members.groupBy("id").agg(F.sum(F.log("size")).alias("central"))
     big = scratch.write(members.where(F.col("size") > ALL_PAIRS).join(central, "id"), "big")
     hubs = scratch.write(big.groupBy("key").agg(F.max(F.struct("central", "id")).alias("hub")).select("key", F.col("hub.id").alias("hub")), "hubs")
-    # each member with its key's hub, joined once for both uses
-    big = scratch.write(big.select("key", "id").join(hubs, "key"), "met")
+    # the members with their key's hub, joined once for both uses
+    big = scratch.write(_chunks(big).join(hubs, "key"), "met").select("key", "hub", "size", F.inline("held"))
     to_hub = big.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     pairs = scratch.write(_plausible(pairs.unionByName(to_hub).distinct(), nodes, least), "pairs")
     scratch.drop("sizes", "members", "big")
@@ -368,8 +377,8 @@ def links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, least: float = SI
         big = big.join(labels, "id", "left").join(labels.select(F.col("id").alias("hub"), F.col("component").alias("of_hub")), "hub", "left")
     else:
         big = big.withColumns({c: F.lit(None).cast("long") for c in ("component", "of_hub")})
-    placed = big.select("key", "id", F.coalesce("component", "id").alias("component"), F.coalesce("of_hub", "hub").alias("of_hub"))
-    placed = scratch.write(placed.select("key", "id", "component", (F.col("component") != F.col("of_hub")).alias("query")), "placed")
+    placed = big.select("key", "size", "id", F.coalesce("component", "id").alias("component"), F.coalesce("of_hub", "hub").alias("of_hub"))
+    placed = scratch.write(placed.select("key", "size", "id", "component", (F.col("component") != F.col("of_hub")).alias("query")), "placed")
     near = scratch.write(_plausible_members(_with_counts(placed), nodes, least), "near")
     if near.isEmpty():
         return found, labels

@@ -521,3 +521,23 @@ def test_members_of_large_keys_meet_their_hub_in_one_join(spark, monkeypatch):
     assert {r.class_id for r in neardup.classes(docs).collect()} == {0}
     joined = [name for name in ("met", "pairs", "placed") if re.search(r"Join Inner, \(key#\d+L? = key#", plans.get(name, ""))]
     assert joined == ["met"] and {"met", "placed"} <= set(plans)
+
+
+def test_members_of_large_keys_go_through_joins_in_chunks(spark, monkeypatch):
+    rows, write = {}, neardup.Scratch.write
+
+    def told(self, df, name):
+        out = write(self, df, name)
+        if name in ("hubs", "met"):
+            rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup.Scratch, "write", told)
+    same = " ".join(f"word{k}" for k in range(60))
+    docs = spark.createDataFrame([(i, f"{same} tail{i}") for i in range(30)], "doc_id long, text string")
+    assert {r.class_id for r in neardup.classes(docs).collect()} == {0}
+    assert rows["met"] == rows["hubs"] > 0  # 30 members of each key are one row of its join
+    members = spark.range(1000).select(F.lit(1).alias("key"), "id", F.lit(1000).alias("size"), F.lit(7).alias("component"), (F.col("id") < 3).alias("query"))
+    counted = neardup._with_counts(members).collect()
+    assert sorted(r.id for r in counted) == list(range(1000)) and {(r.key, r.size, r.queries, r.component) for r in counted} == {(1, 1000, 3, 7)}
+    assert sorted(r.id for r in counted if r.query) == [0, 1, 2] and neardup._chunks(members).count() == 4
