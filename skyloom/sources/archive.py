@@ -43,6 +43,8 @@ class ArchiveReader(DataSourceReader):
         self.level = int(options.get("level", "6"))
         self.pixels = [int(p) for p in options["pixels"].split(",") if p]
         self.limit = int(options["row_limit"]) if "row_limit" in options else None
+        for _ in range(min(int(options.get("split", "0")), cells.MAX_LEVEL - self.level)):  # so that one cell is the work of many tasks
+            self.level, self.pixels = self.level + 1, [4 * p + k for p in self.pixels for k in range(4)]
         self.service = json.loads(options.get("service", "{}"))
         self.columns = schema.fieldNames()
         self.bounds: list[tuple] = []
@@ -102,10 +104,11 @@ class StarArchive(DataSource):
 
 
 def archive_query(
-    spark: SparkSession, pixels: list[int], fetch: str, release: str = "dr3", level: int = 6, columns: list[str] | None = None, row_limit: int | None = None, service: dict | None = None
+    spark: SparkSession, pixels: list[int], fetch: str, release: str = "dr3", level: int = 6, columns: list[str] | None = None, row_limit: int | None = None, service: dict | None = None, split: int = 0
 ) -> DataFrame:
     """Stars of the cells, all columns or those named. ``fetch`` is "module:function"; it is called with (release, level, pix), and by name with those of ``columns``,
     ``bounds`` (column, one of = < <= > >= in, value), ``limit`` and the entries of ``service`` that it takes, and gives dicts of the columns.
+    Each cell is a task; with ``split`` its descendants of so many levels further are, for cells that hold many stars.
 
     Filters reach the service through ``spark.sql.python.filterPushdown.enabled``, which Spark wants to be set in the session; this call sets it.
     """
@@ -115,4 +118,6 @@ def archive_query(
     options = {"fetch": fetch, "release": release, "level": str(level), "pixels": ",".join(map(str, pixels)), "service": json.dumps(service or {})}
     if row_limit is not None:
         options["row_limit"] = str(row_limit)
+    if split:
+        options["split"] = str(split)
     return spark.read.format("star_archive").schema(asked).options(**options).load()

@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,37 +141,88 @@ def layout_size(stars: DataFrame) -> DataFrame:
     return stars.select("_metadata.file_path", "_metadata.file_size").distinct().agg(F.count("*").alias("n_files"), F.sum("file_size").alias("bytes"))
 
 
-def fetch(release: str, level: int, pix: int, columns: list[str], bounds: list[tuple], limit: int | None, root: str, parent_level: int) -> Iterator[dict]:
-    """The layout as a service of the archive source (``sources.archive``): stars of one cell, at most ``limit``, cut to the columns and bounds asked for
-    while the file is read. It runs in the task that asks."""
-    import pyarrow.dataset as ds
+#: Row groups that a worker keeps for requests that follow each other along the curve.
+KEPT_GROUPS = 4
+
+
+@lru_cache(maxsize=16)
+def _parents_of(base: str, version: str):
+    """The parents that a published version names. Versions never change."""
+    import pyarrow.parquet as pq
+
+    files, path = _files(base)
+    return frozenset(pq.read_table(f"{path}/{version}/parents", filesystem=files).column("parent").to_pylist())
+
+
+def _files(base: str):
+    import pyarrow.fs as fs
+
+    return fs.FileSystem.from_uri(base) if ":" in base.split("/")[0] else (fs.LocalFileSystem(), base)
+
+
+@lru_cache(maxsize=64)
+def _row_groups(base: str, folder: str):
+    """(path, row group, least and greatest ``fine``) of the files of a parent, along the curve; from their footers, which are read once. A group without statistics
+    may hold any."""
     import pyarrow.fs as fs
     import pyarrow.parquet as pq
 
+    files, root = _files(base)
+    out = []
+    for at in files.get_file_info(fs.FileSelector(f"{root}/{folder}", allow_not_found=True)):
+        if at.base_name.endswith(".parquet"):
+            with pq.ParquetFile(at.path, filesystem=files) as file:
+                column = file.schema_arrow.get_field_index("fine")
+                for k in range(file.num_row_groups):
+                    told = file.metadata.row_group(k).column(column).statistics
+                    known = told is not None and told.has_min_max
+                    out.append((at.path, k, told.min if known else 0, told.max if known else 1 << 62))
+    return sorted(out, key=lambda g: (g[2], g[0], g[1]))
+
+
+@lru_cache(maxsize=KEPT_GROUPS)
+def _row_group(base: str, path: str, k: int, columns: tuple[str, ...]):
+    """Columns of one row group, sorted by ``fine`` as written: of bounded size (``ROW_GROUP_BYTES``)."""
+    import pyarrow.parquet as pq
+
+    with pq.ParquetFile(path, filesystem=_files(base)[0]) as file:
+        rows = file.read_row_group(k, columns=list(columns)).combine_chunks()
+    return rows, rows.column("fine").to_numpy()
+
+
+def fetch(release: str, level: int, pix: int, columns: list[str], bounds: list[tuple], limit: int | None, root: str, parent_level: int) -> Iterator[dict]:
+    """The layout as a service of the archive source (``sources.archive``): stars of one cell, at most ``limit``, cut to the columns and bounds asked for.
+    It runs in the task that asks. A request reads the row groups that its cell meets, up to its limit, and cuts its range out of them; footers and the row groups read
+    last are kept, so requests for the parts of a cell do not read its file again.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+    import pyarrow.fs as fs
+
     base = grouped_root(root, release, parent_level)
-    files, base = fs.FileSystem.from_uri(base) if ":" in base.split("/")[0] else (fs.LocalFileSystem(), base)
     shift = 2 * (parent_level - level)
     wanted = set(range(pix << shift, (pix + 1) << shift)) if shift >= 0 else {pix >> -shift}
-    found = [i.path for i in files.get_file_info(fs.FileSelector(base)) if i.base_name.startswith("version=")]
-    paths = []
+    files, path = _files(base)
+    found = [i.base_name for i in files.get_file_info(fs.FileSelector(path)) if i.base_name.startswith("version=")]
+    low, high = ranges([pix], level)[0]
+    names = tuple(dict.fromkeys([*columns, *[b[0] for b in bounds], "fine"]))
+    tests = {"=": pc.equal, "<": pc.less, "<=": pc.less_equal, ">": pc.greater, ">=": pc.greater_equal, "in": lambda c, v: pc.is_in(c, value_set=pa.array(v, c.type))}
+    left = limit
     for version in sorted(found, key=lambda p: -int(p.rpartition("=")[2])):
-        named = wanted & set(pq.read_table(f"{version}/parents", filesystem=files).column("parent").to_pylist())
+        named = wanted & _parents_of(base, version)
         wanted -= named
         for parent in sorted(named):
-            at = fs.FileSelector(f"{version}/data/parent={parent}", allow_not_found=True)
-            paths += [i.path for i in files.get_file_info(at) if i.base_name.endswith(".parquet")]
-    if not paths:
-        return
-    low, high = ranges([pix], level)[0]
-    kept = (ds.field("fine") >= low) & (ds.field("fine") < high)
-    tests = {"=": "__eq__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__", "in": "isin"}
-    for column, test, value in bounds:
-        kept &= getattr(ds.field(column), tests[test])(value)
-    left = limit
-    for batch in ds.dataset(paths, format="parquet", filesystem=files).scanner(columns=columns, filter=kept).to_batches():
-        rows = (batch if left is None else batch.slice(0, left)).to_pylist()
-        yield from rows
-        if left is not None:
-            left -= len(rows)
-            if not left:
-                return
+            for at, k, least, most in _row_groups(base, f"{version}/data/parent={parent}"):
+                if most < low or least >= high:
+                    continue
+                rows, fine = _row_group(base, at, k, names)
+                first, end = np.searchsorted(fine, (low, high))
+                rows = rows.slice(first, end - first)
+                for column, test, value in bounds:
+                    rows = rows.filter(tests[test](rows.column(column), value))
+                kept = (rows if left is None else rows.slice(0, left)).select(list(columns)).to_pylist()
+                yield from kept
+                if left is not None:
+                    left -= len(kept)
+                    if not left:
+                        return

@@ -177,3 +177,18 @@ def test_command_line_times_and_groups(spark, patch, tmp_path, capsys):
     said = capsys.readouterr().out
     assert "warm" in said and "version 1" in said
     assert grouped.read_grouped(spark, root, "dr3", 2, 3).count() == stars.read_stars(spark, root, "dr3", 3).count()
+
+
+def test_requests_for_parts_of_a_cell_read_its_file_once(spark, patch, tmp_path):
+    root = str(tmp_path)
+    grouped.compact(patch, root, "dr3", 3)
+    held = [r.parent for r in grouped.current(spark, root, "dr3", 3).collect()]
+    service = {"root": root, "parent_level": 3}
+    found = archive.archive_query(spark, held, "skyloom.sources.grouped:fetch", level=3, columns=["gaia_id"], row_limit=20, service=service, split=2)
+    assert found.rdd.getNumPartitions() == 16 * len(held)  # a cell is the work of many tasks
+    assert sorted(r.gaia_id for r in found.collect()) == sorted(r.gaia_id for r in patch.select("gaia_id").collect())
+    before = grouped._row_group.cache_info().misses
+    asked = [p for h in held for p in range(64 * h, 64 * h + 64)]
+    got = [s["gaia_id"] for p in asked for s in grouped.fetch("dr3", 6, p, ["gaia_id"], [("gaia_G", ">=", 14.0), ("gaia_id", "in", list(range(0, 1500, 2)))], None, **service)]
+    assert sorted(got) == sorted(r.gaia_id for r in patch.where("gaia_G >= 14 and gaia_id % 2 = 0 and gaia_id < 1500").collect())
+    assert grouped._row_group.cache_info().misses - before == len(held)  # one row group a parent here, for 64 requests each
