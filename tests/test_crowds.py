@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.contracts import SearchConfig
-from skyloom.operators import crowds, search
+from skyloom.functions import geometry
+from skyloom.operators import crowds, scoring, search
 from skyloom.plans import catalog
 
 
@@ -32,3 +33,38 @@ def test_registered_coverage_makes_no_triples_as_rows(spark, sf, monkeypatch):
     want = {tuple(r) for r in catalog.coverage(spark, sf).collect()}
     monkeypatch.setattr(search, "star_triples", None)
     assert {tuple(r) for r in catalog.coverage(spark, sf).collect()} == want
+
+
+def test_suppression_from_stars_equals_that_of_groups_as_rows(crowd, monkeypatch):
+    cfg, scorer, names = SearchConfig(sizes=(2, 3)), scoring.HeuristicScorer(), ("size", "g1", "g2", "g3", "score")
+    stars = crowd.where("dec is not null").withColumn("mag", F.round("mag", 1))  # many scores are equal
+    want = {tuple(r) for r in search.suppress(scorer.score(search.candidates(stars, cfg)), 60.0, lambda df: df).select(*names).collect()}
+    monkeypatch.setattr(search, "overlaps", None)
+    monkeypatch.setattr(search, "star_triples", None)
+    got = [tuple(r) for r in crowds.suppress(stars, cfg, scorer, 60.0).select(*names).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
+
+
+def test_registered_suppression_makes_no_groups_as_rows(spark, sf, monkeypatch):
+    monkeypatch.setattr(search, "overlaps", None)
+    monkeypatch.setattr(search, "star_triples", None)
+    assert catalog.overlap_suppressed(spark, sf).count() > 0
+
+
+def test_small_blocks_give_the_same(monkeypatch):
+    rng = np.random.default_rng(5)
+    v = crowds._unit(10 + rng.uniform(0, 0.1, 150), rng.uniform(0, 0.1, 150))
+    ids, flux, p = np.arange(150), np.rint(rng.uniform(1, 9, 150)), crowds._unit(10 + rng.uniform(0, 0.1, 9), rng.uniform(0, 0.1, 9))
+    side = search._side(2 * geometry.chord(120.0))
+    rules, low = crowds._Rules(SearchConfig()), np.floor((v[0] + 1.0001) / side).astype("int64")
+
+    def both():
+        best = crowds._Best(rules, scoring.HeuristicScorer(), (2, 3), ids, flux, v, 60.0, low, side)
+        covered = [(i, a.tolist(), b.tolist()) for i, a, b in crowds._covered(rules, ids, v, ids, p, p, 120.0)]
+        return {tuple(r) for r in best.stay().tolist()}, covered, best.stored is None
+
+    *want, again = both()
+    monkeypatch.setattr(crowds, "BLOCK", 320)
+    monkeypatch.setattr(crowds, "PAIRS", 500)
+    *got, made_again = both()
+    assert got == want and all(want) and not again and made_again
