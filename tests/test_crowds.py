@@ -20,6 +20,57 @@ def crowd(spark):
     return spark.createDataFrame(frame, "gaia_id long, ra double, dec double, mag double").cache()
 
 
+SHAPE = ("size", "g1", "g2", "g3", "sep12", "sep13", "sep23", "ra", "dec", "max_side", "area", "circumradius", "flux", "score")
+
+
+@pytest.mark.parametrize("sizes, keep", [((1, 2, 3), False), ((2, 3), True), ((3,), False)])
+def test_groups_from_stars_equal_those_of_joins(crowd, monkeypatch, sizes, keep):
+    cfg, scorer = SearchConfig(sizes=sizes, max_side_arcsec=90.0, min_area_arcsec2=500.0), scoring.HeuristicScorer()
+    stars = crowd.where("dec is not null")
+    found = scorer.score(search.candidates(stars, cfg))
+    found = search.geom_filter(found, cfg) if keep else found
+    for c in set(SHAPE) - set(found.columns):
+        found = found.withColumn(c, F.lit(None).cast("double"))
+    want = {(r.g1, r.g2, r.g3): r for r in found.select(*SHAPE).collect()}
+    monkeypatch.setattr(search, "star_triples", None)
+    monkeypatch.setattr(crowds, "ROWS", 50)
+    monkeypatch.setattr(crowds, "BLOCK", 320)
+    got = crowds.groups(stars, cfg, SHAPE, keep, scorer).collect()
+    assert len(got) == len(want) > 100
+    for r in got:
+        assert all(a == b or abs(a - b) < 1e-9 * max(1.0, abs(a)) for a, b in zip(r, want[r.g1, r.g2, r.g3], strict=True))
+
+
+def test_scorers_without_numpy_score_groups_as_rows(crowd):
+    class Plain:
+        identity = "plain"
+
+        def score(self, groups):
+            return groups.withColumn("score", F.col("flux") * 2)
+
+    stars, cfg = crowd.where("dec is not null"), SearchConfig(sizes=(2,))
+    got = crowds.groups(stars, cfg, ("g1", "flux", "score"), scorer=Plain()).collect()
+    assert got and all(r.score == r.flux * 2 for r in got)
+
+
+@pytest.mark.parametrize("name", ["triples"])
+def test_registered_rows_come_from_stars(spark, sf, monkeypatch, name):
+    want = sorted(tuple(r) for r in catalog.queries()[name](spark, sf).collect())
+    for step in ("star_triples", "pairs"):  # which sort and spill pairs
+        monkeypatch.setattr(search, step, None)
+    assert sorted(tuple(r) for r in catalog.queries()[name](spark, sf).collect()) == want
+
+
+def test_halves_round_away_from_zero(spark):
+    row = spark.sql("select explode(array(0.125D, -0.125D, 2.5D, 150.123456749D, 0D, -7D)) as x").select(geometry.half_up(F.col("x"), 2).alias("y")).collect()
+    assert [r.y for r in row] == [0.13, -0.13, 2.5, 150.12, 0.0, -7.0]
+
+
+def test_bands_are_made_once_for_cut_and_result(spark, sf):
+    plan = catalog.guides(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("0.003775") == 1  # copies make a method that the JVM does not compile
+
+
 def test_coverage_of_triples_equals_that_of_their_rows(crowd):
     cfg = SearchConfig(sizes=(3,), radius_arcsec=150.0, min_separation_arcsec=10.0)
     for level, radius in ((10, 120.0), (8, 700.0)):
