@@ -53,7 +53,7 @@ def test_scorers_without_numpy_score_groups_as_rows(crowd):
     assert got and all(r.score == r.flux * 2 for r in got)
 
 
-@pytest.mark.parametrize("name", ["triples", "geom_filter", "group_geometry", "heuristic_score", "scorer_plugin"])
+@pytest.mark.parametrize("name", ["triples", "geom_filter", "group_geometry", "heuristic_score", "scorer_plugin", "candidates"])
 def test_registered_rows_come_from_stars(spark, sf, monkeypatch, name):
     want = sorted(tuple(r) for r in catalog.queries()[name](spark, sf).collect())
     for step in ("star_triples", "pairs"):  # which sort and spill pairs
