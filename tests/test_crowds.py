@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skyloom.contracts import SearchConfig
 from skyloom.functions import geometry
 from skyloom.operators import crowds, scoring, search
-from skyloom.plans import catalog
+from skyloom.plans import build, catalog
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +20,30 @@ def crowd(spark):
     return spark.createDataFrame(frame, "gaia_id long, ra double, dec double, mag double").cache()
 
 
+def test_pairs_of_two_tables_compare_as_groups_do(crowd, monkeypatch):
+    cfg, left = SearchConfig(sizes=(2,)), crowd.where("dec is not null and gaia_id <> 320")
+    other = F.when(F.col("gaia_id") % 3 == 0, F.col("gaia_id") + 1000).when(F.col("gaia_id") % 50 == 1, -2 - F.col("gaia_id")).otherwise(F.col("gaia_id"))
+    right = left.where("gaia_id % 17 <> 4").withColumns({"gaia_id": other, "dec": F.col("dec") + F.when(F.col("gaia_id") % 4 == 0, 1e-4).when(F.col("gaia_id") == 5, -30.0).otherwise(0.0)})
+    sided = [search.candidates(df, cfg).withColumn("side", F.round("max_side", 3)) for df in (left, right)]
+    names = ("g1", "g2", "h1", "h2", "difference")
+    want = {tuple(r[c] for c in names): r.sep for r in build.compare_groups(*sided, 5.0, ["side"]).collect()}
+    for step in ("pairs", "cross_match"):
+        monkeypatch.setattr(search, step, None)
+    for size in (8_000, 20):
+        monkeypatch.setattr(crowds, "PART_STARS", size)
+        rows = crowds.compare_pairs(left, right, cfg, 5.0, 3).collect()
+        got = {tuple(r[c] for c in names): r.sep for r in rows}
+        assert len(rows) == len(got) and set(got) == set(want) and {k[4] for k in got} == set(crowds.KINDS)
+        assert all(s is None and got[k] is None or abs(s - got[k]) < 1e-7 for k, s in want.items())
+    assert crowds.compare_pairs(left.limit(0), right.limit(0), cfg, 5.0, 3).isEmpty()
+
+
+def test_registered_comparison_makes_no_pairs_as_rows(spark, sf, monkeypatch):
+    for step in ("pairs", "cross_match"):
+        monkeypatch.setattr(search, step, None)
+    assert catalog.queries()["moved_groups"](spark, sf).count() > 0
+
+
 SHAPE = ("size", "g1", "g2", "g3", "sep12", "sep13", "sep23", "ra", "dec", "max_side", "area", "circumradius", "flux", "score")
 
 
