@@ -44,6 +44,29 @@ def test_registered_comparison_makes_no_pairs_as_rows(spark, sf, monkeypatch):
     assert catalog.queries()["moved_groups"](spark, sf).count() > 0
 
 
+@pytest.mark.parametrize("radius, groups", [(20.0, 10**6), (60.0, 0)])
+def test_greedy_removal_from_stars_equals_that_of_groups_as_rows(crowd, monkeypatch, radius, groups):
+    monkeypatch.setattr(crowds, "HELD_GROUPS", groups)  # wide cells, and narrow ones that hang on each other
+    cfg, scorer, held = SearchConfig(sizes=(2, 3)), scoring.HeuristicScorer(), []
+    stars = crowd.where("dec is not null").withColumn("mag", F.round("mag", 1))  # many scores are equal
+    want, closed = set(), []
+    for r in sorted(scorer.score(search.candidates(stars, cfg)).select("score", "g1", "g2", "g3", "ra", "dec").collect(), key=lambda r: (-r.score, r.g1, r.g2 or -1, r.g3 or -1)):
+        at = crowds._unit(np.array(r.ra), np.array(r.dec))
+        if not closed or (((np.array(closed) - at) ** 2).sum(axis=1) > geometry.chord(radius) ** 2).all():
+            closed.append(at)
+            want.add((r.g1, r.g2, r.g3))
+    for step in ("star_triples", "pairs", "suppress_greedy"):
+        monkeypatch.setattr(search, step, None)
+    got = crowds.suppress_greedy(stars, cfg, scorer, radius, lambda df: held.append(df.localCheckpoint()) or held[-1]).collect()
+    assert len(got) == len(want) > 40 and {(r.g1, r.g2, r.g3) for r in got} == want
+
+
+def test_registered_removal_makes_no_groups_as_rows(spark, sf, monkeypatch):
+    for step in ("star_triples", "pairs", "suppress_greedy"):
+        monkeypatch.setattr(search, step, None)
+    assert catalog.overlap_greedy(spark, sf).count() > 0
+
+
 SHAPE = ("size", "g1", "g2", "g3", "sep12", "sep13", "sep23", "ra", "dec", "max_side", "area", "circumradius", "flux", "score")
 
 
