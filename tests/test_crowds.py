@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.contracts import SearchConfig
-from skyloom.functions import geometry
+from skyloom.functions import cells, geometry
 from skyloom.operators import crowds, scoring, search
 from skyloom.plans import build, catalog
 
@@ -67,6 +67,25 @@ def test_registered_removal_makes_no_groups_as_rows(spark, sf, monkeypatch):
     assert catalog.overlap_greedy(spark, sf).count() > 0
 
 
+def test_counts_by_cell_equal_those_of_rows_and_make_none(spark, sf, crowd, monkeypatch):
+    cfg, stars = SearchConfig(outer_level=9), crowd.where("dec is not null")
+    want = {tuple(r) for r in search.count_by_pix(search.candidates(stars, cfg)).collect()}
+    for step in ("star_triples", "pairs", "candidates"):
+        monkeypatch.setattr(search, step, None)
+    got = crowds.count_by_pix(stars, cfg).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 20
+    assert catalog.star_count(spark, sf).count() > 0
+
+
+def test_cells_in_numpy_equal_the_expressions(spark):
+    rng = np.random.default_rng(2)
+    ra, dec = rng.uniform(0, 360, 3000), np.degrees(np.arcsin(rng.uniform(-1, 1, 3000)))
+    rows = spark.createDataFrame([(float(a), float(d)) for a, d in zip(ra, dec, strict=True)], "ra double, dec double")
+    for level in (6, 12):
+        got = rows.select(cells.ang2pix(F.col("ra"), F.col("dec"), level).alias("pix")).collect()
+        assert [r.pix for r in got] == crowds._ang2pix(ra, dec, level).tolist()
+
+
 SHAPE = ("size", "g1", "g2", "g3", "sep12", "sep13", "sep23", "ra", "dec", "max_side", "area", "circumradius", "flux", "score")
 
 
